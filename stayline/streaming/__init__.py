@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reproduced pipelines are batch only.  Every fit they perform (percentile
+limits, medians, scalers, split counts) needs the whole table, and no input
+arrives as a stream, so there are no watermarks, event-time windows or
+stateful operators to provide.  Operators in ``stayline.operators`` are plain
+DataFrame functions and can be applied inside ``foreachBatch`` if a caller
+wants micro-batches; nothing here wraps that.
+"""
