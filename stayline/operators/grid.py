@@ -134,7 +134,7 @@ def asof_to_grid(events: DataFrame, grid_bounds: DataFrame, keys, t: str,
     keys = _as_list(keys)
     half = F.make_dt_interval(mins=F.lit(29), secs=F.lit(59.999999))
     near = floor_hour(F.col(t) + half)
-    x = events.join(grid_bounds.select(*keys, lo, hi), on=keys, how="inner")
+    x = events.join(grid_bounds, on=keys, how="inner")
     clamped = F.when(near < F.col(lo), F.col(lo)).when(near > F.col(hi), F.col(hi)).otherwise(near)
     tol = F.make_dt_interval(secs=F.lit(float(tolerance_hours) * 3600))
     x = x.withColumn(hour, clamped)

@@ -66,7 +66,7 @@ def stay_table(spark: SparkSession, d: str) -> DataFrame:
     return stays.rollup_stays(sessions(spark, d), KEYS, "ts", "ts", "event_type", LABELS)
 
 
-STAYS_SQL = SESS_SQL + """,
+ST_SQL = """
 st AS (
   SELECT user_id, session_no, min(ts) AS intime, max(ts) AS outtime,
          """ + ",\n         ".join(
@@ -74,6 +74,7 @@ st AS (
   FROM sess WHERE user_id IS NOT NULL AND session_no IS NOT NULL
   GROUP BY user_id, session_no
 )"""
+STAYS_SQL = SESS_SQL + "," + ST_SQL
 
 
 # ---------------------------------------------------------------- panel
@@ -82,7 +83,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return grid.hourly_grid(sessions(spark, d), KEYS, "ts", "event_type", "value", LABELS)
 
 
-PANEL_SQL = SESS_SQL + """,
+GRID_SQL = """
 g0 AS (
   SELECT user_id, session_no, date_trunc('hour', ts) AS hour, ts, event_type AS label,
          avg(value) AS v
@@ -100,6 +101,8 @@ panel AS (
   SELECT s.user_id, s.session_no, s.hour, """ + ", ".join(f"g1.{L}" for L in LABELS) + """
   FROM spine s LEFT JOIN g1 ON s.user_id = g1.user_id AND s.session_no = g1.session_no AND s.hour = g1.hour
 )"""
+PANEL_SQL = SESS_SQL + "," + GRID_SQL
+PANEL_STAYS_SQL = SESS_SQL + "," + ST_SQL + "," + GRID_SQL
 
 
 def outcome_times(spark: SparkSession, d: str) -> DataFrame:
