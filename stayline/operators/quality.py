@@ -28,9 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import true_or_false
-
-_LOW33 = (1 << 33) - 1
-
+from stayline.operators.ranking import group_rank
 
 def _as_list(x) -> list:
     if x is None:
@@ -51,13 +49,7 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
     x = x.where(~F.isnan("_v"))
     counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
-    rng = x.repartitionByRange(partitions, *by, "_v") if partitions else x.repartitionByRange(*by, "_v")
-    srt = rng.sortWithinPartitions(*by, "_v").withColumn("_id", F.monotonically_increasing_id())
-    srt = srt.withColumn("_pid", F.shiftright("_id", 33)).withColumn("_pos", F.col("_id").bitwiseAND(F.lit(_LOW33)))
-    part = srt.groupBy("_pid", *by).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    wp = Window.partitionBy(*by).orderBy("_pid")
-    part = part.withColumn("_off", F.coalesce(
-        F.sum("_cnt").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = group_rank(x, by, ["_v"], "_rank", partitions).select(*by, "_rank", "_v")
 
     # ranks needed per group: floor and floor + 1 of (n - 1) * q
     tg = counts.select(*by, "_n", F.explode(F.array(*[
@@ -69,9 +61,6 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
            .withColumn("_frac", F.col("_h") - F.col("_lo"))
     need = tg.select(*by, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank")).distinct()
 
-    ranked = srt.join(part, on=["_pid", *by], how="inner") \
-                .withColumn("_rank", F.col("_off") + F.col("_pos") - F.col("_first")) \
-                .select(*by, "_rank", "_v")
     picked = ranked.join(need, on=[*by, "_rank"], how="left_semi")
     lo = picked.withColumnRenamed("_rank", "_lo").withColumnRenamed("_v", "_vlo")
     hi = picked.withColumnRenamed("_rank", "_hi").withColumnRenamed("_v", "_vhi")

@@ -362,13 +362,14 @@ register("asof_nearest", rounded_sql("""
 # ---------------------------------------------------------------- R4
 def _spread(spark, d):
     st = stay_table(spark, d)
-    tot = sessions(spark, d).groupBy(*KEYS).agg(F.sum("value").alias("amount"))
+    tot = sessions(spark, d).groupBy(*KEYS).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"))
     x = st.join(tot, on=KEYS).withColumn("per_hour", grid.hourly_amount("intime", "outtime", "amount"))
     return finish(grid.spread_intervals(x, ["user_id"], "intime", "outtime", "per_hour", "amount_per_hour"))
 
 
 register("spread_intervals", rounded_sql("WITH " + STAYS_SQL + """,
-  tot AS (SELECT user_id, session_no, sum(value) AS amount FROM sess GROUP BY ALL),
+  tot AS (SELECT user_id, session_no, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM sess GROUP BY ALL),
   x AS (SELECT st.user_id, date_trunc('hour', intime) AS s, date_trunc('hour', outtime) AS e,
                amount / (date_diff('hour', date_trunc('hour', intime), date_trunc('hour', outtime)) + 1) AS per_hour
         FROM st JOIN tot USING (user_id, session_no)),
