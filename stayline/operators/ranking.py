@@ -28,9 +28,9 @@ def _as_list(x) -> list:
 def _numbered(df: DataFrame, by: list, order: list, partitions: int | None):
     keys = [*by, *order]
     rng = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    srt = rng.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    return (srt.withColumn("_pid", F.shiftright("_id", 33))
-               .withColumn("_pos", F.col("_id").bitwiseAND(F.lit(_LOW33))).drop("_id"))
+    srt = rng.sortWithinPartitions(*keys).withColumn("_rk_id", F.monotonically_increasing_id())
+    return (srt.withColumn("_rk_pid", F.shiftright("_rk_id", 33))
+               .withColumn("_rk_pos", F.col("_rk_id").bitwiseAND(F.lit(_LOW33))).drop("_rk_id"))
 
 
 def group_rank(df: DataFrame, by, order, out: str = "_rank",
@@ -39,13 +39,13 @@ def group_rank(df: DataFrame, by, order, out: str = "_rank",
     expressions allowed, e.g. ``F.col('v').desc()``); ties get distinct ranks."""
     by, order = _as_list(by), _as_list(order)
     srt = _numbered(df, by, order, partitions)
-    part = srt.groupBy("_pid", *by).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    wp = Window.partitionBy(*by).orderBy("_pid")
-    part = part.withColumn("_off", F.coalesce(
-        F.sum("_cnt").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_df = srt.join(part.drop("_cnt"), on=["_pid", *by], how="inner")
-    out_df = out_df.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("bigint"))
-    return out_df.drop("_pid", "_pos", "_first", "_off")
+    part = srt.groupBy("_rk_pid", *by).agg(F.min("_rk_pos").alias("_rk_first"), F.count(F.lit(1)).alias("_rk_cnt"))
+    wp = Window.partitionBy(*by).orderBy("_rk_pid")
+    part = part.withColumn("_rk_off", F.coalesce(
+        F.sum("_rk_cnt").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out_df = srt.join(part.drop("_rk_cnt"), on=["_rk_pid", *by], how="inner")
+    out_df = out_df.withColumn(out, (F.col("_rk_off") + F.col("_rk_pos") - F.col("_rk_first")).cast("bigint"))
+    return out_df.drop("_rk_pid", "_rk_pos", "_rk_first", "_rk_off")
 
 
 def prefix_sums(df: DataFrame, order, cols: Sequence[str], by=None, suffix: str = "_cum",
@@ -53,13 +53,13 @@ def prefix_sums(df: DataFrame, order, cols: Sequence[str], by=None, suffix: str
     """Inclusive running sums of ``cols`` in ``order`` inside ``by`` groups."""
     by, order = _as_list(by), _as_list(order)
     srt = _numbered(df, by, order, partitions)
-    part = srt.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wp = Window.partitionBy(*by).orderBy("_pid")
+    part = srt.groupBy("_rk_pid", *by).agg(*[F.sum(c).alias(f"_rkt_{c}") for c in cols])
+    wp = Window.partitionBy(*by).orderBy("_rk_pid")
     frame = wp.rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{c}").over(frame), F.lit(0)).alias(f"_o_{c}")
+    part = part.select("_rk_pid", *by, *[F.coalesce(F.sum(f"_rkt_{c}").over(frame), F.lit(0)).alias(f"_rko_{c}")
                                       for c in cols])
-    wl = Window.partitionBy("_pid", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    loc = srt.withColumns({f"_l_{c}": F.sum(c).over(wl) for c in cols})
-    res = loc.join(part, on=["_pid", *by], how="inner")
-    res = res.withColumns({f"{c}{suffix}": F.col(f"_o_{c}") + F.col(f"_l_{c}") for c in cols})
-    return res.drop("_pid", "_pos", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])
+    wl = Window.partitionBy("_rk_pid", *by).orderBy("_rk_pos").rowsBetween(Window.unboundedPreceding, 0)
+    loc = srt.withColumns({f"_rkl_{c}": F.sum(c).over(wl) for c in cols})
+    res = loc.join(part, on=["_rk_pid", *by], how="inner")
+    res = res.withColumns({f"{c}{suffix}": F.col(f"_rko_{c}") + F.col(f"_rkl_{c}") for c in cols})
+    return res.drop("_rk_pid", "_rk_pos", *[f"_rkl_{c}" for c in cols], *[f"_rko_{c}" for c in cols])
