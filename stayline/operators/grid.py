@@ -75,11 +75,14 @@ def fill_grid(wide: DataFrame, keys, hour: str = "hour") -> DataFrame:
 
 
 def hourly_grid(df: DataFrame, keys, t: str, label: str, value: str, labels: Sequence[str],
-                hour: str = "hour") -> DataFrame:
+                hour: str = "hour", first_times: Sequence[str] = ()) -> DataFrame:
     """Mean per timestamp, median per hour, contiguous hours per stay.
 
     Output: ``keys, hour, <one double column per label>``; the grid runs from
     the first to the last hour holding any value; empty hours are NULL.
+    ``first_times`` adds ``<label>_first_time`` = earliest timestamp of that
+    label in the hour (computed in the same aggregate, so an outcome time
+    needs no second pass over the events).
     """
     keys = _as_list(keys)
     x = (df.where(F.col(value).isNotNull() & F.col(label).isin(list(labels)))
@@ -88,7 +91,8 @@ def hourly_grid(df: DataFrame, keys, t: str, label: str, value: str, labels: Seq
            .repartition(*keys, hour))
     tmean = x.groupBy(*keys, hour, "_t", "_label").agg(F.avg("_v").alias("_v"))
     wide = tmean.groupBy(*keys, hour).agg(
-        *[F.median(F.when(F.col("_label") == F.lit(L), F.col("_v"))).alias(L) for L in labels])
+        *[F.median(F.when(F.col("_label") == F.lit(L), F.col("_v"))).alias(L) for L in labels],
+        *[F.min(F.when(F.col("_label") == F.lit(L), F.col("_t"))).alias(f"{L}_first_time") for L in first_times])
     return fill_grid(wide, keys, hour)
 
 

@@ -5,12 +5,12 @@ counterparts for the DuckDB oracle.
 Analogue (driver tables carry no clinical data):
 subject/admission = ``events.user_id``; stay = user session with a 24 h gap
 (``user_id, session_no``); measurement label/value = ``event_type``/``value``;
-outcome event = first ``error`` event of the stay.
+outcome event = first ``error`` observation (with a value) of the stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,19 +108,24 @@ PANEL_STAYS_SQL = SESS_SQL + "," + ST_SQL + "," + GRID_SQL
 def outcome_times(spark: SparkSession, d: str) -> DataFrame:
     """Outcome event per stay: first ``error`` event of the session."""
     s = sessions(spark, d)
-    return s.where(F.col("event_type") == "error").groupBy(*KEYS).agg(F.min("ts").alias("event_time"))
+    return s.where((F.col("event_type") == "error") & F.col("value").isNotNull()) \
+            .groupBy(*KEYS).agg(F.min("ts").alias("event_time"))
 
 
 OUTCOME_SQL = """
-oc AS (SELECT user_id, session_no, min(ts) AS event_time FROM sess WHERE event_type = 'error'
-       GROUP BY user_id, session_no)"""
+oc AS (SELECT user_id, session_no, min(ts) AS event_time FROM sess
+       WHERE event_type = 'error' AND value IS NOT NULL GROUP BY user_id, session_no)"""
 
 
 def labelled_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Panel + L1 horizon label (24 h), keyed like the reference panel."""
-    p = panel(spark, d)
-    oc = outcome_times(spark, d)
-    x = p.join(oc, on=KEYS, how="left")
+    """Panel + L1 horizon label (24 h), keyed like the reference panel.
+
+    The outcome time (first ``error`` observation of the stay) comes out of the
+    grid aggregate and a window over the stay - no second pass over events."""
+    p = grid.hourly_grid(sessions(spark, d), KEYS, "ts", "event_type", "value", LABELS,
+                         first_times=["error"])
+    w = Window.partitionBy(*KEYS)
+    x = p.withColumn("event_time", F.min("error_first_time").over(w)).drop("error_first_time")
     x = x.withColumn("label", windows.horizon_label("event_time", "hour", 24))
     return x.drop("event_time")
 
