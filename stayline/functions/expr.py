@@ -15,7 +15,10 @@ INF = float("inf")
 
 
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """Column by exact name (dots, commas and spaces allowed) or pass-through."""
+    if isinstance(c, str):
+        return F.col("`" + c.replace("`", "``") + "`")
+    return c
 
 
 def true_or_false(cond: Column) -> Column:
@@ -138,7 +141,7 @@ def threshold_score(c, op: str, cuts: Sequence[float]) -> Column:
 
 def weighted_sum(flags: Mapping[str, float]) -> Column:
     """sum of int(flag) * weight, missing flag counts 0."""
-    terms = [F.coalesce(F.col(f).cast("int"), F.lit(0)) * F.lit(w) for f, w in flags.items()]
+    terms = [F.coalesce(col(f).cast("int"), F.lit(0)) * F.lit(w) for f, w in flags.items()]
     out = terms[0]
     for t in terms[1:]:
         out = out + t

@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.functions.expr import col as Q_
+
 from stayline.functions.expr import floor_hour, hours, true_or_false
 
 def one_hour():
@@ -38,7 +40,7 @@ def one_hot(df: DataFrame, c: str, domain: Sequence[str], prefix: str | None = N
     cols = {}
     for v in domain:
         name = f"{prefix}{sep}{v}" if prefix else v
-        cols[name] = true_or_false(F.col(c) == F.lit(v))
+        cols[name] = true_or_false(Q_(c) == F.lit(v))
     out = df.withColumns(cols)
     return out.drop(c) if drop else out
 
@@ -71,7 +73,7 @@ def fill_grid(wide: DataFrame, keys, hour: str = "hour") -> DataFrame:
     vals = [c for c in wide.columns if c not in keys and c != hour]
     present = F.col("_h") == F.col(hour)
     return x.select(*keys, F.col("_h").alias(hour),
-                    *[F.when(present, F.col(c)).alias(c) for c in vals])
+                    *[F.when(present, Q_(c)).alias(c) for c in vals])
 
 
 def hourly_grid(df: DataFrame, keys, t: str, label: str, value: str, labels: Sequence[str],
@@ -123,7 +125,7 @@ def attach_hourly(panel: DataFrame, series: DataFrame, keys, cols: Sequence[str]
     base = panel.drop(*[c for c in cols if c in panel.columns])
     out = base.join(series.select(*keys, hour, *cols), on=[*keys, hour], how="left")
     if default is not None:
-        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in cols})
+        out = out.withColumns({c: F.coalesce(Q_(c), F.lit(default)) for c in cols})
     return out
 
 
@@ -147,7 +149,7 @@ def asof_to_grid(events: DataFrame, grid_bounds: DataFrame, keys, t: str,
 
 
 def _epoch_hour(c):
-    c = F.col(c) if isinstance(c, str) else c
+    c = Q_(c) if isinstance(c, str) else c
     d = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
     return d.cast("bigint") * 24 + F.hour(c)
 

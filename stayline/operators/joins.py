@@ -40,12 +40,14 @@ def events_in_stay(events: DataFrame, stays: DataFrame, on, t: str,
     broadcasts the stay side when its measured size is small and splits
     skewed key partitions otherwise."""
     on = _as_list(on)
-    cond = [events[k] == stays[k] for k in on]
-    cond.append(events[t] >= stays[start])
-    cond.append(events[t] <= stays[end])
-    j = events.join(stays, on=cond, how="inner")
-    return j.select(*[events[c] for c in events.columns],
-                    *[stays[c] for c in stays.columns if c not in on])
+    s = stays.select(*[F.col(c).alias(f"_st_{c}") for c in stays.columns])
+    cond = F.col(t) >= F.col(f"_st_{start}")
+    cond = cond & (F.col(t) <= F.col(f"_st_{end}"))
+    for k in on:
+        cond = (F.col(k) == F.col(f"_st_{k}")) & cond
+    j = events.join(s, on=cond, how="inner")
+    return j.select(*events.columns,
+                    *[F.col(f"_st_{c}").alias(c) for c in stays.columns if c not in on])
 
 
 def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: str,

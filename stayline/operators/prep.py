@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from stayline.functions.expr import col as Q_
 from pyspark.sql import types as T
 
 from stayline.operators.quality import exact_quantiles
@@ -68,7 +70,7 @@ def quantile_knots(train: DataFrame, cols: Sequence[str], n_quantiles: int = 100
     ``linspace(0, 1, m)``, ``m = min(n_quantiles, n non-null train values)``.
     The result is a small model (columns x m numbers) returned to the driver."""
     long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_s")
+        F.struct(F.lit(c).alias("column"), Q_(c).cast("double").alias("value")) for c in cols])).alias("_s")
     ).select("_s.*").where(F.col("value").isNotNull())
     counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     knots = {}
@@ -110,13 +112,13 @@ def quantile_transform(df: DataFrame, knots: dict[str, list[float]]) -> DataFram
     """L5 transform: map to [0, 1] by the mean of forward and backward linear
     interpolation over the knots; values at the first/last knot -> 0/1;
     NULL stays NULL (Arrow-batched pandas UDF, one per column)."""
-    return df.withColumns({c: _interp_udf(k)(F.col(c).cast("double")) for c, k in knots.items()})
+    return df.withColumns({c: _interp_udf(k)(Q_(c).cast("double")) for c, k in knots.items()})
 
 
 # ---------------------------------------------------------------- L6
 def minmax_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """L6 fit: one-row table of per-column min and max over Train rows."""
-    return train.agg(*[x for c in cols for x in (F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])
+    return train.agg(*[x for c in cols for x in (F.min(Q_(c)).alias(f"{c}__min"), F.max(Q_(c)).alias(f"{c}__max"))])
 
 
 def minmax_transform(df: DataFrame, cols: Sequence[str], fitted: DataFrame) -> DataFrame:
@@ -125,9 +127,9 @@ def minmax_transform(df: DataFrame, cols: Sequence[str], fitted: DataFrame) -> D
     x = df.crossJoin(F.broadcast(fitted))
     out = {}
     for c in cols:
-        mn, mx = F.col(f"{c}__min"), F.col(f"{c}__max")
+        mn, mx = Q_(f"{c}__min"), Q_(f"{c}__max")
         rng = F.when(mx - mn == 0, F.lit(1.0)).otherwise((mx - mn).cast("double"))
-        out[c] = (F.col(c) - mn) / rng
+        out[c] = (Q_(c) - mn) / rng
     return x.withColumns(out).drop(*[f"{c}__{s}" for c in cols for s in ("min", "max")])
 
 
@@ -140,7 +142,7 @@ def pack_sequences(df: DataFrame, keys, order: str, cols: Sequence[str],
     (e.g. the split's longest stay).  Memory per row is bounded by the stay's
     span in hours."""
     keys = _as_list(keys)
-    rowv = F.array(*[F.col(c).cast("double") for c in cols])
+    rowv = F.array(*[Q_(c).cast("double") for c in cols])
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), rowv.alias("v"))))
                               .alias("_rows"))
     g = g.withColumn(out, F.transform("_rows", lambda r: r["v"])).withColumn("maxsteps", F.size("_rows")).drop("_rows")

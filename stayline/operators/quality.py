@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.functions.expr import col as Q_
+
 from stayline.functions.expr import true_or_false
 from stayline.operators.ranking import group_rank
 
@@ -45,7 +47,7 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
     """
     by = _as_list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    x = df.where(F.col(c).isNotNull()).select(*by, F.col(c).cast("double").alias("_v"))
+    x = df.where(Q_(c).isNotNull()).select(*by, Q_(c).cast("double").alias("_v"))
     x = x.where(~F.isnan("_v"))
     counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -102,7 +104,7 @@ def trim_outliers(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,
         src = df.where(~true_or_false(F.col(by[0]).isin(list(exempt))))
     lim = limits if limits is not None else quantile_limits(src, by, c, lo, hi)
     x = df.join(F.broadcast(lim), on=by, how="left") if by else df.crossJoin(F.broadcast(lim))
-    v = F.col(c)
+    v = Q_(c)
     is_exempt = true_or_false(F.col(by[0]).isin(list(exempt))) if (exempt and by) else F.lit(False)
     if action == "clip":
         clipped = F.when(v < F.col("lo_limit"), F.col("lo_limit")).when(
@@ -127,7 +129,7 @@ def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AG6: whole-column medians of several columns in one range sort:
     columns are unpivoted to ``(column, value)`` and ranked per column."""
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_s"))
+        F.struct(F.lit(c).alias("column"), Q_(c).cast("double").alias("value")) for c in cols])).alias("_s"))
     long = long.select("_s.column", "_s.value")
     med = exact_quantiles(long, "column", "value", [0.5], ["median"])
     return med.groupBy().pivot("column", list(cols)).agg(F.first("median"))
@@ -135,18 +137,18 @@ def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def fill_with_stats(df: DataFrame, cols: Sequence[str], stats_row: DataFrame) -> DataFrame:
     """AG6: coalesce every column with its one-row statistic (broadcast)."""
-    s = stats_row.select(*[F.col(c).alias(f"_fill_{c}") for c in cols])
+    s = stats_row.select(*[Q_(c).alias(f"_fill_{c}") for c in cols])
     x = df.crossJoin(F.broadcast(s))
-    x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in cols})
+    x = x.withColumns({c: F.coalesce(Q_(c), F.col(f"_fill_{c}")) for c in cols})
     return x.drop(*[f"_fill_{c}" for c in cols])
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """AG10: fraction of NULLs per column, one aggregate pass, long form."""
     cols = list(cols or df.columns)
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    row = df.agg(*[F.avg(Q_(c).isNull().cast("double")).alias(c) for c in cols])
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("null_frac")) for c in cols])).alias("_s")) \
+        F.struct(F.lit(c).alias("column"), Q_(c).alias("null_frac")) for c in cols])).alias("_s")) \
         .select("_s.column", "_s.null_frac")
 
 
@@ -162,9 +164,9 @@ def drop_sparse(df: DataFrame, cols: Sequence[str] | None = None, threshold: flo
 def histogram(df: DataFrame, c: str, bins: int = 10, by=None) -> DataFrame:
     """AG14: fixed-width bins between min and max; last bin closed on the right."""
     by = _as_list(by)
-    v = F.col(c)
+    v = Q_(c)
     x = df.where(v.isNotNull())
-    stats = (x.groupBy(*by) if by else x).agg(F.min(c).alias("_mn"), F.max(c).alias("_mx"))
+    stats = (x.groupBy(*by) if by else x).agg(F.min(Q_(c)).alias("_mn"), F.max(Q_(c)).alias("_mx"))
     x = x.join(F.broadcast(stats), on=by) if by else x.crossJoin(F.broadcast(stats))
     width = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     idx = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
@@ -188,8 +190,8 @@ def quantile_bins(df: DataFrame, c: str, n: int = 10, out: str = "bin") -> DataF
     """AG15: equal-frequency bins, duplicate edges dropped, right-closed, the
     first bin includes the minimum.  Adds ``bin``, ``bin_left``, ``bin_right``."""
     edges = quantile_edges(df, c, n)
-    x = df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(edges))
-    below = F.size(F.filter("edges", lambda e: e < F.col(c)))
+    x = df.where(Q_(c).isNotNull()).crossJoin(F.broadcast(edges))
+    below = F.size(F.filter("edges", lambda e: e < Q_(c)))
     idx = F.greatest(below - 1, F.lit(0))
     x = x.withColumn(out, idx.cast("int"))
     x = x.withColumn(f"{out}_left", F.element_at("edges", F.col(out) + 1)) \
@@ -215,11 +217,11 @@ def feature_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AG20: min / max / mean / sample std per column, long form (typed)."""
     aggs = []
     for c in cols:
-        v = F.col(c).cast("double")
+        v = Q_(c).cast("double")
         aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
                  F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std")]
     row = df.agg(*aggs)
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"),
-                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std")) for c in cols])).alias("_s")
+        F.struct(F.lit(c).alias("column"), Q_(f"{c}__min").alias("min"), Q_(f"{c}__max").alias("max"),
+                 Q_(f"{c}__mean").alias("mean"), Q_(f"{c}__std").alias("std")) for c in cols])).alias("_s")
     ).select("_s.*")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.functions.expr import col as Q_
+
 from stayline.functions.expr import hours, true_or_false
 
 
@@ -26,7 +28,7 @@ def spec(keys, order="hour"):
 def ffill_col(c, keys, order="hour", limit: int | None = None) -> Column:
     """Last non-null value at or before the row (``limit`` rows back)."""
     w = spec(keys, order).rowsBetween(Window.unboundedPreceding if limit is None else -int(limit), 0)
-    return F.last(F.col(c) if isinstance(c, str) else c, ignorenulls=True).over(w)
+    return F.last(Q_(c) if isinstance(c, str) else c, ignorenulls=True).over(w)
 
 
 def ffill(df: DataFrame, cols: Sequence[str], keys, order="hour", limit: int | None = None) -> DataFrame:
@@ -41,12 +43,12 @@ def hours_since_start(keys, order="hour") -> Column:
 
 def rolling_max(c, keys, n: int, order="hour") -> Column:
     """Trailing n-row max (min_periods 0 -> NULL only when all missing)."""
-    return F.max(c).over(spec(keys, order).rowsBetween(-(n - 1), 0))
+    return F.max(Q_(c)).over(spec(keys, order).rowsBetween(-(n - 1), 0))
 
 
 def future_max(c, keys, n: int, order="hour") -> Column:
     """The row and the next n-1 rows."""
-    return F.max(c).over(spec(keys, order).rowsBetween(0, n - 1))
+    return F.max(Q_(c)).over(spec(keys, order).rowsBetween(0, n - 1))
 
 
 def score_horizon(c, keys, n: int, mode: str = "reference", order="hour") -> Column:
@@ -55,18 +57,18 @@ def score_horizon(c, keys, n: int, mode: str = "reference", order="hour") -> Col
     ``mode='future'`` gives the next-n-rows reading of the README."""
     if mode == "future":
         return future_max(c, keys, n, order)
-    return F.max(c).over(spec(keys, order).rowsBetween(-(n - 1), n - 1))
+    return F.max(Q_(c)).over(spec(keys, order).rowsBetween(-(n - 1), n - 1))
 
 
 def rolling_mean(c, keys, n: int, default: float | None = 0.0, order="hour") -> Column:
     """Trailing n-row mean over present values (min_periods 1), then default."""
-    m = F.avg(c).over(spec(keys, order).rowsBetween(-(n - 1), 0))
+    m = F.avg(Q_(c)).over(spec(keys, order).rowsBetween(-(n - 1), 0))
     return m if default is None else F.coalesce(m, F.lit(default))
 
 
 def observed_mask(c) -> Column:
     """1 when present, else 0."""
-    return F.col(c).isNotNull().cast("int")
+    return Q_(c).isNotNull().cast("int")
 
 
 def time_since_observed(c, keys, order="hour") -> Column:
@@ -74,7 +76,7 @@ def time_since_observed(c, keys, order="hour") -> Column:
     stay's first row; counted from the stay start when never observed."""
     w = spec(keys, order)
     rn = F.row_number().over(w)
-    last_obs = F.max(F.when(F.col(c).isNotNull(), rn_plain(keys, order))).over(
+    last_obs = F.max(F.when(Q_(c).isNotNull(), rn_plain(keys, order))).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
     return F.when(rn == 1, F.lit(0)).otherwise(rn - F.coalesce(last_obs, F.lit(1))).cast("double")
 
