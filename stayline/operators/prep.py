@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import col as Q_
 from pyspark.sql import types as T
 
-from stayline.operators.quality import exact_quantiles
+from stayline.operators.quality import exact_quantiles_long
 from stayline.operators.ranking import group_rank
 
 
@@ -72,19 +72,15 @@ def quantile_knots(train: DataFrame, cols: Sequence[str], n_quantiles: int = 100
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), Q_(c).cast("double").alias("value")) for c in cols])).alias("_s")
     ).select("_s.*").where(F.col("value").isNotNull())
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    knots = {}
-    by_m: dict[int, list[str]] = {}
-    for c in cols:
-        m = min(n_quantiles, int(counts.get(c, 0)))
-        if m > 0:
-            by_m.setdefault(m, []).append(c)
-    for m, cs in by_m.items():
-        probs = [i / (m - 1) for i in range(m)] if m > 1 else [0.0]
-        q = exact_quantiles(long.where(F.col("column").isin(cs)), "column", "value", probs,
-                            [f"k{i}" for i in range(m)])
-        for r in q.collect():
-            knots[r["column"]] = [r[f"k{i}"] for i in range(m)]
+    # the fit runs several jobs (counts, range sampling, ranks): write the
+    # narrow training values once to the shared checkpoint folder
+    from stayline.session import cut_lineage
+    long = cut_lineage(long)
+    q = exact_quantiles_long(long, "column", "value", n_grid=n_quantiles)
+    got: dict[str, dict[int, float]] = {}
+    for r in q.collect():  # columns x m numbers: the fitted model
+        got.setdefault(r["column"], {})[int(r["qi"])] = r["q"]
+    knots = {c: [kv[i] for i in range(len(kv))] for c, kv in got.items()}
     return knots
 
 

@@ -47,6 +47,22 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
     """
     by = _as_list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
+    val = exact_quantiles_long(df, by, c, probs, partitions)
+    aggs = [F.max(F.when(F.col("qi") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
+    if by:
+        return val.groupBy(*by).agg(*aggs)
+    return val.agg(*aggs)
+
+
+def exact_quantiles_long(df: DataFrame, by, c: str, probs: Sequence[float] | None = None,
+                         partitions: int | None = None, n_grid: int | None = None) -> DataFrame:
+    """Same as ``exact_quantiles`` in long form: ``by..., qi, q`` (one row
+    per group and probability) - for many probabilities (scaler knots).
+
+    With ``n_grid`` the probabilities are ``linspace(0, 1, m)`` with
+    ``m = min(n_grid, n)`` per group (the quantile-scaler knots), generated
+    inside Spark from the group counts."""
+    by = _as_list(by)
     x = df.where(Q_(c).isNotNull()).select(*by, Q_(c).cast("double").alias("_v"))
     x = x.where(~F.isnan("_v"))
     counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
@@ -54,10 +70,15 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
     ranked = group_rank(x, by, ["_v"], "_rank", partitions).select(*by, "_rank", "_v")
 
     # ranks needed per group: floor and floor + 1 of (n - 1) * q
-    tg = counts.select(*by, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
-        for i, p in enumerate(probs)])).alias("_q"))
-    tg = tg.select(*by, "_n", F.col("_q.qi").alias("_qi"), F.col("_q.h").alias("_h"))
+    if n_grid:
+        m = F.least(F.lit(n_grid).cast("bigint"), F.col("_n"))
+        tg = counts.select(*by, "_n", m.alias("_m"), F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1)).alias("_qi"))
+        step = F.when(F.col("_m") > 1, F.lit(1.0) / (F.col("_m") - 1)).otherwise(F.lit(0.0))
+        tg = tg.withColumn("_h", (F.col("_n") - 1) * (F.col("_qi") * step)).drop("_m")
+    else:
+        pr = F.array(*[F.lit(float(p)) for p in probs])
+        tg = counts.select(*by, "_n", F.posexplode(pr).alias("_qi", "_p"))
+        tg = tg.withColumn("_h", (F.col("_n") - 1) * F.col("_p")).drop("_p")
     tg = tg.withColumn("_lo", F.floor("_h").cast("bigint")) \
            .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)) \
            .withColumn("_frac", F.col("_h") - F.col("_lo"))
@@ -69,10 +90,7 @@ def exact_quantiles(df: DataFrame, by, c: str, probs: Sequence[float],
     val = tg.join(lo, on=[*by, "_lo"], how="left").join(hi, on=[*by, "_hi"], how="left")
     val = val.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
     val = val.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(F.col("_q")))
-    aggs = [F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
-    if by:
-        return val.groupBy(*by).agg(*aggs)
-    return val.agg(*aggs)
+    return val.select(*by, F.col("_qi").alias("qi"), F.col("_q").alias("q"))
 
 
 def quantile_limits(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,

@@ -124,7 +124,8 @@ def labelled_panel(spark: SparkSession, d: str) -> DataFrame:
     grid aggregate and a window over the stay - no second pass over events."""
     p = grid.hourly_grid(sessions(spark, d), KEYS, "ts", "event_type", "value", LABELS,
                          first_times=["error"])
-    w = Window.partitionBy(*KEYS)
+    # same partitioning and order as the panel windows, so all share one sort
+    w = windows.spec(KEYS).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = p.withColumn("event_time", F.min("error_first_time").over(w)).drop("error_first_time")
     x = x.withColumn("label", windows.horizon_label("event_time", "hour", 24))
     return x.drop("event_time")

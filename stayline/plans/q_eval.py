@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from stayline.operators import evaluate as E, prep, report, windows as W
 from stayline.plans.base import (KEYS, LABELLED_SQL, LABELS, PANEL_SQL, STAYS_SQL, finish,
                                  labelled_panel, panel, rounded_sql, sessions, stay_table, table)
-from stayline.plans.q_panel import SCORE_CUTS, _ff_sql, _score_case, flagship
+from stayline.functions import expr as X
+from stayline.plans.q_panel import SCORE_CUTS, _ff_sql, _score_case
 from stayline.plans.registry import register
 
 WS = "PARTITION BY user_id, session_no ORDER BY hour"
@@ -34,11 +35,13 @@ t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)"""
 def scored(spark, d):
     """Scored panel: y = 24 h label, y_proba from the forward-filled value,
     concept true / predicted = score and its rolling max (scaled 0..1),
-    relevance from purchases, observed / reconstructed / mask for click."""
-    p = flagship(spark, d)
-    raw = panel(spark, d).select(*KEYS, "hour", "click", "purchase")
-    x = p.join(raw, on=[*KEYS, "hour"])
-    w = Window.partitionBy(*KEYS)
+    relevance from purchases, observed / reconstructed / mask for click.
+    One labelled panel, every column from windows on the same partitioning."""
+    x = labelled_panel(spark, d)
+    x = x.withColumn("view_ff", W.ffill_col("view", KEYS))
+    x = x.withColumn("score", X.threshold_score("view_ff", ">=", SCORE_CUTS))
+    x = x.withColumn("score_roll24", W.rolling_max("score", KEYS, 24))
+    w = W.spec(KEYS).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = x.withColumn("step", W.hours_since_start(KEYS)).withColumn("maxsteps", F.count(F.lit(1)).over(w))
     x = x.withColumn("y", F.col("label").cast("int"))
     x = x.withColumn("y_proba", F.least(F.coalesce(F.col("view_ff"), F.lit(0.0)) / 500, F.lit(1.0)))
