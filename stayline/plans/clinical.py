@@ -331,3 +331,31 @@ def run_extraction(t: dict[str, DataFrame], label_map: DataFrame, labels: list[s
     panel = hourly_panel(t, cut(cohort), ce, labels)
     panel = cut(add_scores(add_outcome(panel, cohort)))
     return export(static, panel)
+
+
+def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20, seed: int = 0,
+                   concepts=(), variables=(), y: str = "y", p: str = "y_proba",
+                   split: str = "split") -> dict[str, DataFrame]:
+    """Explanation traces of ``n`` drawn positive Test stays (seeded
+    hash order), reconstruction traces of the same stays, and imputation
+    quality per split and variable (rows ordered by the Train missing share)."""
+    test = scored.where(F.col(split) == "Test")
+    pos = test.groupBy(*keys).agg(F.max(F.col(y).cast("int")).alias("_y"))
+    ids = prep.sample_ids(pos, keys, n, seed=seed, where=F.col("_y") == 1)
+    out = {"imputation_quality": E.imputation_quality(scored, split, list(variables)).orderBy(
+        F.desc("_train_missing"), "variable", split)}
+    if concepts:
+        out["explanation"] = E.explanation_trace(test, ids, keys, step, list(concepts), y, p)
+    if variables:
+        out["reconstruction"] = E.reconstruction_trace(test, ids, keys, step, list(variables))
+    return out
+
+
+def run_preparation(bundle: dict[str, DataFrame], out_dir: str, n_quantiles: int = 1000,
+                    seed: int = 0) -> dict[str, DataFrame]:
+    """P9 + IO6: prepare and write every packed table partitioned by split."""
+    from stayline.sources.tables import save_bundle
+    packed = prepare(bundle, n_quantiles, seed)
+    save_bundle(packed, out_dir, partition_by=["split"])
+    return packed
+
