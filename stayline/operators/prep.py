@@ -108,7 +108,8 @@ def quantile_transform(df: DataFrame, knots: dict[str, list[float]]) -> DataFram
     """L5 transform: map to [0, 1] by the mean of forward and backward linear
     interpolation over the knots; values at the first/last knot -> 0/1;
     NULL stays NULL (Arrow-batched pandas UDF, one per column)."""
-    return df.withColumns({c: _interp_udf(k)(Q_(c).cast("double")) for c, k in knots.items()})
+    from stayline.functions.expr import nan_to_null
+    return df.withColumns({c: nan_to_null(_interp_udf(k)(Q_(c).cast("double"))) for c, k in knots.items()})
 
 
 # ---------------------------------------------------------------- L6

@@ -305,7 +305,37 @@ def _qscale(spark, d):
     return finish(prep.quantile_transform(p, knots))
 
 
-register("quantile_scale")(_qscale)
+def _qs_expr(x, xp, m):
+    r = lambda i: f"(CAST({i} AS DOUBLE) / ({m} - 1))"
+    j = f"len(list_filter({xp}, lambda e: e <= {x}))"
+    k = f"len(list_filter({xp}, lambda e: e < {x}))"
+    fwd = (f"(CASE WHEN {j} = 0 THEN 0.0 WHEN {j} >= {m} THEN 1.0 ELSE {r(f'{j} - 1')} + ({x} - {xp}[{j}]) * "
+           f"({r(j)} - {r(f'{j} - 1')}) / ({xp}[{j} + 1] - {xp}[{j}]) END)")
+    bwd = (f"(CASE WHEN {k} = 0 THEN 0.0 WHEN {k} >= {m} THEN 1.0 WHEN {xp}[{k} + 1] = {x} THEN {r(k)} "
+           f"ELSE {r(f'{k} - 1')} + ({x} - {xp}[{k}]) * ({r(k)} - {r(f'{k} - 1')}) / ({xp}[{k} + 1] - {xp}[{k}]) END)")
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = {xp}[1] THEN 0.0 WHEN {x} = {xp}[{m}] THEN 1.0 "
+            f"ELSE 0.5 * ({fwd} + {bwd}) END")
+
+
+register("quantile_scale", rounded_sql("WITH " + PANEL_SQL + f""",
+  p AS (SELECT user_id, session_no, hour, {_ff_sql('click')} AS click, {_ff_sql('view')} AS view FROM panel),
+  tr AS (SELECT * FROM p WHERE hour < TIMESTAMP '{TRAIN_END}'),
+  lv AS (SELECT 'click' AS col, click AS v FROM tr WHERE click IS NOT NULL
+         UNION ALL SELECT 'view' AS col, view AS v FROM tr WHERE view IS NOT NULL),
+  rk AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) - 1 AS r,
+                count(*) OVER (PARTITION BY col) AS n FROM lv),
+  g AS (SELECT DISTINCT col, n, least(1000, n) AS m FROM rk),
+  kk AS (SELECT col, n, m, unnest(range(m)) AS qi FROM g),
+  h AS (SELECT *, (n - 1) * (qi * (CASE WHEN m > 1 THEN 1.0 / (m - 1) ELSE 0.0 END)) AS hh FROM kk),
+  h2 AS (SELECT *, CAST(floor(hh) AS BIGINT) AS lo, least(CAST(floor(hh) AS BIGINT) + 1, n - 1) AS hi,
+                hh - floor(hh) AS frac FROM h),
+  kn AS (SELECT h2.col, h2.qi, CASE WHEN frac = 0 THEN a.v ELSE a.v + (b.v - a.v) * frac END AS q
+         FROM h2 JOIN rk a ON a.col = h2.col AND a.r = h2.lo JOIN rk b ON b.col = h2.col AND b.r = h2.hi),
+  kl AS (SELECT col, list(q ORDER BY qi) AS xp, count(*) AS m FROM kn GROUP BY col),
+  t AS (SELECT p.*, kc.xp AS xc, kc.m AS mc, kv.xp AS xv, kv.m AS mv
+        FROM p, (SELECT * FROM kl WHERE col = 'click') AS kc, (SELECT * FROM kl WHERE col = 'view') AS kv)
+  SELECT user_id, session_no, hour, {_qs_expr('click', 'xc', 'mc')} AS click,
+         {_qs_expr('view', 'xv', 'mv')} AS view FROM t""", ["click", "view"]))(_qscale)
 
 
 def _mm(spark, d):
