@@ -26,6 +26,13 @@ def _as_list(x) -> list:
     return [x] if isinstance(x, str) else list(x)
 
 
+def seeded_order(keys, seed: int = 0):
+    """Deterministic pseudo-random order key: md5 of ``key1|key2|...|seed``
+    (text form), reproducible by any engine with md5."""
+    parts = [Q_(k).cast("string") for k in _as_list(keys)] + [F.lit(str(seed))]
+    return F.md5(F.concat_ws("|", *parts))
+
+
 # ---------------------------------------------------------------- L3 / L4
 def split_counts(n: int, weights: Sequence[float]) -> list[int]:
     """Per-class sizes: train = round-half-up(n * w_train), the rest split
@@ -41,12 +48,12 @@ def stratified_split(stays: DataFrame, key, label: str, weights=(0.5, 0.25, 0.25
                      seed: int = 0, out: str = "split") -> DataFrame:
     """L3: Train / Test / Val per stay with exact per-class shares.
 
-    Order inside each class = ``xxhash64(key, seed)`` (ties by key); rank
+    Order inside each class = ``seeded_order(key, seed)`` (ties by key); rank
     computed distributed; class sizes are a two-row aggregate."""
     keys = _as_list(key)
     w_tr, w_te, w_va = weights
     x = stays.withColumn("_cls", F.coalesce(F.col(label).cast("boolean"), F.lit(False))) \
-             .withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+             .withColumn("_h", seeded_order(keys, seed))
     n = x.groupBy("_cls").agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("_ntr", F.floor(F.col("_n") * w_tr + 0.5))
     n = n.withColumn("_nte", F.floor((F.col("_n") - F.col("_ntr")) * (w_te / (w_te + w_va)) + 0.5))
@@ -173,7 +180,7 @@ def sample_ids(df: DataFrame, key, n: int, seed: int = 0, where=None) -> DataFra
     seeded hashes (a top-k; Spark plans it as a partial + final TakeOrdered)."""
     keys = _as_list(key)
     x = df.select(*keys).distinct() if where is None else df.where(where).select(*keys).distinct()
-    return x.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return x.orderBy(seeded_order(keys, seed), *keys).limit(n)
 
 
 def case_control(df: DataFrame, key, label: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
@@ -182,7 +189,7 @@ def case_control(df: DataFrame, key, label: str, ratio: float = 1.0, seed: int =
     keys = _as_list(key)
     ids = df.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(label).cast("boolean")), F.lit(False)).alias("_pos"))
     n_pos = ids.where("_pos").agg(F.count(F.lit(1)).alias("_np"))
-    neg = ids.where(~F.col("_pos")).withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    neg = ids.where(~F.col("_pos")).withColumn("_h", seeded_order(keys, seed))
     neg = group_rank(neg, None, ["_h", *keys], "_r").crossJoin(F.broadcast(n_pos))
     neg = neg.where(F.col("_r") < F.floor(F.col("_np") * ratio)).select(*keys, "_pos")
     return ids.where("_pos").unionByName(neg).withColumnRenamed("_pos", label)

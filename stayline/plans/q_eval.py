@@ -280,18 +280,21 @@ register("cohort_comparison", rounded_sql("WITH " + LABELLED_SQL + """,
 # ---------------------------------------------------------------- L3 / L4
 def _split(spark, d):
     lp = labelled_panel(spark, d).groupBy(*KEYS).agg(F.bool_or("label").alias("pos"))
-    sp = prep.stratified_split(lp, KEYS, "pos")
-    return sp.groupBy("split", "pos").agg(F.count(F.lit(1)).alias("n"))
+    return prep.stratified_split(lp, KEYS, "pos", seed=7).select(*KEYS, "pos", "split")
+
+
+def _md5(keys, seed):
+    return "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + f", '{seed}'))"
 
 
 register("stratified_split", "WITH " + LABELLED_SQL + """,
   s AS (SELECT user_id, session_no, bool_or(label) AS pos FROM lp GROUP BY ALL),
-  c AS (SELECT pos, count(*) AS n FROM s GROUP BY pos),
-  k AS (SELECT pos, n, CAST(floor(n * 0.5 + 0.5) AS BIGINT) AS ntr FROM c),
-  k2 AS (SELECT pos, n, ntr, CAST(floor((n - ntr) * 0.5 + 0.5) AS BIGINT) AS nte FROM k)
-  SELECT * FROM (SELECT 'Train' AS split, pos, ntr AS n FROM k2
-                 UNION ALL SELECT 'Test' AS split, pos, nte AS n FROM k2
-                 UNION ALL SELECT 'Val' AS split, pos, n - ntr - nte AS n FROM k2) AS z WHERE n > 0""")(_split)
+  r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no) - 1 AS rk,
+               count(*) OVER (PARTITION BY pos) AS n FROM s),
+  k AS (SELECT *, floor(n * 0.5 + 0.5) AS ntr FROM r),
+  k2 AS (SELECT *, floor((n - ntr) * 0.5 + 0.5) AS nte FROM k)
+  SELECT user_id, session_no, pos,
+         CASE WHEN rk < ntr THEN 'Train' WHEN rk < ntr + nte THEN 'Test' ELSE 'Val' END AS split FROM k2""")(_split)
 
 
 # ---------------------------------------------------------------- L5 / L6
@@ -391,7 +394,10 @@ def _sample(spark, d):
     return prep.sample_ids(stays_pos, KEYS, 20, seed=7, where=F.col("y") == 1)
 
 
-register("sample_ids")(_sample)
+register("sample_ids", "WITH " + SCORED_SQL + """,
+  sp AS (SELECT user_id, session_no, max(y) AS y FROM scored GROUP BY ALL)
+  SELECT user_id, session_no FROM sp WHERE y = 1
+  ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no LIMIT 20""")(_sample)
 
 
 def _case_control(spark, d):
@@ -399,7 +405,13 @@ def _case_control(spark, d):
     return prep.case_control(lp, KEYS, "label", ratio=1.0, seed=7)
 
 
-register("case_control")(_case_control)
+register("case_control", "WITH " + LABELLED_SQL + """,
+  ids AS (SELECT user_id, session_no, coalesce(bool_or(label), false) AS label FROM lp GROUP BY ALL),
+  np AS (SELECT count(*) AS n FROM ids WHERE label),
+  neg AS (SELECT user_id, session_no, label,
+                 row_number() OVER (ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no) - 1 AS rk FROM ids WHERE NOT label)
+  SELECT user_id, session_no, label FROM ids WHERE label
+  UNION ALL SELECT user_id, session_no, label FROM neg, np WHERE rk < floor(np.n * 1.0)""")(_case_control)
 
 
 def _baseline(spark, d):

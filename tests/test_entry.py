@@ -21,7 +21,7 @@ def test_catalogue_complete():
     q, o = E.queries(), E.oracle_sql()
     assert len(q) >= 86
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"baseline_logistic", "case_control", "sample_ids"}
+    assert set(q) - set(o) == {"baseline_logistic"}
 
 
 @pytest.fixture(scope="module")
