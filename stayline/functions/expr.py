@@ -36,9 +36,12 @@ def try_num(c) -> Column:
     return nan_to_null(col(c).try_cast("double"))
 
 
-def safe_div(a, b) -> Column:
-    """float division with pandas semantics: x/0 = +-inf, 0/0 = NULL."""
+def safe_div(a, b, inf_as_null: bool = False) -> Column:
+    """float division with pandas semantics: x/0 = +-inf, 0/0 = NULL;
+    ``inf_as_null=True`` gives NULL for every zero denominator."""
     a, b = col(a), col(b)
+    if inf_as_null:
+        return F.when(b != 0, a / b)
     return (F.when(b == 0, F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)))
              .otherwise(a / b))
 

@@ -47,3 +47,14 @@ def update_when(df: DataFrame, rules: Sequence[tuple[Column, str, object]]) -> D
 def drop_literal(df: DataFrame, label_col: str, label: str, value_col: str, value: str) -> DataFrame:
     """PF12: drop rows of one label carrying a literal value (e.g. device 'None')."""
     return df.where(~true_or_false((F.col(label_col) == label) & (F.col(value_col) == value)))
+
+
+def columns_like(df: DataFrame, text: str) -> list[str]:
+    """PF9: names of the columns containing ``text`` (schema only, no job)."""
+    return [c for c in df.columns if text in c]
+
+
+def columns_of(df: DataFrame, *types: str) -> list[str]:
+    """PF9: names of the columns whose simple type is one of ``types``
+    (e.g. ``'double'``, ``'boolean'``)."""
+    return [c for c, t in df.dtypes if t in types]

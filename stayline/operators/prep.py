@@ -137,6 +137,42 @@ def minmax_transform(df: DataFrame, cols: Sequence[str], fitted: DataFrame) -> D
     return x.withColumns(out).drop(*[f"{c}__{s}" for c in cols for s in ("min", "max")])
 
 
+def robust_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """L5 README variant: per-column median and interquartile range of the
+    Train rows (exact, distributed), one row."""
+    long = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), Q_(c).cast("double").alias("value")) for c in cols])).alias("_s")
+    ).select("_s.*")
+    from stayline.operators.quality import exact_quantiles
+    q = exact_quantiles(long, "column", "value", [0.25, 0.5, 0.75], ["q1", "med", "q3"])
+    return q.groupBy().pivot("column", list(cols)).agg(
+        F.first("med").alias("med"), F.first(F.col("q3") - F.col("q1")).alias("iqr"))
+
+
+def robust_transform(df: DataFrame, cols: Sequence[str], fitted: DataFrame) -> DataFrame:
+    """(x - median) / IQR with the one-row fit broadcast; IQR 0 scales by 1."""
+    x = df.crossJoin(F.broadcast(fitted))
+    out = {}
+    for c in cols:
+        med, iqr = F.col(f"`{c}_med`"), F.col(f"`{c}_iqr`")
+        out[c] = (Q_(c) - med) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
+    return x.withColumns(out).drop(*[f"{c}_{s}" for c in cols for s in ("med", "iqr")])
+
+
+def impute(df: DataFrame, cols: Sequence[str], keys, order: str = "hour", how: str = "ffill_zero",
+           train: DataFrame | None = None) -> DataFrame:
+    """Forward fill per stay, then 0 (reference) or the Train mean
+    (``how='mean'``, the comment's intent; one-row statistics broadcast)."""
+    from stayline.operators.windows import ffill
+    x = ffill(df, cols, keys, order)
+    if how == "mean":
+        stats = (train if train is not None else df).agg(*[F.avg(Q_(c)).alias(f"_mean_{c}") for c in cols])
+        x = x.crossJoin(F.broadcast(stats))
+        x = x.withColumns({c: F.coalesce(Q_(c), F.col(f"`_mean_{c}`")) for c in cols})
+        return x.drop(*[f"_mean_{c}" for c in cols])
+    return x.withColumns({c: F.coalesce(Q_(c), F.lit(0.0)) for c in cols})
+
+
 # ---------------------------------------------------------------- R6 / R7
 def pack_sequences(df: DataFrame, keys, order: str, cols: Sequence[str],
                    pad_to: str | None = None, out: str = "x") -> DataFrame:

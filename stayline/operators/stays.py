@@ -41,18 +41,22 @@ def day_chunk(c, days: int) -> Column:
 
 def sessionize(df: DataFrame, key, start: str, end: str, gap_hours: float = 24,
                out: str = "session_no", chunk_days: int = 7,
-               tiebreak: Sequence[str] = ()) -> DataFrame:
+               tiebreak: Sequence[str] = (), running_end: bool = False) -> DataFrame:
     """Number contiguous records per key (1, 2, ...).
 
     A new session starts at the key's first row and whenever
     ``start - previous_row.end > gap`` (the previous row in ``(start, end)``
     order, not the running maximum).  A missing previous end never splits.
+    ``running_end=True`` compares with the largest end seen so far instead
+    (a nested record then never splits a stay).
     """
     keys = _as_list(key)
     gap = F.make_dt_interval(hours=F.lit(int(gap_hours))) if float(gap_hours).is_integer() \
         else F.make_dt_interval(secs=F.lit(float(gap_hours) * 3600))
     order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()] + \
         [F.col(t).asc_nulls_last() for t in tiebreak]
+    if running_end:
+        return _sessionize_running(df, keys, start, end, gap, out, chunk_days, order)
 
     x = df.withColumn("_chunk", day_chunk(start, chunk_days))
     wl = Window.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -87,6 +91,30 @@ def sessionize(df: DataFrame, key, start: str, end: str, gap_hours: float = 24,
     return res.drop("_chunk", "_brk", "_cum", "_offset", "_first_brk")
 
 
+def _sessionize_running(df, keys, start, end, gap, out, chunk_days, order):
+    """W1 with the running maximum end: carry the max end of earlier chunks
+    first, then count breaks, then carry the break counts (three passes over
+    one-row-per-chunk summaries; rows stay partitioned by (key, chunk))."""
+    x = df.withColumn("_chunk", day_chunk(start, chunk_days))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    mx = x.groupBy(*keys, "_chunk").agg(F.max(end).alias("_cmax"), F.min(start).alias("_cmin"))
+    mx = mx.select(*keys, "_chunk", F.max("_cmax").over(wc).alias("_carry"),
+                   F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy("_chunk")).isNull().alias("_first_chunk"))
+    x = x.join(mx, on=[*keys, "_chunk"], how="inner")
+    wl = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local_max = F.max(end).over(wl.rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.greatest(local_max, F.col("_carry"))
+    first_of_key = F.col("_first_chunk") & F.lag(F.lit(1)).over(wl).isNull()
+    x = x.withColumn("_brk", F.when(first_of_key, F.lit(1)).otherwise(
+        true_or_false((F.col(start) - prev) > gap).cast("int")))
+    x = x.withColumn("_cum", F.sum("_brk").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    cnt = x.groupBy(*keys, "_chunk").agg(F.sum("_brk").alias("_n"))
+    cnt = cnt.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_offset"))
+    res = x.join(cnt, on=[*keys, "_chunk"], how="inner")
+    res = res.withColumn(out, (F.col("_offset") + F.col("_cum")).cast("bigint"))
+    return res.drop("_chunk", "_carry", "_first_chunk", "_brk", "_cum", "_offset")
+
+
 def rollup_stays(df: DataFrame, keys, start: str, end: str,
                  flag_col: str | None = None, flag_values: Sequence[str] = (),
                  start_out: str = "intime", end_out: str = "outtime") -> DataFrame:

@@ -113,3 +113,21 @@ def test_pack_unpack_roundtrip(spark):
     back = prep.unpack_sequences(padded, "id", ["a", "b"]).collect()
     assert sorted((r["id"], r["step"], r["a"], r["b"]) for r in back) == sorted(
         (i, h, a, b) for i, h, a, b in rows)
+
+
+def test_readme_variant_options(spark):
+    from stayline.functions import expr as X
+    from stayline.operators import filters
+    df = spark.createDataFrame([(1, 0, 1.0, True), (1, 1, None, False), (1, 2, 5.0, True), (2, 0, None, False)],
+                               "id int, hour int, v double, b boolean")
+    assert filters.columns_like(df, "ou") == ["hour"]
+    assert filters.columns_of(df, "double", "boolean") == ["v", "b"]
+    z = {(r["id"], r["hour"]): r["v"] for r in prep.impute(df, ["v"], "id").collect()}
+    assert z == {(1, 0): 1.0, (1, 1): 1.0, (1, 2): 5.0, (2, 0): 0.0}
+    m = {(r["id"], r["hour"]): r["v"] for r in prep.impute(df, ["v"], "id", how="mean").collect()}
+    assert m[(2, 0)] == 3.0
+    fit = prep.robust_fit(df, ["v"])
+    got = sorted(r["v"] for r in prep.robust_transform(df.where("v is not null"), ["v"], fit).collect())
+    assert got == [-1.0, 1.0]  # median 3, IQR 4 - 2
+    d = spark.createDataFrame([(1.0, 0.0)], "a double, b double")
+    assert d.select(X.safe_div("a", "b", inf_as_null=True).alias("q")).first()["q"] is None

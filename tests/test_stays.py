@@ -38,6 +38,18 @@ def test_sessionize_previous_row_not_running_max(spark):
         ("a", ts("2024-01-05 00:00:00"), ts("2024-01-06 00:00:00"), 3),
     ]
     assert _sess(spark, rows, 1) == {1: 1, 2: 1, 3: 2}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk in (1, 30):
+        out = stays.sessionize(df, "hadm_id", "intime", "outtime", 24, chunk_days=chunk, tiebreak=["rid"],
+                               running_end=True)
+        assert {r["rid"]: r["session_no"] for r in out.collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_sessionize_running_end_matches_default_on_points(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    a = stays.sessionize(ev, "user_id", "ts", "ts", 24, chunk_days=3, tiebreak=["event_id"])
+    b = stays.sessionize(ev, "user_id", "ts", "ts", 24, chunk_days=3, tiebreak=["event_id"], running_end=True)
+    assert {r["event_id"]: r["session_no"] for r in a.collect()} == {r["event_id"]: r["session_no"] for r in b.collect()}
 
 
 def test_sessionize_matches_plain_window_on_events(spark):
