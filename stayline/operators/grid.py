@@ -16,14 +16,13 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
-
-from stayline.functions.expr import floor_hour, hours, true_or_false
+from stayline.functions.expr import floor_hour, true_or_false
 
 def one_hour():
     return F.make_dt_interval(hours=F.lit(1))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
-
 from stayline.functions.expr import hours, true_or_false
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stayline.operators import evaluate as E, prep, report, windows as W
-from stayline.plans.base import (KEYS, LABELLED_SQL, LABELS, PANEL_SQL, STAYS_SQL, finish,
+from stayline.plans.base import (KEYS, LABELLED_SQL, LABELS, PANEL_SQL, finish,
                                  labelled_panel, panel, rounded_sql, sessions, stay_table, table)
 from stayline.functions import expr as X
 from stayline.plans.q_panel import SCORE_CUTS, _ff_sql, _score_case

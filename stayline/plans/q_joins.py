@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stayline.operators import codes as C, joins as J, stays
-from stayline.plans.base import KEYS, STAYS_SQL, finish, rounded_sql, stay_table, table
+from stayline.plans.base import STAYS_SQL, finish, rounded_sql, stay_table, table
 from stayline.plans.registry import register
 
 # ---------------------------------------------------------------- J1 / J2

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stayline.functions import expr as X
-from stayline.operators import filters, grid, quality as Q, report, stays
+from stayline.operators import filters, grid, quality as Q, report
 from stayline.plans.base import (KEYS, LABELS, LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish,
                                  labelled_panel, panel, rounded_sql, sessions, stay_table, table)
 from stayline.plans.registry import register

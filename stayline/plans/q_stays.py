@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions import expr as X
 from stayline.operators import filters, stays
-from stayline.plans.base import (KEYS, LABELS, SESS_SQL, STAYS_SQL, finish, rounded_sql,
+from stayline.plans.base import (KEYS, SESS_SQL, STAYS_SQL, finish, rounded_sql,
                                  sessions, stay_table, table)
 from stayline.plans.registry import register
 
