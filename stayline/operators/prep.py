@@ -195,7 +195,7 @@ def pack_sequences(df: DataFrame, keys, order: str, cols: Sequence[str],
 def pad_to_split_max(packed: DataFrame, split: str = "split", out: str = "x") -> DataFrame:
     """Pad every stay to the longest stay of its split (one small aggregate)."""
     mx = packed.groupBy(split).agg(F.max("maxsteps").alias("_pad"))
-    x = packed.join(F.broadcast(mx), on=split)
+    x = packed.join(mx, on=split)  # one row per split value; AQE broadcasts it when small
     width = F.size(F.element_at(out, 1))
     zero = F.array_repeat(F.lit(0.0), width)
     return x.withColumn(out, F.concat(F.col(out), F.array_repeat(zero, F.col("_pad") - F.col("maxsteps")))).drop("_pad")

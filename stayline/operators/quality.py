@@ -106,21 +106,26 @@ def quantile_limits(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.9
 
 def trim_outliers(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,
                   exempt: Sequence[str] = (), keep_null: bool = True,
-                  action: str = "drop", limits: DataFrame | None = None) -> DataFrame:
+                  action: str = "drop", limits: DataFrame | None = None,
+                  dictionary_groups: bool = True) -> DataFrame:
     """AG8 / AG9: drop rows outside the per-group limits.
 
     ``keep_null=True`` (AG8): rows with a NULL value are kept and rows of
     ``exempt`` groups are never touched.  ``keep_null=False`` (AG9): only rows
     with ``lo <= v <= hi`` survive.  ``action='clip'`` clips instead (the
-    README variant).  The limits table has one row per group of a label
-    dictionary, so it is broadcast.
+    README variant).  With ``dictionary_groups`` (groups are labels of a
+    bounded dictionary, the reference's case) the limits table is broadcast;
+    otherwise it is a plain join and AQE decides from its measured size.
     """
     by = _as_list(by)
     src = df
     if exempt and by:
         src = df.where(~true_or_false(F.col(by[0]).isin(list(exempt))))
     lim = limits if limits is not None else quantile_limits(src, by, c, lo, hi)
-    x = df.join(F.broadcast(lim), on=by, how="left") if by else df.crossJoin(F.broadcast(lim))
+    if not by:
+        x = df.crossJoin(F.broadcast(lim))  # one row
+    else:
+        x = df.join(F.broadcast(lim) if dictionary_groups else lim, on=by, how="left")
     v = Q_(c)
     is_exempt = true_or_false(F.col(by[0]).isin(list(exempt))) if (exempt and by) else F.lit(False)
     if action == "clip":
@@ -184,7 +189,7 @@ def histogram(df: DataFrame, c: str, bins: int = 10, by=None) -> DataFrame:
     v = Q_(c)
     x = df.where(v.isNotNull())
     stats = (x.groupBy(*by) if by else x).agg(F.min(Q_(c)).alias("_mn"), F.max(Q_(c)).alias("_mx"))
-    x = x.join(F.broadcast(stats), on=by) if by else x.crossJoin(F.broadcast(stats))
+    x = x.join(stats, on=by) if by else x.crossJoin(F.broadcast(stats))  # grouped: AQE decides
     width = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     idx = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
         F.least(F.floor((v - F.col("_mn")) / width), F.lit(bins - 1))).cast("int")

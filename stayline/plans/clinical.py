@@ -170,7 +170,7 @@ def hourly_panel(t: dict[str, DataFrame], cohort: DataFrame, ce: DataFrame, labe
             p = p.withColumn(lab, F.lit(None).cast("double"))
     bounds = p.groupBy(*ID).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
     p = p.withColumn("Hours since ICU admit", W.hours_since_start(ID))
-    p = p.join(F.broadcast(cohort.select(*ID, "admittime")), ID, "left") \
+    p = p.join(cohort.select(*ID, "admittime"), ID, "left") \
          .withColumn("Hours since admit", X.hours_between("hour", "admittime")).drop("admittime")
     p = p.withColumn("SBP", F.coalesce(V["asbp"], V["nisbp"])).withColumn("DBP", F.coalesce(V["adbp"], V["nidbp"]))
     p = p.withColumn("Shock Index", X.safe_div(V["hr"], "SBP"))
