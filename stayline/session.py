@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, app: str = "stayline",
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf["spark.driver.memory"] = os.environ.get("STAYLINE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
