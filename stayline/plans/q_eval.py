@@ -372,7 +372,7 @@ imp AS (SELECT user_id, session_no, hour, coalesce({_ff_sql('click')}, 0.0) AS c
                coalesce({_ff_sql('view')}, 0.0) AS view FROM panel)"""
 
 register("pack_sequences", "WITH " + IMPUTED_SQL + """
-  SELECT user_id, session_no, list([click, view] ORDER BY hour) AS x, count(*) AS maxsteps
+  SELECT user_id, session_no, list([click, view] ORDER BY hour) AS x, CAST(count(*) AS INTEGER) AS maxsteps
   FROM imp GROUP BY user_id, session_no""")(_pack)
 
 
