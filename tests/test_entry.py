@@ -46,3 +46,18 @@ def test_flagship_plan_has_no_single_partition_exchange(spark):
     df = E.queries()["score_horizon"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_evaluate_and_explain_compositions(spark):
+    from pyspark.sql import functions as F
+    from stayline.plans import clinical as P
+    from stayline.plans.q_eval import scored
+    s = scored(spark, SF).withColumn("split", F.when(F.col("hour") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"),
+                                                     "Train").otherwise("Test"))
+    ev = P.evaluate_scored(s)
+    assert 0.0 <= ev["auroc"].first()["auroc"] <= 1.0
+    assert ev["roc"].count() >= 2 and ev["calibration"].count() >= 1
+    ex = P.explain_scored(s, keys=["user_id", "session_no"], n=3, concepts=[("c_true", "c_pred", "relevance")],
+                          variables=[("obs", "rec", "mask")])
+    assert ex["imputation_quality"].count() == 2
+    assert ex["explanation"].select("user_id", "session_no").distinct().count() <= 3
