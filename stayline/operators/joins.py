@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.functions.expr import col as Q_
 from stayline.functions.expr import true_or_false
 from stayline.operators.stays import day_chunk
 
@@ -56,25 +57,33 @@ def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: s
     the same key with ``t_then < t_now`` (strictly earlier) carries the flag."""
     on = _as_list(on)
     flags = list(flags)
+    fcols = [f"_f_{c}" for c in flags]
+    # facts enter once, through one exchange on (key, chunk); both the row
+    # window and the per-chunk summary read it with the same columns, so the
+    # exchange is reused and the facts' own lineage runs once
+    f = facts.select(*on, F.col(t_then).alias("_t"), *[true_or_false(Q_(c)).alias(f"_f_{c}") for c in flags])
+    f = f.where(F.col("_t").isNotNull()).withColumn("_chunk", day_chunk("_t", chunk_days))
+    f = f.repartition(*on, "_chunk")
+    summ = f.groupBy(*on, "_chunk").agg(F.min("_t").alias("_tmin"), *[F.max(c).alias(f"_s_{c[3:]}") for c in fcols])
+
     p = probes.select("*", F.col(t_now).alias("_t"), F.lit(1).alias("_probe"))
-    f = facts.select(*on, F.col(t_then).alias("_t"), *[true_or_false(F.col(c)).alias(f"_f_{c}") for c in flags])
-    f = f.where(F.col("_t").isNotNull())
+    p = p.withColumn("_chunk", day_chunk("_t", chunk_days))
+    for c in fcols:
+        p = p.withColumn(c, F.lit(False))
+    fr = f
     for c in probes.columns:
         if c not in on:
-            f = f.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
-    f = f.withColumn("_probe", F.lit(0))
-    for c in flags:
-        p = p.withColumn(f"_f_{c}", F.lit(False))
-    u = p.unionByName(f).withColumn("_chunk", day_chunk("_t", chunk_days)).withColumn("_us", epoch_micros("_t"))
+            fr = fr.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
+    fr = fr.withColumn("_probe", F.lit(0))
+    u = p.unionByName(fr).withColumn("_us", epoch_micros("_t"))
 
     wl = Window.partitionBy(*on, "_chunk").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     u = u.withColumns({f"_l_{c}": F.max(F.when(F.col("_probe") == 0, F.col(f"_f_{c}"))).over(wl) for c in flags})
+    probes_only = u.where(F.col("_probe") == 1)
 
     # carry: OR of the facts of all strictly earlier chunks of the key; one
     # row per (key, chunk), so this window is bounded by the key's time span
-    summ = u.where(F.col("_probe") == 0).groupBy(*on, "_chunk").agg(
-        *[F.max(F.col(f"_f_{c}")).alias(f"_s_{c}") for c in flags]).withColumn("_isp", F.lit(0))
-    probes_only = u.where(F.col("_probe") == 1)
+    summ = summ.drop("_tmin").withColumn("_isp", F.lit(0))
     pc = probes_only.select(*on, "_chunk").distinct().withColumn("_isp", F.lit(1))
     for c in flags:
         pc = pc.withColumn(f"_s_{c}", F.lit(None).cast("boolean"))
