@@ -131,3 +131,30 @@ def test_one_hot_null_row_all_false(spark):
     df = spark.createDataFrame([("M",), (None,)], "g string")
     out = grid.one_hot(df, "g", ["F", "M"], prefix="gender").collect()
     assert [(r["gender, F"], r["gender, M"]) for r in out] == [(False, True), (False, False)]
+
+
+def test_asof_nearest_matches_pandas_merge_asof(spark):
+    import datetime as dt
+    import random
+
+    import pandas as pd
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    left = [(k, t0 + dt.timedelta(minutes=rnd.randint(0, 3000)), i) for i, k in enumerate(rnd.choices([1, 2, 3], k=400))]
+    right_t = set()
+    right = []
+    for k in (1, 2, 3):
+        for _ in range(60):
+            t = t0 + dt.timedelta(minutes=rnd.randint(0, 3000) // 30 * 30)
+            if (k, t) not in right_t:
+                right_t.add((k, t))
+                right.append((k, t, float(len(right))))
+    L = spark.createDataFrame(left, "id int, t timestamp_ntz, rid int")
+    R = spark.createDataFrame(right, "id int, t timestamp_ntz, p double")
+    got = {r["rid"]: r["p"] for r in grid.asof_nearest(L, R, "id", "t", "t", ["p"], 1, chunk_hours=2).collect()}
+    lp = pd.DataFrame(left, columns=["id", "t", "rid"]).sort_values("t")
+    rp = pd.DataFrame(right, columns=["id", "t", "p"]).sort_values("t")
+    m = pd.merge_asof(lp, rp, on="t", by="id", direction="nearest", tolerance=pd.Timedelta(1, "h"),
+                      allow_exact_matches=True)
+    exp = {int(r.rid): (None if pd.isna(r.p) else float(r.p)) for r in m.itertuples()}
+    assert got == exp

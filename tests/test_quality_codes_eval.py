@@ -131,3 +131,16 @@ def test_readme_variant_options(spark):
     assert got == [-1.0, 1.0]  # median 3, IQR 4 - 2
     d = spark.createDataFrame([(1.0, 0.0)], "a double, b double")
     assert d.select(X.safe_div("a", "b", inf_as_null=True).alias("q")).first()["q"] is None
+
+
+def test_histogram_and_qcut_match_numpy_pandas(spark):
+    import pandas as pd
+    rnd = random.Random(9)
+    vals = [round(rnd.gauss(50, 15), 2) for _ in range(2000)] + [50.0] * 300
+    df = spark.createDataFrame([(v, int(v > 60)) for v in vals], "v double, y int")
+    h = {r["bin"]: r["n"] for r in Q.histogram(df, "v", 10).collect()}
+    counts, _ = np.histogram(vals, bins=10)
+    assert [h.get(i, 0) for i in range(10)] == list(counts)
+    b = Q.quantile_bins(df, "v", 10).select("v", "bin").collect()
+    cats = pd.qcut(pd.Series([r["v"] for r in b]), 10, labels=False, duplicates="drop")
+    assert [r["bin"] for r in b] == list(cats)
