@@ -11,10 +11,11 @@ runs in two passes instead:
    bucket of the start time (time-zone free): local ``lag`` and local running
    count of breaks;
 2. a per-chunk summary (last row's end, first start, local break count; one
-   row per key and chunk, map-side combined) gets the cross-chunk carry with a
-   window over chunks, and is joined back on ``(key, chunk)``.  The large side
-   is already hash partitioned on ``(key, chunk)`` by the first window, so only
-   the summary moves.
+   row per key and chunk) gets the cross-chunk carry with a window over
+   chunks, and is joined back on ``(key, chunk)``.  The large side is already
+   hash partitioned on ``(key, chunk)`` by the first window, so only the
+   summary moves.  Column pruning makes the summary pass read only the key,
+   time and tie-break columns, so the second read of the input is narrow.
 """
 
 from __future__ import annotations
