@@ -120,8 +120,8 @@ def static_features(t: dict[str, DataFrame], cohort: DataFrame, dx_long: DataFra
 
     groups = C.group_names()
     disch = t["admissions"].select("hadm_id", "dischtime")
-    facts = dx_long.join(disch, "hadm_id").groupBy("subject_id", "hadm_id", "dischtime").agg(
-        *[F.bool_or(F.col("group") == F.lit(g)).alias(g) for g in groups])
+    facts = cut(dx_long.join(disch, "hadm_id").groupBy("subject_id", "hadm_id", "dischtime").agg(
+        *[F.bool_or(F.col("group") == F.lit(g)).alias(g) for g in groups]))  # one row per admission, read twice
     probes = cohort.select(*ID, "subject_id").join(disch, "hadm_id")
     prior = J.prior_history(probes, facts, "subject_id", "dischtime", "dischtime", groups, prefix=K.PRIOR_PREFIX)
     prior = C.prior_score(prior, C.moore_weights(), prefix=K.PRIOR_PREFIX)

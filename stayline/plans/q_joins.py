@@ -122,7 +122,12 @@ def _order_flags(spark, d):
 
 
 def _weighted(spark, d):
+    from stayline.session import cut_lineage
     o, facts = _order_flags(spark, d)
+    # the admission-level flags feed both the row window and the chunk carry:
+    # write them once (one row per order) instead of re-deriving them from
+    # the line items in every branch
+    facts = cut_lineage(facts)
     pr = J.prior_history(o, facts, "o_custkey", "o_orderdate", "o_orderdate", GROUPS, prefix="prior ")
     w = C.moore_weights()
     n = None
