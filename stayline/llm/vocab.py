@@ -10,12 +10,15 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import SparkSession
 
+from stayline.llm.ship import ship_code
+
 #: GPT-2 style split: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 SPACE, WHITE, LETTER, NUMBER, OTHER = range(5)
 
 
 def broadcast_file(spark: SparkSession, path: str):
     """The bytes of a vocabulary file as a broadcast variable."""
+    ship_code(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
