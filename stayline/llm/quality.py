@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return pd.DataFrame({"w": [ftrl(got).astype(np.float32).tobytes()]})
 
     made = (rows.mapInPandas(sparse, "h string, i binary, v binary, y int")
-            .groupBy(F.lit(0)).applyInPandas(learn, "w binary").collect())
+            .withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "w binary").collect())
     return np.frombuffer(bytes(made[0].w), np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
