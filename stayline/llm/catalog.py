@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe_codec, lang_id, near_dup, quality, sharding, token_count, topk
+from stayline.llm import bpe_codec, decontam, lang_id, near_dup, quality, sharding, token_count, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"))
@@ -72,6 +81,34 @@ WHERE rn <= 5
 """
 
 
+@query
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return out.drop("th")
+
+
+_WORDS_SQL = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+ORACLE["op7_decontam"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k + 1, k + 10), ' ') AS x, least(len(w), 10) AS n
+        FROM (SELECT item_id, w, unnest(generate_series(0, greatest(len(w) - 10, 0))) AS k FROM i WHERE len(w) > 0) AS e),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT rid, w, unnest(generate_series(0, len(w) - 1)) AS p FROM d WHERE len(w) > 0),
+cand AS (SELECT rid, p, n, array_to_string(list_slice(w, p + 1, p + n), ' ') AS x FROM pos, sizes WHERE p + n <= len(w)),
+hit AS (SELECT DISTINCT c.rid, c.p, c.n, win.item_id FROM cand c JOIN win USING (n, x)),
+cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(generate_series(p, p + n - 1)) AS q FROM hit) AS c
+        GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit) AS u GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
