@@ -95,12 +95,18 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         hit = found.join(F.broadcast(prefix), "token").where(inside)
     else:
         cand = found.select("doc_id", "th", "pos", "token").join(
-            prefix.select("wid", "token", "offset"), "token").where(start >= 0).distinct()
-        hit = cand.join(prefix.select("wid", "ww"), "wid").join(docs, ["doc_id", "th"]).where(inside)
+            prefix.select("wid", "token", "offset"), "token").where(start >= 0).drop("token").distinct()
+        hit = cand.join(prefix.select("wid", "ww"), "wid").alias("c")
+        hit = hit.join(docs.alias("d"), _same("c", "d")).select("d.*", "c.pos", "c.wid", "c.ww", "c.offset").where(inside)
     hit = hit.where(F.slice("words", start + 1, F.size("ww")) == F.col("ww"))
     return hit.select("doc_id", "th", start.alias("start"), F.size("ww").alias("size"), "wid").distinct()
 
 
+def _same(a: str, b: str) -> Column:
+    """The same row, by id (which may be null) and text."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+
+
 def _covered(spans: Column) -> Column:
     """Number of positions in the union of sorted spans (start, stop)."""
     zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("bigint").alias("n"))
@@ -119,7 +125,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc
     docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
                             words_of(F.col(text)).alias("words"))
     windows, items = windows_of(benchmark, item, item_text, span)
-    hits = cut_lineage(occurrences(docs.where("doc_id IS NOT NULL"), windows))
+    hits = cut_lineage(occurrences(docs, windows))
     covered = hits.select("doc_id", "th", F.struct("start", (F.col("start") + F.col("size")).alias("stop"))
                           .alias("s")).distinct().groupBy("doc_id", "th").agg(
         _covered(F.array_sort(F.collect_list("s"))).alias("n_hit"))
@@ -128,9 +134,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc
         F.count(F.lit(1)).alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
     out = docs.select("doc_id", "th", F.size("words").cast("bigint").alias("n_words"))
-    out = out.join(covered.join(named, ["doc_id", "th"]), ["doc_id", "th"], "left")
+    found = covered.alias("c").join(named.alias("m"), _same("c", "m")).select("c.*", "m.n_items", "m.items_sha256")
+    out = out.alias("d").join(found.alias("f"), _same("d", "f"), "left").select(
+        "d.*", "f.n_hit", "f.n_items", "f.items_sha256")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select("doc_id", "th", "n_words", n_hit.alias("n_hit"),
                       F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
                       F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
                       (n_hit > 0).alias("contaminated"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
+          item: str = "item_id", item_text: str = "text", span: int = 10) -> DataFrame:
+    """``documents`` without the rows that hold a window of the benchmark."""
+    docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
+                            words_of(F.col(text)).alias("words"))
+    windows, _ = windows_of(benchmark, item, item_text, span)
+    bad = cut_lineage(occurrences(docs, windows).select("doc_id", "th").distinct())
+    same = F.col(f"d.{key}").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("b.th"))
+    return documents.alias("d").join(bad.alias("b"), same, "left_anti")

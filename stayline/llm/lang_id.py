@@ -42,6 +42,7 @@ PIECE = 256
 SAMPLE_DOCS = 24
 SAMPLE_CHARS = 4_000
 UND = "und"
+MIN_PHRASE = 1.5
 
 
 # ---------------------------------------------------------------- symbols
@@ -217,9 +218,11 @@ def entropies(parsers: list[Parser], symbols: Alphabet, texts: list[str]) -> np.
 
 def predict(df: DataFrame, text: str, parsers: list[Parser]) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (how far the winner's entropy is below the
-    runner-up's, 0 to 1; 1 with a single language) and ``entropy``."""
+    runner-up's, 0 to 1; 1 with a single language) and ``accepted``: the text has
+    letters and the winner's phrases are ``MIN_PHRASE`` symbols long on average, which
+    a text in no learned script or language does not reach."""
     ship_code(df.sparkSession)
-    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "entropy": T.DoubleType()}
+    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "accepted": T.BooleanType()}
     keep = [f for f in df.schema.fields if f.name not in added]
     take = list(dict.fromkeys([f.name for f in keep] + [text]))
     schema = T.StructType(keep + [T.StructField(n, t) for n, t in added.items()])
@@ -229,6 +232,7 @@ def predict(df: DataFrame, text: str, parsers: list[Parser]) -> DataFrame:
         own = shipped.value
         symbols = Alphabet(own)
         names = np.array([p.lang for p in own] + [UND], object)
+        most = np.array([np.log2(max(p.size, 2)) / MIN_PHRASE for p in own] + [-1.0])
         for batch in batches:
             column = batch.column(take.index(text))
             for i, j in blocks.row_blocks(column, 1 << 21):
@@ -246,7 +250,7 @@ def predict(df: DataFrame, text: str, parsers: list[Parser]) -> DataFrame:
                 part = batch.slice(i, j - i)
                 cols = [part.column(k) for k, n in enumerate(take) if n not in added]
                 cols += [pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
-                         pa.array(first, pa.float64(), mask=und)]
+                         pa.array(first <= most[best], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return df.select(*[df[f"`{n}`"] for n in take]).mapInArrow(run, schema)

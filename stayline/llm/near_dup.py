@@ -235,3 +235,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     cid = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
                       F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
+                percent: int = 80) -> DataFrame:
+    """``docs`` with one document of every component (its smallest id, and one row
+    of an id); rows without an id stay."""
+    gone = near_duplicates(docs, key, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    left = docs.join(cut_lineage(gone.distinct()), key, "left_anti")
+    several = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    several = cut_lineage(several)
+    if several.isEmpty():
+        return left
+    return left.join(several, key, "left_anti").unionByName(left.join(several, key, "left_semi").dropDuplicates([key]))
