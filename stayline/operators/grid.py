@@ -3,9 +3,9 @@ grid (R3), interval spreading (R4), as-of attachment (J6-J8).
 
 Scale notes
 -----------
-* Raw events are repartitioned once on ``(stay, hour)``; the timestamp mean and
-  the per-hour median + pivot then run without further exchange, and a hot
-  stay is spread over its hours.
+* Raw events are combined per ``(stay, timestamp, label)`` before the first
+  exchange, which spreads a hot stay, and a hot hour, over its timestamps; only
+  the means move on to ``(stay, hour)`` for the median.
 * Everything after that is hourly data: rows per stay are bounded by the stay's
   time span (a stay of a year is 8,760 rows) whatever the event volume, so the
   panel windows partition by stay.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
 from stayline.functions.expr import floor_hour, true_or_false
+from stayline.operators.ranking import PID, POS, null_safe_join, range_numbered
 
 def one_hour():
     return F.make_dt_interval(hours=F.lit(1))
@@ -76,21 +77,25 @@ def fill_grid(wide: DataFrame, keys, hour: str = "hour") -> DataFrame:
 
 
 def hourly_grid(df: DataFrame, keys, t: str, label: str, value: str, labels: Sequence[str],
-                hour: str = "hour", first_times: Sequence[str] = ()) -> DataFrame:
+                hour: str = "hour", first_times: Sequence[str] = (), unlisted: str = "error") -> DataFrame:
     """Mean per timestamp, median per hour, contiguous hours per stay.
 
     Output: ``keys, hour, <one double column per label>``; the grid runs from
     the first to the last hour holding any value; empty hours are NULL.
     ``first_times`` adds ``<label>_first_time`` = earliest timestamp of that
     label in the hour (computed in the same aggregate, so an outcome time
-    needs no second pass over the events).
+    needs no second pass over the events).  A label outside ``labels`` stops the
+    job (``unlisted="drop"``: its rows are left out on purpose).
     """
     keys = _as_list(keys)
-    x = (df.where(F.col(value).isNotNull() & F.col(label).isin(list(labels)))
-           .select(*keys, F.col(t).alias("_t"), floor_hour(t).alias(hour),
-                   F.col(label).alias("_label"), F.col(value).cast("double").alias("_v"))
-           .repartition(*keys, hour))
-    tmean = x.groupBy(*keys, hour, "_t", "_label").agg(F.avg("_v").alias("_v"))
+    known = F.col(label).isin(list(labels))
+    x = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
+    if unlisted == "drop":
+        x = x.where(known)
+    lab = F.when(known, F.col(label)).otherwise(F.raise_error(F.concat(F.lit("unlisted label: "), F.col(label))))
+    x = x.select(*keys, F.col(t).alias("_t"), (F.col(label) if unlisted == "drop" else lab).alias("_label"),
+                 F.col(value).cast("double").alias("_v"))
+    tmean = x.groupBy(*keys, "_t", "_label").agg(F.avg("_v").alias("_v")).withColumn(hour, floor_hour("_t"))
     wide = tmean.groupBy(*keys, hour).agg(
         *[F.median(F.when(F.col("_label") == F.lit(L), F.col("_v"))).alias(L) for L in labels],
         *[F.min(F.when(F.col("_label") == F.lit(L), F.col("_t"))).alias(f"{L}_first_time") for L in first_times])
@@ -147,56 +152,49 @@ def asof_to_grid(events: DataFrame, grid_bounds: DataFrame, keys, t: str,
     return x.where(dist <= tol).drop(lo, hi)
 
 
-def _epoch_hour(c):
-    c = Q_(c) if isinstance(c, str) else c
-    d = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-    return d.cast("bigint") * 24 + F.hour(c)
-
-
 def asof_nearest(left: DataFrame, right: DataFrame, by, lt: str, rt: str,
                  payload: Sequence[str], tolerance_hours: float = 1,
-                 chunk_hours: int = 24) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """J6 general form: for each left row the nearest right row of the same
     ``by`` key within the tolerance (inclusive); exact matches allowed; a tie
     goes to the earlier right row.  Output: left columns + ``payload`` of the
     matched right row (+ ``match_t``); unmatched left rows keep NULLs.
 
-    Union + two range-frame windows (``last``/``first`` ignoring nulls).  To
-    keep a hot key out of a single task the time axis is cut into chunks of
-    ``chunk_hours >= tolerance``; right rows within the tolerance of a chunk
-    edge are copied into the neighbouring chunk, so every candidate of a left
-    row lives in the left row's chunk and the result is exact.
+    Both sides are united in (key, time) order, range-partitioned and written
+    once, so a hot key is cut into balanced pieces.  Windows per (key, piece)
+    find the nearest right row before and after inside a piece; a summary (first
+    and last right row per key and piece) carries those of other pieces.
     """
-    assert chunk_hours >= tolerance_hours
     keys = _as_list(by)
     tol_iv = F.make_dt_interval(secs=F.lit(float(tolerance_hours) * 3600))
-
-    def chunk_of(c):
-        return F.floor(_epoch_hour(c) / F.lit(chunk_hours)).cast("bigint")
-
     lcols = list(left.columns)
-    r0 = right.select(*keys, F.col(rt).alias("_rt"), *[F.col(p).alias(f"_p_{p}") for p in payload])
-    r0 = r0.where(F.col("_rt").isNotNull())
-    r0 = r0.withColumn("_chunks", F.array_distinct(F.array(
-        chunk_of(F.col("_rt") - tol_iv), chunk_of("_rt"), chunk_of(F.col("_rt") + tol_iv))))
-    r = r0.select(*keys, "_rt", *[f"_p_{p}" for p in payload], F.explode("_chunks").alias("_chunk"))
-    l = left.withColumn("_side", F.lit(0)).withColumn("_chunk", chunk_of(lt)) \
-            .withColumn("_sort_t", F.col(lt)).withColumn("_rt", F.lit(None).cast("timestamp_ntz"))
-    for p in payload:
-        l = l.withColumn(f"_p_{p}", F.lit(None).cast(right.schema[p].dataType))
-    r = r.withColumn("_side", F.lit(1)).withColumn("_sort_t", F.col("_rt"))
+    r = right.select(*keys, F.col(rt).alias("_rt"), *[Q_(p).alias(f"_p_{p}") for p in payload])
+    r = r.where(F.col("_rt").isNotNull()).withColumn("_side", F.lit(0)).withColumn("_sort_t", F.col("_rt"))
     for c in lcols:
         if c not in keys:
             r = r.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
-    u = l.unionByName(r)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_sort_t")
-    back = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    rs = F.struct(F.col("_rt").alias("t"), *[F.col(f"_p_{p}").alias(p) for p in payload])
-    rs = F.when(F.col("_side") == 1, rs)
-    u = u.withColumn("_b", F.last(rs, ignorenulls=True).over(back)) \
-         .withColumn("_f", F.first(rs, ignorenulls=True).over(fwd))
-    u = u.where(F.col("_side") == 0)
+    l = left.withColumn("_side", F.lit(1)).withColumn("_sort_t", F.col(lt)) \
+            .withColumn("_rt", F.lit(None).cast("timestamp_ntz"))
+    for p in payload:
+        l = l.withColumn(f"_p_{p}", F.lit(None).cast(right.schema[p].dataType))
+    # at one time right rows stand first, so that an exact match lies before
+    u = range_numbered(l.unionByName(r), keys, ["_sort_t", "_side"], partitions)
+    rs = F.when(F.col("_side") == 0, F.struct(F.col("_rt").alias("t"), *[F.col(f"_p_{p}").alias(p) for p in payload]))
+    u = u.withColumn("_r", rs)
+    w = Window.partitionBy(PID, *keys).orderBy(POS)
+    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summ = u.groupBy(PID, *keys).agg(
+        F.max_by(F.when(F.col("_side") == 0, F.col("_r")), F.when(F.col("_side") == 0, F.col(POS))).alias("_la"),
+        F.min_by(F.when(F.col("_side") == 0, F.col("_r")), F.when(F.col("_side") == 0, F.col(POS))).alias("_fi"))
+    c = Window.partitionBy(*keys).orderBy(PID)
+    summ = summ.select(PID, *keys,
+                       F.last("_la", ignorenulls=True).over(c.rowsBetween(Window.unboundedPreceding, -1)).alias("_cb"),
+                       F.first("_fi", ignorenulls=True).over(c.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"))
+    u = u.withColumn("_b0", F.last("_r", ignorenulls=True).over(back)) \
+         .withColumn("_f0", F.first("_r", ignorenulls=True).over(fwd))
+    u = null_safe_join(u.where(F.col("_side") == 1), summ, [PID, *keys])
+    u = u.withColumn("_b", F.coalesce("_b0", "_cb")).withColumn("_f", F.coalesce("_f0", "_cf"))
     bd = F.col(lt) - F.col("_b.t")
     fd = F.col("_f.t") - F.col(lt)
     pick_b = F.col("_b").isNotNull() & (F.col("_f").isNull() | (bd <= fd))

@@ -2,11 +2,11 @@
 (J4).
 
 Prior history never emits pairs.  "Any fact of the same subject strictly
-before now" is a running OR in time order, so probes and facts are unioned and
-one window computes it.  To keep a hot subject out of one task the time axis is
-cut into day chunks: a window per ``(subject, chunk)`` answers inside the chunk,
-a per-chunk summary (one row per subject and chunk) carries the OR of all
-earlier chunks.
+before now" is a running OR in time order.  Flags are packed into ``bigint`` words
+(one bit each); facts and probes are reduced to one row per (subject, time)
+before anything is sorted; these rows are range-partitioned on (subject, time)
+and written once, so a hot subject is cut into balanced pieces, and a summary
+(about one row per subject and piece) carries the OR of earlier pieces.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
 from stayline.functions.expr import true_or_false
-from stayline.operators.stays import day_chunk
+from stayline.operators.ranking import PID, POS, null_safe_join, range_numbered
 
 
 def _as_list(x) -> list:
@@ -51,46 +51,44 @@ def events_in_stay(events: DataFrame, stays: DataFrame, on, t: str,
                     *[F.col(f"_st_{c}").alias(c) for c in stays.columns if c not in on])
 
 
+_BITS = 60  # flags per word
+
+
 def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: str,
-                  flags: Sequence[str], prefix: str = "prior_", chunk_days: int = 30) -> DataFrame:
+                  flags: Sequence[str], prefix: str = "prior_", partitions: int | None = None) -> DataFrame:
     """For every probe row, ``prefix + flag`` is true when a fact row of
-    the same key with ``t_then < t_now`` (strictly earlier) carries the flag."""
+    the same key with ``t_then < t_now`` (strictly earlier) carries the flag.
+    A probe without a time, and facts without one, match nothing."""
     on = _as_list(on)
     flags = list(flags)
-    fcols = [f"_f_{c}" for c in flags]
-    # facts enter once, through one exchange on (key, chunk); both the row
-    # window and the per-chunk summary read it with the same columns, so the
-    # exchange is reused and the facts' own lineage runs once
-    f = facts.select(*on, F.col(t_then).alias("_t"), *[true_or_false(Q_(c)).alias(f"_f_{c}") for c in flags])
-    f = f.where(F.col("_t").isNotNull()).withColumn("_chunk", day_chunk("_t", chunk_days))
-    f = f.repartition(*on, "_chunk")
-    summ = f.groupBy(*on, "_chunk").agg(F.min("_t").alias("_tmin"), *[F.max(c).alias(f"_s_{c[3:]}") for c in fcols])
-
-    p = probes.select("*", F.col(t_now).alias("_t"), F.lit(1).alias("_probe"))
-    p = p.withColumn("_chunk", day_chunk("_t", chunk_days))
-    for c in fcols:
-        p = p.withColumn(c, F.lit(False))
-    fr = f
-    for c in probes.columns:
-        if c not in on:
-            fr = fr.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
-    fr = fr.withColumn("_probe", F.lit(0))
-    u = p.unionByName(fr).withColumn("_us", epoch_micros("_t"))
-
-    wl = Window.partitionBy(*on, "_chunk").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    u = u.withColumns({f"_l_{c}": F.max(F.when(F.col("_probe") == 0, F.col(f"_f_{c}"))).over(wl) for c in flags})
-    probes_only = u.where(F.col("_probe") == 1)
-
-    # carry: OR of the facts of all strictly earlier chunks of the key; one
-    # row per (key, chunk), so this window is bounded by the key's time span
-    summ = summ.drop("_tmin").withColumn("_isp", F.lit(0))
-    pc = probes_only.select(*on, "_chunk").distinct().withColumn("_isp", F.lit(1))
-    for c in flags:
-        pc = pc.withColumn(f"_s_{c}", F.lit(None).cast("boolean"))
-    wc = Window.partitionBy(*on).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
-    carry = summ.unionByName(pc).select(
-        *on, "_chunk", "_isp", *[F.max(f"_s_{c}").over(wc).alias(f"_c_{c}") for c in flags])
-    carry = carry.where(F.col("_isp") == 1).drop("_isp")
-    out = probes_only.join(carry, on=[*on, "_chunk"], how="left")
-    out = out.withColumns({f"{prefix}{c}": true_or_false(F.col(f"_l_{c}") | F.col(f"_c_{c}")) for c in flags})
-    return out.select(*probes.columns, *[f"{prefix}{c}" for c in flags])
+    words = [f"_w{k}" for k in range(-(-len(flags) // _BITS))]
+    packed = []
+    for k, w in enumerate(words):
+        bits = [F.when(true_or_false(Q_(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                for i, c in enumerate(flags[k * _BITS:(k + 1) * _BITS])]
+        total = bits[0]
+        for x in bits[1:]:
+            total = total + x
+        packed.append(total.alias(w))
+    f = facts.where(F.col(t_then).isNotNull()).select(*on, F.col(t_then).alias("_t"), *packed)
+    f = f.groupBy(*on, "_t").agg(*[F.bit_or(w).alias(w) for w in words]).withColumn("_probe", F.lit(False))
+    p = probes.where(F.col(t_now).isNotNull()).select(*on, F.col(t_now).alias("_t")).distinct()
+    p = p.select(*on, "_t", *[F.lit(0).cast("bigint").alias(w) for w in words], F.lit(True).alias("_probe"))
+    u = f.unionByName(p).groupBy(*on, "_t").agg(*[F.bit_or(w).alias(w) for w in words],
+                                                F.bool_or("_probe").alias("_probe"))
+    u = range_numbered(u, on, ["_t"], partitions)
+    local = Window.partitionBy(PID, *on).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*on).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    summ = u.groupBy(PID, *on).agg(*[F.bit_or(w).alias(w) for w in words])
+    summ = summ.select(PID, *on, *[F.coalesce(F.bit_or(w).over(earlier), F.lit(0)).alias(f"_c{w}") for w in words])
+    here = u.select(PID, *on, "_t", "_probe", *[F.coalesce(F.bit_or(w).over(local), F.lit(0)).alias(w) for w in words])
+    here = null_safe_join(here.where("_probe"), summ, [PID, *on])
+    here = here.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], F.col("_t").alias("_kt"),
+                       *[F.col(w).bitwiseOR(F.col(f"_c{w}")).alias(w) for w in words])
+    same = F.col(t_now) == F.col("_kt")
+    for i, c in enumerate(on):
+        same = same & Q_(c).eqNullSafe(F.col(f"_k{i}"))
+    out = probes.join(here, same, "left")
+    return out.select(*[Q_(c) for c in probes.columns], *[
+        F.coalesce(F.col(words[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS)) != 0, F.lit(False)).alias(f"{prefix}{c}")
+        for i, c in enumerate(flags)])

@@ -7,14 +7,13 @@ Exact quantiles at scale
 ``percentile`` buffers every distinct value of a group in one task; a group
 holding a third of all rows would not fit.  ``exact_quantiles`` instead
 
-1. counts rows per group (map-side combined),
-2. range-partitions the values on ``(group, value)`` and sorts inside each
-   partition - a hot group is split over many partitions by the sampled range
-   bounds,
-3. derives every row's rank inside its group from the partition id, the
-   position inside the partition and the per-partition counts (a table of
-   about one row per partition), and
-4. keeps only the rows at the ranks needed for linear interpolation.
+1. counts equal values per group (map-side combined), so that a frequent value
+   is one row,
+2. range-partitions the distinct values on ``(group, value)`` - a hot group is
+   split over many partitions by the sampled range bounds,
+3. derives the ranks that every value covers from running sums of the counts
+   (``ranking.prefix_sums``), and
+4. keeps only the values at the ranks needed for linear interpolation.
 
 The result equals linear-interpolation quantiles (``quantile_cont``, pandas
 ``quantile``) exactly; no group is ever gathered into one task.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
 from stayline.functions.expr import true_or_false
-from stayline.operators.ranking import group_rank
+from stayline.operators.ranking import null_safe_join, prefix_sums
 
 def _as_list(x) -> list:
     if x is None:
@@ -64,32 +63,34 @@ def exact_quantiles_long(df: DataFrame, by, c: str, probs: Sequence[float] | Non
     by = _as_list(by)
     x = df.where(Q_(c).isNotNull()).select(*by, Q_(c).cast("double").alias("_v"))
     x = x.where(~F.isnan("_v"))
-    counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-
-    ranked = group_rank(x, by, ["_v"], "_rank", partitions).select(*by, "_rank", "_v")
-
-    # ranks needed per group: floor and floor + 1 of (n - 1) * q
+    # a frequent value is one row with its count before anything is sorted
+    x = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    x = prefix_sums(x, ["_v"], ["_c"], by, partitions=partitions, totals="_n")
+    # a value stands at the ranks [cum - count, cum) of its group of n rows
+    n, first, stop = F.col("_c_n"), F.col("_c_cum") - F.col("_c"), F.col("_c_cum")
     if n_grid:
-        m = F.least(F.lit(n_grid).cast("bigint"), F.col("_n"))
-        tg = counts.select(*by, "_n", m.alias("_m"), F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1)).alias("_qi"))
-        step = F.when(F.col("_m") > 1, F.lit(1.0) / (F.col("_m") - 1)).otherwise(F.lit(0.0))
-        tg = tg.withColumn("_h", (F.col("_n") - 1) * (F.col("_qi") * step)).drop("_m")
+        m = F.least(F.lit(n_grid).cast("bigint"), n)
+        step = F.when(m > 1, F.lit(1.0) / (m - 1)).otherwise(F.lit(0.0))
+        per = F.greatest((n - 1) * step, F.lit(1e-300))  # ranks between two knots
+        lo = F.greatest(F.floor((first - 1) / per) - 1, F.lit(0)).cast("bigint")
+        hi = F.least(F.ceil(stop / per) + 1, m - 1).cast("bigint")
+        near = F.when(lo <= hi, F.sequence(lo, hi))  # the knots that may lie here
+        targets = F.transform(near, lambda q: F.struct(q.alias("qi"), ((n - 1) * (q * step)).alias("h")))
     else:
-        pr = F.array(*[F.lit(float(p)) for p in probs])
-        tg = counts.select(*by, "_n", F.posexplode(pr).alias("_qi", "_p"))
-        tg = tg.withColumn("_h", (F.col("_n") - 1) * F.col("_p")).drop("_p")
-    tg = tg.withColumn("_lo", F.floor("_h").cast("bigint")) \
-           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)) \
-           .withColumn("_frac", F.col("_h") - F.col("_lo"))
-    need = tg.select(*by, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank")).distinct()
-
-    picked = ranked.join(need, on=[*by, "_rank"], how="left_semi")
-    lo = picked.withColumnRenamed("_rank", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = picked.withColumnRenamed("_rank", "_hi").withColumnRenamed("_v", "_vhi")
-    val = tg.join(lo, on=[*by, "_lo"], how="left").join(hi, on=[*by, "_hi"], how="left")
-    val = val.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    val = val.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(F.col("_q")))
-    return val.select(*by, F.col("_qi").alias("qi"), F.col("_q").alias("q"))
+        targets = F.array(*[F.struct(F.lit(i).cast("bigint").alias("qi"), ((n - 1) * F.lit(float(p))).alias("h"))
+                            for i, p in enumerate(probs)])
+    lower = lambda t: F.floor(t["h"]).cast("bigint")
+    upper = lambda t: F.least(lower(t) + 1, n - 1)
+    here = lambda r: (r >= first) & (r < stop)
+    hit = F.transform(F.filter(targets, lambda t: here(lower(t)) | here(upper(t))), lambda t: F.struct(
+        t["qi"].alias("qi"), (t["h"] - lower(t)).alias("frac"), here(lower(t)).alias("is_lo"), here(upper(t)).alias("is_hi")))
+    x = x.select(*by, "_v", F.explode(hit).alias("_t"))
+    x = x.groupBy(*by, F.col("_t.qi").alias("qi")).agg(
+        F.max("_t.frac").alias("_frac"), F.max(F.when(F.col("_t.is_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_t.is_hi"), F.col("_v"))).alias("_vhi"))
+    q = F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(
+        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+    return x.select(*by, "qi", q.alias("q"))
 
 
 def quantile_limits(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,
@@ -106,16 +107,14 @@ def quantile_limits(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.9
 
 def trim_outliers(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,
                   exempt: Sequence[str] = (), keep_null: bool = True,
-                  action: str = "drop", limits: DataFrame | None = None,
-                  dictionary_groups: bool = True) -> DataFrame:
+                  action: str = "drop", limits: DataFrame | None = None) -> DataFrame:
     """AG8 / AG9: drop rows outside the per-group limits.
 
     ``keep_null=True`` (AG8): rows with a NULL value are kept and rows of
     ``exempt`` groups are never touched.  ``keep_null=False`` (AG9): only rows
     with ``lo <= v <= hi`` survive.  ``action='clip'`` clips instead (the
-    README variant).  With ``dictionary_groups`` (groups are labels of a
-    bounded dictionary, the reference's case) the limits table is broadcast;
-    otherwise it is a plain join and AQE decides from its measured size.
+    README variant).  The limits are a plain join: AQE decides from their
+    measured size whether they are broadcast.
     """
     by = _as_list(by)
     src = df
@@ -125,7 +124,7 @@ def trim_outliers(df: DataFrame, by, c: str, lo: float = 0.01, hi: float = 0.99,
     if not by:
         x = df.crossJoin(F.broadcast(lim))  # one row
     else:
-        x = df.join(F.broadcast(lim) if dictionary_groups else lim, on=by, how="left")
+        x = null_safe_join(df, lim, by, "left")
     v = Q_(c)
     is_exempt = true_or_false(F.col(by[0]).isin(list(exempt))) if (exempt and by) else F.lit(False)
     if action == "clip":
@@ -189,7 +188,7 @@ def histogram(df: DataFrame, c: str, bins: int = 10, by=None) -> DataFrame:
     v = Q_(c)
     x = df.where(v.isNotNull())
     stats = (x.groupBy(*by) if by else x).agg(F.min(Q_(c)).alias("_mn"), F.max(Q_(c)).alias("_mx"))
-    x = x.join(stats, on=by) if by else x.crossJoin(F.broadcast(stats))  # grouped: AQE decides
+    x = null_safe_join(x, stats, by) if by else x.crossJoin(F.broadcast(stats))  # grouped: AQE decides
     width = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     idx = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
         F.least(F.floor((v - F.col("_mn")) / width), F.lit(bins - 1))).cast("int")

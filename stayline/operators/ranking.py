@@ -3,10 +3,13 @@
 A window ``row_number() OVER (PARTITION BY g ORDER BY v)`` or a global
 cumulative sum puts a whole group (or the whole table) into one task.  Here the
 rows are range-partitioned on ``(g, v)`` (sampled bounds split a hot group over
-many partitions), sorted inside each partition, and numbered with
-``monotonically_increasing_id`` (partition id in the upper bits, position in
-the lower 33 bits).  A table of about one row per partition and group gives
-each partition's offset; no group is ever gathered into one task.
+many partitions), sorted inside each partition, numbered, and **written once** to
+the shared checkpoint folder.  Partition number and position are then columns of
+the written rows: everything derived from them - the per-partition counts as
+well as the rows themselves - reads the same numbers, whatever the optimizer
+prunes, reuses or re-partitions.  A table of about one row per partition and
+group gives each partition's offset; no group is ever gathered into one task.
+Groups with a NULL key are groups like any other.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
+PID, POS = "_rk_pid", "_rk_pos"
 
 
 def _as_list(x) -> list:
@@ -25,41 +31,60 @@ def _as_list(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def _numbered(df: DataFrame, by: list, order: list, partitions: int | None):
-    keys = [*by, *order]
+def range_numbered(df: DataFrame, by, order, partitions: int | None = None) -> DataFrame:
+    """``df`` in the order (by, order) with ``_rk_pid`` (partition, in order) and
+    ``_rk_pos`` (place inside the partition), written once.  Equal sort keys lie
+    in one partition."""
+    keys = [*_as_list(by), *_as_list(order)]
     rng = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    srt = rng.sortWithinPartitions(*keys).withColumn("_rk_id", F.monotonically_increasing_id())
-    return (srt.withColumn("_rk_pid", F.shiftright("_rk_id", 33))
-               .withColumn("_rk_pos", F.col("_rk_id").bitwiseAND(F.lit(_LOW33))).drop("_rk_id"))
+    num = rng.sortWithinPartitions(*keys).withColumn("_rk_id", F.monotonically_increasing_id())
+    num = num.withColumn(PID, F.shiftright("_rk_id", 33)).withColumn(
+        POS, F.col("_rk_id").bitwiseAND(F.lit(_LOW33))).drop("_rk_id")
+    return cut_lineage(num)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the left key columns stay."""
+    on = _as_list(on)
+    r = right.withColumnsRenamed({k: f"_ns_{k}" for k in on})
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`_ns_{k}`"))
+    return left.join(r, cond, how).drop(*[f"_ns_{k}" for k in on])
 
 
 def group_rank(df: DataFrame, by, order, out: str = "_rank",
                partitions: int | None = None) -> DataFrame:
     """0-based rank of each row inside its ``by`` group in ``order`` (sort
-    expressions allowed, e.g. ``F.col('v').desc()``); ties get distinct ranks."""
+    expressions allowed, e.g. ``F.col('v').desc()``); ties get distinct ranks
+    (a hash of the row orders them, so a frequent value spreads over partitions)."""
     by, order = _as_list(by), _as_list(order)
-    srt = _numbered(df, by, order, partitions)
-    part = srt.groupBy("_rk_pid", *by).agg(F.min("_rk_pos").alias("_rk_first"), F.count(F.lit(1)).alias("_rk_cnt"))
-    wp = Window.partitionBy(*by).orderBy("_rk_pid")
-    part = part.withColumn("_rk_off", F.coalesce(
-        F.sum("_rk_cnt").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_df = srt.join(part.drop("_rk_cnt"), on=["_rk_pid", *by], how="inner")
-    out_df = out_df.withColumn(out, (F.col("_rk_off") + F.col("_rk_pos") - F.col("_rk_first")).cast("bigint"))
-    return out_df.drop("_rk_pid", "_rk_pos", "_rk_first", "_rk_off")
+    cols = df.columns
+    x = df.withColumn("_rk_tie", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    srt = range_numbered(x, by, [*order, "_rk_tie"], partitions)
+    part = srt.groupBy(PID, *by).agg(F.min(POS).alias("_rk_first"), F.count(F.lit(1)).alias("_rk_cnt"))
+    wp = Window.partitionBy(*by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_rk_off", F.coalesce(F.sum("_rk_cnt").over(wp), F.lit(0)))
+    res = null_safe_join(srt, part.drop("_rk_cnt"), [PID, *by])
+    res = res.withColumn(out, (F.col("_rk_off") + F.col(POS) - F.col("_rk_first")).cast("bigint"))
+    return res.select(*[f"`{c}`" for c in cols if c != out], out)
 
 
 def prefix_sums(df: DataFrame, order, cols: Sequence[str], by=None, suffix: str = "_cum",
-                partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``cols`` in ``order`` inside ``by`` groups."""
+                partitions: int | None = None, totals: str | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` in ``order`` inside ``by`` groups; with
+    ``totals`` also the group's sum under that suffix."""
     by, order = _as_list(by), _as_list(order)
-    srt = _numbered(df, by, order, partitions)
-    part = srt.groupBy("_rk_pid", *by).agg(*[F.sum(c).alias(f"_rkt_{c}") for c in cols])
-    wp = Window.partitionBy(*by).orderBy("_rk_pid")
-    frame = wp.rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select("_rk_pid", *by, *[F.coalesce(F.sum(f"_rkt_{c}").over(frame), F.lit(0)).alias(f"_rko_{c}")
-                                      for c in cols])
-    wl = Window.partitionBy("_rk_pid", *by).orderBy("_rk_pos").rowsBetween(Window.unboundedPreceding, 0)
+    names = df.columns
+    srt = range_numbered(df, by, order, partitions)
+    part = srt.groupBy(PID, *by).agg(*[F.sum(c).alias(f"_rkt_{c}") for c in cols])
+    group = Window.partitionBy(*by)
+    frame = group.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(PID, *by, *[F.coalesce(F.sum(f"_rkt_{c}").over(frame), F.lit(0)).alias(f"_rko_{c}") for c in cols],
+                       *([F.sum(f"_rkt_{c}").over(group).alias(f"{c}{totals}") for c in cols] if totals else []))
+    wl = Window.partitionBy(PID, *by).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     loc = srt.withColumns({f"_rkl_{c}": F.sum(c).over(wl) for c in cols})
-    res = loc.join(part, on=["_rk_pid", *by], how="inner")
-    res = res.withColumns({f"{c}{suffix}": F.col(f"_rko_{c}") + F.col(f"_rkl_{c}") for c in cols})
-    return res.drop("_rk_pid", "_rk_pos", *[f"_rkl_{c}" for c in cols], *[f"_rko_{c}" for c in cols])
+    res = null_safe_join(loc, part, [PID, *by])
+    return res.select(*[f"`{c}`" for c in names],
+                      *[(F.col(f"_rko_{c}") + F.col(f"_rkl_{c}")).alias(f"{c}{suffix}") for c in cols],
+                      *([f"{c}{totals}" for c in cols] if totals else []))

@@ -4,18 +4,17 @@
 Scale notes
 -----------
 ``sessionize`` is a gap-based running count.  A plain window partitioned by
-the key puts a hot key (a third of all rows) into a single task, so the scan
-runs in two passes instead:
-
-1. rows are windowed per ``(key, chunk)`` where ``chunk`` is a fixed-width day
-   bucket of the start time (time-zone free): local ``lag`` and local running
-   count of breaks;
-2. a per-chunk summary (last row's end, first start, local break count; one
-   row per key and chunk) gets the cross-chunk carry with a window over
-   chunks, and is joined back on ``(key, chunk)``.  The large side is already
-   hash partitioned on ``(key, chunk)`` by the first window, so only the
-   summary moves.  Column pruning makes the summary pass read only the key,
-   time and tie-break columns, so the second read of the input is narrow.
+the key puts a hot key (a third of all rows) into a single task, so:
+
+1. rows are range-partitioned on ``(key, start, end, tie-break)``, numbered and
+   written once (``ranking.range_numbered``): sampled bounds cut a hot key into
+   as many partitions as its rows fill, whatever its time span;
+2. rows are windowed per ``(key, partition)``: local ``lag`` and running count of
+   breaks;
+3. a summary (last row's end, first start, break count; about one row per key
+   and partition) gets the carry with a window over partitions and is joined back.
+
+Keys may be NULL: rows without a key are a group like any other.
 """
 
 from __future__ import annotations
@@ -26,22 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import hours, least_present, true_or_false
-
-_NULL_CHUNK = 2 ** 40  # rows without start sort last (pandas NaT last)
-
+from stayline.operators.ranking import PID, POS, null_safe_join, range_numbered
 
 def _as_list(x) -> list:
     return [x] if isinstance(x, str) else list(x)
 
 
-def day_chunk(c, days: int) -> Column:
-    """Fixed-width day bucket of a timestamp_ntz, monotone and tz free."""
-    d = F.datediff(F.to_date(F.col(c)), F.lit("1970-01-01").cast("date"))
-    return F.coalesce(F.floor(d / F.lit(days)), F.lit(_NULL_CHUNK)).cast("bigint")
-
-
 def sessionize(df: DataFrame, key, start: str, end: str, gap_hours: float = 24,
-               out: str = "session_no", chunk_days: int = 7,
+               out: str = "session_no", partitions: int | None = None,
                tiebreak: Sequence[str] = (), running_end: bool = False) -> DataFrame:
     """Number contiguous records per key (1, 2, ...).
 
@@ -49,81 +40,51 @@ def sessionize(df: DataFrame, key, start: str, end: str, gap_hours: float = 24,
     ``start - previous_row.end > gap`` (the previous row in ``(start, end)``
     order, not the running maximum).  A missing previous end never splits.
     ``running_end=True`` compares with the largest end seen so far instead
-    (a nested record then never splits a stay).
+    (a nested record then never splits a stay).  Rows without a start sort last.
     """
     keys = _as_list(key)
     gap = F.make_dt_interval(hours=F.lit(int(gap_hours))) if float(gap_hours).is_integer() \
         else F.make_dt_interval(secs=F.lit(float(gap_hours) * 3600))
     order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()] + \
         [F.col(t).asc_nulls_last() for t in tiebreak]
+    x = range_numbered(df, keys, order, partitions)
+    local = Window.partitionBy(PID, *keys).orderBy(POS)
+    upto, before = (local.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    chunks = Window.partitionBy(*keys).orderBy(PID)
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    breaks = lambda prev: true_or_false((F.col(start) - prev) > gap).cast("int")
+
+    # what the rows of earlier partitions hand on: their last (or largest) end
+    ends = F.max(end) if running_end else F.max_by(F.col(end), F.col(POS))
+    carry = x.groupBy(PID, *keys).agg(ends.alias("_end"))
+    handed = F.max("_end").over(earlier) if running_end else F.lag("_end").over(chunks)
+    carry = carry.select(PID, *keys, handed.alias("_carry"), F.lag(F.lit(1)).over(chunks).isNull().alias("_first"))
+    x = null_safe_join(x, carry, [PID, *keys])
+    first_here = F.lag(F.lit(1)).over(local).isNull()
     if running_end:
-        return _sessionize_running(df, keys, start, end, gap, out, chunk_days, order)
-
-    x = df.withColumn("_chunk", day_chunk(start, chunk_days))
-    wl = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    first_in_chunk = F.lag(F.lit(1)).over(wl).isNull()
-    local_brk = F.when(~first_in_chunk,
-                       true_or_false((F.col(start) - F.lag(end).over(wl)) > gap).cast("int"))
-    x = x.withColumn("_brk", local_brk)
-    x = x.withColumn("_cum", F.coalesce(
-        F.sum("_brk").over(wl.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-
-    # last row of a chunk in (start, end nulls last, tiebreak) order
-    sort_key = F.struct(F.col(start).isNull().alias("a"), F.col(start).alias("b"),
-                        F.col(end).isNull().alias("c"), F.col(end).alias("d"),
-                        *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
-    summ = (x.groupBy(*keys, "_chunk")
-              .agg(F.max_by(F.col(end), sort_key).alias("_last_end"),
-                   F.min_by(F.col(start), sort_key).alias("_first_start"),
-                   F.coalesce(F.sum("_brk"), F.lit(0)).alias("_nbrk")))
-    wc = Window.partitionBy(*keys).orderBy("_chunk")
-    first_chunk = F.lag(F.lit(1)).over(wc).isNull()
-    summ = summ.withColumn(
-        "_first_brk",
-        F.when(first_chunk, F.lit(1)).otherwise(
-            true_or_false((F.col("_first_start") - F.lag("_last_end").over(wc)) > gap).cast("int")))
-    summ = summ.withColumn(
-        "_offset",
-        F.coalesce(F.sum(F.col("_first_brk") + F.col("_nbrk"))
-                   .over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    summ = summ.select(*keys, "_chunk", "_offset", "_first_brk")
-    res = x.join(summ, on=[*keys, "_chunk"], how="inner")
-    res = res.withColumn(out, (F.col("_offset") + F.col("_first_brk") + F.col("_cum")).cast("bigint"))
-    return res.drop("_chunk", "_brk", "_cum", "_offset", "_first_brk")
-
-
-def _sessionize_running(df, keys, start, end, gap, out, chunk_days, order):
-    """W1 with the running maximum end: carry the max end of earlier chunks
-    first, then count breaks, then carry the break counts (three passes over
-    one-row-per-chunk summaries; rows stay partitioned by (key, chunk))."""
-    x = df.withColumn("_chunk", day_chunk(start, chunk_days))
-    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    mx = x.groupBy(*keys, "_chunk").agg(F.max(end).alias("_cmax"), F.min(start).alias("_cmin"))
-    mx = mx.select(*keys, "_chunk", F.max("_cmax").over(wc).alias("_carry"),
-                   F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy("_chunk")).isNull().alias("_first_chunk"))
-    x = x.join(mx, on=[*keys, "_chunk"], how="inner")
-    wl = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local_max = F.max(end).over(wl.rowsBetween(Window.unboundedPreceding, -1))
-    prev = F.greatest(local_max, F.col("_carry"))
-    first_of_key = F.col("_first_chunk") & F.lag(F.lit(1)).over(wl).isNull()
-    x = x.withColumn("_brk", F.when(first_of_key, F.lit(1)).otherwise(
-        true_or_false((F.col(start) - prev) > gap).cast("int")))
-    x = x.withColumn("_cum", F.sum("_brk").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
-    cnt = x.groupBy(*keys, "_chunk").agg(F.sum("_brk").alias("_n"))
-    cnt = cnt.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_offset"))
-    res = x.join(cnt, on=[*keys, "_chunk"], how="inner")
+        prev = F.greatest(F.max(end).over(before), F.col("_carry"))
+    else:
+        prev = F.when(first_here, F.col("_carry")).otherwise(F.lag(end).over(local))
+    x = x.withColumn("_brk", F.when(first_here & F.col("_first"), F.lit(1)).otherwise(breaks(prev)))
+    x = x.withColumn("_cum", F.sum("_brk").over(upto))
+    n = x.groupBy(PID, *keys).agg(F.sum("_brk").alias("_n"))
+    n = n.select(PID, *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    res = null_safe_join(x, n, [PID, *keys])
     res = res.withColumn(out, (F.col("_offset") + F.col("_cum")).cast("bigint"))
-    return res.drop("_chunk", "_carry", "_first_chunk", "_brk", "_cum", "_offset")
+    return res.select(*[f"`{c}`" for c in df.columns if c != out], out)
 
 
 def rollup_stays(df: DataFrame, keys, start: str, end: str,
                  flag_col: str | None = None, flag_values: Sequence[str] = (),
-                 start_out: str = "intime", end_out: str = "outtime") -> DataFrame:
-    """AG1: min start, max end and 'visited X' flags per stay; null keys dropped."""
+                 start_out: str = "intime", end_out: str = "outtime",
+                 sums: dict[str, str] | None = None) -> DataFrame:
+    """AG1: min start, max end and 'visited X' flags per stay; null keys dropped.
+    ``sums`` adds sums of columns (output name -> column) in the same pass."""
     keys = _as_list(keys)
     aggs = [F.min(start).alias(start_out), F.max(end).alias(end_out)]
     for v in flag_values:
         aggs.append(F.coalesce(F.bool_or(F.col(flag_col) == F.lit(v)), F.lit(False)).alias(v))
+    aggs += [F.sum(c).alias(n) for n, c in (sums or {}).items()]
     cond = None
     for k in keys:
         c = F.col(k).isNotNull()

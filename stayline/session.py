@@ -48,13 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system folder and is used as
-    is.  Only when it is unset (local tests) a fresh scratch folder is created.
+    is; without it the job stops, since executors cannot share a local folder.
+    Only a session on a local master gets a fresh scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not d and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="stayline-ckpt-")
         try:

@@ -82,7 +82,7 @@ def test_asof_nearest_general(spark):
                                  "id int, t timestamp_ntz, rid int")
     right = spark.createDataFrame([(1, ts("2024-01-01 10:00:00"), 1.0), (1, ts("2024-01-01 11:00:00"), 2.0),
                                    (1, ts("2024-01-01 23:50:00"), 3.0)], "id int, t timestamp_ntz, p double")
-    out = grid.asof_nearest(left, right, "id", "t", "t", ["p"], tolerance_hours=1, chunk_hours=1)
+    out = grid.asof_nearest(left, right, "id", "t", "t", ["p"], tolerance_hours=1, partitions=3)
     got = {r["rid"]: r["p"] for r in out.collect()}
     assert got == {1: 1.0, 2: 2.0, 3: 3.0, 4: None}
 
@@ -151,7 +151,7 @@ def test_asof_nearest_matches_pandas_merge_asof(spark):
                 right.append((k, t, float(len(right))))
     L = spark.createDataFrame(left, "id int, t timestamp_ntz, rid int")
     R = spark.createDataFrame(right, "id int, t timestamp_ntz, p double")
-    got = {r["rid"]: r["p"] for r in grid.asof_nearest(L, R, "id", "t", "t", ["p"], 1, chunk_hours=2).collect()}
+    got = {r["rid"]: r["p"] for r in grid.asof_nearest(L, R, "id", "t", "t", ["p"], 1, partitions=2).collect()}
     lp = pd.DataFrame(left, columns=["id", "t", "rid"]).sort_values("t")
     rp = pd.DataFrame(right, columns=["id", "t", "p"]).sort_values("t")
     m = pd.merge_asof(lp, rp, on="t", by="id", direction="nearest", tolerance=pd.Timedelta(1, "h"),

@@ -10,9 +10,9 @@ from tests.conftest import ts
 SCHEMA = "hadm_id string, intime timestamp_ntz, outtime timestamp_ntz, rid int"
 
 
-def _sess(spark, rows, chunk_days=7):
+def _sess(spark, rows, partitions=7):
     df = spark.createDataFrame(rows, SCHEMA)
-    out = stays.sessionize(df, "hadm_id", "intime", "outtime", 24, chunk_days=chunk_days, tiebreak=["rid"])
+    out = stays.sessionize(df, "hadm_id", "intime", "outtime", 24, partitions=partitions, tiebreak=["rid"])
     return {r["rid"]: r["session_no"] for r in out.collect()}
 
 
@@ -40,22 +40,22 @@ def test_sessionize_previous_row_not_running_max(spark):
     assert _sess(spark, rows, 1) == {1: 1, 2: 1, 3: 2}
     df = spark.createDataFrame(rows, SCHEMA)
     for chunk in (1, 30):
-        out = stays.sessionize(df, "hadm_id", "intime", "outtime", 24, chunk_days=chunk, tiebreak=["rid"],
+        out = stays.sessionize(df, "hadm_id", "intime", "outtime", 24, partitions=chunk, tiebreak=["rid"],
                                running_end=True)
         assert {r["rid"]: r["session_no"] for r in out.collect()} == {1: 1, 2: 1, 3: 1}
 
 
 def test_sessionize_running_end_matches_default_on_points(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    a = stays.sessionize(ev, "user_id", "ts", "ts", 24, chunk_days=3, tiebreak=["event_id"])
-    b = stays.sessionize(ev, "user_id", "ts", "ts", 24, chunk_days=3, tiebreak=["event_id"], running_end=True)
+    a = stays.sessionize(ev, "user_id", "ts", "ts", 24, partitions=3, tiebreak=["event_id"])
+    b = stays.sessionize(ev, "user_id", "ts", "ts", 24, partitions=3, tiebreak=["event_id"], running_end=True)
     assert {r["event_id"]: r["session_no"] for r in a.collect()} == {r["event_id"]: r["session_no"] for r in b.collect()}
 
 
 def test_sessionize_matches_plain_window_on_events(spark):
     from pyspark.sql import Window
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    a = stays.sessionize(ev, "user_id", "ts", "ts", 24, chunk_days=2, tiebreak=["event_id"])
+    a = stays.sessionize(ev, "user_id", "ts", "ts", 24, partitions=2, tiebreak=["event_id"])
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     brk = F.when(F.lag("ts").over(w).isNull(), 1).when(
         (F.col("ts") - F.lag("ts").over(w)) > F.expr("INTERVAL 24 HOURS"), 1).otherwise(0)
