@@ -101,9 +101,9 @@ def consolidate(c, merges: Mapping[str, Sequence[str]]) -> Column:
 
 
 def keep_or_other(c, keep: Iterable[str], other: str = "OTHER") -> Column:
-    """keep values of a list, everything else (not null) becomes ``other``."""
+    """keep values of a list, everything else (a missing value too) becomes ``other``."""
     c = col(c)
-    return F.when(c.isin(list(keep)), c).when(c.isNotNull(), F.lit(other))
+    return F.when(c.isin(list(keep)), c).otherwise(F.lit(other))
 
 
 def regex_last_paren(c) -> Column:

@@ -23,17 +23,6 @@ from stayline.functions import constants as K
 from stayline.functions.expr import weighted_sum
 
 
-def parse_groups(text: str = K.COMORBIDITY_GROUPS) -> list[dict]:
-    """Groups with weights and raw tokens from the fixed group table."""
-    out = []
-    for line in text.strip().splitlines():
-        name, moore, vw, icd10, icd9 = line.split("|")
-        out.append({"group": name, "moore17": int(moore), "vanwalraven09": int(vw),
-                    10: [t.strip() for t in icd10.split(",") if t.strip()],
-                    9: [t.strip() for t in icd9.split(",") if t.strip()]})
-    return out
-
-
 def _clean(tok: str) -> str:
     t = tok.replace(".", "").replace(" ", "").upper()
     return t[:-1] if t.endswith("X") else t
@@ -47,28 +36,28 @@ def parse_token(tok: str) -> tuple[str, str]:
     return lo, hi
 
 
-def rule_rows(text: str = K.COMORBIDITY_GROUPS) -> list[tuple]:
+def rule_rows(groups=K.COMORBIDITY_GROUPS) -> list[tuple]:
     """(group, version, lo, hi, first_char) rows, one per first character."""
     rows = []
-    for g in parse_groups(text):
-        for ver in (10, 9):
-            for tok in g[ver]:
+    for g in groups:
+        for ver, tokens in ((10, g["icd10"]), (9, g["icd9"])):
+            for tok in tokens:
                 lo, hi = parse_token(tok)
                 for c in range(ord(lo[0]), ord(hi[0]) + 1):
                     rows.append((g["group"], ver, lo, hi, chr(c)))
     return rows
 
 
-def code_rules(spark: SparkSession, text: str = K.COMORBIDITY_GROUPS) -> DataFrame:
-    return spark.createDataFrame(rule_rows(text), "group string, version int, lo string, hi string, c1 string")
+def code_rules(spark: SparkSession, groups=K.COMORBIDITY_GROUPS) -> DataFrame:
+    return spark.createDataFrame(rule_rows(groups), "group string, version int, lo string, hi string, c1 string")
 
 
-def group_names(text: str = K.COMORBIDITY_GROUPS) -> list[str]:
-    return [g["group"] for g in parse_groups(text)]
+def group_names(groups=K.COMORBIDITY_GROUPS) -> list[str]:
+    return [g["group"] for g in groups]
 
 
-def moore_weights(text: str = K.COMORBIDITY_GROUPS) -> dict[str, int]:
-    return {g["group"]: g["moore17"] for g in parse_groups(text)}
+def moore_weights(groups=K.COMORBIDITY_GROUPS) -> dict[str, int]:
+    return {g["group"]: g["moore17"] for g in groups}
 
 
 def normalize_code(c) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import constants as K
@@ -152,8 +152,8 @@ def total_loss(primary, aux, imputation, weights=K.LOSS_WEIGHTS):
 
 
 def imputation_quality(df: DataFrame, split: str, triples: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Per split and variable: missing percent and observed-cell MSE;
-    variables ordered by the Train missing percent (S3)."""
+    """Per split and variable: missing percent and observed-cell MSE; with
+    each variable's Train figures, by which ``train_order`` (S3) sorts."""
     parts = []
     for o, r, m in triples:
         mm = F.col(m).cast("double")
@@ -162,8 +162,18 @@ def imputation_quality(df: DataFrame, split: str, triples: Sequence[tuple[str, s
     long = df.select(split, F.explode(F.array(*parts)).alias("_s")).select(split, "_s.*")
     q = long.groupBy(split, "variable").agg(((1 - F.avg("m")) * 100).alias("missing_pct"),
                                             (F.sum("e") / F.sum("m")).alias("mse"))
-    order = q.where(F.col(split) == "Train").select("variable", F.col("missing_pct").alias("_train_missing"))
-    return q.join(F.broadcast(order), on="variable", how="left")
+    order = q.where(F.col(split) == "Train").select("variable", F.col("missing_pct").alias("_train_missing"),
+                                                    F.col("mse").alias("_train_mse"))
+    return q.join(order, on="variable", how="left")
+
+
+def train_order(quality: DataFrame, split: str) -> DataFrame:
+    """S3: rows of ``imputation_quality`` in the order of the Train rows, by
+    missing percent and then MSE, ascending, with the place as ``position``."""
+    w = Window.orderBy(F.asc_nulls_last("_train_missing"), F.asc_nulls_last("_train_mse"), "variable")
+    names = quality.select("variable", "_train_missing", "_train_mse").distinct()  # a report: one row per variable
+    place = names.select("variable", F.row_number().over(w).cast("bigint").alias("position"))
+    return quality.join(place, "variable").orderBy("position", split)
 
 
 def quartiles_by_actual(df: DataFrame, actual: str, pred: str) -> DataFrame:
@@ -199,7 +209,8 @@ def reconstruction_trace(scored: DataFrame, ids: DataFrame, keys, step: str,
     """Observed vs reconstructed values (and mask) of chosen variables for
     the chosen stays, long form; keyed by the drawn stay id."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    x = scored.join(ids.select(*keys), on=keys, how="left_semi")
+    on = [c for c in ids.columns if c in scored.columns]  # with the split, if ids were drawn per split
+    x = scored.join(ids.select(*on), on=on, how="left_semi")
     parts = [F.struct(F.lit(o).alias("variable"), F.col(o).cast("double").alias("observed"),
                       F.col(r).cast("double").alias("reconstructed"), F.col(m).cast("int").alias("mask"))
              for o, r, m in variables]

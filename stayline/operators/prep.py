@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
@@ -91,32 +91,37 @@ def quantile_knots(train: DataFrame, cols: Sequence[str], n_quantiles: int = 100
     return knots
 
 
-def _interp_udf(knots: list[float]):
-    import numpy as np
-    xp = np.asarray(knots, dtype="float64")
-    m = len(xp)
-    refs = np.linspace(0.0, 1.0, m) if m > 1 else np.zeros(1)
+def _interp_udf(knots: dict[str, list[float]]):
+    """One Arrow-batched function for all columns: struct in, struct out."""
+    import pandas as pd
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in knots])
 
-    @F.pandas_udf(T.DoubleType())
-    def f(s):
-        import pandas as pd
-        x = s.to_numpy(dtype="float64", na_value=np.nan)
-        fwd = np.interp(x, xp, refs)
-        bwd = -np.interp(-x, -xp[::-1], -refs[::-1])
-        y = 0.5 * (fwd + bwd)
+    def interp(x, xp):
+        import numpy as np
+        xp = np.asarray(xp, dtype="float64")
+        m = len(xp)
+        refs = np.linspace(0.0, 1.0, m) if m > 1 else np.zeros(1)
+        y = 0.5 * (np.interp(x, xp, refs) - np.interp(-x, -xp[::-1], -refs[::-1]))
         y[x == xp[-1]] = refs[-1]
         y[x == xp[0]] = refs[0]
         y[np.isnan(x)] = np.nan
-        return pd.Series(y)
-    return f
+        return y
+
+    def f(s):
+        return pd.DataFrame({c: interp(s[c].to_numpy(dtype="float64"), k) for c, k in knots.items()})
+    f.__annotations__ = {"s": pd.DataFrame, "return": pd.DataFrame}
+    return F.pandas_udf(f, schema)
 
 
 def quantile_transform(df: DataFrame, knots: dict[str, list[float]]) -> DataFrame:
     """L5 transform: map to [0, 1] by the mean of forward and backward linear
     interpolation over the knots; values at the first/last knot -> 0/1;
-    NULL stays NULL (Arrow-batched pandas UDF, one per column)."""
+    NULL stays NULL (one Arrow-batched pandas UDF over all columns)."""
     from stayline.functions.expr import nan_to_null
-    return df.withColumns({c: nan_to_null(_interp_udf(k)(Q_(c).cast("double"))) for c, k in knots.items()})
+    if not knots:
+        return df
+    x = df.withColumn("_scaled", _interp_udf(knots)(F.struct(*[Q_(c).cast("double").alias(c) for c in knots])))
+    return x.withColumns({c: nan_to_null(F.col("_scaled")[c]) for c in knots}).drop("_scaled")
 
 
 # ---------------------------------------------------------------- L6
@@ -211,11 +216,16 @@ def unpack_sequences(packed: DataFrame, keys, cols: Sequence[str], arr: str = "x
 
 
 # ---------------------------------------------------------------- S4 / S5
-def sample_ids(df: DataFrame, key, n: int, seed: int = 0, where=None) -> DataFrame:
+def sample_ids(df: DataFrame, key, n: int, seed: int = 0, where=None, by: str | None = None) -> DataFrame:
     """N distinct ids without replacement, deterministic: the n smallest
-    seeded hashes (a top-k; Spark plans it as a partial + final TakeOrdered)."""
+    seeded hashes (a top-k; Spark plans it as a partial + final TakeOrdered).
+    ``by``: n ids of each value of that column (kept), cut before the shuffle."""
     keys = _as_list(key)
-    x = df.select(*keys).distinct() if where is None else df.where(where).select(*keys).distinct()
+    cols = keys + ([by] if by else [])
+    x = df.select(*cols).distinct() if where is None else df.where(where).select(*cols).distinct()
+    if by:
+        w = Window.partitionBy(by).orderBy(seeded_order(keys, seed), *keys)
+        return x.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
     return x.orderBy(seeded_order(keys, seed), *keys).limit(n)
 
 

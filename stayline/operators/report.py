@@ -45,30 +45,69 @@ def prevalence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AG17
-def _p_normal(z: float | None) -> float | None:
-    if z is None or math.isnan(z):
+def _log10_erfc(x: float) -> float:
+    """log10(erfc(x)) for x >= 0, by its asymptotic series where erfc itself
+    would leave the range of a double."""
+    if x < 5:
+        return math.log10(math.erfc(x))
+    y = 1 / (2 * x * x)
+    tail = 1 - y * (1 - 3 * y * (1 - 5 * y))
+    return -x * x / math.log(10) + math.log10(tail / (x * math.sqrt(math.pi)))
+
+
+def _log10_gamma_q(a: float, x: float) -> float:
+    """log10 of the upper regularised incomplete gamma function Q(a, x)."""
+    head = a * math.log(x) - x - math.lgamma(a) if x > 0 else -math.inf
+    if x <= 0:
+        return 0.0
+    if x < a + 1:  # series of P(a, x)
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-17 * abs(total):
+            k += 1
+            term *= x / k
+            total += term
+        return math.log10(max(1 - math.exp(head) * total, 1e-300))
+    tiny = 1e-300  # continued fraction of Q(a, x)
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b if abs(an * d + b) > tiny else tiny)
+        c = b + an / c if abs(b + an / c) > tiny else tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return (head + math.log(h)) / math.log(10)
+
+
+def minus_log10_p(kind: str, stat: float | None, dof: float | None) -> float | None:
+    """-log10 of the p-value: two-sided normal for ``numeric`` (large-sample t),
+    chi-square with ``dof`` degrees of freedom otherwise; finite for any finite
+    statistic."""
+    if stat is None or math.isnan(stat):
         return None
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def _p_chi2_1(x: float | None) -> float | None:
-    if x is None or math.isnan(x):
+    if kind == "numeric":
+        return -_log10_erfc(abs(stat) / math.sqrt(2.0))
+    if not dof:
         return None
-    return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
+    return -_log10_gamma_q(dof / 2.0, max(stat, 0.0) / 2.0)
 
 
 def cohort_comparison(df: DataFrame, outcome: str, numeric: Sequence[str] = (),
-                      binary: Sequence[str] = ()) -> DataFrame:
+                      binary: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
     """AG17 ("table one"): every variable by outcome group.
 
     Own definition (the reference calls an external package): numeric
     variables get n / mean / sample sd per group and Welch's t; boolean
-    variables get counts of true per group and the 2x2 chi-square statistic.
-    All statistics come from one aggregate pass (moments and counts);
-    ``minus_log10_p`` is computed on the report-sized result from a normal
-    approximation of t (``erfc(|t|/sqrt 2)``) and chi-square with one degree of
-    freedom (``erfc(sqrt(x/2))``).  Rows with a missing value of the variable
-    are left out of that variable's statistics.
+    variables get counts of true per group and the 2x2 chi-square statistic;
+    ``categorical`` variables (any number of levels) the r x c chi-square over
+    their levels with ``dof`` = (r - 1) (c - 1).  Moments and two-level counts
+    come from one aggregate pass, level counts from a second; ``with_p_values``
+    adds the p-value to the report-sized result.  Rows with a missing value of
+    the variable are left out of that variable's statistics.
     """
     y = F.col(outcome).cast("boolean")
     aggs = []
@@ -92,7 +131,8 @@ def cohort_comparison(df: DataFrame, outcome: str, numeric: Sequence[str] = (),
         t = F.when(se > 0, (m1 - m0) / se)
         parts.append(F.struct(F.lit(c).alias("variable"), F.lit("numeric").alias("kind"),
                               n1.alias("n_pos"), n0.alias("n_neg"), m1.alias("stat_pos"), m0.alias("stat_neg"),
-                              s1.alias("sd_pos"), s0.alias("sd_neg"), t.alias("test_stat")))
+                              s1.alias("sd_pos"), s0.alias("sd_neg"), F.lit(None).cast("double").alias("dof"),
+                              t.alias("test_stat")))
     for c in binary:
         n1, n0 = F.col(f"{c}__n1").cast("double"), F.col(f"{c}__n0").cast("double")
         k1, k0 = F.col(f"{c}__k1").cast("double"), F.col(f"{c}__k0").cast("double")
@@ -104,8 +144,38 @@ def cohort_comparison(df: DataFrame, outcome: str, numeric: Sequence[str] = (),
                               F.col(f"{c}__n1").alias("n_pos"), F.col(f"{c}__n0").alias("n_neg"),
                               (k1 / n1 * 100).alias("stat_pos"), (k0 / n0 * 100).alias("stat_neg"),
                               F.lit(None).cast("double").alias("sd_pos"), F.lit(None).cast("double").alias("sd_neg"),
-                              chi.alias("test_stat")))
-    return row.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*")
+                              F.lit(1.0).alias("dof"), chi.alias("test_stat")))
+    out = row.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*") if parts else None
+    if categorical:
+        cat = _categorical(df.where(F.col(outcome).isNotNull()), y, list(categorical))
+        out = cat if out is None else out.unionByName(cat)
+    return out
+
+
+def _categorical(df: DataFrame, y, variables: list[str]) -> DataFrame:
+    """r x c chi-square of every variable against the outcome, from level counts
+    (one row per variable and level after the map-side combine)."""
+    level = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("string").alias("level"))
+                                for v in variables])).alias("_l")
+    n = df.select(y.cast("int").alias("_y"), level).select("_y", "_l.*").where(F.col("level").isNotNull())
+    n = n.groupBy("variable", "level").agg(F.sum("_y").cast("double").alias("a"),
+                                           F.sum(1 - F.col("_y")).cast("double").alias("b"))
+    tot = n.groupBy("variable").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count(F.lit(1)).alias("r"))
+    n = n.join(tot, "variable")
+    both, rows = F.col("ta") + F.col("tb"), F.col("a") + F.col("b")
+
+    def term(seen, side):
+        expected = rows * F.col(side) / both
+        return F.when(expected > 0, (F.col(seen) - expected) * (F.col(seen) - expected) / expected)
+
+    columns = (F.first("ta") > 0).cast("int") + (F.first("tb") > 0).cast("int")
+    none = F.lit(None).cast("double")
+    return n.groupBy("variable").agg(
+        F.lit("categorical").alias("kind"), F.first("ta").cast("bigint").alias("n_pos"),
+        F.first("tb").cast("bigint").alias("n_neg"), none.alias("stat_pos"), none.alias("stat_neg"),
+        none.alias("sd_pos"), none.alias("sd_neg"), ((F.first("r") - 1) * (columns - 1)).cast("double").alias("dof"),
+        F.sum(term("a", "ta") + term("b", "tb")).alias("test_stat")).select(
+        "variable", "kind", "n_pos", "n_neg", "stat_pos", "stat_neg", "sd_pos", "sd_neg", "dof", "test_stat")
 
 
 def with_p_values(table: DataFrame) -> DataFrame:
@@ -115,9 +185,7 @@ def with_p_values(table: DataFrame) -> DataFrame:
     out = []
     for r in rows:
         d = r.asDict()
-        s = d.get("test_stat")
-        p = _p_normal(s) if d.get("kind") == "numeric" else _p_chi2_1(s)
-        d["minus_log10_p"] = (-math.log10(p) if p and p > 0 else (math.inf if p == 0 else None))
+        d["minus_log10_p"] = minus_log10_p(d["kind"], d["test_stat"], d["dof"])
         out.append(d)
     schema = T.StructType(table.schema.fields + [T.StructField("minus_log10_p", T.DoubleType())])
     res = table.sparkSession.createDataFrame([tuple(d[f.name] for f in schema.fields) for d in out], schema)

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayline.operators import grid, stays, windows
+from stayline.sources.tables import nan_to_null
 
 LABELS = ["click", "error", "purchase", "signup", "view"]
 KEYS = ["user_id", "session_no"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver table; NaN becomes NULL at ingest."""
+    return nan_to_null(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -61,9 +63,18 @@ sess AS (
 )"""
 
 
-def stay_table(spark: SparkSession, d: str) -> DataFrame:
-    """AG1 roll-up of the sessions: one row per stay."""
-    return stays.rollup_stays(sessions(spark, d), KEYS, "ts", "ts", "event_type", LABELS)
+def stay_table(spark: SparkSession, d: str, sess: DataFrame | None = None, sums: dict | None = None) -> DataFrame:
+    """AG1 roll-up of the sessions: one row per stay.  ``sess``: sessions that a
+    query also uses elsewhere; ``sums``: sums taken in the same pass."""
+    s = sessions(spark, d) if sess is None else sess
+    return stays.rollup_stays(s, KEYS, "ts", "ts", "event_type", LABELS, sums=sums)
+
+
+def stay_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Stays with the sum of their values (``amount``), in one roll-up."""
+    s = sessions(spark, d).withColumn("_amount", F.col("value").cast("decimal(18,2)"))
+    st = stay_table(spark, d, s, sums={"amount": "_amount"})
+    return st.withColumn("amount", F.col("amount").cast("double"))
 
 
 ST_SQL = """
@@ -78,9 +89,9 @@ STAYS_SQL = SESS_SQL + "," + ST_SQL
 
 
 # ---------------------------------------------------------------- panel
-def panel(spark: SparkSession, d: str) -> DataFrame:
+def panel(spark: SparkSession, d: str, sess: DataFrame | None = None) -> DataFrame:
     """Contiguous hourly panel of the sessions, one column per label."""
-    return grid.hourly_grid(sessions(spark, d), KEYS, "ts", "event_type", "value", LABELS)
+    return grid.hourly_grid(sessions(spark, d) if sess is None else sess, KEYS, "ts", "event_type", "value", LABELS)
 
 
 GRID_SQL = """
@@ -117,12 +128,12 @@ oc AS (SELECT user_id, session_no, min(ts) AS event_time FROM sess
        WHERE event_type = 'error' AND value IS NOT NULL GROUP BY user_id, session_no)"""
 
 
-def labelled_panel(spark: SparkSession, d: str) -> DataFrame:
+def labelled_panel(spark: SparkSession, d: str, sess: DataFrame | None = None) -> DataFrame:
     """Panel + L1 horizon label (24 h), keyed like the reference panel.
 
     The outcome time (first ``error`` observation of the stay) comes out of the
     grid aggregate and a window over the stay - no second pass over events."""
-    p = grid.hourly_grid(sessions(spark, d), KEYS, "ts", "event_type", "value", LABELS,
+    p = grid.hourly_grid(sessions(spark, d) if sess is None else sess, KEYS, "ts", "event_type", "value", LABELS,
                          first_times=["error"])
     # same partitioning and order as the panel windows, so all share one sort
     w = windows.spec(KEYS).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

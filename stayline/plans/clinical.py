@@ -20,6 +20,7 @@ from stayline.functions.expr import col as Q_
 
 from stayline.functions import constants as K
 from stayline.functions import expr as X
+from stayline.sources.tables import column_type_profile, load_bundle, save_bundle, save_report
 from stayline.operators import (codes as C, evaluate as E, filters, grid, joins as J, prep, quality as Q,
                                 report, stays as S, windows as W)
 
@@ -80,7 +81,7 @@ def add_body_size(t: dict[str, DataFrame], cohort: DataFrame) -> DataFrame:
     items = t["d_items"].select("itemid", F.when(F.col("itemid").isin(K.HEIGHT_ITEMS), F.lit("Height"))
                                 .when(F.col("itemid").isin(K.WEIGHT_ITEMS), F.lit("Weight")).alias("type"))
     items = items.where(F.col("type").isNotNull())
-    ce = filters.keep_keys(t["chartevents"], cohort.select("subject_id"), "subject_id").join(F.broadcast(items), "itemid")
+    ce = filters.keep_keys(t["chartevents"], cohort.select("subject_id"), "subject_id").join(items, "itemid")
     ce = ce.withColumn("v", X.try_num("valuenum")).where(F.col("v").isNotNull())
     ce = ce.withColumn("v", F.when(X.true_or_false(F.col("valueuom").isin("Inch", "cm")),
                                    X.height_to_m("v", "valueuom")).otherwise(F.col("v")))
@@ -102,8 +103,45 @@ def cohort_report(cohort: DataFrame) -> DataFrame:
     """AG17 report of the cohort by outcome (statistics; p on the small result)."""
     numeric = ["age", "Height (m)", "Weight (kg)", "BMI", "LOS (h)"]
     binary = [*K.CARE_UNITS, "ED admit"] + [c for c in cohort.columns if c.startswith("(Elixhauser)")]
+    categorical = ["Admission type", "Admission location", "discharge_location", "Insurance", "Ethnicity", "gender"]
     return report.with_p_values(report.cohort_comparison(cohort, DEATH, numeric,
-                                                         [b for b in binary if b in cohort.columns]))
+                                                         [b for b in binary if b in cohort.columns],
+                                                         [c for c in categorical if c in cohort.columns]))
+
+
+def body_size_histograms(cohort: DataFrame, bins: int = 10) -> DataFrame:
+    """AG14 on height, weight and BMI, long form."""
+    parts = [Q.histogram(cohort, c, bins).withColumn("variable", F.lit(c))
+             for c in ("Height (m)", "Weight (kg)", "BMI")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def prior_report(static: DataFrame, cohort: DataFrame) -> DataFrame:
+    """AG17 on the prior-history flags by outcome."""
+    flags = [c for c in static.columns if c.startswith(K.PRIOR_PREFIX) and c != K.PRIOR_SCORE]
+    x = static.select(*ID, *[Q_(c) for c in flags]).join(cohort.select(*ID, Q_(DEATH)), ID)
+    # names with brackets and commas are numbered for the aggregate
+    short = {f"f{i}": c for i, c in enumerate(flags)}
+    x = x.select(Q_(DEATH).alias("y"), *[Q_(c).alias(s) for s, c in short.items()])
+    out = report.with_p_values(report.cohort_comparison(x, "y", (), list(short)))
+    return out.withColumn("variable", X.value_map("variable", short))
+
+
+def score_report(panel: DataFrame, n_bins: int = 10) -> dict[str, DataFrame]:
+    """AG15 + E13 of every organ score: outcome by quantile bin of its raw input,
+    and AUROC / average precision of the 24 h horizon score."""
+    out = {}
+    y = panel.withColumn("_y", F.col(f"`{LABEL}`").cast("int"))
+    parts = []
+    for name, src, *_ in K.SCORES:
+        s = f"{name} Future Max {K.HORIZON_HOURS}h"
+        binned = Q.quantile_bins(y.select(Q_(src).alias("v"), "_y"), "v", n_bins)
+        out[f"bins {name}"] = Q.outcome_by_bin(binned, "_y")
+        parts.append(E.assess(y.select("_y", Q_(s).alias("s")), "_y", "s").withColumn("score", F.lit(name)))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return {**out, "scores": total}
 
 
 # ---------------------------------------------------------------- P3
@@ -133,14 +171,14 @@ def clean_measurements(t: dict[str, DataFrame], cohort: DataFrame, label_map: Da
     """Labelled chart events inside the stay window, units and devices
     fixed, per-label 1 %/99 % outliers dropped (device and code labels exempt)."""
     ce = filters.keep_keys(t["chartevents"], cohort.select("hadm_id"), "hadm_id")
-    ce = ce.join(F.broadcast(label_map), "itemid").withColumn("valuenum", X.try_num("valuenum"))
+    ce = ce.join(label_map, "itemid").withColumn("valuenum", X.try_num("valuenum"))
     ce = filters.update_when(ce, [
         (F.col("label") == "Temperature Fahrenheit", "valuenum", X.fahrenheit_to_celsius("valuenum")),
         (F.col("label") == "Temperature Fahrenheit", "label", "Temperature"),
         (F.col("label") == "Temperature Celsius", "label", "Temperature"),
     ])
     ce = filters.drop_literal(ce, "label", K.DEVICE_LABEL, "value", "None")
-    dev = F.concat(F.lit(K.DEVICE_PREFIX), X.value_map("value", K.DEVICE_MAP))
+    dev = X.value_map("value", K.DEVICE_MAP)
     ce = ce.withColumn("valuenum", F.when(F.col("label") == K.DEVICE_LABEL, F.lit(1.0)).otherwise(F.col("valuenum")))
     ce = ce.withColumn("label", F.when(F.col("label") == K.DEVICE_LABEL, dev).otherwise(F.col("label")))
     ce = ce.where(F.col("label").isNotNull())  # unmapped device text (option noted in SURVEY 7.5)
@@ -152,7 +190,7 @@ def clean_measurements(t: dict[str, DataFrame], cohort: DataFrame, label_map: Da
     ce = J.events_in_stay(ce.select("hadm_id", "charttime", "valuenum", "label"), stays_, "hadm_id", "charttime")
     exempt_rows = F.col("label").startswith(K.DEVICE_PREFIX) | F.col("label").isin(K.DNR, K.FULL_CODE)
     lim = Q.quantile_limits(ce.where(~exempt_rows), "label", "valuenum", K.OUTLIER_LO, K.OUTLIER_HI)
-    x = ce.join(F.broadcast(lim), "label", "left")
+    x = ce.join(lim, "label", "left")
     outside = X.true_or_false((F.col("valuenum") < F.col("lo_limit")) | (F.col("valuenum") > F.col("hi_limit")))
     return x.where(exempt_rows | ~outside).drop("lo_limit", "hi_limit")
 
@@ -194,15 +232,20 @@ def hourly_panel(t: dict[str, DataFrame], cohort: DataFrame, ce: DataFrame, labe
         p = W.latest_state(p, ID, K.DNR, K.FULL_CODE)
 
     # inputs spread over hours
-    ie = t["inputevents"].join(F.broadcast(t["d_items"].select("itemid", "label")), "itemid", "left")
+    ie = t["inputevents"].join(t["d_items"].select("itemid", "label"), "itemid", "left")
     ie = ie.join(cohort.select("hadm_id", *[c for c in ID if c != "hadm_id"]), "hadm_id")
     ie = ie.withColumn("hourly", grid.hourly_amount("starttime", "endtime", "totalamount"))
     slices = {lab: F.col("label") == lab for lab in K.INPUT_LABELS}
     slices.update({name: F.col("ordercategoryname") == cat for name, cat in K.INPUT_CATEGORIES.items()})
-    for name, cond in slices.items():
-        sl = Q.trim_outliers(ie.where(cond), None, "hourly", K.OUTLIER_LO, K.OUTLIER_HI, keep_null=False)
-        spread = grid.spread_intervals(sl, ID, "starttime", "endtime", "hourly", name)
-        p = grid.attach_hourly(p, spread, ID, [name], default=0.0)
+    # a row stands once under every input name it belongs to; then one trim per
+    # name, one spread, one conditional sum and one join for all of them
+    names = F.filter(F.array(*[F.when(cond, F.lit(n)) for n, cond in slices.items()]), lambda n: n.isNotNull())
+    ie = ie.select(*ID, "starttime", "endtime", "hourly", F.explode(names).alias("input"))
+    ie = Q.trim_outliers(ie, "input", "hourly", K.OUTLIER_LO, K.OUTLIER_HI, keep_null=False)
+    spread = grid.spread_intervals(ie, [*ID, "input"], "starttime", "endtime", "hourly", "amount")
+    spread = spread.groupBy(*ID, "hour").agg(*[F.sum(F.when(F.col("input") == n, F.col("amount"))).alias(n)
+                                              for n in slices])
+    p = grid.attach_hourly(p, spread, ID, list(slices), default=0.0)
 
     # urine output: limits over all patients, then the cohort, then nearest hour
     oe = t["outputevents"].where(F.col("itemid").isin(K.URINE_ITEMS))
@@ -313,7 +356,26 @@ def evaluate_scored(scored: DataFrame, y: str = "y", p: str = "y_proba", split:
     test = scored.where(F.col(split) == "Test")
     return {"roc": E.roc_points(test, y, p), "pr": E.pr_points(test, y, p),
             "auroc": E.auroc(test, y, p), "auprc": E.average_precision(test, y, p),
-            "calibration": E.calibration_bins(test, y, p)}
+            "calibration": E.calibration_bins(test, y, p), "assess": E.assess(test, y, p)}
+
+
+def losses(scored: DataFrame, concepts, variables, y: str = "y", p: str = "y_proba", step: str = "step",
+           maxsteps: str = "maxsteps", split: str = "split") -> DataFrame:
+    """E6-E9 per split: primary, auxiliary and imputation loss and their
+    weighted total."""
+    a = E.masked_log_loss(scored, y, p, step, maxsteps, [split])
+    b = E.masked_mse(scored, list(concepts), step, maxsteps, [split])
+    c = E.observed_mse(scored, list(variables), [split])
+    x = a.join(b, split).join(c, split)
+    return x.withColumn("total", E.total_loss(F.col("log_loss"), F.col("mse"), F.col("observed_mse")))
+
+
+def evaluate_packed(packed: DataFrame, keys, cols: list[str], actual: str, predicted: str,
+                    arr: str = "x") -> dict[str, DataFrame]:
+    """P10 from packed arrays (R7): valid steps, then quartiles of the predicted
+    value per actual value (AG18)."""
+    steps = prep.unpack_sequences(packed, keys, cols, arr)
+    return {"steps": steps, "quartiles": E.quartiles_by_actual(steps, actual, predicted)}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -322,15 +384,35 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def run_extraction(t: dict[str, DataFrame], label_map: DataFrame, labels: list[str]) -> dict[str, DataFrame]:
-    """P1-P8 end to end; the hourly panel is checkpointed before the windows."""
+def panel_labels(label_map: DataFrame) -> list[str]:
+    """Every column the panel can have: the labels of the (report-sized) label
+    map, units merged, with the device and code-status labels."""
+    rows = {r["label"] for r in label_map.select("label").distinct().collect()}
+    merged = {"Temperature" if x in ("Temperature Fahrenheit", "Temperature Celsius") else x for x in rows}
+    merged -= {K.DEVICE_LABEL, K.CODE_STATUS_LABEL}
+    return sorted(merged | set(K.DEVICE_MAP.values()) | {K.DNR, K.FULL_CODE})
+
+
+def run_extraction(t: dict[str, DataFrame], label_map: DataFrame, labels: list[str] | None = None,
+                   out_dir: str | None = None) -> dict[str, DataFrame]:
+    """P1-P8 end to end; the hourly panel is checkpointed before the windows.
+    ``labels`` default to everything the label map can give.  With ``out_dir`` the
+    four outputs are written as Parquet (IO4) and the reports as CSV (IO5)."""
+    labels = panel_labels(label_map) if labels is None else labels
     cohort, dx_long = build_cohort(t)
-    cohort = add_body_size(t, cohort)
-    static = static_features(t, cohort, dx_long)
+    cohort = cut(add_body_size(t, cohort))
+    static = cut(static_features(t, cohort, dx_long))
     ce = clean_measurements(t, cohort, label_map)
-    panel = hourly_panel(t, cut(cohort), ce, labels)
+    panel = hourly_panel(t, cohort, ce, labels)
     panel = cut(add_scores(add_outcome(panel, cohort)))
-    return export(static, panel)
+    bundle = export(static, panel)
+    if out_dir:
+        save_bundle(bundle, f"{out_dir}/data")
+        reports = {"cohort": cohort_report(cohort), "body_size": body_size_histograms(cohort),
+                   "prior_history": prior_report(static, cohort), **score_report(panel)}
+        for name, df in reports.items():
+            save_report(df, f"{out_dir}/reports/{name}")
+    return bundle
 
 
 def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20, seed: int = 0,
@@ -342,8 +424,7 @@ def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20,
     test = scored.where(F.col(split) == "Test")
     pos = test.groupBy(*keys).agg(F.max(F.col(y).cast("int")).alias("_y"))
     ids = prep.sample_ids(pos, keys, n, seed=seed, where=F.col("_y") == 1)
-    out = {"imputation_quality": E.imputation_quality(scored, split, list(variables)).orderBy(
-        F.desc("_train_missing"), "variable", split)}
+    out = {"imputation_quality": E.train_order(E.imputation_quality(scored, split, list(variables)), split)}
     if concepts:
         out["explanation"] = E.explanation_trace(test, ids, keys, step, list(concepts), y, p)
     if variables:
@@ -354,8 +435,19 @@ def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20,
 def run_preparation(bundle: dict[str, DataFrame], out_dir: str, n_quantiles: int = 1000,
                     seed: int = 0) -> dict[str, DataFrame]:
     """P9 + IO6: prepare and write every packed table partitioned by split."""
-    from stayline.sources.tables import save_bundle
     packed = prepare(bundle, n_quantiles, seed)
     save_bundle(packed, out_dir, partition_by=["split"])
     return packed
 
+
+def prepare_from(spark, in_dir: str, out_dir: str, n_quantiles: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
+    """P9 from files: load the extraction's bundle (IO3), report string columns
+    (IO7), cohort size (AG12) and prevalence (AG13), then prepare and write."""
+    bundle = load_bundle(spark, in_dir)
+    y = bundle["y"].withColumnRenamed(LABEL, "_y")
+    save_report(report.cohort_size(y, ID, "_y"), f"{out_dir}/reports/cohort_size")
+    save_report(report.label_prevalence(y, ID, "_y"), f"{out_dir}/reports/prevalence")
+    strings = column_type_profile(bundle["x_static"].drop("session_no"), ["hadm_id"])
+    save_report(strings, f"{out_dir}/reports/string_columns")
+    return run_preparation(bundle, f"{out_dir}/data", n_quantiles, seed)
+

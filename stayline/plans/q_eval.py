@@ -12,8 +12,15 @@ from stayline.plans.base import (KEYS, LABELLED_SQL, LABELS, PANEL_SQL, finish,
 from stayline.functions import expr as X
 from stayline.plans.q_panel import SCORE_CUTS, _ff_sql, _score_case
 from stayline.plans.registry import register
+from stayline.session import cut_lineage
 
 WS = "PARTITION BY user_id, session_no ORDER BY hour"
+N_EXPLAINED = 20  # stays of an explanation report
+N_RECONSTRUCTED = 5  # stays of each split in a reconstruction report
+
+
+def _md5(keys, seed):
+    return "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + f", '{seed}'))"
 
 
 # ---------------------------------------------------------------- scored tables
@@ -166,7 +173,8 @@ def _imp_quality(spark, d):
     s = scored(spark, d)
     s = s.withColumn("view_rec", F.coalesce(F.col("view_ff"), F.lit(0.0))) \
          .withColumn("view_mask", F.col("view_ff").isNotNull().cast("int"))
-    return finish(E.imputation_quality(s, "split", [("obs", "rec", "mask"), ("view_ff", "view_rec", "view_mask")]))
+    q = E.imputation_quality(s, "split", [("obs", "rec", "mask"), ("view_ff", "view_rec", "view_mask")])
+    return finish(E.train_order(q, "split"))
 
 
 register("imputation_quality", rounded_sql("WITH " + SCORED_SQL + """,
@@ -176,30 +184,31 @@ register("imputation_quality", rounded_sql("WITH " + SCORED_SQL + """,
            SELECT split, 'view_ff' AS variable, CAST(view_ff IS NOT NULL AS DOUBLE) AS m,
                   CAST(view_ff IS NOT NULL AS DOUBLE) * (coalesce(view_ff, 0.0) - coalesce(view_ff, 0.0))
                   * (coalesce(view_ff, 0.0) - coalesce(view_ff, 0.0)) AS e FROM scored),
-  q AS (SELECT split, variable, (1 - avg(m)) * 100 AS missing_pct, sum(e) / sum(m) AS mse FROM long GROUP BY ALL)
-  SELECT q.variable, q.split, q.missing_pct, q.mse, o.missing_pct AS _train_missing
-  FROM q LEFT JOIN (SELECT variable, missing_pct FROM q WHERE split = 'Train') o ON q.variable = o.variable""",
-    ["missing_pct", "mse", "_train_missing"]))(_imp_quality)
-
+  q AS (SELECT split, variable, (1 - avg(m)) * 100 AS missing_pct, sum(e) / sum(m) AS mse FROM long GROUP BY ALL),
+  o AS (SELECT variable, missing_pct, mse FROM q WHERE split = 'Train'),
+  n AS (SELECT v.variable, row_number() OVER (ORDER BY o.missing_pct NULLS LAST, o.mse NULLS LAST, v.variable) AS position
+        FROM (SELECT DISTINCT variable FROM q) AS v LEFT JOIN o USING (variable))
+  SELECT q.variable, q.split, q.missing_pct, q.mse, o.missing_pct AS _train_missing, o.mse AS _train_mse, n.position
+  FROM q LEFT JOIN o ON q.variable = o.variable JOIN n ON n.variable = q.variable""",
+    ["missing_pct", "mse", "_train_missing", "_train_mse"]))(_imp_quality)
 
-# ---------------------------------------------------------------- E11 / E12 (top-k stays)
-def _top_positive(s):
-    """The five stays with most positive hours (ties by key): a top-k report."""
-    g = s.groupBy(*KEYS).agg(F.sum("y").alias("_npos")).where(F.col("_npos") > 0)
-    return g.orderBy(F.desc("_npos"), *KEYS).limit(5)
 
-
-TOP_SQL = """top AS (SELECT user_id, session_no FROM (SELECT user_id, session_no, sum(y) AS npos FROM scored GROUP BY ALL)
-         WHERE npos > 0 ORDER BY npos DESC, user_id, session_no LIMIT 5)"""
+# ---------------------------------------------------------------- E11 / E12 (drawn stays)
+def _drawn(s, n: int, by: str | None = None):
+    """``n`` positive stays drawn by seeded hash (of each split with ``by``)."""
+    g = s.groupBy(*KEYS, *([by] if by else [])).agg(F.max("y").alias("y"))
+    return prep.sample_ids(g, KEYS, n, seed=7, where=F.col("y") == 1, by=by)
 
 
 def _expl(spark, d):
     s = scored(spark, d)
-    return finish(E.explanation_trace(s, _top_positive(s), KEYS, "step", [("c_true", "c_pred", "relevance")],
+    return finish(E.explanation_trace(s, _drawn(s, N_EXPLAINED), KEYS, "step", [("c_true", "c_pred", "relevance")],
                                       "y", "y_proba"))
 
 
-register("explanation_trace", rounded_sql("WITH " + SCORED_SQL + ", " + TOP_SQL + """
+register("explanation_trace", rounded_sql("WITH " + SCORED_SQL + f""",
+  top AS (SELECT user_id, session_no FROM (SELECT user_id, session_no, max(y) AS y FROM scored GROUP BY ALL)
+          WHERE y = 1 ORDER BY {_md5(KEYS, 7)}, user_id, session_no LIMIT {N_EXPLAINED})""" + """
   SELECT s.user_id, s.session_no, s.step, CAST(s.y AS DOUBLE) AS y_true, s.y_proba AS y_pred, 'c_true' AS concept,
          s.c_true AS concept_true, s.c_pred AS concept_pred, s.relevance, s.c_pred * s.relevance AS contribution
   FROM scored s JOIN top USING (user_id, session_no)""",
@@ -208,12 +217,15 @@ register("explanation_trace", rounded_sql("WITH " + SCORED_SQL + ", " + TOP_SQL
 
 def _recon(spark, d):
     s = scored(spark, d)
-    return finish(E.reconstruction_trace(s, _top_positive(s), KEYS, "step", [("obs", "rec", "mask")]))
+    return finish(E.reconstruction_trace(s, _drawn(s, N_RECONSTRUCTED, "split"), KEYS, "step", [("obs", "rec", "mask")]))
 
 
-register("reconstruction_trace", rounded_sql("WITH " + SCORED_SQL + ", " + TOP_SQL + """
+register("reconstruction_trace", rounded_sql("WITH " + SCORED_SQL + f""",
+  top AS (SELECT user_id, session_no, split FROM (SELECT user_id, session_no, split, max(y) AS y FROM scored GROUP BY ALL)
+          WHERE y = 1 QUALIFY row_number() OVER (PARTITION BY split ORDER BY {_md5(KEYS, 7)}, user_id, session_no)
+                              <= {N_RECONSTRUCTED})""" + """
   SELECT s.user_id, s.session_no, s.step, 'obs' AS variable, s.obs AS observed, s.rec AS reconstructed,
-         s.mask AS mask FROM scored s JOIN top USING (user_id, session_no)""", ["observed", "reconstructed"]))(_recon)
+         s.mask AS mask FROM scored s JOIN top USING (user_id, session_no, split)""", ["observed", "reconstructed"]))(_recon)
 
 
 # ---------------------------------------------------------------- AG21 (run-log analogue)
@@ -229,16 +241,17 @@ register("loss_percentiles", rounded_sql("""
 
 # ---------------------------------------------------------------- AG17
 def _static(spark, d):
-    st = stay_table(spark, d)
-    n = sessions(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_events"))
-    lp = labelled_panel(spark, d).groupBy(*KEYS).agg(F.bool_or("label").alias("outcome"))
-    x = st.join(n, KEYS).join(lp, KEYS)
+    sess = cut_lineage(sessions(spark, d).withColumn("_one", F.lit(1).cast("bigint")))
+    st = stay_table(spark, d, sess, sums={"n_events": "_one"})
+    lp = labelled_panel(spark, d, sess).groupBy(*KEYS).agg(F.bool_or("label").alias("outcome"))
+    x = st.join(lp, KEYS)
+    x = x.withColumn("first_weekday", F.weekday("intime").cast("string"))
     return x.withColumn("los_hours", F.timestamp_diff("MICROSECOND", "intime", "outtime") / 3.6e9)
 
 
 def _comparison(spark, d):
     return finish(report.cohort_comparison(_static(spark, d), "outcome", ["los_hours", "n_events"],
-                                           ["click", "purchase", "signup", "view"]))
+                                           ["click", "purchase", "signup", "view"], ["first_weekday"]))
 
 
 def _cmp_sql():
@@ -248,6 +261,7 @@ def _cmp_sql():
               count(CASE WHEN outcome THEN {e} END) AS n_pos, count(CASE WHEN NOT outcome THEN {e} END) AS n_neg,
               avg(CASE WHEN outcome THEN {e} END) AS stat_pos, avg(CASE WHEN NOT outcome THEN {e} END) AS stat_neg,
               stddev_samp(CASE WHEN outcome THEN {e} END) AS sd_pos, stddev_samp(CASE WHEN NOT outcome THEN {e} END) AS sd_neg,
+              CAST(NULL AS DOUBLE) AS dof,
               (avg(CASE WHEN outcome THEN {e} END) - avg(CASE WHEN NOT outcome THEN {e} END))
               / sqrt(var_samp(CASE WHEN outcome THEN {e} END) / count(CASE WHEN outcome THEN {e} END)
                    + var_samp(CASE WHEN NOT outcome THEN {e} END) / count(CASE WHEN NOT outcome THEN {e} END)) AS test_stat
@@ -255,7 +269,7 @@ def _cmp_sql():
     for c in ["click", "purchase", "signup", "view"]:
         num.append(f"""SELECT '{c}' AS variable, 'binary' AS kind, n1 AS n_pos, n0 AS n_neg,
               k1 / n1 * 100 AS stat_pos, k0 / n0 * 100 AS stat_neg, CAST(NULL AS DOUBLE) AS sd_pos,
-              CAST(NULL AS DOUBLE) AS sd_neg,
+              CAST(NULL AS DOUBLE) AS sd_neg, CAST(1 AS DOUBLE) AS dof,
               CASE WHEN (k1 + (n1 - k1)) * (k0 + (n0 - k0)) * (k1 + k0) * ((n1 - k1) + (n0 - k0)) > 0 THEN
                 (n1 + n0) * (k1 * (n0 - k0) - (n1 - k1) * k0) * (k1 * (n0 - k0) - (n1 - k1) * k0)
                 / ((k1 + (n1 - k1)) * (k0 + (n0 - k0)) * (k1 + k0) * ((n1 - k1) + (n0 - k0))) END AS test_stat
@@ -263,6 +277,16 @@ def _cmp_sql():
                            CAST(count_if(NOT outcome AND {c} IS NOT NULL) AS DOUBLE) AS n0,
                            CAST(count_if(outcome AND {c}) AS DOUBLE) AS k1,
                            CAST(count_if(NOT outcome AND {c}) AS DOUBLE) AS k0 FROM x) AS z""")
+    for c, e in [("first_weekday", "CAST(isodow(intime) - 1 AS VARCHAR)")]:
+        num.append(f"""SELECT '{c}' AS variable, 'categorical' AS kind, sum(a) AS n_pos, sum(b) AS n_neg,
+              CAST(NULL AS DOUBLE) AS stat_pos, CAST(NULL AS DOUBLE) AS stat_neg, CAST(NULL AS DOUBLE) AS sd_pos,
+              CAST(NULL AS DOUBLE) AS sd_neg,
+              CAST((count(*) - 1) * ((max(ta) > 0)::INT + (max(tb) > 0)::INT - 1) AS DOUBLE) AS dof,
+              sum((a - n * ta / (ta + tb)) * (a - n * ta / (ta + tb)) / nullif(n * ta / (ta + tb), 0)
+                  + (b - n * tb / (ta + tb)) * (b - n * tb / (ta + tb)) / nullif(n * tb / (ta + tb), 0)) AS test_stat
+              FROM (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (
+                SELECT {e} AS lev, CAST(count_if(outcome) AS DOUBLE) AS a, CAST(count_if(NOT outcome) AS DOUBLE) AS b,
+                       CAST(count(*) AS DOUBLE) AS n FROM x WHERE {e} IS NOT NULL GROUP BY 1) AS l0) AS l1""")
     return num
 
 
@@ -273,7 +297,7 @@ register("cohort_comparison", rounded_sql("WITH " + LABELLED_SQL + """,
   o AS (SELECT user_id, session_no, bool_or(label) AS outcome FROM lp GROUP BY ALL),
   x AS (SELECT st.*, o.outcome FROM st JOIN o USING (user_id, session_no))
   SELECT variable, kind, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, stat_pos, stat_neg,
-         sd_pos, sd_neg, test_stat FROM (""" + " UNION ALL ".join(_cmp_sql()) + ") AS u",
+         sd_pos, sd_neg, dof, test_stat FROM (""" + " UNION ALL ".join(_cmp_sql()) + ") AS u",
     ["stat_pos", "stat_neg", "sd_pos", "sd_neg", "test_stat"]))(_comparison)
 
 
@@ -283,10 +307,6 @@ def _split(spark, d):
     return prep.stratified_split(lp, KEYS, "pos", seed=7).select(*KEYS, "pos", "split")
 
 
-def _md5(keys, seed):
-    return "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + f", '{seed}'))"
-
-
 register("stratified_split", "WITH " + LABELLED_SQL + """,
   s AS (SELECT user_id, session_no, bool_or(label) AS pos FROM lp GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no) - 1 AS rk,
@@ -302,22 +322,31 @@ TRAIN_END = "2024-01-16"
 
 
 def _qscale(spark, d):
-    p = W.ffill(panel(spark, d), ["click", "view"], KEYS).select(*KEYS, "hour", "click", "view")
+    p = cut_lineage(W.ffill(panel(spark, d), ["click", "view"], KEYS).select(*KEYS, "hour", "click", "view"))
     train = p.where(F.col("hour") < F.lit(TRAIN_END).cast("timestamp_ntz"))
     knots = prep.quantile_knots(train, ["click", "view"], n_quantiles=1000)
     return finish(prep.quantile_transform(p, knots))
 
 
-def _qs_expr(x, xp, m):
-    r = lambda i: f"(CAST({i} AS DOUBLE) / ({m} - 1))"
-    j = f"len(list_filter({xp}, lambda e: e <= {x}))"
-    k = f"len(list_filter({xp}, lambda e: e < {x}))"
-    fwd = (f"(CASE WHEN {j} = 0 THEN 0.0 WHEN {j} >= {m} THEN 1.0 ELSE {r(f'{j} - 1')} + ({x} - {xp}[{j}]) * "
-           f"({r(j)} - {r(f'{j} - 1')}) / ({xp}[{j} + 1] - {xp}[{j}]) END)")
-    bwd = (f"(CASE WHEN {k} = 0 THEN 0.0 WHEN {k} >= {m} THEN 1.0 WHEN {xp}[{k} + 1] = {x} THEN {r(k)} "
-           f"ELSE {r(f'{k} - 1')} + ({x} - {xp}[{k}]) * ({r(k)} - {r(f'{k} - 1')}) / ({xp}[{k} + 1] - {xp}[{k}]) END)")
-    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = {xp}[1] THEN 0.0 WHEN {x} = {xp}[{m}] THEN 1.0 "
-            f"ELSE 0.5 * ({fwd} + {bwd}) END")
+def _qs_value(c):
+    """Mean of forward and backward interpolation of column ``c`` between the
+    knots found by as-of joins: f = last knot <= x, g = first knot >= x."""
+    r = lambda i: f"({i} / (m_{c} - 1.0))"
+    fwd = (f"CASE WHEN fn_{c} IS NULL THEN {r(f'fi_{c}')} ELSE {r(f'fi_{c}')} + (x - fq_{c}) * "
+           f"({r(f'(fi_{c} + 1)')} - {r(f'fi_{c}')}) / (fn_{c} - fq_{c}) END").replace("x -", f"{c} -")
+    bwd = (f"CASE WHEN gq_{c} = x THEN {r(f'gi_{c}')} ELSE {r(f'(gi_{c} - 1)')} + (x - gp_{c}) * "
+           f"({r(f'gi_{c}')} - {r(f'(gi_{c} - 1)')}) / (gq_{c} - gp_{c}) END").replace("= x", f"= {c}").replace("x -", f"{c} -")
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= lo_{c} THEN 0.0 WHEN {c} >= hi_{c} THEN 1.0 "
+            f"ELSE 0.5 * (({fwd}) + ({bwd})) END AS {c}")
+
+
+def _qs_asof(src, c):
+    """One column's knots around every value, by two as-of joins."""
+    return f"""(SELECT p.*, f.qi AS fi_{c}, f.q AS fq_{c}, f.nx AS fn_{c}, g.qi AS gi_{c}, g.q AS gq_{c}, g.pv AS gp_{c},
+      z.m AS m_{c}, z.lo AS lo_{c}, z.hi AS hi_{c}
+    FROM {src} AS p ASOF LEFT JOIN (SELECT * FROM kl WHERE col = '{c}') AS f ON p.{c} >= f.q
+    ASOF LEFT JOIN (SELECT * FROM kf WHERE col = '{c}') AS g ON p.{c} <= g.q
+    CROSS JOIN (SELECT count(*) AS m, min(q) AS lo, max(q) AS hi FROM kn WHERE col = '{c}') AS z)"""
 
 
 register("quantile_scale", rounded_sql("WITH " + PANEL_SQL + f""",
@@ -334,15 +363,16 @@ register("quantile_scale", rounded_sql("WITH " + PANEL_SQL + f""",
                 hh - floor(hh) AS frac FROM h),
   kn AS (SELECT h2.col, h2.qi, CASE WHEN frac = 0 THEN a.v ELSE a.v + (b.v - a.v) * frac END AS q
          FROM h2 JOIN rk a ON a.col = h2.col AND a.r = h2.lo JOIN rk b ON b.col = h2.col AND b.r = h2.hi),
-  kl AS (SELECT col, list(q ORDER BY qi) AS xp, count(*) AS m FROM kn GROUP BY col),
-  t AS (SELECT p.*, kc.xp AS xc, kc.m AS mc, kv.xp AS xv, kv.m AS mv
-        FROM p, (SELECT * FROM kl WHERE col = 'click') AS kc, (SELECT * FROM kl WHERE col = 'view') AS kv)
-  SELECT user_id, session_no, hour, {_qs_expr('click', 'xc', 'mc')} AS click,
-         {_qs_expr('view', 'xv', 'mv')} AS view FROM t""", ["click", "view"]))(_qscale)
+  kw AS (SELECT col, qi, q, lead(q) OVER (PARTITION BY col ORDER BY qi) AS nx,
+                lag(q) OVER (PARTITION BY col ORDER BY qi) AS pv FROM kn),
+  kl AS (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY col, q ORDER BY qi DESC) = 1),
+  kf AS (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY col, q ORDER BY qi) = 1)
+  SELECT user_id, session_no, hour, {_qs_value('click')}, {_qs_value('view')}
+  FROM {_qs_asof(_qs_asof('p', 'click'), 'view')} AS t""", ["click", "view"]))(_qscale)
 
 
 def _mm(spark, d):
-    s = scored(spark, d).select(*KEYS, "hour", "score", "score_roll24", "split")
+    s = cut_lineage(scored(spark, d).select(*KEYS, "hour", "score", "score_roll24", "split"))  # fit and transform
     fit = prep.minmax_fit(s.where(F.col("split") == "Train"), ["score", "score_roll24"])
     return finish(prep.minmax_transform(s, ["score", "score_roll24"], fit).drop("split"))
 
@@ -402,7 +432,7 @@ register("sample_ids", "WITH " + SCORED_SQL + """,
 
 def _case_control(spark, d):
     lp = labelled_panel(spark, d).select(*KEYS, "label")
-    return prep.case_control(lp, KEYS, "label", ratio=1.0, seed=7)
+    return prep.case_control(lp, KEYS, "label", ratio=0.2, seed=7)
 
 
 register("case_control", "WITH " + LABELLED_SQL + """,
@@ -411,7 +441,7 @@ register("case_control", "WITH " + LABELLED_SQL + """,
   neg AS (SELECT user_id, session_no, label,
                  row_number() OVER (ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no) - 1 AS rk FROM ids WHERE NOT label)
   SELECT user_id, session_no, label FROM ids WHERE label
-  UNION ALL SELECT user_id, session_no, label FROM neg, np WHERE rk < floor(np.n * 1.0)""")(_case_control)
+  UNION ALL SELECT user_id, session_no, label FROM neg, np WHERE rk < floor(np.n * 0.2)""")(_case_control)
 
 
 def _baseline(spark, d):
@@ -422,3 +452,73 @@ def _baseline(spark, d):
 
 
 register("baseline_logistic")(_baseline)
+
+
+def _baseline_check(spark, d):
+    """L9 in figures that SQL can check: per feature the Train rows, mean and
+    standard deviation of the mean-imputed values, and whether the fitted model
+    meets its score equation (mean of (y - p) * standardised x is zero on Train)."""
+    feats = ["view_ff", "score_roll24", "relevance"]
+    s = cut_lineage(scored(spark, d).select(*KEYS, "hour", "split", "y", *feats))
+    train = s.where(F.col("split") == "Train")
+    out = prep.baseline_logistic(train, train, feats, "y", max_iter=200)
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in feats])
+    x = out.crossJoin(F.broadcast(stats))  # one row
+    x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"m_{c}")) for c in feats})
+    aggs = []
+    for c in feats:
+        aggs += [F.avg(c).alias(f"a_{c}"), F.stddev_samp(c).alias(f"s_{c}"),
+                 (F.covar_pop(c, F.col("y") - F.col("proba")) / F.stddev_pop(c)).alias(f"g_{c}")]
+    row = x.agg(F.count(F.lit(1)).alias("n_train"), F.avg(F.col("y") - F.col("proba")).alias("bias"), *aggs)
+    return finish(row.select("n_train", (F.abs("bias") < 1e-4).alias("centred"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"a_{c}").alias("mean"), F.col(f"s_{c}").alias("std"),
+                 (F.abs(F.col(f"g_{c}")) < 1e-4).alias("balanced")) for c in feats])).alias("_s"))
+                  .select("n_train", "centred", "_s.*"))
+
+
+register("baseline_check", rounded_sql("WITH " + SCORED_SQL + """,
+  tr AS (SELECT view_ff, score_roll24, relevance FROM scored WHERE split = 'Train'),
+  m AS (SELECT avg(view_ff) AS a, avg(score_roll24) AS b, avg(relevance) AS c FROM tr),
+  fi AS (SELECT coalesce(view_ff, a) AS view_ff, coalesce(score_roll24, b) AS score_roll24,
+               coalesce(relevance, c) AS relevance FROM tr, m)
+  """ + " UNION ALL ".join(f"""SELECT count(*) AS n_train, true AS centred, '{c}' AS feature, avg({c}) AS mean,
+         stddev_samp({c}) AS std, true AS balanced FROM fi""" for c in ("view_ff", "score_roll24", "relevance")),
+    ["mean", "std"]))(_baseline_check)
+
+
+def _total_loss(spark, d):
+    from stayline.plans.clinical import losses
+    s = cut_lineage(scored(spark, d))
+    return finish(losses(s, [("c_true", "c_pred"), ("relevance", "c_pred")], [("obs", "rec", "mask")]))
+
+
+register("total_loss", rounded_sql("WITH " + SCORED_SQL + """,
+  l AS (SELECT split, avg(-(y * greatest(CASE WHEN y_proba > 0 THEN ln(y_proba) ELSE -100.0 END, -100.0)
+                  + (1 - y) * greatest(CASE WHEN y_proba < 1 THEN ln(1 - y_proba) ELSE -100.0 END, -100.0))) AS log_loss,
+               count(*) AS n_steps,
+               sum((c_true - c_pred) * (c_true - c_pred) + (relevance - c_pred) * (relevance - c_pred))
+                 / (count(*) * 2) AS mse
+        FROM scored WHERE step < maxsteps GROUP BY split),
+  o AS (SELECT split, sum(mask * (coalesce(obs, 0.0) - rec) * (coalesce(obs, 0.0) - rec)) / sum(mask) AS observed_mse
+        FROM scored GROUP BY split)
+  SELECT l.split, log_loss, n_steps, mse, observed_mse, log_loss + mse + 0.1 * observed_mse AS total
+  FROM l JOIN o USING (split)""", ["log_loss", "mse", "observed_mse", "total"]))(_total_loss)
+
+
+def _apply_split(spark, d):
+    lp = cut_lineage(labelled_panel(spark, d).select(*KEYS, "hour", "label"))
+    ids = prep.stratified_split(lp.groupBy(*KEYS).agg(F.bool_or("label").alias("pos")), KEYS, "pos", seed=7)
+    return prep.apply_split(lp, ids, KEYS).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_steps"), F.count_distinct(*KEYS).alias("n_stays"),
+        F.count_if("label").alias("n_positive"))
+
+
+register("apply_split", "WITH " + LABELLED_SQL + """,
+  s AS (SELECT user_id, session_no, bool_or(label) AS pos FROM lp GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY """ + _md5(KEYS, 7) + """, user_id, session_no) - 1 AS rk,
+               count(*) OVER (PARTITION BY pos) AS n FROM s),
+  k AS (SELECT *, floor(n * 0.5 + 0.5) AS ntr FROM r),
+  i AS (SELECT user_id, session_no, CASE WHEN rk < ntr THEN 'Train'
+               WHEN rk < ntr + floor((n - ntr) * 0.5 + 0.5) THEN 'Test' ELSE 'Val' END AS split FROM k)
+  SELECT split, count(*) AS n_steps, count(DISTINCT (lp.user_id, lp.session_no)) AS n_stays,
+         CAST(count_if(label) AS BIGINT) AS n_positive FROM lp JOIN i USING (user_id, session_no) GROUP BY split""")(_apply_split)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from stayline.functions import expr as X
 from stayline.operators import grid, stays, windows as W
 from stayline.plans.base import (KEYS, LABELS, LABELLED_SQL, PANEL_SQL, PANEL_STAYS_SQL, SESS_SQL, STAYS_SQL,
-                                 finish, labelled_panel, panel, rounded_sql, sessions,
+                                 finish, labelled_panel, stay_amounts, panel, rounded_sql, sessions,
                                  stay_table)
 from stayline.plans.registry import register
+from stayline.session import cut_lineage
 
 WS = "PARTITION BY user_id, session_no ORDER BY hour"
 ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -299,8 +300,8 @@ register("fill_global_median", rounded_sql("WITH " + PANEL_SQL + f""",
 
 
 # ---------------------------------------------------------------- J6 + J7 + W9
-def _first_stays(spark, d):
-    st = stay_table(spark, d).where(stays.length_between("intime", "outtime", 48, 24 * 14))
+def _first_stays(spark, d, sess=None):
+    st = stay_table(spark, d, sess).where(stays.length_between("intime", "outtime", 48, 24 * 14))
     return stays.first_per_key(st, "user_id", ["intime"], ["session_no"]).select(*KEYS)
 
 
@@ -314,7 +315,10 @@ def _rolling_mean(spark, d):
     """Urine-output analogue: every ``error`` event of a user is attached to the
     nearest hour of the user's cohort stay grid (1 h tolerance), summed per
     hour, re-indexed to the grid, 24-row trailing mean, missing -> 0."""
-    p = panel(spark, d).join(_first_stays(spark, d), on=KEYS, how="left_semi").select(*KEYS, "hour")
+    sess = cut_lineage(sessions(spark, d))
+    # the cohort's hours give the bounds and take the series: written once
+    p = cut_lineage(panel(spark, d, sess).join(_first_stays(spark, d, sess), on=KEYS, how="left_semi")
+                    .select(*KEYS, "hour"))
     bounds = p.groupBy(*KEYS).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
     from stayline.plans.base import table
     ev = table(spark, d, "events").where(F.col("event_type") == "error").select("user_id", "ts", "value")
@@ -361,10 +365,7 @@ register("asof_nearest", rounded_sql("""
 
 # ---------------------------------------------------------------- R4
 def _spread(spark, d):
-    st = stay_table(spark, d)
-    tot = sessions(spark, d).groupBy(*KEYS).agg(
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"))
-    x = st.join(tot, on=KEYS).withColumn("per_hour", grid.hourly_amount("intime", "outtime", "amount"))
+    x = stay_amounts(spark, d).withColumn("per_hour", grid.hourly_amount("intime", "outtime", "amount"))
     return finish(grid.spread_intervals(x, ["user_id"], "intime", "outtime", "per_hour", "amount_per_hour"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions import expr as X
 from stayline.operators import filters, grid, quality as Q, report
-from stayline.plans.base import (KEYS, LABELS, LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish,
+from stayline.plans.base import (KEYS, stay_amounts, LABELS, LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish,
                                  labelled_panel, panel, rounded_sql, sessions, stay_table, table)
 from stayline.plans.registry import register
 from stayline.sources import tables as IO
@@ -46,10 +46,7 @@ register("trim_outliers", rounded_sql("""
 def _trim_between(spark, d):
     """Input-spreading analogue: per-hour share of each session's total value,
     rows outside the 10 % / 99 % limits of all shares dropped (nulls too)."""
-    st = stay_table(spark, d)
-    tot = sessions(spark, d).groupBy(*KEYS).agg(
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"))
-    x = st.join(tot, on=KEYS).withColumn("per_hour", grid.hourly_amount("intime", "outtime", "amount"))
+    x = stay_amounts(spark, d).withColumn("per_hour", grid.hourly_amount("intime", "outtime", "amount"))
     x = x.select(*KEYS, "per_hour")
     return finish(Q.trim_outliers(x, None, "per_hour", 0.10, 0.99, keep_null=False))
 
@@ -282,7 +279,7 @@ register("scalar_consolidate", """
   SELECT o_orderkey,
          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' ELSE o_orderpriority END AS priority,
          CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment
-              WHEN c_mktsegment IS NOT NULL THEN 'OTHER' END AS segment
+              ELSE 'OTHER' END AS segment
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")(_consolidate)
 
 
@@ -329,3 +326,54 @@ register("scalar_links", rounded_sql("""
   SELECT l_orderkey, l_linenumber, l_partkey, 1.0 / (1.0 + exp(-(l_quantity / 10 - 2))) AS proba,
          1.0 - 1.0 / exp(l_discount * (l_quantity / 50) + l_tax * (l_quantity / 50)) AS link,
          l_discount * (l_quantity / 50) AS contribution FROM lineitem""", ["proba", "link", "contribution"]))(_links)
+
+
+# ---------------------------------------------------------------- IO2 - IO6 round trips, PF12, F8
+def _folder(spark) -> str:
+    import uuid
+
+    from stayline.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+
+
+def _bundle_round_trip(spark, d):
+    """IO4 / IO6 then IO3: tables written (one partitioned), listed and read back."""
+    f = _folder(spark)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    IO.save_bundle({"items": li, "items_cols": li.limit(1)}, f, partition_by=["l_returnflag"])
+    got = IO.load_bundle(spark, f, exclude="cols")
+    return got["items"].select("l_orderkey", "l_linenumber", "l_quantity", F.lit(len(got)).alias("n_tables"),
+                               F.col("l_returnflag").cast("string").alias("l_returnflag"))
+
+
+register("bundle_round_trip", """
+  SELECT l_orderkey, l_linenumber, l_quantity, 1 AS n_tables, l_returnflag FROM lineitem""")(_bundle_round_trip)
+
+
+def _label_map(spark, d):
+    """IO5 then IO2: a reviewed label sheet as CSV, rows without a label dropped."""
+    f = _folder(spark)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("itemid"),
+                                       F.when(F.col("p_size") > 10, F.col("p_brand")).alias("REALITEM"))
+    IO.save_report(p, f)
+    return IO.load_label_map(spark, f)
+
+
+register("label_map", """
+  SELECT CAST(p_partkey AS VARCHAR) AS itemid, p_brand AS label FROM part WHERE p_size > 10""")(_label_map)
+
+
+register("drop_literal", """
+  SELECT o_orderkey, o_orderpriority FROM orders
+  WHERE NOT coalesce(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT', false)""")(
+    lambda spark, d: filters.drop_literal(table(spark, d, "orders"), "o_orderstatus", "F", "o_orderpriority", "1-URGENT")
+    .select("o_orderkey", "o_orderpriority"))
+
+
+register("age_at", """
+  SELECT o_orderkey, CAST(year(o_orderdate) AS DOUBLE) - (1990 - CAST(o_custkey % 60 AS DOUBLE)) AS age FROM orders
+  WHERE CAST(year(o_orderdate) AS DOUBLE) - (1990 - CAST(o_custkey % 60 AS DOUBLE)) >= 18""")(
+    lambda spark, d: table(spark, d, "orders").withColumn(
+        "birthyear", X.try_num(F.lit("1990")) - X.try_num((F.col("o_custkey") % 60).cast("string")))
+    .withColumn("age", F.year("o_orderdate").cast("double") - F.col("birthyear"))
+    .where(X.true_or_false(F.col("age") >= 18)).select("o_orderkey", "age"))

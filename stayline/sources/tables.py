@@ -6,7 +6,6 @@ Reads take explicit schemas where given; NaN becomes NULL at ingest.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +27,25 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def list_names(spark: SparkSession, directory: str) -> list[str]:
+    """Names in a directory of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path))
+
+
 def load_tables(spark: SparkSession, directory: str, names: Sequence[str] | None = None,
                 schemas: Mapping[str, T.StructType] | None = None,
                 fmt: str = "parquet") -> dict[str, DataFrame]:
     """IO1: one DataFrame per table file of a directory (``<name>.<fmt>`` or a
     ``<name>`` folder).  Lazy: nothing is read until an action."""
     schemas = schemas or {}
+    present = [f for f in list_names(spark, directory) if not f.startswith(("_", "."))]
     if names is None:
-        names = sorted({os.path.splitext(f)[0] for f in os.listdir(directory)})
+        names = sorted({f.rsplit(".", 1)[0] for f in present})
     out = {}
     for n in names:
-        path = os.path.join(directory, f"{n}.{fmt}")
-        if not os.path.exists(path):
-            path = os.path.join(directory, n)
+        path = f"{directory}/{n}.{fmt}" if f"{n}.{fmt}" in present else f"{directory}/{n}"
         r = spark.read
         if n in schemas:
             r = r.schema(schemas[n])
@@ -54,8 +59,8 @@ def load_tables(spark: SparkSession, directory: str, names: Sequence[str] | None
 
 def load_bundle(spark: SparkSession, directory: str, exclude: str = "cols") -> dict[str, DataFrame]:
     """IO3: load an intermediate bundle, skipping names containing ``exclude``."""
-    names = [n for n in sorted(os.listdir(directory)) if exclude not in n and not n.startswith(("_", "."))]
-    return {n: spark.read.parquet(os.path.join(directory, n)) for n in names}
+    names = [n for n in list_names(spark, directory) if exclude not in n and not n.startswith(("_", "."))]
+    return {n: spark.read.parquet(f"{directory}/{n}") for n in names}
 
 
 def load_label_map(spark: SparkSession, path: str, key: str = "itemid",
@@ -72,7 +77,7 @@ def save_bundle(tables: Mapping[str, DataFrame], directory: str, partition_by: S
         w = df.write.mode("overwrite")
         if partition_by and all(c in df.columns for c in partition_by):
             w = w.partitionBy(*partition_by)
-        w.parquet(os.path.join(directory, n))
+        w.parquet(f"{directory}/{n}")
 
 
 def save_report(df: DataFrame, path: str) -> None:
