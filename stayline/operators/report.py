@@ -122,7 +122,7 @@ def cohort_comparison(df: DataFrame, outcome: str, numeric: Sequence[str] = (),
         for g, cond in (("1", y), ("0", ~y)):
             aggs += [F.count_if(cond & b.isNotNull()).alias(f"{c}__n{g}"),
                      F.count_if(cond & b).alias(f"{c}__k{g}")]
-    row = df.where(F.col(outcome).isNotNull()).agg(*aggs)
+    row = df.where(F.col(outcome).isNotNull()).agg(*aggs) if aggs else None
     parts = []
     for c in numeric:
         n1, n0 = F.col(f"{c}__n1"), F.col(f"{c}__n0")

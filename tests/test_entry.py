@@ -18,7 +18,9 @@ def test_entry_runs(spark):
 
 
 def test_catalogue_complete():
-    q, o = E.queries(), E.oracle_sql()
+    from stayline.plans import catalog
+    q, o = catalog.queries(), catalog.oracle_sql()
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
     assert len(q) >= 86
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"baseline_logistic"}
