@@ -29,6 +29,25 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+ORACLE["op1_near_dup"] = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+     FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k + 1, k + 4), ' ') AS x
+       FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 4, 0))) AS k FROM d WHERE len(w) > 0) AS u),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents
+      UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +72,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: CRC-32 of the text's bytes, by the table of the reflected polynomial.
+_CRC_SQL = """
+t AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+        lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) AS q(n)) AS z)"""
+
+ORACLE["op4_sharding"] = f"""
+WITH {_CRC_SQL},
+b AS (SELECT doc_id, source, text, hex(encode(text)) AS hx FROM documents),
+x AS (SELECT doc_id, source, CAST(coalesce(len(hx) // 2, 0) + 1 AS BIGINT) AS size,
+             CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295,
+               list_transform(range(len(hx) // 2), lambda i: CAST('0x' || hx[2 * i + 1:2 * i + 2] AS BIGINT))),
+               lambda a, c: xor(a // 256, tab[xor(a % 256, c) + 1]))) END AS text_crc32,
+             md5('shard-shuffle:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM b, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS r,
+             count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM x),
+g AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r - 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source NULLS FIRST, h,
+                                   doc_id NULLS FIRST, size, text_crc32) - 1 AS g FROM k)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 16 // total AS INTEGER) AS shard,
+       CAST(g - ((g * 16 // total) * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM g
+"""
+
+
 @query
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -244,12 +244,16 @@ def test_planted_data_of_the_driver_table(spark):
 
 
 # ---------------------------------------------------------------- whole queries
-@pytest.mark.parametrize("name", ["op6_topk", "op7_decontam"])
+@pytest.mark.parametrize("name", ["op1_near_dup", "op4_sharding", "op6_topk", "op7_decontam"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    assert compare(E.queries()[name](spark, SF).toPandas(), con.execute(E.oracle_sql()[name]).df()) == "OK"
+    got, want = E.queries()[name](spark, SF).toPandas(), con.execute(E.oracle_sql()[name]).df()
+    for df in (got, want):  # null integers have several forms in pandas
+        if "grown_shard" in df:
+            assert df.pop("grown_shard").isna().all()
+    assert compare(got, want) == "OK"
 
 
 def test_pipeline(spark):
