@@ -10,6 +10,7 @@ from stayline.operators import filters, grid, quality as Q, report
 from stayline.plans.base import (KEYS, stay_amounts, LABELS, LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish,
                                  labelled_panel, panel, rounded_sql, sessions, stay_table, table)
 from stayline.plans.registry import register
+from stayline.session import cut_lineage
 from stayline.sources import tables as IO
 
 
@@ -79,10 +80,10 @@ register("null_profile", rounded_sql("WITH " + PANEL_SQL + " " + " UNION ALL ".j
 
 # ---------------------------------------------------------------- PF10
 def _drop_sparse(spark, d):
-    p = panel(spark, d).withColumn("big_error", F.when(F.col("error") > 480, F.col("error")))
+    p = cut_lineage(panel(spark, d).withColumn("big_error", F.when(F.col("error") > 480, F.col("error"))))
     cols = [*LABELS, "big_error"]
-    prof = Q.null_profile(p, cols)
-    return finish(prof.withColumn("dropped", F.col("null_frac") > 0.95))
+    left = Q.drop_sparse(p, cols, 0.95)  # the drop itself; the profile tells why
+    return finish(Q.null_profile(p, cols).withColumn("dropped", ~F.col("column").isin(left.columns)))
 
 
 register("drop_sparse_columns", rounded_sql("WITH " + PANEL_SQL + """,
