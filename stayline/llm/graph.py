@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from stayline.session import cut_lineage
 
 
+def own_exchange(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``key`` as an expression of itself: the planner then knows no
+    partitioning of an aggregated side and joins it through an exchange of its
+    own.  Only a join of two such exchanges has its skewed keys split."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (a, b), a > b.  Large star: every larger neighbour of a node is
     tied to the smallest node around; small star: every smaller one is."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.where("b > a").join(own_exchange(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        out = edges.join(own_exchange(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()
 
@@ -28,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node, for every node with an edge to
     a smaller one in its component (the smallest nodes themselves are left out).
     ``edges`` has columns a > b.  Hot nodes: the minimum is combined before the
-    shuffle, and the join back is an ordinary one that splits skewed keys."""
+    shuffle, and the join back splits skewed keys."""
     now, mark = cut_lineage(edges.select("a", "b").distinct()), None
     while True:
         now = cut_lineage(_star(_star(now, True), False))

@@ -184,7 +184,7 @@ def _stars(buckets: DataFrame, hub) -> DataFrame:
     """Candidate edges (a > b) between a bucket's hub and its other members.
     ``buckets``: bucket, doc_id; ``hub``: aggregate that picks one."""
     hubs = buckets.groupBy("bucket").agg(hub.alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    hubs = hubs.where("lo < hi").select("bucket", "hub")
+    hubs = graph.own_exchange(hubs.where("lo < hi").select("bucket", "hub"), "bucket")
     return buckets.join(hubs, "bucket").where("doc_id != hub").select(
         F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
 
@@ -197,16 +197,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     fingerprint = ["n_shingles", "k1", "k2"]
-    classes = some.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"))
+    classes = graph.own_exchange(some.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep")), "k1")
     member = cut_lineage(some.select("doc_id", *fingerprint).join(classes, fingerprint).select("doc_id", "rep"))
     reps = member.where("doc_id = rep").select("doc_id").distinct()
     # an id with several texts ties their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a > b")
     twice = twice.select("a", "b")
     bands = some.select("doc_id", "bands").join(reps, "doc_id", "left_semi")
-    buckets = bands.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    buckets = bands.select("doc_id", F.explode("bands").alias("bucket"))
     multi = buckets.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    buckets = cut_lineage(buckets.join(multi.select("bucket"), "bucket"))
+    buckets = cut_lineage(buckets.join(graph.own_exchange(multi.select("bucket"), "bucket"), "bucket"))
     pairs = cut_lineage(_stars(buckets, F.min("doc_id")))
     links = cut_lineage(confirm(pairs, own, words, percent).unionByName(twice))
     comp = graph.components(links)
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         mixed = label.groupBy("bucket").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
             F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("hub"))
-        mixed = mixed.where("lo < hi").select("bucket", "hub")
+        mixed = graph.own_exchange(mixed.where("lo < hi").select("bucket", "hub"), "bucket")
         star = label.join(mixed, "bucket").where("component != hub.component").select(
             F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
         fresh = cut_lineage(star.join(tried, ["a", "b"], "left_anti"))
