@@ -8,7 +8,7 @@ hashed into 2**``BITS`` weights; a text's value of a feature is its share of the
 text's n-grams, so the score is a sparse dot product of whole texts.
 
 Learning uses a bounded sample: the ``sample`` labelled rows with the smallest
-keyed digest of their id.  Only their ids are broadcast to find the texts (a
+keyed digest of their id, of at most ``SAMPLE_BYTES`` bytes.  Only their ids are broadcast to find the texts (a
 proven size), the updates run in one task in digest order, and the weights have
 a fixed size.  Scoring runs where the text is read; no shuffle.
 
@@ -34,6 +34,7 @@ from stayline.llm import blocks
 
 BITS = 18
 SAMPLE = 6_000
+SAMPLE_BYTES = 65_536
 SCALE = 8.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.002, 0.5, 3
 _U = np.uint64
@@ -112,13 +113,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
-          sample: int = SAMPLE) -> np.ndarray:
-    """Weights learned from at most ``sample`` labelled rows of ``docs``."""
+          sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights learned from at most ``sample`` labelled rows of ``docs``, of at
+    most ``sample_bytes`` bytes each."""
     ship_code(docs.sparkSession)
     pick = (labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"),
                           F.md5(F.concat(F.lit("quality-sample:"), F.col(key).cast("string"))).alias("_h"))
             .where(F.col("_k").isNotNull() & F.col("_y").isNotNull()).orderBy("_h", "_k", "_y").limit(sample))
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(pick), "_k")
+    rows = rows.where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= sample_bytes)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -124,7 +124,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     named = urls.withColumn("named", F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1))
     mined = mine(named.join(bad, "named").select("tokens", "bad"), support, confidence, lift, least)
     best = match(urls.where("rule IS NULL").select("url", "tokens"), mined, ["url"])
-    out = rows.join(best, "url", "left")
+    # written first: a join of two plain exchanges splits a url that many rows share
+    out = rows.join(cut_lineage(best), "url", "left")
     return out.select("page_id", "host", "path", "rule",
                       F.coalesce("given", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
                       .alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))
