@@ -123,3 +123,55 @@ def test_panel_scores_export_prepare(spark, extracted):
     assert len(ys) == 8 and {r["split"] for r in ys} <= {"Train", "Test", "Val"}
     xd = packed["x_dynamic"].first()
     assert len(xd["x_dynamic"]) >= xd["maxsteps"]
+
+
+def test_extraction_writes_outputs_and_reports(spark, tmp_path_factory):
+    """IO4 / IO5: what is written is read back and held against rows worked out
+    by hand from the synthetic tables."""
+    t, lm = _tables(spark)
+    out = str(tmp_path_factory.mktemp("extraction"))
+    P.run_extraction(t, lm, out_dir=out)
+    data = {n: spark.read.parquet(f"{out}/data/{n}") for n in ("x_static", "y", "y_aux", "x_dynamic")}
+    y = data["y"].where(F.col("hadm_id") == "h0").orderBy("hour").collect()
+    # subject 0 dies 10 h after leaving at T0 + 9 d; hours from 24 h before death are positive
+    death = T0 + dt.timedelta(days=9, hours=10)
+    assert all(r[P.LABEL] == (r["hour"] >= death - dt.timedelta(hours=24)) for r in y) and any(r[P.LABEL] for r in y)
+    assert data["y"].where((F.col("hadm_id") == "h1") & F.col(f"`{P.LABEL}`")).isEmpty()
+    dyn = {r["hour"]: r for r in data["x_dynamic"].where(F.col("hadm_id") == "h0").collect()}
+    # 9 units from 10:10 to 12:50: three in each of three hours, none elsewhere
+    assert [dyn[T0 + dt.timedelta(hours=h)]["Packed Red Blood Cells"] for h in (9, 10, 11, 12, 13)] == [0, 3, 3, 3, 0]
+    # the mask device of hour 5 holds for its limit of hours, the code status from hour 6 on
+    assert dyn[T0 + dt.timedelta(hours=5)]["O2 Delivery Device: NIPPV"] and not dyn[T0 + dt.timedelta(hours=4)][
+        "O2 Delivery Device: NIPPV"]
+    st = {r["hadm_id"]: r for r in data["x_static"].collect()}
+    assert st["h0"]["age"] == 40 and st["h0"]["gender, Female"] and st["h1"]["gender, Male"]
+    assert st["h0"]["BMI"] == pytest.approx(80 / 1.778 ** 2)
+    report = spark.read.option("header", True).csv(f"{out}/reports/cohort")
+    kinds = {r["variable"]: r["kind"] for r in report.collect()}
+    assert kinds["age"] == "numeric" and kinds["ED admit"] == "binary" and kinds["Insurance"] == "categorical"
+    for name in ("body_size", "prior_history", "scores", "bins SOFA Renal"):
+        assert spark.read.option("header", True).csv(f"{out}/reports/{name}").count() > 0
+
+    P.prepare_from(spark, f"{out}/data", f"{out}/prepared", n_quantiles=20)
+    size = spark.read.option("header", True).csv(f"{out}/prepared/reports/cohort_size").first()
+    assert size["n_stays"] == "8" and size["n_positive"] == "3"  # subjects 0, 3 and 6 die
+    packed = spark.read.parquet(f"{out}/prepared/data/y")
+    steps = {r["hadm_id"]: r["n"] for r in data["y"].groupBy("hadm_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r["hadm_id"]: r["maxsteps"] for r in packed.collect()} == steps
+    assert {r["split"] for r in packed.select("split").distinct().collect()} == {"Train", "Test", "Val"}
+
+
+def test_losses_and_quartiles(spark):
+    rows = [("Test", 0, 2, 1, 0.5, 1.0, 0.0, 2.0, 1.0, 1), ("Test", 1, 2, 0, 0.5, 0.0, 0.0, 3.0, 3.0, 1),
+            ("Test", 2, 2, 1, 0.1, 9.0, 0.0, None, 5.0, 0)]
+    s = spark.createDataFrame(rows, "split string, step int, maxsteps int, y int, y_proba double, ct double, cp double, "
+                                    "o double, r double, m int")
+    got = P.losses(s, [("ct", "cp")], [("o", "r", "m")]).first()
+    assert got["log_loss"] == pytest.approx(0.6931471805599453) and got["mse"] == 0.5 and got["observed_mse"] == 0.5
+    assert got["total"] == pytest.approx(0.6931471805599453 + 0.5 + 0.1 * 0.5)
+    packed = spark.createDataFrame([("a", [[1.0, 0.2], [1.0, 0.4], [0.0, 0.0]], 2), ("b", [[1.0, 0.6]], 1)],
+                                   "id string, x array<array<double>>, maxsteps int")
+    ev = P.evaluate_packed(packed, "id", ["actual", "pred"], "actual", "pred")
+    q = ev["quartiles"].first()
+    assert ev["steps"].count() == 3 and (q["actual"], q["median"]) == (1.0, 0.4)
+    assert q["down"] == pytest.approx(0.1) and q["up"] == pytest.approx(0.1)
