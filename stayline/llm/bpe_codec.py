@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from stayline.llm import blocks, pretoken
 from stayline.llm.vocab import broadcast_file, tiktoken_ranks
 
-CORPUS_BYTES = 16 << 20
+CORPUS_BYTES = 4 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -268,5 +268,7 @@ def encode_decode(df: DataFrame, text: str, rank_file: str, *, with_ids: bool =
                 part = batch.slice(i, j - i)
                 cols = [part.column(k) for k, n in enumerate(take) if n not in names]
                 yield pa.RecordBatch.from_arrays(cols + new, names=[f.name for f in schema.fields])
+                del texts, ids, counts, new, part, cols
+        blocks.release()
 
     return df.select(*[df[f"`{n}`"] for n in take]).mapInArrow(run, schema)

@@ -235,7 +235,7 @@ def predict(df: DataFrame, text: str, parsers: list[Parser]) -> DataFrame:
         most = np.array([np.log2(max(p.size, 2)) / MIN_PHRASE for p in own] + [-1.0])
         for batch in batches:
             column = batch.column(take.index(text))
-            for i, j in blocks.row_blocks(column, 1 << 21):
+            for i, j in blocks.row_blocks(column, 1 << 20):
                 h = entropies(own, symbols, [x or "" for x in column.slice(i, j - i).to_pylist()])
                 und = ~np.isfinite(h).any(axis=1) if h.shape[1] else np.ones(j - i, bool)
                 if h.shape[1]:
@@ -252,6 +252,7 @@ def predict(df: DataFrame, text: str, parsers: list[Parser]) -> DataFrame:
                 cols += [pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
                          pa.array(first <= most[best], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+        blocks.release()
 
     return df.select(*[df[f"`{n}`"] for n in take]).mapInArrow(run, schema)
 

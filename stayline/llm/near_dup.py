@@ -150,6 +150,7 @@ def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(n), pa.array(k1), pa.array(k2), _lists(bands)],
                     names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+        blocks.release()
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
@@ -164,6 +165,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).slice(i, j - i), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(sets)],
                                                  names=["doc_id", "shingles"])
+        blocks.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 

@@ -238,7 +238,7 @@ def count_tokens(df: DataFrame, text: str, tokenizer_file: str) -> DataFrame:
         tr = transducer(shipped.value)
         for batch in batches:
             column = batch.column(take.index(text))
-            for i, j in blocks.row_blocks(column):
+            for i, j in blocks.row_blocks(column, 1 << 22):
                 part = batch.slice(i, j - i)
                 texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
                 _, offsets = blocks.flat_utf8(column.slice(i, j - i))
@@ -246,5 +246,6 @@ def count_tokens(df: DataFrame, text: str, tokenizer_file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     cols + [pa.array(np.diff(offsets), pa.int64()), pa.array(tr.count(texts), pa.int64())],
                     names=[f.name for f in schema.fields])
+        blocks.release()
 
     return df.select(*[df[f"`{n}`"] for n in take]).mapInArrow(run, schema)
