@@ -64,6 +64,22 @@ def test_near_duplicates_equal_brute_force(spark):
         assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], size[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_near_copies_in_a_crowd(spark):
+    """Texts that share most of their words without being copies, and a few copies."""
+    rng, rows = random.Random(7), []
+    passage = [f"p{k}" for k in range(140)]
+    for k in range(200):
+        own = [f"o{k}_{j}" for j in range(18)]
+        rows.append(" ".join(passage + own))
+        if k % 20 == 0:
+            own[3] = own[9] = "zz"
+            rows.append(" ".join(passage + own))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    want, _ = _components(list(enumerate(rows)), 4)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()} == want
+
+
 def test_near_duplicate_edges(spark, docs):
     rows = near_dup.near_duplicates(docs).collect()
     by = {}
