@@ -34,9 +34,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node, for every node with an edge to
     a smaller one in its component (the smallest nodes themselves are left out).
-    ``edges`` has columns a > b.  Hot nodes: the minimum is combined before the
+    ``edges`` has columns a > b and is written already.  Hot nodes: the minimum is combined before the
     shuffle, and the join back splits skewed keys."""
-    now, mark = cut_lineage(edges.select("a", "b").distinct()), None
+    now, mark = edges.select("a", "b"), None  # repeated edges go in the first star
     while True:
         now = cut_lineage(_star(_star(now, True), False))
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
