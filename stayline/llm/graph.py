@@ -4,7 +4,9 @@ row count and a checksum."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.session import cut_lineage
@@ -17,6 +19,13 @@ def own_exchange(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets Spark delete the written tables and shuffle files that nothing refers
+    to any more; it notices them only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (a, b), a > b.  Large star: every larger neighbour of a node is
     tied to the smallest node around; small star: every smaller one is."""

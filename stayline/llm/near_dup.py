@@ -14,6 +14,8 @@
    100 * |A & B| >= 80 * |A | B|.
 6. Buckets that still hold several components get a star with another hub, over
    the members outside the hub's component, until a round confirms no new link.
+   Hubs are a cheap first pass only: what is then still in a mixed bucket goes
+   through an exact join (``rest_pairs``), so no pair of a bucket stays untested.
 7. Components by large and small stars; ids of copies through their class.
 
 Scale: hubs are a minimum combined before the shuffle; a bucket is never
@@ -42,6 +44,7 @@ from stayline.llm import blocks, graph
 from stayline.session import cut_lineage
 
 BINS, ROWS, BANDS = 256, 5, 51
+CELLS = 18  # bits of the table of shingle counts that orders the exact join
 _SPACE = blocks.byte_set([(9, 13), (32, 32)])
 _U = np.uint64
 _M = _U(0x9E3779B97F4A7C15)
@@ -171,10 +174,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- links
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut_lineage(_sets(docs.join(need, "doc_id", "left_semi"), words))
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``sets``: those of
+    their documents, if they are written already."""
+    if sets is None:
+        need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = cut_lineage(_sets(docs.join(need, "doc_id", "left_semi"), words))
     left = pairs.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa"), "a")
     both = left.join(sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -191,6 +196,70 @@ def _stars(buckets: DataFrame, hub) -> DataFrame:
         F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
 
 
+def _cell_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each hash cell occur: a table of fixed size."""
+    block = 14
+
+    def count(batches):
+        n = np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n += np.bincount((flat >> _U(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
+        own = np.zeros(1 << block, np.int64)
+        own[cell & ((1 << block) - 1)] = n
+        return pa.table({"block": pa.array([int(cell[0]) >> block], pa.int64()), "n": pa.array([own.tobytes()])})
+
+    cells = sets.select("shingles").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    packed = cells.groupBy(F.shiftright("cell", block).alias("block")).applyInArrow(pack, "block bigint, n binary")
+    out = np.zeros((1 << (CELLS - block), 1 << block), np.int64)
+    for r in packed.collect():
+        out[r.block] = np.frombuffer(bytes(r.n), np.int64)
+    return out.reshape(-1)
+
+
+def rest_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a > b) of different components that can reach the similarity:
+    a prefix-filter join.  In one order of all shingles, the rarest cells first,
+    the first shingle two sets share is within the first n - ceil(2p / (100 + p) n) + 1
+    of the smaller set and the first n - ceil(p n / 100) + 1 of the larger one; its
+    places bound what they can share.  A common passage is at the end of the order,
+    so a crowd around it does not meet.  The order decides the cost, never the result."""
+    counts = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
+
+    def run(batches):
+        own = counts.value
+        for batch in batches:
+            n, first = [], []
+            for row in range(len(batch)):
+                s = batch.column(1)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                order = np.argsort(own[(s >> _U(64 - CELLS)).astype(np.int64)], kind="stable")  # ties: by shingle
+                n.append(len(s))
+                first.append(s[order[:len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _lists(first)],
+                                             names=["doc_id", "n", "first"])
+        blocks.release()
+
+    rows = sets.where(F.size("shingles") > 0).select("doc_id", "shingles").mapInArrow(
+        run, "doc_id bigint, n bigint, first array<bigint>")
+    rows = cut_lineage(rows.join(component, "doc_id"))
+    n = F.col("n")
+    short = F.slice("first", 1, (n - F.ceil(n * (2 * percent) / (100 + percent)) + 2).cast("int"))  # one spare for rounding
+    left = rows.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"),
+                       F.posexplode(short).alias("px", "t"))
+    right = rows.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"),
+                        F.posexplode("first").alias("py", "t"))
+    both = left.join(right, "t").where(
+        (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") * 100 >= F.col("ny") * percent)
+        & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent)
+           >= (F.col("nx") + F.col("ny")) * percent))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
                     percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
@@ -230,6 +299,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         tried = tried.unionByName(fresh)
         links = links.unionByName(more)
         comp = graph.components(links)
+    # hubs found nothing more: every other pair of the mixed buckets is met or ruled out
+    crowd = cut_lineage(label.join(mixed.select("bucket"), "bucket").select("doc_id", "component").distinct())
+    del buckets, multi, label, mixed, star, fresh, more, pairs
+    if not crowd.isEmpty():
+        graph.give_back(docs.sparkSession)
+        sets = cut_lineage(_sets(own.join(crowd.select("doc_id"), "doc_id", "left_semi"), words))
+        graph.give_back(docs.sparkSession)
+        more = cut_lineage(confirm(cut_lineage(rest_pairs(sets, crowd, percent)), own, words, percent, sets))
+        if not more.isEmpty():
+            comp = graph.components(links.unionByName(more))
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

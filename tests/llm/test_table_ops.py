@@ -80,6 +80,28 @@ def test_near_copies_in_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()} == want
 
 
+def test_few_pairs_in_a_large_crowd(spark):
+    """Pairs just above the bound among 1,200 texts just below it: one shared
+    passage, so no hub of a bucket is likely to be one of a pair."""
+    passage = " ".join(f"p{k}" for k in range(403))  # 400 shingles
+
+    def text(k, own):  # J of two texts: 400 / (400 + 2 * 53) = 0.790
+        return passage + " " + " ".join(own)
+
+    rows = [(k, text(k, [f"o{k}_{j}" for j in range(53)])) for k in range(1200)]
+    for k in range(0, 12, 2):  # 407 of 400 + 2 * 53 - 7: 0.816, and 405: 0.810
+        same = [f"s{k}_{j}" for j in range(7 if k % 4 else 5)]
+        for i in (k, k + 1):
+            rows[100 * i % 1200 + k] = (100 * i % 1200 + k, text(i, same + [f"n{i}_{j}" for j in range(53 - len(same))]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = {}
+    for k, t in rows:
+        sets.setdefault(t.split()[403], []).append(k)
+    want = {k: min(g) for g in sets.values() for k in g}
+    assert sum(k != c for k, c in want.items()) == 6
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()} == want
+
+
 def test_near_duplicate_edges(spark, docs):
     rows = near_dup.near_duplicates(docs).collect()
     by = {}
