@@ -320,12 +320,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
                 percent: int = 80) -> DataFrame:
-    """``docs`` with one document of every component (its smallest id, and one row
-    of an id); rows without an id stay."""
-    gone = near_duplicates(docs, key, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key))
-    left = docs.join(cut_lineage(gone.distinct()), key, "left_anti")
-    several = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    several = cut_lineage(several)
-    if several.isEmpty():
-        return left
-    return left.join(several, key, "left_anti").unionByName(left.join(several, key, "left_semi").dropDuplicates([key]))
+    """``docs`` with one document of every component; rows without an id stay.
+    Texts alone link, an id does not: where an id has several rows, each row is a
+    node of its own, and of a component the row with the smallest (id, digest of
+    the text, rest of the row) stays.  Texts without a word: one row of an id."""
+    known = F.col(key).isNotNull()
+    if docs.where(known).groupBy(key).count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, key, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+        return docs.join(cut_lineage(gone.distinct()), key, "left_anti")
+    # the rows are numbered and written, so that a row is the same one in every use
+    rows = cut_lineage(docs.where(known).withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("__row", text), "__row", text, words, percent)
+    rest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    order = rows.select("__row", F.col(key).cast("bigint").alias("id"), F.struct(
+        F.col(key).cast("bigint").alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"),
+        rest.alias("rest"), "__row").alias("o"))
+    both = order.join(found.withColumnRenamed("doc_id", "__row"), "__row")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"),
+             F.when(F.col("n_shingles") == 0, F.col("id")).alias("e")]
+    kept = cut_lineage(both.groupBy(*group).agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns).unionByName(docs.where(~known))

@@ -115,6 +115,17 @@ def test_near_duplicate_edges(spark, docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shared_ids_lose_no_text(spark):
+    """An id that a third of the rows share: its texts stay, and so do their near copies' strangers."""
+    text = lambda k, end="": " ".join(f"t{k}_{j}" for j in range(60)) + end
+    rows = [(-1, text(k)) for k in range(12)] + [(k, text(k, " x")) for k in range(12)]
+    rows += [(100 + k, text(100 + k)) for k in range(10)] + [(-1, text(3)), (None, text(5)), (-1, ""), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = sorted((-2 if r.doc_id is None else r.doc_id, r.text or "") for r in near_dup.deduplicate(docs).collect())
+    want = [(-1, text(k)) for k in range(12)] + [(100 + k, text(100 + k)) for k in range(10)] + [(-2, text(5)), (-1, "")]
+    assert left == sorted(want)
+
+
 def test_densified_bins_agree_like_the_sets():
     rng = np.random.default_rng(0)
     same = []
