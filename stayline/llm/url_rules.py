@@ -4,14 +4,17 @@ Given rules (host, path, verdict) come first: a rule fits its host and all
 subdomains if the url's path starts with the rule's path; the longest fitting
 rule decides.  Every other url is judged by association rules: Spark's FP-growth
 mines combinations of URL tokens that go with bad labels.  A rule
-{tokens} -> bad is kept if its support, confidence and lift reach the bounds and
-no subset of its tokens is already kept with as high a confidence.  Rules are
+{tokens} -> bad is kept if it holds for ``least`` bad urls - the same count at any
+table size -, its confidence reaches both ``confidence`` and the middle between
+the bad share and 1 (a bound that any bad share leaves reachable), and no subset
+of its tokens is already kept with as high a confidence.  Tokens on fewer bad
+urls are dropped before the search; a token that is never on a good url is a rule
+by itself, cannot be improved by others, and is left out of the combinations.  Rules are
 found through an inverted index: each is filed under its rarest token, a url
 looks its own tokens up there and the whole antecedent is then verified.
 
-The rules are few by construction (at most 1 / support frequent items of a
-length), but their number is measured: they are broadcast when at most
-``SMALL`` rows, otherwise joined by token.
+The number of rules is measured: they are broadcast when at most ``SMALL`` rows,
+otherwise joined by token.
 
 Labels: a page is labelled through the document its path names (its last
 number); bad is quality 0 or toxic 1.
@@ -68,18 +71,31 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(tokens: DataFrame, support: float, confidence: float, lift: float, least: int) -> DataFrame:
+def mine(tokens: DataFrame, confidence: float, least: int) -> DataFrame:
     """Pruned rules (antecedent, confidence, support, lift) from rows
-    (tokens array<string>, bad boolean).  A rule needs ``support`` and at least
-    ``least`` rows."""
-    tokens = cut_lineage(tokens)
-    support = min(1.0, max(support, least / max(tokens.count(), 1)))
-    baskets = tokens.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-                            .alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    (tokens array<string>, bad boolean).  A rule holds for at least ``least`` bad rows."""
+    tokens = cut_lineage(tokens.withColumn("_row", F.monotonically_increasing_id()))
+    n, n_bad = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0))).first()
+    share = n_bad / max(n, 1)
+    confidence = max(confidence, (1 + share) / 2)
+    single = tokens.select("_row", "bad", F.explode("tokens").alias("t"))
+    often = single.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("b"))
+    often = cut_lineage(often.where(F.col("b") >= least))
+    alone = often.where("b = n").select(F.array("t").alias("antecedent"), F.lit(1.0).alias("confidence"),
+                                        (F.col("b") / F.lit(max(n, 1))).alias("support"),
+                                        F.lit(1 / max(share, 1e-300)).alias("lift"))
+    # written baskets of the tokens that can still combine
+    mixed = single.join(often.where("b < n").select("t"), "t").groupBy("_row", "bad").agg(F.collect_list("t").alias("items"))
+    baskets = cut_lineage(mixed.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD)))
+                                       .otherwise(F.col("items")).alias("items")))
+    m = baskets.count()
+    # FPGrowth counts up from ceil(minSupport * rows): half a row below, so that rounding loses none
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least - 0.5, 0.5) / max(m, 1)),
+                     minConfidence=min(1.0, confidence) - 1e-9).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    rules = rules.where(F.col("lift") >= lift).select(
-        F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence",
+                         (F.col("support") * (m / max(n, 1))).alias("support"),
+                         (F.col("confidence") / F.lit(max(share, 1e-300))).alias("lift")).unionByName(alone)
     rules = cut_lineage(rules.withColumn("rule_id", F.md5(F.concat_ws("\n", "antecedent"))))
     # a rule is redundant if a shorter one inside it is as sure: met through a shared token
     own = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t"))
@@ -108,7 +124,7 @@ def match(urls: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], *, key: str = "page_id",
-          url: str = "url", support: float = 0.002, confidence: float = 0.6, lift: float = 2.0, least: int = 20) -> DataFrame:
+          url: str = "url", confidence: float = 0.6, least: int = 20) -> DataFrame:
     """page key, host, path, rule, verdict, mined (confidence of the best mined
     rule where no given rule fits, else null)."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
@@ -122,7 +138,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
                         ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("bad IS NOT NULL")
     bad = bad.groupBy("named").agg(F.max("bad").alias("bad"))
     named = urls.withColumn("named", F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1))
-    mined = mine(named.join(bad, "named").select("tokens", "bad"), support, confidence, lift, least)
+    mined = mine(named.join(bad, "named").select("tokens", "bad"), confidence, least)
     best = match(urls.where("rule IS NULL").select("url", "tokens"), mined, ["url"])
     # written first: a join of two plain exchanges splits a url that many rows share
     out = rows.join(cut_lineage(best), "url", "left")

@@ -173,6 +173,27 @@ def test_mined_url_rules(spark):
         assert r.verdict == ("block" if r.page_id != 999 and r.page_id % 4 == 0 else "allow"), r
 
 
+def _verdicts(spark, urls):
+    """Verdicts of (url, bad) rows by page."""
+    pages = spark.createDataFrame([(k, f"{u}/{k}") for k, (u, _) in enumerate(urls)], "page_id int, url string")
+    labels = spark.createDataFrame([(k, 0 if b else 1, 0) for k, (_, b) in enumerate(urls)],
+                                   "doc_id bigint, quality int, toxic int")
+    return {r.page_id: r.verdict for r in url_rules.judge(pages, labels, []).collect()}
+
+
+def test_evidence_of_a_rule_does_not_grow_with_the_table(spark):
+    urls = [("http://spam.example/a", True)] * 30 + [(f"http://s{k}.test/b", k % 50 == 0) for k in range(20_000)]
+    got = _verdicts(spark, urls)  # 0.002 of the table were 40 rows
+    assert [got[k] for k in range(30)] == ["block"] * 30
+    assert all(got[k] == "allow" for k in range(30, len(urls)))
+
+
+def test_rules_where_most_urls_are_bad(spark):
+    urls = [("http://bad.example/a", True)] * 60 + [("http://mixed.test/b", k % 2 == 0) for k in range(40)]
+    got = _verdicts(spark, urls)  # 80 % are bad: no lift reaches 2
+    assert [got[k] for k in range(100)] == ["block"] * 60 + ["allow"] * 40
+
+
 # ---------------------------------------------------------------- sharding
 def test_shards(spark, docs):
     src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
