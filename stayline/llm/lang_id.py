@@ -10,9 +10,10 @@ Symbols are lower-cased letters; every run of other characters is one blank.
 Texts are parsed whole, in pieces of ``PIECE`` symbols (a phrase ends at a
 piece's end, for each language alike), all pieces of a block side by side.
 
-Fitting: per language the ``sample_docs`` training texts with the smallest keyed
-digest of their id, of at most ``sample_chars`` characters each - the bound of
-what is learned from.  The automata are built in tasks, one per language, and
+Fitting: per language the ``sample_docs`` distinct training texts with the
+smallest keyed digest of their id, of each the ``sample_chars`` characters from
+its first letter on - the bound of what is learned from.  Texts whose stretches
+have the same symbols count once, texts without a letter never.  The automata are built in tasks, one per language, and
 their tables (about 16 bytes a transition, at most three transitions a
 symbol) are shipped as one broadcast.
 
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from stayline.llm.ship import ship_code
 from stayline.llm import blocks
 from stayline.llm.vocab import LETTER, char_classes
+from stayline.session import cut_lineage
 
 PIECE = 256
 SAMPLE_DOCS = 24
@@ -148,11 +150,18 @@ def fit(train: DataFrame, text: str, lang: str, key: str, sample_docs: int = SAM
         sample_chars: int = SAMPLE_CHARS) -> list[Parser]:
     """One parser per language from a bounded sample of labelled texts."""
     ship_code(train.sparkSession)
-    own = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"),
+    raw = F.col(text)
+    begin = F.length(F.regexp_extract(raw, r"^\P{L}*+", 0)) + 1
+    own = train.select(F.col(lang).alias("lang"), F.substring(raw, begin, F.lit(sample_chars)).alias("text"),
                        F.md5(F.concat(F.lit("lang-sample:"), F.col(key).cast("string"))).alias("pick"))
-    own = own.where(F.col("lang").isNotNull() & F.col("pick").isNotNull() & F.length("text").between(1, sample_chars))
-    first = Window.partitionBy("lang").orderBy("pick", "text")
-    own = own.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs)
+    own = own.where(F.col("lang").isNotNull() & F.col("pick").isNotNull() & (F.length("text") > 0))
+    own = own.withColumn("same", F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))))
+    # distinct texts are picked by their hashes alone; at most sample_docs rows a language are broadcast
+    first = Window.partitionBy("lang").orderBy("pick", "same")
+    picks = own.groupBy("lang", "same").agg(F.min("pick").alias("pick"))
+    picks = cut_lineage(picks.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs).drop("_n"))
+    own = own.join(F.broadcast(picks), ["lang", "same", "pick"]).groupBy("lang", "same", "pick").agg(
+        F.min("text").alias("text"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pick", "text"])

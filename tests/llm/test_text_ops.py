@@ -132,6 +132,20 @@ def test_language_rows(spark, docs):
     assert lang_id.fit(docs.limit(0), "text", "lang", "doc_id") == []
 
 
+def test_long_and_repeated_texts_are_learned_from(spark):
+    """A language with long texts only, and one of copies and texts without letters."""
+    rows = [(k, "123 " * 1500 + "долгая книга о большой реке " * 300, "ru") for k in range(3)]
+    rows += [(10 + k, "the same line again", "en") for k in range(400)] + [(500 + k, "12 34 !!", "en") for k in range(400)]
+    rows += [(1000 + k, f"quick brown foxes {'abcdefghij'[k]}", "en") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    parsers = {p.lang: p for p in lang_id.fit(docs, "text", "lang", "doc_id")}
+    assert sorted(parsers) == ["en", "ru"]
+    # ten distinct texts of 19 symbols and a blank, and one copy of the line
+    assert parsers["en"].size == 11 * 20 and parsers["ru"].size <= lang_id.SAMPLE_CHARS + 1
+    got = {r.doc_id: r for r in lang_id.predict(docs, "text", list(parsers.values())).collect()}
+    assert got[0].lang_pred == "ru" and got[0].accepted
+
+
 def test_language_held_out_accuracy(spark):
     out = catalog.op5_lang_id(spark, "/root/testdata/sf0.01").where("held_out")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").where("lang IS NOT NULL")
