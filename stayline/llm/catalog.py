@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe_codec, decontam, lang_id, near_dup, pii, quality, sharding, token_count, topk, url_rules
+from stayline.llm import (bpe_codec, decontam, divergence, lang_id, near_dup, pii, quality, sharding, token_count, topk,
+                          url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,6 +174,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+ORACLE["op13_divergence"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+           FROM documents),
+o AS (SELECT lang, source, rid, unnest(w) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS cl FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+lv AS (SELECT lang, count(*) AS v, sum(cl) AS nl FROM keep GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM o GROUP BY lang, source, term),
+gt AS (SELECT g.lang, g.source, k.term, k.cl, coalesce(c.c, 0) AS c
+       FROM g JOIN keep k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gn AS (SELECT lang, source, sum(c) AS n FROM gt GROUP BY lang, source),
+s AS (SELECT gt.*, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (cl + 5)) // (nl + 5 * v)::HUGEINT AS q
+      FROM gt JOIN gn USING (lang, source) JOIN lv USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+       FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM s WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) AS u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
