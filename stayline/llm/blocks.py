@@ -104,7 +104,9 @@ _BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each span of bytes, mixed with its length."""
+    """64-bit polynomial hash of each span of bytes, mixed with its length: for
+    hashed features.  Regular words collide modulo a power of two; ``word_keys``
+    tells words apart."""
     if not len(starts):
         return np.zeros(0, U64)
     p, inv = _powers(len(data) + 1)
@@ -114,6 +116,51 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+_KEYS_AT = 1 << 16
+_KEYS = mix64(np.arange(1, _KEYS_AT + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+
+
+def _position_keys(at: np.ndarray) -> np.ndarray:
+    """A random odd multiplier for every place in a word."""
+    if not len(at) or int(at.max()) < _KEYS_AT:
+        return _KEYS[at]
+    return mix64((at.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F)) | U64(1)
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of spans of bytes.  Up to 7 bytes: the bytes themselves and
+    the length, so different short words have different keys.  Longer ones: a
+    sum of byte values times independent multipliers per place (no power of one
+    base, so regular words do not collide), marked in the top bit."""
+    n = (ends - starts).astype(np.int64)
+    out = n.astype(U64) << U64(56)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    few = np.minimum(n, 7)
+    for k in range(7):
+        out |= np.where(few > k, padded[starts + k], 0).astype(U64) << U64(8 * k)
+    long = np.flatnonzero(n > 7)
+    size = np.cumsum(n[long])
+    i = 0
+    while i < len(long):  # a bounded number of bytes at a time
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + BLOCK_BYTES, "right")))
+        own = long[i:j]
+        m = n[own]
+        if j == i + 1 and m[0] > BLOCK_BYTES:
+            total = U64(0)
+            for a in range(0, int(m[0]), BLOCK_BYTES):
+                b = min(int(m[0]), a + BLOCK_BYTES)
+                part = data[starts[own[0]] + a:starts[own[0]] + b]
+                total = total + (_position_keys(np.arange(a, b)) * _BYTE_VALUE[part]).sum(dtype=U64)
+            sums = np.array([total], U64)
+        else:
+            rel = ragged(np.zeros(len(own), np.int64), m)
+            term = _position_keys(rel) * _BYTE_VALUE[data[rel + np.repeat(starts[own], m)]]
+            sums = np.add.reduceat(term, np.cumsum(m) - m)
+        out[own] = mix64(sums + m.astype(U64) * U64(0xD6E8FEB86659FD93)) | U64(1 << 63)
+        i = j
+    return out
+
+
 def release() -> None:
     """Gives a finished task's memory back to the system: Python workers live on
     and would otherwise keep their peak while other stages run."""

@@ -32,6 +32,39 @@ CORPUS_BYTES = 4 << 20
 _NONE = np.int32(2**31 - 1)
 
 
+def distinct_spans(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one occurrence of each distinct span, the distinct span of each
+    occurrence).  Keys of up to 7 bytes are the bytes; longer spans of an equal
+    key are compared byte by byte with the first one."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    other = first[inverse]
+    check = np.flatnonzero((hi - lo > 7) & (other != np.arange(len(lo))))
+    size = np.cumsum(hi[check] - lo[check])
+    wrong, i = [], 0
+    while i < len(check):  # a bounded number of bytes at a time
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + blocks.BLOCK_BYTES, "right")))
+        a = check[i:j]
+        b, n = other[a], hi[a] - lo[a]
+        same = n == hi[b] - lo[b]
+        a, b, n = a[same], b[same], n[same]
+        wrong += check[i:j][~same].tolist()
+        if len(a):
+            differ = data[blocks.ragged(lo[a], n)] != data[blocks.ragged(lo[b], n)]
+            wrong += a[np.logical_or.reduceat(differ, np.cumsum(n) - n)].tolist()
+        i = j
+    if wrong:  # another word under the same key: told apart by its bytes
+        raw, own = data.tobytes(), {}
+        first = first.tolist()
+        for k in wrong:
+            word = raw[lo[k]:hi[k]]
+            if word not in own:
+                own[word] = len(first)
+                first.append(k)
+            inverse[k] = own[word]
+        first = np.array(first)
+    return first, inverse
+
+
 class PairTable:
     """Rank of the token that two adjacent tokens make, by binary search."""
 
@@ -162,7 +195,7 @@ class Codec:
                 j += 1
             lo, hi, text_of = pretoken.pieces(texts[i:j])
             data = np.frombuffer("".join(texts[i:j]).encode(), np.uint8)
-            parts.append((lo + at_byte, hi + at_byte, text_of + i, blocks.span_hashes(data, lo, hi)))
+            parts.append((lo + at_byte, hi + at_byte, text_of + i, blocks.word_keys(data, lo, hi)))
             at_byte += len(data)
             i = j
         empty = np.zeros(0, np.int64)
@@ -174,7 +207,7 @@ class Codec:
         lo, hi, text_of, keys = self._pieces(texts)
         if not len(lo):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(np.frombuffer(raw, np.uint8), lo, hi, keys)
         words = [raw[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist())]
         # a piece that is a token as a whole is not merged
         whole = [self.ranks.get(w, -1) for w in words]

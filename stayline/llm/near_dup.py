@@ -56,7 +56,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     data, offsets = blocks.flat_utf8(column)
     data = blocks.LOWER[data]
     starts, ends, row = blocks.word_spans(data, offsets, ~_SPACE)
-    h = blocks.span_hashes(data, starts, ends)
+    h = blocks.mix64(blocks.word_keys(data, starts, ends))
     n = np.bincount(row, minlength=len(column))
     to = np.cumsum(n)
     full = max(0, len(h) - words + 1)
