@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import (bpe_codec, decontam, divergence, lang_id, near_dup, pii, quality, sharding, token_count, topk,
-                          url_rules)
+from stayline.llm import (bpe_codec, decontam, divergence, id_store, lang_id, near_dup, pii, quality, sharding, token_count,
+                          topk, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -174,6 +174,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op12_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = id_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return id_store.documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
