@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import (bpe_codec, decontam, divergence, id_store, lang_id, near_dup, pii, quality, sharding, token_count,
-                          topk, url_rules)
+from stayline.llm import (bpe_codec, decontam, divergence, id_store, lang_id, near_dup, pii, quality, sharding, spelling,
+                          token_count, topk, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -174,6 +174,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), typo_every=97, min_length=5, min_count=3)
+
+
+ORACLE["op11_spelling"] = f"""
+WITH RECURSIVE {_CRC_SQL},
+r AS (SELECT doc_id, translate(unnest(string_split_regex(coalesce(text, ''), '[^A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT w, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS hx, count(*) AS c
+      FROM r WHERE length(w) >= 5 GROUP BY doc_id, w),
+x AS (SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(hx) // 2),
+             lambda i: CAST('0x' || hx[2 * i + 1:2 * i + 2] AS BIGINT))),
+             lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1]))) AS h FROM u, t),
+y AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM x),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM y WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+del AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS s
+        FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS p FROM v) AS e),
+near AS (SELECT a.word, b.word AS o, b.n FROM del a JOIN del b ON a.s = b.s AND a.p = b.p AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM del a JOIN v b ON a.s = b.word
+         UNION SELECT b.word, a.word, a.n FROM del a JOIN v b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, first(o ORDER BY n DESC, o) AS o, max(n) AS bn FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * v.n THEN o END AS form,
+             CASE WHEN bn >= 2 * v.n THEN bn END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.at
+          WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN ends USING (word)
+"""
+
+
 @query
 def op12_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = id_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

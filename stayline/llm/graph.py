@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.session import cut_lineage
@@ -19,6 +19,11 @@ def own_exchange(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
+def own_exchange_str(key: str) -> Column:
+    """The same for a string key, as a column."""
+    return F.concat(key, F.lit("")).alias(key)
+
+
 def give_back(spark: SparkSession) -> None:
     """Lets Spark delete the written tables and shuffle files that nothing refers
     to any more; it notices them only when the driver collects its garbage."""
