@@ -55,6 +55,14 @@ def row_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         i = j
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, lengthened until no column has it (Spark ignores case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def byte_set(pattern_ranges) -> np.ndarray:
     """Boolean table over bytes from inclusive ranges."""
     t = np.zeros(256, bool)

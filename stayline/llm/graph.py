@@ -1,12 +1,10 @@
 """Connected components of an edge table by alternating large and small stars,
-with every round written to the shared folder; nothing reaches the driver but a
-row count and a checksum."""
+with every round written to the shared folder; nothing reaches the driver but
+whether another round is needed."""
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.session import cut_lineage
@@ -19,18 +17,6 @@ def own_exchange(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
-def own_exchange_str(key: str) -> Column:
-    """The same for a string key, as a column."""
-    return F.concat(key, F.lit("")).alias(key)
-
-
-def give_back(spark: SparkSession) -> None:
-    """Lets Spark delete the written tables and shuffle files that nothing refers
-    to any more; it notices them only when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (a, b), a > b.  Large star: every larger neighbour of a node is
     tied to the smallest node around; small star: every smaller one is."""
@@ -38,10 +24,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         out = both.where("b > a").join(own_exchange(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(own_exchange(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b")))
+        return out.where("a > b")
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    out = edges.join(own_exchange(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        low.select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()
 
 
@@ -49,11 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node, for every node with an edge to
     a smaller one in its component (the smallest nodes themselves are left out).
     ``edges`` has columns a > b and is written already.  Hot nodes: the minimum is combined before the
-    shuffle, and the join back splits skewed keys."""
-    now, mark = edges.select("a", "b"), None  # repeated edges go in the first star
+    shuffle, and the join back splits skewed keys.  It ends when the edges are
+    stars: no node has two smaller neighbours, none is on both sides."""
+    now = edges.select("a", "b")  # repeated edges go in the first star
     while True:
         now = cut_lineage(_star(_star(now, True), False))
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(got) == mark:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+            now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        if ends.where("up > 1 OR (up = 1 AND least = 0)").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = tuple(got)

@@ -12,16 +12,16 @@
 5. Star-shaped candidate edges: a bucket ties each member to one hub, so its
    pairs grow with its size.  Edges are confirmed on the full sets with
    100 * |A & B| >= 80 * |A | B|.
-6. Buckets that still hold several components get a star with another hub, over
-   the members outside the hub's component, until a round confirms no new link.
-   Hubs are a cheap first pass only: what is then still in a mixed bucket goes
-   through an exact join (``rest_pairs``), so no pair of a bucket stays untested.
-7. Components by large and small stars; ids of copies through their class.
+6. A bucket is settled when every member is linked to its hub.  All members of
+   the other buckets of three or more go through one exact join (``rest_pairs``),
+   so no pair of a bucket stays untested.
+7. Components by large and small stars, once; ids of copies through their class.
 
 Scale: hubs are a minimum combined before the shuffle; a bucket is never
 gathered; joins on bucket, class and hub are ordinary joins, whose skewed keys
-are split.  Sets move only for texts in a candidate edge, derived again from
-their text.  Signatures, pairs and sets are written to the shared folder.
+are split.  Sets are made once, for texts that share a bucket with another one
+(texts move once for it), and serve both confirmations.  Signatures, stars, sets
+and links are written to the shared folder.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing
 (not even with another empty one); fewer words than a shingle make one shingle
@@ -44,7 +44,6 @@ from stayline.llm import blocks, graph
 from stayline.session import cut_lineage
 
 BINS, ROWS, BANDS = 256, 5, 51
-CELLS = 18  # bits of the table of shingle counts that orders the exact join
 _SPACE = blocks.byte_set([(9, 13), (32, 32)])
 _U = np.uint64
 _M = _U(0x9E3779B97F4A7C15)
@@ -112,7 +111,6 @@ def signature(own: np.ndarray) -> np.ndarray:
             near[left[ok]] = cand[ok]
             left = left[~ok]
             t += 1
-    # the borrowing bin's number keeps its value apart from the lender's
     sig[empty] = sig[near]
     return sig
 
@@ -160,104 +158,84 @@ def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles of documents (doc_id, text)."""
+    """doc_id, n, k (tells the sets of one id apart), shingles of documents (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             for i, j in blocks.row_blocks(batch.column(1)):
                 sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).slice(i, j - i), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(sets)],
-                                                 names=["doc_id", "shingles"])
+                n = pa.array([len(s) for s in sets], pa.int64())
+                k = pa.array([int(s.sum()) if len(s) else 0 for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), n, k, _lists(sets)],
+                                                 names=["doc_id", "n", "k", "shingles"])
         blocks.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k bigint, shingles array<bigint>")
 
 
 # ---------------------------------------------------------------- links
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; ``sets``: those of
-    their documents, if they are written already."""
-    if sets is None:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = cut_lineage(_sets(docs.join(need, "doc_id", "left_semi"), words))
-    left = pairs.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa"), "a")
-    both = left.join(sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "sb"), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct()
-
-
-def _stars(buckets: DataFrame, hub) -> DataFrame:
-    """Candidate edges (a > b) between a bucket's hub and its other members.
-    ``buckets``: bucket, doc_id; ``hub``: aggregate that picks one."""
-    hubs = buckets.groupBy("bucket").agg(hub.alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    hubs = graph.own_exchange(hubs.where("lo < hi").select("bucket", "hub"), "bucket")
-    return buckets.join(hubs, "bucket").where("doc_id != hub").select(
-        F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
-
-
-def _cell_counts(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each hash cell occur: a table of fixed size."""
-    block = 14
-
-    def count(batches):
-        n = np.zeros(1 << CELLS, np.int64)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            n += np.bincount((flat >> _U(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
-        cell = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
-        own = np.zeros(1 << block, np.int64)
-        own[cell & ((1 << block) - 1)] = n
-        return pa.table({"block": pa.array([int(cell[0]) >> block], pa.int64()), "n": pa.array([own.tobytes()])})
-
-    cells = sets.select("shingles").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = cells.groupBy(F.shiftright("cell", block).alias("block")).applyInArrow(pack, "block bigint, n binary")
-    out = np.zeros((1 << (CELLS - block), 1 << block), np.int64)
-    for r in packed.collect():
-        out[r.block] = np.frombuffer(bytes(r.n), np.int64)
-    return out.reshape(-1)
-
-
-def rest_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a > b) of different components that can reach the similarity:
-    a prefix-filter join.  In one order of all shingles, the rarest cells first,
-    the first shingle two sets share is within the first n - ceil(2p / (100 + p) n) + 1
-    of the smaller set and the first n - ceil(p n / 100) + 1 of the larger one; its
-    places bound what they can share.  A common passage is at the end of the order,
-    so a crowd around it does not meet.  The order decides the cost, never the result."""
-    counts = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
-
-    def run(batches):
-        own = counts.value
-        for batch in batches:
-            n, first = [], []
-            for row in range(len(batch)):
-                s = batch.column(1)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                order = np.argsort(own[(s >> _U(64 - CELLS)).astype(np.int64)], kind="stable")  # ties: by shingle
-                n.append(len(s))
-                first.append(s[order[:len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _lists(first)],
-                                             names=["doc_id", "n", "first"])
-        blocks.release()
-
-    rows = sets.where(F.size("shingles") > 0).select("doc_id", "shingles").mapInArrow(
-        run, "doc_id bigint, n bigint, first array<bigint>")
-    rows = cut_lineage(rows.join(component, "doc_id"))
-    n = F.col("n")
-    short = F.slice("first", 1, (n - F.ceil(n * (2 * percent) / (100 + percent)) + 2).cast("int"))  # one spare for rounding
-    left = rows.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"),
-                       F.posexplode(short).alias("px", "t"))
-    right = rows.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"),
-                        F.posexplode("first").alias("py", "t"))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets reach the similarity."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
+    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.col("na") + F.col("nb")).alias("n"))
+    return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+
+
+def stars(member: DataFrame) -> DataFrame:
+    """bucket, doc_id, hub (the smallest id of the bucket), size, for buckets of
+    several documents.  ``member``: doc_id, bands."""
+    rows = member.select("doc_id", F.explode("bands").alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi"),
+                                      F.count(F.lit(1)).alias("size"))
+    hubs = graph.own_exchange(hubs.where("hub < hi").select("bucket", "hub", "size"), "bucket")
+    return rows.join(hubs, "bucket")
+
+
+def untested(star: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, label of all documents of buckets in which a document is not linked
+    to the hub and a third one is there to be linked with.  Documents of equal
+    label are linked already, through the smallest hub of each."""
+    label = links.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "doc_id")
+    wide = star.where("size > 2")
+    linked = links.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
+    mixed = wide.where("doc_id <> hub").join(linked, ["doc_id", "hub"], "left_anti").select("bucket")
+    crowd = wide.join(mixed, "bucket", "left_semi").select("doc_id").distinct()
+    return crowd.join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+
+
+def rest_pairs(sets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a > b) of different labels that can reach the similarity: a
+    prefix-filter join on exact counts.
+
+    A shingle counts only if documents of two labels have it.  Of a set of n, u
+    count, in one order of all, the rarest first.  Two sets share at least
+    o = ceil(p n / 100) for the larger and ceil(2 p n / (100 + p)) for the smaller,
+    so the first two shingles they share are within the first u - o + 2 of both:
+    a pair must meet twice there, and the places bound what can still follow.  A set
+    with u < o is linked with nothing.  The order decides the cost, never the result."""
+    own = sets.join(crowd, "doc_id")
+    token = own.select("doc_id", "k", "n", "label", F.explode("shingles").alias("t"))
+    shared = token.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    shared = graph.own_exchange(shared.where("lo < hi").select("t", "df"), "t")
+    row = token.join(shared, "t").groupBy("doc_id", "k", "n", "label").agg(
+        F.sort_array(F.collect_list(F.struct("df", "t"))).alias("u"))
+    large, small = F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    row = row.withColumn("c", F.size("u")).where(F.col("c") >= large)
+    row = cut_lineage(row.select("doc_id", "n", "label", "c", (F.col("c") - small + 3).alias("short"),  # one spare for rounding
+                                 F.slice(F.transform("u", lambda x: x.t), F.lit(1), (F.col("c") - large + 3).cast("int")).alias("u")))
+    left = row.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("c").alias("ux"),
+                      F.posexplode(F.slice("u", F.lit(1), F.greatest(F.col("short"), F.lit(0)).cast("int"))).alias("px", "t"))
+    right = row.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("c").alias("uy"),
+                       F.posexplode("u").alias("py", "t"))
+    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     both = left.join(right, "t").where(
-        (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") * 100 >= F.col("ny") * percent)
-        & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent)
+        (F.col("lx") != F.col("ly")) & first & (F.col("nx") * 100 >= F.col("ny") * percent)
+        & ((F.least(F.col("ux") - F.col("px"), F.col("uy") - F.col("py")) + 1) * (100 + percent)
            >= (F.col("nx") + F.col("ny")) * percent))
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    met = both.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    return met.where("m > 1").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
@@ -266,56 +244,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ship_code(docs.sparkSession)
     signed = cut_lineage(_signed(docs, key, text, words))
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    some = signed.where(~alone)
     fingerprint = ["n_shingles", "k1", "k2"]
     classes = graph.own_exchange(some.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep")), "k1")
-    member = cut_lineage(some.select("doc_id", *fingerprint).join(classes, fingerprint).select("doc_id", "rep"))
-    reps = member.where("doc_id = rep").select("doc_id").distinct()
+    # of n shingles a different set shares at most n of n + 1
+    can = (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent)
+    member = cut_lineage(some.join(classes, fingerprint).select("doc_id", "n_shingles", "rep", F.when(can, F.col("bands")).alias("bands")))
+    star = cut_lineage(stars(member.where("bands IS NOT NULL")))
+    sets = cut_lineage(_sets(own.join(star.select("doc_id"), "doc_id", "left_semi"), words))
+    pairs = star.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut_lineage(confirm(pairs, sets, percent))
+    crowd = cut_lineage(untested(star, links))
+    if not crowd.isEmpty():
+        more = confirm(rest_pairs(sets, crowd, percent), sets, percent)
+        links = links.unionByName(more)
     # an id with several texts ties their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a > b")
-    twice = twice.select("a", "b")
-    bands = some.select("doc_id", "bands").join(reps, "doc_id", "left_semi")
-    buckets = bands.select("doc_id", F.explode("bands").alias("bucket"))
-    multi = buckets.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    buckets = cut_lineage(buckets.join(graph.own_exchange(multi.select("bucket"), "bucket"), "bucket"))
-    pairs = cut_lineage(_stars(buckets, F.min("doc_id")))
-    links = cut_lineage(confirm(pairs, own, words, percent).unionByName(twice))
-    comp = graph.components(links)
-    tried, turn = pairs, 0
-    while True:
-        turn += 1
-        label = buckets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = label.groupBy("bucket").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("hub"))
-        mixed = graph.own_exchange(mixed.where("lo < hi").select("bucket", "hub"), "bucket")
-        star = label.join(mixed, "bucket").where("component != hub.component").select(
-            F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
-        fresh = cut_lineage(star.join(tried, ["a", "b"], "left_anti"))
-        more = cut_lineage(confirm(fresh, own, words, percent))
-        if more.isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(more)
-        comp = graph.components(links)
-    # hubs found nothing more: every other pair of the mixed buckets is met or ruled out
-    crowd = cut_lineage(label.join(mixed.select("bucket"), "bucket").select("doc_id", "component").distinct())
-    del buckets, multi, label, mixed, star, fresh, more, pairs
-    if not crowd.isEmpty():
-        graph.give_back(docs.sparkSession)
-        sets = cut_lineage(_sets(own.join(crowd.select("doc_id"), "doc_id", "left_semi"), words))
-        graph.give_back(docs.sparkSession)
-        more = cut_lineage(confirm(cut_lineage(rest_pairs(sets, crowd, percent)), own, words, percent, sets))
-        if not more.isEmpty():
-            comp = graph.components(links.unionByName(more))
-    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component_id"))
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    cid = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    comp = graph.components(cut_lineage(links.unionByName(twice.select("a", "b"))))
+    out = member.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = out.unionByName(signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
@@ -329,14 +279,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         gone = near_duplicates(docs, key, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key))
         return docs.join(cut_lineage(gone.distinct()), key, "left_anti")
     # the rows are numbered and written, so that a row is the same one in every use
-    rows = cut_lineage(docs.where(known).withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select("__row", text), "__row", text, words, percent)
+    row = blocks.free_name("__row", docs.columns)
+    rows = cut_lineage(docs.where(known).withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(row, text), row, text, words, percent)
     rest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
-    order = rows.select("__row", F.col(key).cast("bigint").alias("id"), F.struct(
+    order = rows.select(row, F.col(key).cast("bigint").alias("id"), F.struct(
         F.col(key).cast("bigint").alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"),
-        rest.alias("rest"), "__row").alias("o"))
-    both = order.join(found.withColumnRenamed("doc_id", "__row"), "__row")
+        rest.alias("rest"), F.col(row).alias("row")).alias("o"), F.col(row).alias("doc_id"))
+    both = order.drop(row).join(found, "doc_id")
     group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"),
              F.when(F.col("n_shingles") == 0, F.col("id")).alias("e")]
-    kept = cut_lineage(both.groupBy(*group).agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns).unionByName(docs.where(~known))
+    kept = cut_lineage(both.groupBy(*group).agg(F.min("o").alias("o")).select(F.col("o.row").alias(row)))
+    return rows.join(kept, row, "left_semi").select(*docs.columns).unionByName(docs.where(~known))
