@@ -1,5 +1,5 @@
-"""Joins beyond plain equi-joins: interval containment (J5) and prior history
-(J4).
+"""Joins beyond plain equi-joins: interval containment by an interval index
+and prior history (J4).
 
 Prior history never emits pairs.  "Any fact of the same subject strictly
 before now" is a running OR in time order.  Flags are packed into ``bigint`` words
@@ -34,43 +34,79 @@ def epoch_micros(c) -> Column:
     return days * 86400000000 + secs * 1000000 + frac
 
 
-def events_in_stay(events: DataFrame, stays: DataFrame, on, t: str,
-                   start: str = "intime", end: str = "outtime") -> DataFrame:
-    """Attach each event to its stay when ``start <= t <= end`` (both
-    inclusive).  Equi-join on the key with the range as join condition; AQE
-    broadcasts the stay side when its measured size is small and splits
-    skewed key partitions otherwise."""
+_COARSEST = 62  # bits of the widest cell
+
+
+def stay_cells(stays: DataFrame, start: str, end: str, finest: int) -> DataFrame:
+    """Interval index: adds ``_lv`` and ``_cell`` to a stay.  A stay of length l lies
+    on the level whose cells (2**level microseconds) are longer than l, so it
+    touches two of them at most, however long it is.  Stays without a start or
+    an end, and those that end before they start, contain nothing and go."""
+    lo, hi = epoch_micros(start), epoch_micros(end)
+    s = stays.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo") <= F.col("_hi"))
+    level = F.greatest(F.lit(finest), F.least(F.lit(_COARSEST), F.length(F.bin(F.col("_hi") - F.col("_lo")))))
+    s = s.withColumn("_lv", level.cast("int"))
+    first, last = F.expr("shiftright(_lo, _lv)"), F.expr("shiftright(_hi, _lv)")
+    return s.withColumn("_cell", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+
+
+def events_in_stay(events: DataFrame, stays: DataFrame, on, t: str, start: str = "intime", end: str = "outtime",
+                   finest: int = 32, index: DataFrame | None = None) -> DataFrame:
+    """Attach each event to its stays with ``start <= t <= end`` (both inclusive).
+
+    Interval index: stays are cut into cells of their own length's level
+    (``stay_cells``; 2**32 microseconds, about 72 minutes, is the finest), events
+    look up their cell on every level that occurs (at most 31, found by one small
+    aggregate), and the exact ends are checked inside the equi-join on (key, level,
+    cell).  An event meets only stays that are near it in time, so neither a key
+    with a third of all events nor one with many stays makes all pairs; keys spread
+    over their cells.  ``index``: stays that went through ``stay_cells`` and were
+    written, for use with several event tables."""
     on = _as_list(on)
-    s = stays.select(*[F.col(c).alias(f"_st_{c}") for c in stays.columns])
-    cond = F.col(t) >= F.col(f"_st_{start}")
-    cond = cond & (F.col(t) <= F.col(f"_st_{end}"))
+    cells = stay_cells(stays, start, end, finest) if index is None else index
+    levels = [r[0] for r in cells.select("_lv").distinct().collect()]  # at most 63 - finest numbers
+    s = cells.select(*[F.col(c).alias(f"_st_{c}") for c in cells.columns])
+    e = events.withColumn("_at", epoch_micros(t)).where(F.col("_at").isNotNull())
+    spots = [F.struct(F.lit(int(k)).alias("lv"), F.shiftright("_at", int(k)).alias("cell")) for k in sorted(levels)]
+    none = F.array().cast("array<struct<lv:int,cell:bigint>>")
+    e = e.withColumn("_p", F.explode(F.array(*spots) if spots else none)).drop("_at")
+    cond = (F.col("_p.lv") == F.col("_st__lv")) & (F.col("_p.cell") == F.col("_st__cell"))
     for k in on:
-        cond = (F.col(k) == F.col(f"_st_{k}")) & cond
-    j = events.join(s, on=cond, how="inner")
-    return j.select(*events.columns,
-                    *[F.col(f"_st_{c}").alias(c) for c in stays.columns if c not in on])
+        cond = cond & (Q_(k) == Q_(f"_st_{k}"))
+    j = e.join(s, on=cond & (Q_(t) >= Q_(f"_st_{start}")) & (Q_(t) <= Q_(f"_st_{end}")), how="inner")
+    return j.select(*[Q_(c) for c in events.columns],
+                    *[Q_(f"_st_{c}").alias(c) for c in stays.columns if c not in on])
 
 
 _BITS = 60  # flags per word
 
 
-def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: str,
-                  flags: Sequence[str], prefix: str = "prior_", partitions: int | None = None) -> DataFrame:
-    """For every probe row, ``prefix + flag`` is true when a fact row of
-    the same key with ``t_then < t_now`` (strictly earlier) carries the flag.
-    A probe without a time, and facts without one, match nothing."""
-    on = _as_list(on)
-    flags = list(flags)
-    words = [f"_w{k}" for k in range(-(-len(flags) // _BITS))]
-    packed = []
-    for k, w in enumerate(words):
-        bits = [F.when(true_or_false(Q_(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                for i, c in enumerate(flags[k * _BITS:(k + 1) * _BITS])]
+def pack_flags(flags: Sequence[Column], prefix: str = "_w") -> list[Column]:
+    """Boolean columns as bits of ``bigint`` words ``prefix0``, ``prefix1``, ..."""
+    words = []
+    for k in range(0, len(flags), _BITS):
+        bits = [F.when(true_or_false(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                for i, c in enumerate(flags[k:k + _BITS])]
         total = bits[0]
         for x in bits[1:]:
-            total = total + x
-        packed.append(total.alias(w))
-    f = facts.where(F.col(t_then).isNotNull()).select(*on, F.col(t_then).alias("_t"), *packed)
+            total = total.bitwiseOR(x)
+        words.append(total.alias(f"{prefix}{k // _BITS}"))
+    return words
+
+
+def flag_of(words: Sequence[str], i: int) -> Column:
+    """Flag ``i`` of packed words; no word: false."""
+    return F.coalesce(Q_(words[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS)) != 0, F.lit(False))
+
+
+def prior_words(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: str, words: Sequence[str],
+                out: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """J4 on packed flags: the OR of ``words`` over facts of the same key with
+    ``t_then < t_now``, as columns ``out`` (null where there is none)."""
+    on = _as_list(on)
+    f = facts.where(F.col(t_then).isNotNull()).select(*on, F.col(t_then).alias("_t"), *[
+        Q_(w).alias(f"_w{k}") for k, w in enumerate(words)])
+    words = [f"_w{k}" for k in range(len(words))]
     f = f.groupBy(*on, "_t").agg(*[F.bit_or(w).alias(w) for w in words]).withColumn("_probe", F.lit(False))
     p = probes.where(F.col(t_now).isNotNull()).select(*on, F.col(t_now).alias("_t")).distinct()
     p = p.select(*on, "_t", *[F.lit(0).cast("bigint").alias(w) for w in words], F.lit(True).alias("_probe"))
@@ -88,7 +124,20 @@ def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: s
     same = F.col(t_now) == F.col("_kt")
     for i, c in enumerate(on):
         same = same & Q_(c).eqNullSafe(F.col(f"_k{i}"))
-    out = probes.join(here, same, "left")
-    return out.select(*[Q_(c) for c in probes.columns], *[
-        F.coalesce(F.col(words[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS)) != 0, F.lit(False)).alias(f"{prefix}{c}")
-        for i, c in enumerate(flags)])
+    joined = probes.join(here, same, "left")
+    return joined.select(*[Q_(c) for c in probes.columns], *[F.col(w).alias(o) for w, o in zip(words, out)])
+
+
+def prior_history(probes: DataFrame, facts: DataFrame, on, t_now: str, t_then: str,
+                  flags: Sequence[str], prefix: str = "prior_", partitions: int | None = None) -> DataFrame:
+    """For every probe row, ``prefix + flag`` is true when a fact row of
+    the same key with ``t_then < t_now`` (strictly earlier) carries the flag.
+    A probe without a time, and facts without one, match nothing."""
+    on, flags = _as_list(on), list(flags)
+    packed = pack_flags([Q_(c) for c in flags], "_f")
+    f = facts.select(*on, *([] if t_then in on else [t_then]), *packed)
+    words = [f"_f{k}" for k in range(len(packed))]
+    out = [f"_o{k}" for k in range(len(packed))]
+    got = prior_words(probes, f, on, t_now, t_then, words, out, partitions)
+    return got.select(*[Q_(c) for c in probes.columns],
+                      *[flag_of(out, i).alias(f"{prefix}{c}") for i, c in enumerate(flags)])

@@ -10,13 +10,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
-from pyspark.sql import types as T
 
 from stayline.operators.quality import exact_quantiles_long
 from stayline.operators.ranking import group_rank
@@ -91,37 +91,53 @@ def quantile_knots(train: DataFrame, cols: Sequence[str], n_quantiles: int = 100
     return knots
 
 
-def _interp_udf(knots: dict[str, list[float]]):
-    """One Arrow-batched function for all columns: struct in, struct out."""
-    import pandas as pd
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in knots])
-
-    def interp(x, xp):
-        import numpy as np
-        xp = np.asarray(xp, dtype="float64")
-        m = len(xp)
-        refs = np.linspace(0.0, 1.0, m) if m > 1 else np.zeros(1)
-        y = 0.5 * (np.interp(x, xp, refs) - np.interp(-x, -xp[::-1], -refs[::-1]))
-        y[x == xp[-1]] = refs[-1]
-        y[x == xp[0]] = refs[0]
-        y[np.isnan(x)] = np.nan
-        return y
-
-    def f(s):
-        return pd.DataFrame({c: interp(s[c].to_numpy(dtype="float64"), k) for c, k in knots.items()})
-    f.__annotations__ = {"s": pd.DataFrame, "return": pd.DataFrame}
-    return F.pandas_udf(f, schema)
-
-
 def quantile_transform(df: DataFrame, knots: dict[str, list[float]]) -> DataFrame:
     """L5 transform: map to [0, 1] by the mean of forward and backward linear
     interpolation over the knots; values at the first/last knot -> 0/1;
-    NULL stays NULL (one Arrow-batched pandas UDF over all columns)."""
-    from stayline.functions.expr import nan_to_null
-    if not knots:
+    NULL and NaN give NULL.
+
+    All columns find their place among the distinct knots by one binary search
+    each (Spark ML's bucketizer, in the JVM); the two interpolations then read a
+    value, its first and last reference and a slope from arrays of that size."""
+    from pyspark.ml.feature import Bucketizer
+    cols = [c for c in knots if knots[c]]
+    if not cols:
         return df
-    x = df.withColumn("_scaled", _interp_udf(knots)(F.struct(*[Q_(c).cast("double").alias(c) for c in knots])))
-    return x.withColumns({c: nan_to_null(F.col("_scaled")[c]) for c in knots}).drop("_scaled")
+    names = {c: (f"_x{i}", f"_b{i}") for i, c in enumerate(cols)}
+    x = df.withColumns({names[c][0]: Q_(c).cast("double") + 0.0 for c in cols})  # the search tells -0.0 from 0.0
+    tables = {c: _knot_table(knots[c]) for c in cols}
+    x = Bucketizer(splitsArray=[[-math.inf, *tables[c][0], math.inf] for c in cols],
+                   inputCols=[names[c][0] for c in cols], outputCols=[names[c][1] for c in cols],
+                   handleInvalid="keep").transform(x)
+    out = {}
+    for c in cols:
+        at, first, last, slope = (F.array(*[F.lit(float(v)) for v in t]) for t in tables[c])
+        v, below = F.col(names[c][0]), F.col(names[c][1]).cast("int") - 1  # distinct knots <= v, less one
+        knot = F.get(at, below)
+        forward = F.get(slope, below) * (v - knot) + F.get(last, below)
+        backward = F.when(v == knot, F.get(first, below)).otherwise(
+            F.get(first, below + 1) - F.get(slope, below) * (F.get(at, below + 1) - v))
+        lo, hi = tables[c][0][0], tables[c][0][-1]
+        out[c] = (F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double")).when(v <= lo, F.lit(0.0))
+                  .when(v >= hi, F.lit(tables[c][2][-1])).otherwise(0.5 * (forward + backward)))
+    return x.withColumns(out).drop(*[n for pair in names.values() for n in pair])
+
+
+def _knot_table(knots: Sequence[float]) -> tuple[list[float], list[float], list[float], list[float]]:
+    """(distinct knots; reference of the first and of the last of equal ones; slope
+    from the last one to the next distinct knot) for references linspace(0, 1, m)."""
+    m = len(knots)
+    at, first, last = [], [], []
+    for i, k in enumerate(k + 0.0 for k in knots):
+        ref = i / (m - 1) if m > 1 else 0.0
+        if at and at[-1] == k:
+            last[-1] = ref
+        else:
+            at.append(k)
+            first.append(ref)
+            last.append(ref)
+    slope = [(first[i + 1] - last[i]) / (at[i + 1] - at[i]) for i in range(len(at) - 1)]
+    return at, first, last, [*slope, 0.0]
 
 
 # ---------------------------------------------------------------- L6

@@ -114,28 +114,18 @@ register("code_flags", "WITH " + MATCH_SQL + """,
 
 
 # ---------------------------------------------------------------- J4 + C4 + F17
-def _order_flags(spark, d):
-    a = C.assign_groups(diagnoses(spark, d).drop("p_type"), "icd_code", "icd_version", C.code_rules(spark))
-    fl = C.group_flags(a, "l_orderkey", GROUPS)
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return o, fl.withColumnRenamed("l_orderkey", "o_orderkey").join(o, "o_orderkey")
-
-
 def _weighted(spark, d):
-    from stayline.session import cut_lineage
-    o, facts = _order_flags(spark, d)
-    # the admission-level flags feed both the row window and the chunk carry:
-    # write them once (one row per order) instead of re-deriving them from
-    # the line items in every branch
-    facts = cut_lineage(facts)
-    pr = J.prior_history(o, facts, "o_custkey", "o_orderdate", "o_orderdate", GROUPS, prefix="prior ")
-    w = C.moore_weights()
-    n = None
-    for g in GROUPS:
-        t = F.col(f"prior {g}").cast("int")
-        n = t if n is None else n + t
-    pr = C.prior_score(pr, w, prefix="prior ", out="score").withColumn("n_prior_groups", n)
-    return pr.select("o_orderkey", "o_custkey", "n_prior_groups", "score")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    facts, words = C.group_words(diagnoses(spark, d).drop("p_type"), "icd_code", "icd_version", C.code_rules(spark),
+                                 "l_orderkey", GROUPS)
+    facts = facts.join(o.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    out = [f"_p{k}" for k in range(len(words))]
+    pr = J.prior_words(o, facts, "o_custkey", "o_orderdate", "o_orderdate", words, out)
+    w, n, score = C.moore_weights(), F.lit(0), F.lit(0)
+    for i, g in enumerate(GROUPS):
+        has = J.flag_of(out, i).cast("int")
+        n, score = n + has, score + has * w[g]
+    return pr.select("o_orderkey", "o_custkey", n.alias("n_prior_groups"), score.alias("score"))
 
 
 _W = C.moore_weights()
@@ -185,3 +175,24 @@ register("join_interval", rounded_sql("WITH " + STAYS_SQL + """,
   SELECT e.event_id, e.user_id, e.ts, e.value, fs.session_no, fs.intime, fs.outtime
   FROM events e JOIN fs ON e.user_id = fs.user_id AND e.ts >= fs.intime AND e.ts <= fs.outtime""",
     ["value"]))(_interval)
+
+
+def _interval_hot(spark, d):
+    """J5 where one key holds a third of the rows: users are pooled into wards, every
+    third one into ward 0; events meet the first day of every stay of their ward."""
+    ward = F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("bigint")
+    st = stay_table(spark, d)
+    st = st.select(ward.alias("ward"), "user_id", "session_no", "intime",
+                   F.least("outtime", F.col("intime") + F.expr("INTERVAL 24 HOURS")).alias("until"))
+    ev = table(spark, d, "events").select("event_id", ward.alias("ward"), "ts")
+    return J.events_in_stay(ev, st, "ward", "ts", "intime", "until").groupBy("ward", "user_id", "session_no").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+_WARD = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END"
+register("join_interval_wards", "WITH " + STAYS_SQL + f""",
+  w AS (SELECT {_WARD} AS ward, user_id, session_no, intime, least(outtime, intime + INTERVAL 24 HOUR) AS until FROM st),
+  e AS (SELECT event_id, {_WARD} AS ward, ts FROM events)
+  SELECT CAST(w.ward AS BIGINT) AS ward, w.user_id, w.session_no, count(*) AS n_events, min(e.event_id) AS first_id,
+         max(e.event_id) AS last_id
+  FROM e JOIN w ON e.ward = w.ward AND e.ts >= w.intime AND e.ts <= w.until GROUP BY ALL""")(_interval_hot)
