@@ -11,7 +11,9 @@
    L costs L x (2 x SYMBOLS - 1) numbers and no strings, however long it is.
 4. The neighbourhoods are joined with the reduced vocabulary, classes with their
    words, and every candidate is verified on the original strings (edit
-   distance exactly 1).  A hash can only add candidates, never lose one.
+   distance exactly 1).  A hash can only add candidates, never lose one.  Before
+   the shuffle a bitmap of fixed size (2**SEEN_BITS bits, 16 MB) drops most keys
+   that no reduced word has; when the vocabulary outgrows it, it drops fewer.
 5. A word's form is its near word of largest count, if that is at least twice its
    own; roots follow by pointer doubling: counts double along a chain, so it
    has at most log2(largest count) links and that many, halved each time, rounds.
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm import blocks
-from stayline.llm.graph import own_exchange_str
+from stayline.llm import blocks, graph
 from stayline.llm.ship import ship_code
 from stayline.session import cut_lineage
 
 SYMBOLS = 8
+SEEN_BITS = 27
 _GAP = r"[^A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = _LOWER + "".join(map(chr, range(0xC0, 0x100)))
@@ -78,6 +80,21 @@ def _key(value: np.ndarray, length: np.ndarray) -> np.ndarray:
     return blocks.mix64(value + blocks.mix64(length.astype(np.uint64))).view(np.int64)
 
 
+def _powers(top: int) -> np.ndarray:
+    power = np.full(top, _BASE, np.uint64)
+    power[0] = 1
+    return np.multiply.accumulate(power)
+
+
+def own_keys(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Key of each reduced word."""
+    begin = np.cumsum(lengths) - lengths
+    rel = np.arange(len(flat)) - np.repeat(begin, lengths)
+    term = (flat.astype(np.uint64) + _U(1)) * _powers(int(lengths.max(initial=0)) + 2)[rel]
+    total = np.concatenate([[_U(0)], np.cumsum(term, dtype=np.uint64)])
+    return _key(total[begin + lengths] - total[begin], lengths)
+
+
 def neighbourhood(flat: np.ndarray, lengths: np.ndarray, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(own key of each reduced word; keys of all words one edit or none away;
     the word each belongs to).  ``flat``: symbols (from 0) of all words."""
@@ -85,10 +102,7 @@ def neighbourhood(flat: np.ndarray, lengths: np.ndarray, symbols: int = SYMBOLS)
     word = np.repeat(np.arange(words), lengths)
     begin = np.cumsum(lengths) - lengths
     rel = np.arange(len(flat)) - begin[word]
-    top = int(lengths.max(initial=0)) + 2
-    power = np.full(top, _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
+    power = _powers(int(lengths.max(initial=0)) + 2)
     x = flat.astype(np.uint64) + _U(1)
     term = x * power[rel]
     total = np.concatenate([[_U(0)], np.cumsum(term, dtype=np.uint64)])
@@ -115,36 +129,66 @@ def neighbourhood(flat: np.ndarray, lengths: np.ndarray, symbols: int = SYMBOLS)
     return own, np.concatenate(keys), np.concatenate(of)
 
 
-def _generate(classes: DataFrame, symbols: int, full: bool) -> DataFrame:
-    """reduced, key: of the whole neighbourhood, or of the word itself."""
+def _keyed(reduced: DataFrame, symbols: int) -> DataFrame:
+    """``reduced`` and its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            for i, j in blocks.row_blocks(column, 1 << 14):
-                part = column.slice(i, j - i)
-                data, offsets = blocks.flat_utf8(part)
-                flat = np.where(data < 58, data - 48, data - 87).astype(np.int64)
-                own, keys, of = neighbourhood(flat, np.diff(offsets), symbols)
-                if full:
-                    yield pa.RecordBatch.from_arrays([part.take(pa.array(of)), pa.array(keys)], names=["reduced", "key"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part, pa.array(own)], names=["reduced", "key"])
+            for i, j in blocks.row_blocks(batch.column(0)):
+                part = batch.column(0).slice(i, j - i)
+                flat, lengths = _symbols(part)
+                yield pa.RecordBatch.from_arrays([part, pa.array(own_keys(flat, lengths))], names=["reduced", "key"])
         blocks.release()
 
-    return classes.select("reduced").mapInArrow(run, "reduced string, key bigint")
+    return reduced.select("reduced").mapInArrow(run, "reduced string, key bigint")
 
 
-def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """word, near, n_near: every ordered pair of words exactly one edit apart."""
-    ship_code(words.sparkSession)
-    own = cut_lineage(words.select("word", "n", F.translate("word", LETTERS, symbol_of(LETTERS, symbols)).alias("reduced")))
-    classes = own.select("reduced").distinct()
-    around = _generate(classes, symbols, True).join(_generate(classes, symbols, False).withColumnRenamed("reduced", "other"), "key")
-    around = around.select("reduced", "other").distinct()
-    left = own.select("word", own_exchange_str("reduced")).join(around.select(own_exchange_str("reduced"), "other"), "reduced")
-    right = own.select(F.col("word").alias("near"), F.col("n").alias("near_n"), own_exchange_str("reduced").alias("other"))
-    pairs = left.select("word", own_exchange_str("other")).join(right, "other")
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = blocks.flat_utf8(column)
+    return np.where(data < 58, data - 48, data - 87).astype(np.int64), np.diff(offsets)
+
+
+def _seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits with those of the keys set: of fixed size."""
+    cell = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    parts = keys.select(cell.alias("c")).groupBy(F.shiftright("c", 15).alias("b")).agg(
+        F.bitmap_construct_agg(F.col("c") % 32768).alias("m"))
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in parts.collect():
+        out[r.b] = np.frombuffer(bytes(r.m), np.uint8)
+    return out.reshape(-1)
+
+
+def _generate(classes: DataFrame, symbols: int, seen) -> DataFrame:
+    """(key of the reduced word, key in its neighbourhood), without keys that no
+    reduced word can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = seen.value
+        low = _U(8 * len(bitmap) - 1)
+        for batch in batches:
+            for i, j in blocks.row_blocks(batch.column(0), 1 << 14):
+                own, keys, of = neighbourhood(*_symbols(batch.column(0).slice(i, j - i)), symbols)
+                c = (keys.view(np.uint64) & low).astype(np.int64)
+                hit = (bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(own[of[hit]]), pa.array(keys[hit])], names=["src", "key"])
+        blocks.release()
+
+    return classes.select("reduced").mapInArrow(run, "src bigint, key bigint")
+
+
+def near_pairs(words: DataFrame, symbols: int = SYMBOLS, bits: int = SEEN_BITS) -> DataFrame:
+    """word, near, near_n: every ordered pair of words exactly one edit apart."""
+    spark = words.sparkSession
+    ship_code(spark)
+    own = words.select("word", "n", F.translate("word", LETTERS, symbol_of(LETTERS, symbols)).alias("reduced"))
+    classes = cut_lineage(_keyed(own.select("reduced").distinct(), symbols))
+    own = cut_lineage(own.join(classes, "reduced").select("word", "n", "key"))
+    seen = spark.sparkContext.broadcast(_seen_bits(classes, bits))
+    around = _generate(classes, symbols, seen).join(classes.select("key"), "key", "left_semi").distinct()
+    left = own.select("word", F.col("key").alias("src")).join(graph.own_exchange(around, "src"), "src").select("word", "key")
+    right = own.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
+    pairs = graph.own_exchange(left, "key").join(graph.own_exchange(right, "key"), "key")
     return pairs.where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).select(
         "word", "near", "near_n")
 
