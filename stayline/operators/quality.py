@@ -21,9 +21,9 @@ The result equals linear-interpolation quantiles (``quantile_cont``, pandas
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
@@ -173,12 +173,29 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         .select("_s.column", "_s.null_frac")
 
 
-def drop_sparse(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.95) -> DataFrame:
+def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, Column]:
+    """Aggregates of the null profile, to be observed while ``df`` is written:
+    rows (``n``) and NULLs of column i (``c<i>``)."""
+    cols = list(cols or df.columns)
+    return {"n": F.count(F.lit(1)), **{f"c{i}": F.count_if(Q_(c).isNull()) for i, c in enumerate(cols)}}
+
+
+def observed_profile(metrics: Mapping[str, int], cols: Sequence[str]) -> dict[str, float]:
+    """AG10 from observed ``null_counts``: NULL fraction per column."""
+    n = int(metrics["n"] or 0)
+    return {c: int(metrics[f"c{i}"] or 0) / n for i, c in enumerate(cols)} if n else {}
+
+
+def drop_sparse(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.95,
+                profile: Mapping[str, float] | None = None) -> DataFrame:
     """PF10: drop columns whose NULL fraction is strictly above the threshold.
 
-    The column list shapes the plan, so the one-row profile is fetched."""
-    prof = null_profile(df, cols)
-    drop = [r["column"] for r in prof.where(F.col("null_frac") > threshold).collect()]
+    The column list shapes the plan, so the one-row profile is fetched, unless
+    it was taken when the table was written (``observed_profile``)."""
+    if profile is None:
+        drop = [r["column"] for r in null_profile(df, cols).where(F.col("null_frac") > threshold).collect()]
+    else:
+        drop = [c for c in (cols or df.columns) if profile.get(c, 0.0) > threshold]
     return df.drop(*drop)
 
 

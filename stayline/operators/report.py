@@ -36,6 +36,30 @@ def label_prevalence(panel: DataFrame, keys, label: str) -> DataFrame:
     return per_stay.unionByName(per_step)
 
 
+def stay_counts() -> dict:
+    """Aggregates over one row per stay (``_pos``: any positive step, ``_steps``,
+    ``_steps_pos``), to be observed while those rows are written."""
+    return {"n_stays": F.count(F.lit(1)), "n_positive": F.count_if("_pos"), "n_steps": F.sum("_steps"),
+            "n_steps_positive": F.sum("_steps_pos")}
+
+
+def observed_size(spark, m) -> DataFrame:
+    """AG12 from observed ``stay_counts``."""
+    one = spark.range(1).select(F.lit(int(m["n_stays"] or 0)).cast("bigint").alias("n_stays"),
+                                F.lit(int(m["n_positive"] or 0)).cast("bigint").alias("n_positive"))
+    return one.withColumn("log2_stays", F.log2(F.col("n_stays").cast("double"))) \
+              .withColumn("log2_positive", F.log2(F.col("n_positive").cast("double")))
+
+
+def observed_prevalence(spark, m) -> DataFrame:
+    """AG13 from observed ``stay_counts``."""
+    def pct(part, whole):
+        return F.round(F.lit(float(m[part] or 0)) / F.lit(float(m[whole] or 0)) * 100, 1) if m[whole] else F.lit(None).cast("double")
+    rows = F.array(F.struct(F.lit("per_stay").alias("flag"), pct("n_positive", "n_stays").alias("pct")),
+                   F.struct(F.lit("per_step").alias("flag"), pct("n_steps_positive", "n_steps").alias("pct")))
+    return spark.range(1).select(F.explode(rows).alias("_s")).select("_s.*")
+
+
 def prevalence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """AG13: percent true per flag column, long form, sorted descending."""
     row = df.agg(*[F.round(F.avg(F.col(f).cast("double")) * 100, 1).alias(f) for f in flags])

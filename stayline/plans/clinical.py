@@ -20,7 +20,9 @@ from stayline.functions.expr import col as Q_
 
 from stayline.functions import constants as K
 from stayline.functions import expr as X
-from stayline.sources.tables import column_type_profile, load_bundle, save_bundle, save_report
+from stayline.sources.stages import Memory, Stages, source_digest
+from stayline.sources.tables import (column_type_profile, load_bundle, load_label_map, load_tables, save_bundle,
+                                     save_report)
 from stayline.operators import (codes as C, evaluate as E, filters, grid, joins as J, prep, quality as Q,
                                 report, stays as S, windows as W)
 
@@ -289,30 +291,47 @@ def add_scores(panel: DataFrame, mode: str = "reference") -> DataFrame:
 
 
 # ---------------------------------------------------------------- P8
-def export(static: DataFrame, panel: DataFrame) -> dict[str, DataFrame]:
-    """The four outputs; dynamic columns more than 95 % NULL dropped."""
+def dynamic_columns(panel: DataFrame) -> list[str]:
+    """Columns of the panel that are neither keys, label nor horizon scores."""
+    aux = [f"{n} Future Max {K.HORIZON_HOURS}h" for n, *_ in K.SCORES]
+    return [c for c in panel.columns if c not in (*ID, "hour", LABEL, *aux)]
+
+
+def export(static: DataFrame, panel: DataFrame, profile: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """The four outputs; dynamic columns more than 95 % NULL dropped.
+    ``profile``: their NULL fractions, if taken when the panel was written."""
     h = K.HORIZON_HOURS
     keep = ["age", "ED admit", "BMI"] + [f"{c}, {v}" for c, dom in K.STATIC_DOMAINS.items() for v in dom]
     x_static = static.select(*ID, *[Q_(c) for c in keep if c in static.columns])
     aux = [f"{n} Future Max {h}h" for n, *_ in K.SCORES]
     y = panel.select(*ID, "hour", Q_(LABEL))
     y_aux = panel.select(*ID, "hour", *[Q_(c) for c in aux])
-    dyn_cols = [c for c in panel.columns if c not in (*ID, "hour", LABEL, *aux)]
-    x_dynamic = Q.drop_sparse(panel.select(*ID, "hour", *[Q_(c) for c in dyn_cols]), dyn_cols, 0.95)
+    dyn_cols = dynamic_columns(panel)
+    x_dynamic = Q.drop_sparse(panel.select(*ID, "hour", *[Q_(c) for c in dyn_cols]), dyn_cols, 0.95, profile)
     return {"x_static": x_static, "y": y, "y_aux": y_aux, "x_dynamic": x_dynamic}
 
 
 # ---------------------------------------------------------------- P9
-def prepare(bundle: dict[str, DataFrame], n_quantiles: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
+def _stay_rows(y: DataFrame) -> DataFrame:
+    """One row per stay: any positive step, steps, positive steps."""
+    return y.groupBy(*ID).agg(F.coalesce(F.bool_or(LABEL), F.lit(False)).alias("_pos"), F.count(F.lit(1)).alias("_steps"),
+                              F.count_if(Q_(LABEL)).alias("_steps_pos"))
+
+
+def prepare(bundle: dict[str, DataFrame], n_quantiles: int = 1000, seed: int = 0, stages=None) -> dict[str, DataFrame]:
     """Stratified split, Train-fitted scaling (quantile for numeric,
     min-max for scores), mask and time-since-observed from unfilled data,
-    forward fill then zero, packed per stay."""
+    forward fill then zero, packed per stay.  ``stages``: where the intermediate
+    tables go (``sources/stages.py``); none: checkpoints."""
+    st = stages or Memory()
     y = bundle["y"]
-    ids = prep.stratified_split(y.groupBy(*ID).agg(F.bool_or(LABEL).alias("_pos")), ID, "_pos", seed=seed)
-    ids = cut(ids.select(*ID, "split"))
+    rows = st.run("stays", lambda: {"stays": _stay_rows(y)}, observe={"stays": lambda df: report.stay_counts()})["stays"]
+    ids = st.run("split", lambda: {"ids": prep.stratified_split(rows.select(*ID, "_pos"), ID, "_pos", seed=seed).select(
+        *ID, "split")}, after=["stays"], params=seed)["ids"]
+    with_split = st.run("with_split", lambda: {n: prep.apply_split(bundle[n], ids, ID) for n in ("x_static", "x_dynamic", "y_aux")},
+                        after=["split"])
     out = {}
-    for name in ("x_static", "x_dynamic", "y_aux"):
-        df = cut(prep.apply_split(bundle[name], ids, ID))
+    for name, df in with_split.items():
         types = dict(df.dtypes)
         score_cols = [c for c in df.columns if "SOFA" in c]
         num = [c for c in df.columns if c not in (*ID, "hour", "split") and c not in score_cols
@@ -394,20 +413,32 @@ def panel_labels(label_map: DataFrame) -> list[str]:
 
 
 def run_extraction(t: dict[str, DataFrame], label_map: DataFrame, labels: list[str] | None = None,
-                   out_dir: str | None = None) -> dict[str, DataFrame]:
-    """P1-P8 end to end; the hourly panel is checkpointed before the windows.
-    ``labels`` default to everything the label map can give.  With ``out_dir`` the
-    four outputs are written as Parquet (IO4) and the reports as CSV (IO5)."""
+                   out_dir: str | None = None, stages=None, buckets: int = 0) -> dict[str, DataFrame]:
+    """P1-P8 end to end.  ``labels`` default to everything the label map can give.
+    With ``out_dir`` the four outputs are written as Parquet (IO4; ``buckets``:
+    bucketed by the stay) and the reports as CSV (IO5).  ``stages``
+    (``sources/stages.py``): every stage is written under its digest and a restarted
+    run reads what is finished; without, the tables are checkpointed."""
     labels = panel_labels(label_map) if labels is None else labels
-    cohort, dx_long = build_cohort(t)
-    cohort = cut(add_body_size(t, cohort))
-    static = cut(static_features(t, cohort, dx_long))
-    ce = clean_measurements(t, cohort, label_map)
-    panel = hourly_panel(t, cohort, ce, labels)
-    panel = cut(add_scores(add_outcome(panel, cohort)))
-    bundle = export(static, panel)
+    st = stages or Memory()
+
+    def cohort_stage():
+        cohort, dx_long = build_cohort(t)
+        return {"cohort": add_body_size(t, cohort), "dx": dx_long}
+
+    got = st.run("cohort", cohort_stage)
+    cohort, dx_long = got["cohort"], got["dx"]
+    static = st.run("static", lambda: {"static": static_features(t, cohort, dx_long)}, after=["cohort"])["static"]
+    ce = st.run("measurements", lambda: {"ce": clean_measurements(t, cohort, label_map)}, after=["cohort"])["ce"]
+    hourly = st.run("panel", lambda: {"panel": hourly_panel(t, cohort, ce, labels)}, after=["cohort", "measurements"],
+                    params=labels)["panel"]
+    # the NULL profile (AG10) is taken while the scored panel is written
+    panel = st.run("scores", lambda: {"panel": add_scores(add_outcome(hourly, cohort))}, after=["cohort", "panel"],
+                   observe={"panel": lambda df: Q.null_counts(df, dynamic_columns(df))})["panel"]
+    profile = Q.observed_profile(st.metrics["scores"]["panel"], dynamic_columns(panel))
+    bundle = export(static, panel, profile)
     if out_dir:
-        save_bundle(bundle, f"{out_dir}/data")
+        save_bundle(bundle, f"{out_dir}/data", bucket_by=ID, buckets=buckets)
         reports = {"cohort": cohort_report(cohort), "body_size": body_size_histograms(cohort),
                    "prior_history": prior_report(static, cohort), **score_report(panel)}
         for name, df in reports.items():
@@ -415,6 +446,14 @@ def run_extraction(t: dict[str, DataFrame], label_map: DataFrame, labels: list[s
     return bundle
 
 
+def run_extraction_from(spark, in_dir: str, label_map_path: str, out_dir: str, buckets: int = 0) -> dict[str, DataFrame]:
+    """P1-P8 from files (IO1, IO2), resumable: stages go to ``out_dir/stages`` and
+    depend on the source files' names, lengths and times of change."""
+    t, label_map = load_tables(spark, in_dir), load_label_map(spark, label_map_path)
+    stages = Stages(spark, f"{out_dir}/stages", source_digest(spark, in_dir, label_map_path), ID, buckets)
+    return run_extraction(t, label_map, out_dir=out_dir, stages=stages, buckets=buckets)
+
+
 def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20, seed: int = 0,
                    concepts=(), variables=(), y: str = "y", p: str = "y_proba",
                    split: str = "split") -> dict[str, DataFrame]:
@@ -432,22 +471,26 @@ def explain_scored(scored: DataFrame, keys=ID, step: str = "step", n: int = 20,
     return out
 
 
-def run_preparation(bundle: dict[str, DataFrame], out_dir: str, n_quantiles: int = 1000,
-                    seed: int = 0) -> dict[str, DataFrame]:
+def run_preparation(bundle: dict[str, DataFrame], out_dir: str, n_quantiles: int = 1000, seed: int = 0,
+                    stages=None, buckets: int = 0) -> dict[str, DataFrame]:
     """P9 + IO6: prepare and write every packed table partitioned by split."""
-    packed = prepare(bundle, n_quantiles, seed)
-    save_bundle(packed, out_dir, partition_by=["split"])
+    packed = prepare(bundle, n_quantiles, seed, stages)
+    save_bundle(packed, out_dir, partition_by=["split"], bucket_by=ID, buckets=buckets)
     return packed
 
 
-def prepare_from(spark, in_dir: str, out_dir: str, n_quantiles: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
-    """P9 from files: load the extraction's bundle (IO3), report string columns
-    (IO7), cohort size (AG12) and prevalence (AG13), then prepare and write."""
+def prepare_from(spark, in_dir: str, out_dir: str, n_quantiles: int = 1000, seed: int = 0, buckets: int = 0,
+                 resume: bool = False) -> dict[str, DataFrame]:
+    """P9 from files: load the extraction's bundle (IO3), prepare and write, and
+    report string columns (IO7), cohort size (AG12) and prevalence (AG13), both
+    counted while the stays are written.  ``resume``: intermediate tables are
+    stages below ``out_dir/stages``."""
     bundle = load_bundle(spark, in_dir)
-    y = bundle["y"].withColumnRenamed(LABEL, "_y")
-    save_report(report.cohort_size(y, ID, "_y"), f"{out_dir}/reports/cohort_size")
-    save_report(report.label_prevalence(y, ID, "_y"), f"{out_dir}/reports/prevalence")
+    st = Stages(spark, f"{out_dir}/stages", source_digest(spark, in_dir), ID, buckets) if resume else Memory()
+    packed = run_preparation(bundle, f"{out_dir}/data", n_quantiles, seed, st, buckets)
+    counts = st.metrics["stays"]["stays"]
+    save_report(report.observed_size(spark, counts), f"{out_dir}/reports/cohort_size")
+    save_report(report.observed_prevalence(spark, counts), f"{out_dir}/reports/prevalence")
     strings = column_type_profile(bundle["x_static"].drop("session_no"), ["hadm_id"])
     save_report(strings, f"{out_dir}/reports/string_columns")
-    return run_preparation(bundle, f"{out_dir}/data", n_quantiles, seed)
-
+    return packed

@@ -6,12 +6,16 @@ Reads take explicit schemas where given; NaN becomes NULL at ingest.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayline.sources.bucketed import layout, load_bucketed, save_bucketed
+
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
 
@@ -27,11 +31,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def list_names(spark: SparkSession, directory: str) -> list[str]:
-    """Names in a directory of any file system that Spark reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(path))
+    """Names of the tables (files, or folders with files) in a directory of any file
+    system that Spark reads; listed by Spark, no file is opened."""
+    if "://" not in directory and not directory.startswith(("/", "file:")):
+        directory = os.path.abspath(directory)
+    root = re.sub(_SCHEME, "", directory).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    path = F.regexp_replace("path", _SCHEME, "")
+    first = F.split(F.substring(path, len(root) + 1, 1 << 20), "/")[0]
+    return sorted(r[0] for r in files.select(first.alias("name")).distinct().collect())  # one name a table
 
 
 def load_tables(spark: SparkSession, directory: str, names: Sequence[str] | None = None,
@@ -58,9 +70,14 @@ def load_tables(spark: SparkSession, directory: str, names: Sequence[str] | None
 
 
 def load_bundle(spark: SparkSession, directory: str, exclude: str = "cols") -> dict[str, DataFrame]:
-    """IO3: load an intermediate bundle, skipping names containing ``exclude``."""
+    """IO3: load an intermediate bundle, skipping names containing ``exclude``;
+    tables of a bucketed layout keep it."""
     names = [n for n in list_names(spark, directory) if exclude not in n and not n.startswith(("_", "."))]
-    return {n: spark.read.parquet(f"{directory}/{n}") for n in names}
+    out = {}
+    for n in names:
+        spec = layout(spark, f"{directory}/{n}")
+        out[n] = load_bucketed(spark, f"{directory}/{n}", spec) if spec else spark.read.parquet(f"{directory}/{n}")
+    return out
 
 
 def load_label_map(spark: SparkSession, path: str, key: str = "itemid",
@@ -71,12 +88,19 @@ def load_label_map(spark: SparkSession, path: str, key: str = "itemid",
     return df.where(F.col("label").isNotNull())
 
 
-def save_bundle(tables: Mapping[str, DataFrame], directory: str, partition_by: Sequence[str] = ()) -> None:
-    """IO4 / IO6: write each table as Parquet (overwrite)."""
+def save_bundle(tables: Mapping[str, DataFrame], directory: str, partition_by: Sequence[str] = (),
+                bucket_by: Sequence[str] = (), buckets: int = 0) -> None:
+    """IO4 / IO6: write each table as Parquet (overwrite).  ``bucket_by`` with a
+    number of ``buckets``: tables with these columns are bucketed and sorted by
+    them (``sources/bucketed.py``), so joins on them need no exchange."""
     for n, df in tables.items():
+        split = list(partition_by) if all(c in df.columns for c in partition_by) else []
+        if buckets and bucket_by and all(c in df.columns for c in bucket_by):
+            save_bucketed(df, f"{directory}/{n}", bucket_by, buckets, split)
+            continue
         w = df.write.mode("overwrite")
-        if partition_by and all(c in df.columns for c in partition_by):
-            w = w.partitionBy(*partition_by)
+        if split:
+            w = w.partitionBy(*split)
         w.parquet(f"{directory}/{n}")
 
 
