@@ -11,29 +11,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import constants as K
+from stayline.functions.expr import col as Q_
 from stayline.operators.quality import exact_quantiles
 from stayline.operators.ranking import prefix_sums
 
 
-def score_groups(df: DataFrame, y: str, s: str) -> DataFrame:
+def score_groups(df: DataFrame, y: str, s: str, by=None, following: str | None = None) -> DataFrame:
     """Positives / negatives per distinct score, with cumulative counts from
-    the highest score down (inclusive) and class totals."""
+    the highest score down (inclusive) and class totals ``P`` and ``N``; inside the
+    groups ``by``.  One range sort, written once, gives all of them."""
+    by = [by] if isinstance(by, str) else list(by or [])
     yy = F.col(y).cast("int")
-    g = df.where(F.col(s).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(s).alias("score")).agg(
+    g = df.where(F.col(s).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(s).alias("score")).agg(
         F.sum(yy).cast("bigint").alias("pos"), F.sum(1 - yy).cast("bigint").alias("neg"))
-    c = prefix_sums(g, [F.col("score").desc()], ["pos", "neg"])
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return c.crossJoin(F.broadcast(tot))
+    c = prefix_sums(g, [F.col("score").desc()], ["pos", "neg"], by=by, totals="_all", following=following)
+    return c.withColumnsRenamed({"pos_all": "P", "neg_all": "N"})
 
 
-def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
+def _turns(next_: str) -> Column:
+    """Does the ROC curve change direction at a point?  The steps to it and from it
+    are the group's own counts and those of the next group: cross product not 0."""
+    wide = "decimal(19,0)"
+    p, n = F.col("pos").cast(wide), F.col("neg").cast(wide)
+    q, m = F.col(f"pos{next_}").cast(wide), F.col(f"neg{next_}").cast(wide)
+    return F.coalesce(p * m != n * q, F.lit(True))  # the last point stays
+
+
+def roc_points(df: DataFrame, y: str, s: str, reduce: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, plus the start
-    point (threshold +inf, 0, 0)."""
-    g = score_groups(df, y, s)
+    point (threshold +inf, 0, 0).  ``reduce``: without the points that lie on the
+    line between their neighbours; the curve and its area stay the same."""
+    g = score_groups(df, y, s, following="_next" if reduce else None)
+    if reduce:
+        g = g.where(_turns("_next"))
     pts = g.select(F.col("score").cast("double").alias("threshold"),
                    (F.col("neg_cum") / F.col("N")).alias("fpr"), (F.col("pos_cum") / F.col("P")).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
@@ -41,27 +55,36 @@ def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
     return start.unionByName(pts)
 
 
-def pr_points(df: DataFrame, y: str, s: str) -> DataFrame:
-    """(threshold, precision, recall) for every distinct score."""
-    g = score_groups(df, y, s)
+def pr_points(df: DataFrame, y: str, s: str, reduce: bool = False) -> DataFrame:
+    """(threshold, precision, recall) for every distinct score.  ``reduce``:
+    without the points inside a run of equal recall (a vertical line: no positive
+    at the threshold, none at the next), first and last of each run stay."""
+    g = score_groups(df, y, s, following="_next" if reduce else None)
+    if reduce:
+        g = g.where((F.col("pos") > 0) | F.coalesce(F.col("pos_next") > 0, F.lit(True)))
     return g.select(F.col("score").cast("double").alias("threshold"),
                     (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
                     (F.col("pos_cum") / F.col("P")).alias("recall"))
 
 
+def _auroc():
+    below = F.col("N") - F.col("neg_cum")
+    return F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.first("P") * F.first("N"))
+
+
+def _average_precision():
+    prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
+    return F.sum(F.col("pos") / F.col("P") * prec)
+
+
 def auroc(df: DataFrame, y: str, s: str) -> DataFrame:
     """P(score_pos > score_neg) + 0.5 P(tie), from score groups."""
-    g = score_groups(df, y, s)
-    below = F.col("N") - F.col("neg_cum")
-    return g.agg((F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) /
-                  (F.first("P") * F.first("N"))).alias("auroc"))
+    return score_groups(df, y, s).agg(_auroc().alias("auroc"))
 
 
 def average_precision(df: DataFrame, y: str, s: str) -> DataFrame:
     """Sum over thresholds of (recall step) x precision (step rule)."""
-    g = score_groups(df, y, s)
-    prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
-    return g.agg((F.sum(F.col("pos") / F.col("P") * prec)).alias("average_precision"))
+    return score_groups(df, y, s).agg(_average_precision().alias("average_precision"))
 
 
 def calibration_bins(df: DataFrame, y: str, p: str, bins: int = K.CALIBRATION_BINS) -> DataFrame:
@@ -88,11 +111,20 @@ def calibration_by_score(df: DataFrame, y: str, s: str) -> DataFrame:
 
 
 def assess(df: DataFrame, y: str, s: str) -> DataFrame:
-    """AUROC, AUPRC and number of score groups for one score, one row."""
-    a = auroc(df, y, s)
-    ap = average_precision(df, y, s)
-    ng = df.select(s).where(F.col(s).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n_scores"))
-    return a.crossJoin(ap).crossJoin(ng)
+    """AUROC, AUPRC and number of score groups for one score, one row, all
+    from the same score groups.  Rows without an outcome count for the number of
+    scores only if another row of that score has one."""
+    return score_groups(df, y, s).agg(_auroc().alias("auroc"), _average_precision().alias("average_precision"),
+                                      F.count(F.lit(1)).alias("n_scores"))
+
+
+def assess_many(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
+    """E13 for several score columns: one row each, from one range sort of all."""
+    long = df.select(F.col(y).alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("score_name"), Q_(c).cast("double").alias("_s")) for c in scores])).alias("_p"))
+    g = score_groups(long.select("_y", "_p.*"), "_y", "_s", by="score_name")
+    return g.groupBy("score_name").agg(_auroc().alias("auroc"), _average_precision().alias("average_precision"),
+                                       F.count(F.lit(1)).alias("n_scores"))
 
 
 # ---------------------------------------------------------------- losses

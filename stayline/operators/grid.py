@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import col as Q_
@@ -46,19 +46,39 @@ def one_hot(df: DataFrame, c: str, domain: Sequence[str], prefix: str | None = N
 
 
 # ---------------------------------------------------------------- R2 pivot
-def pivot_labels(df: DataFrame, keys, label: str, value: str, labels: Sequence[str],
-                 agg: str = "avg") -> DataFrame:
-    """R2: long -> wide with an explicit label list, one aggregate per label.
+def known_label(label: str, labels: Sequence[str]) -> Column:
+    """The label; one that the caller did not list stops the job."""
+    return F.when(F.col(label).isin(list(labels)), F.col(label)).otherwise(
+        F.raise_error(F.concat(F.lit("unlisted label: "), F.col(label))))
+
+
+def label_domain(df: DataFrame, label: str, most: int = 2000) -> list[str]:
+    """The labels that occur, sorted: columns of a pivot.  More than ``most`` stop
+    the job, so no more than that ever reach the driver."""
+    rows = df.select(F.col(label).alias("l")).where(F.col("l").isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels in {label}")
+    return sorted(r["l"] for r in rows)
+
+
+def pivot_labels(df: DataFrame, keys, label: str, value: str, labels: Sequence[str] | None = None,
+                 agg: str = "avg", unlisted: str = "error") -> DataFrame:
+    """R2: long -> wide, one aggregate per label; ``labels`` default to all that occur.
 
     Conditional aggregation (``agg(CASE WHEN label = L THEN v END)``) is one
     hash aggregate with map-side combine; rows whose labels are all missing
-    and NULL labels are dropped like the pandas pivot table.
+    and NULL labels are dropped like the pandas pivot table.  A label outside
+    ``labels`` stops the job (``unlisted="drop"``: its rows are left out on purpose).
     """
     keys = _as_list(keys)
     fn = {"avg": F.avg, "median": F.median, "sum": F.sum, "max": F.max, "min": F.min}[agg]
-    x = df.where(F.col(label).isNotNull() & F.col(value).isNotNull() & F.col(label).isin(list(labels)))
-    return x.groupBy(*keys).agg(*[fn(F.when(F.col(label) == F.lit(L), F.col(value))).alias(L)
-                                  for L in labels])
+    x = df.where(F.col(label).isNotNull() & F.col(value).isNotNull())
+    labels = label_domain(x, label) if labels is None else list(labels)
+    if unlisted == "drop":
+        x = x.where(F.col(label).isin(labels))
+    x = x.select(*keys, (F.col(label) if unlisted == "drop" else known_label(label, labels)).alias("_label"),
+                 F.col(value).alias("_v"))
+    return x.groupBy(*keys).agg(*[fn(F.when(F.col("_label") == F.lit(L), F.col("_v"))).alias(L) for L in labels])
 
 
 # ---------------------------------------------------------------- R3 grid
@@ -88,12 +108,11 @@ def hourly_grid(df: DataFrame, keys, t: str, label: str, value: str, labels: Seq
     job (``unlisted="drop"``: its rows are left out on purpose).
     """
     keys = _as_list(keys)
-    known = F.col(label).isin(list(labels))
     x = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     if unlisted == "drop":
-        x = x.where(known)
-    lab = F.when(known, F.col(label)).otherwise(F.raise_error(F.concat(F.lit("unlisted label: "), F.col(label))))
-    x = x.select(*keys, F.col(t).alias("_t"), (F.col(label) if unlisted == "drop" else lab).alias("_label"),
+        x = x.where(F.col(label).isin(list(labels)))
+    lab = F.col(label) if unlisted == "drop" else known_label(label, labels)
+    x = x.select(*keys, F.col(t).alias("_t"), lab.alias("_label"),
                  F.col(value).cast("double").alias("_v"))
     tmean = x.groupBy(*keys, "_t", "_label").agg(F.avg("_v").alias("_v")).withColumn(hour, floor_hour("_t"))
     wide = tmean.groupBy(*keys, hour).agg(

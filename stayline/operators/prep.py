@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import col as Q_
 
 from stayline.operators.quality import exact_quantiles_long
-from stayline.operators.ranking import group_rank
+from stayline.operators.ranking import hash_rank
+from stayline.session import cut_lineage
 
 
 def _as_list(x) -> list:
@@ -48,21 +49,18 @@ def stratified_split(stays: DataFrame, key, label: str, weights=(0.5, 0.25, 0.25
                      seed: int = 0, out: str = "split") -> DataFrame:
     """L3: Train / Test / Val per stay with exact per-class shares.
 
-    Order inside each class = ``seeded_order(key, seed)`` (ties by key); rank
-    computed distributed; class sizes are a two-row aggregate."""
+    Order inside each class = ``seeded_order(key, seed)`` (ties by key).  ``stays`` is
+    evaluated once: ranks and class sizes come from the same written rows."""
     keys = _as_list(key)
     w_tr, w_te, w_va = weights
     x = stays.withColumn("_cls", F.coalesce(F.col(label).cast("boolean"), F.lit(False))) \
              .withColumn("_h", seeded_order(keys, seed))
-    n = x.groupBy("_cls").agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("_ntr", F.floor(F.col("_n") * w_tr + 0.5))
-    n = n.withColumn("_nte", F.floor((F.col("_n") - F.col("_ntr")) * (w_te / (w_te + w_va)) + 0.5))
-    r = group_rank(x, "_cls", ["_h", *keys], "_r")
-    r = r.join(F.broadcast(n), on="_cls")  # two rows: one per class
-    split = (F.when(F.col("_r") < F.col("_ntr"), F.lit("Train"))
-              .when(F.col("_r") < F.col("_ntr") + F.col("_nte"), F.lit("Test"))
+    r = hash_rank(x, "_cls", "_h", keys, "_r", "_n")
+    n_tr = F.floor(F.col("_n") * w_tr + 0.5)
+    n_te = F.floor((F.col("_n") - n_tr) * (w_te / (w_te + w_va)) + 0.5)
+    split = (F.when(F.col("_r") < n_tr, F.lit("Train")).when(F.col("_r") < n_tr + n_te, F.lit("Test"))
               .otherwise(F.lit("Val")))
-    return r.withColumn(out, split).drop("_cls", "_h", "_n", "_ntr", "_nte", "_r")
+    return r.withColumn(out, split).drop("_cls", "_h", "_n", "_r")
 
 
 def apply_split(df: DataFrame, ids: DataFrame, key, split: str = "split") -> DataFrame:
@@ -81,7 +79,6 @@ def quantile_knots(train: DataFrame, cols: Sequence[str], n_quantiles: int = 100
     ).select("_s.*").where(F.col("value").isNotNull())
     # the fit runs several jobs (counts, range sampling, ranks): write the
     # narrow training values once to the shared checkpoint folder
-    from stayline.session import cut_lineage
     long = cut_lineage(long)
     q = exact_quantiles_long(long, "column", "value", n_grid=n_quantiles)
     got: dict[str, dict[int, float]] = {}
@@ -250,11 +247,10 @@ def case_control(df: DataFrame, key, label: str, ratio: float = 1.0, seed: int =
     smallest seeded hashes (distributed rank, exact count)."""
     keys = _as_list(key)
     ids = df.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(label).cast("boolean")), F.lit(False)).alias("_pos"))
-    n_pos = ids.where("_pos").agg(F.count(F.lit(1)).alias("_np"))
-    neg = ids.where(~F.col("_pos")).withColumn("_h", seeded_order(keys, seed))
-    neg = group_rank(neg, None, ["_h", *keys], "_r").crossJoin(F.broadcast(n_pos))
-    neg = neg.where(F.col("_r") < F.floor(F.col("_np") * ratio)).select(*keys, "_pos")
-    return ids.where("_pos").unionByName(neg).withColumnRenamed("_pos", label)
+    r = cut_lineage(hash_rank(ids.withColumn("_h", seeded_order(keys, seed)), "_pos", "_h", keys, "_r"))
+    n_pos = r.where("_pos").agg(F.count(F.lit(1)).alias("_np"))  # one row
+    r = r.crossJoin(F.broadcast(n_pos)).where(F.col("_pos") | (F.col("_r") < F.floor(F.col("_np") * ratio)))
+    return r.select(*keys, F.col("_pos").alias(label))
 
 
 # ---------------------------------------------------------------- L9

@@ -70,10 +70,37 @@ def group_rank(df: DataFrame, by, order, out: str = "_rank",
     return res.select(*[f"`{c}`" for c in cols if c != out], out)
 
 
+def hash_rank(df: DataFrame, by, digest: str, ties, out: str = "_rank", total: str | None = None,
+              partitions: int | None = None) -> DataFrame:
+    """0-based rank of each row inside its ``by`` group in the order (digest, ties)
+    for a column of hex digests; ``total`` adds the group's size.
+
+    Digests are even, so their leading digits cut a group into as many equal
+    buckets as there are shuffle partitions, without sampling: ``df`` is evaluated
+    once and written, and counts, offsets and ranks all read the written rows."""
+    by, ties = _as_list(by), _as_list(ties)
+    cols = df.columns
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * n / F.lit(1 << 32)).cast("int")
+    x = cut_lineage(df.withColumn("_rk_b", bucket))
+    part = x.groupBy(*by, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*by, "_rk_b", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"),
+                       F.sum("_rk_n").over(group).alias("_rk_all"))
+    local = F.row_number().over(Window.partitionBy(*by, "_rk_b").orderBy(digest, *ties)) - 1
+    res = null_safe_join(x.withColumn("_rk_pos", local), part, [*by, "_rk_b"])
+    res = res.withColumn(out, (F.col("_rk_off") + F.col("_rk_pos")).cast("bigint"))
+    return res.select(*[f"`{c}`" for c in cols if c not in (out, total)], out,
+                      *([F.col("_rk_all").alias(total)] if total else []))
+
+
 def prefix_sums(df: DataFrame, order, cols: Sequence[str], by=None, suffix: str = "_cum",
-                partitions: int | None = None, totals: str | None = None) -> DataFrame:
+                partitions: int | None = None, totals: str | None = None, following: str | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order`` inside ``by`` groups; with
-    ``totals`` also the group's sum under that suffix."""
+    ``totals`` also the group's sum under that suffix, with ``following`` the next
+    row's values (null at a group's end): each piece hands its first row on to the
+    piece before it."""
     by, order = _as_list(by), _as_list(order)
     names = df.columns
     srt = range_numbered(df, by, order, partitions)
@@ -82,9 +109,16 @@ def prefix_sums(df: DataFrame, order, cols: Sequence[str], by=None, suffix: str
     frame = group.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     part = part.select(PID, *by, *[F.coalesce(F.sum(f"_rkt_{c}").over(frame), F.lit(0)).alias(f"_rko_{c}") for c in cols],
                        *([F.sum(f"_rkt_{c}").over(group).alias(f"{c}{totals}") for c in cols] if totals else []))
-    wl = Window.partitionBy(PID, *by).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    wo = Window.partitionBy(PID, *by).orderBy(POS)
+    wl = wo.rowsBetween(Window.unboundedPreceding, 0)
     loc = srt.withColumns({f"_rkl_{c}": F.sum(c).over(wl) for c in cols})
+    if following:
+        first = srt.groupBy(PID, *by).agg(*[F.min_by(c, POS).alias(f"_rkf_{c}") for c in cols])
+        first = first.select(PID, *by, *[F.lead(f"_rkf_{c}").over(group.orderBy(PID)).alias(f"_rkf_{c}") for c in cols])
+        part = null_safe_join(part, first, [PID, *by])
+        loc = loc.withColumns({f"_rkn_{c}": F.lead(c).over(wo) for c in cols})
     res = null_safe_join(loc, part, [PID, *by])
     return res.select(*[f"`{c}`" for c in names],
                       *[(F.col(f"_rko_{c}") + F.col(f"_rkl_{c}")).alias(f"{c}{suffix}") for c in cols],
-                      *([f"{c}{totals}" for c in cols] if totals else []))
+                      *([f"{c}{totals}" for c in cols] if totals else []),
+                      *([F.coalesce(f"_rkn_{c}", f"_rkf_{c}").alias(f"{c}{following}") for c in cols] if following else []))

@@ -107,19 +107,109 @@ def _log10_gamma_q(a: float, x: float) -> float:
     return (head + math.log(h)) / math.log(10)
 
 
+def _log_beta_half(a: float) -> float:
+    """log of the beta function B(a, 1/2); for a large a by the asymptotic series of
+    the gamma ratio, where the difference of two log-gammas would lose all digits."""
+    if a < 100:
+        return math.lgamma(a) + math.lgamma(0.5) - math.lgamma(a + 0.5)
+    return math.lgamma(0.5) - (0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3) - 1 / (640 * a ** 5))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+
+    def off(v):
+        return v if abs(v) > tiny else tiny
+
+    c, d = 1.0, 1 / off(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 200_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / off(1 + num * d)
+            c = off(1 + num / c)
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h
+
+
+def _log10_t_tails(t: float, dof: float) -> float:
+    """log10 of the two-sided tail of Student's t: I_x(dof / 2, 1 / 2) at
+    x = dof / (dof + t^2), in logs, so no statistic underflows."""
+    t2 = t * t
+    if t2 == 0:
+        return 0.0
+    if dof > 1e6:  # Wallace's normal deviate: its error falls with the square of dof
+        return _log10_erfc((8 * dof + 1) / (8 * dof + 3) * math.sqrt(dof * math.log1p(t2 / dof) / 2))
+    a, b = dof / 2, 0.5
+    log_x, log_rest = -math.log1p(t2 / dof), -math.log1p(dof / t2)
+    front = a * log_x + b * log_rest - _log_beta_half(a)
+    x = dof / (dof + t2)
+    if x < (a + 1) / (a + b + 2):
+        return (front - math.log(a) + math.log(_beta_fraction(a, b, x))) / math.log(10)
+    rest = math.exp(front - math.log(b)) * _beta_fraction(b, a, t2 / (dof + t2))
+    return math.log1p(-rest) / math.log(10)
+
+
+def welch_dof(n1: float, s1: float, n0: float, s0: float) -> float | None:
+    """Welch-Satterthwaite degrees of freedom; None where a group has no variance estimate."""
+    if min(n1, n0) < 2:
+        return None
+    v1, v0 = s1 * s1 / n1, s0 * s0 / n0
+    low = v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)
+    return (v1 + v0) ** 2 / low if low > 0 else None
+
+
+def exact_2x2(a: int, b: int, c: int, d: int) -> float:
+    """log10 of the two-sided p of Fisher's exact test: the probabilities, given the
+    margins, of all tables that are no likelier than the observed one."""
+    row, col, n = a + b, a + c, a + b + c + d
+
+    def choose(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    total = choose(n, col)
+    logs = [choose(row, k) + choose(n - row, col - k) - total for k in range(max(0, row + col - n), min(row, col) + 1)]
+    seen = logs[a - max(0, row + col - n)]
+    part = [x for x in logs if x <= seen + 1e-7]
+    top = max(part)
+    return min(0.0, (top + math.log(math.fsum(math.exp(x - top) for x in part))) / math.log(10))
+
+
 def minus_log10_p(kind: str, stat: float | None, dof: float | None) -> float | None:
-    """-log10 of the p-value: two-sided normal for ``numeric`` (large-sample t),
-    chi-square with ``dof`` degrees of freedom otherwise; finite for any finite
-    statistic."""
+    """-log10 of the p-value: two-sided Student's t with ``dof`` for ``numeric``
+    (normal without), chi-square with ``dof`` degrees of freedom otherwise; finite
+    for any finite statistic."""
     if stat is None or math.isnan(stat):
         return None
     if kind == "numeric":
-        return -_log10_erfc(abs(stat) / math.sqrt(2.0))
+        return -(_log10_t_tails(stat, dof) if dof else _log10_erfc(abs(stat) / math.sqrt(2.0)))
     if not dof:
         return None
     return -_log10_gamma_q(dof / 2.0, max(stat, 0.0) / 2.0)
 
 
+SMALL_EXPECTED = 5  # below it chi-square is no approximation of a 2 x 2 table
+
+
+def _row_p(r: dict) -> tuple[float | None, str | None]:
+    """(-log10 p, test) of one row of a cohort comparison."""
+    if r["kind"] == "numeric":
+        if r["test_stat"] is None:
+            return None, None
+        dof = welch_dof(r["n_pos"], r["sd_pos"], r["n_neg"], r["sd_neg"])
+        return minus_log10_p("numeric", r["test_stat"], dof), "welch" if dof else "normal"
+    if r["kind"] == "binary" and r["n_pos"] and r["n_neg"]:
+        a, c = round(r["stat_pos"] * r["n_pos"] / 100), round(r["stat_neg"] * r["n_neg"] / 100)
+        n, true = r["n_pos"] + r["n_neg"], a + c
+        if min(r["n_pos"], r["n_neg"]) * min(true, n - true) < SMALL_EXPECTED * n:
+            return abs(exact_2x2(a, r["n_pos"] - a, c, r["n_neg"] - c)), "exact"
+    p = minus_log10_p(r["kind"], r["test_stat"], r["dof"])
+    return p, None if p is None else "chi-square"
+
+
 def cohort_comparison(df: DataFrame, outcome: str, numeric: Sequence[str] = (),
                       binary: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
     """AG17 ("table one"): every variable by outcome group.
@@ -203,14 +293,18 @@ def _categorical(df: DataFrame, y, variables: list[str]) -> DataFrame:
 
 
 def with_p_values(table: DataFrame) -> DataFrame:
-    """Add ``minus_log10_p`` to a cohort comparison (report-sized: one row per
-    variable, so it is brought to the driver) and sort by it, descending."""
+    """Add ``minus_log10_p`` and ``test`` to a cohort comparison (report-sized: one
+    row per variable, so it is brought to the driver) and sort by it, descending.
+
+    Numeric variables: Welch's t with its own degrees of freedom.  Boolean ones:
+    chi-square, or Fisher's exact test where an expected count is below 5."""
     rows = table.collect()
     out = []
     for r in rows:
         d = r.asDict()
-        d["minus_log10_p"] = minus_log10_p(d["kind"], d["test_stat"], d["dof"])
+        d["minus_log10_p"], d["test"] = _row_p(d)
         out.append(d)
-    schema = T.StructType(table.schema.fields + [T.StructField("minus_log10_p", T.DoubleType())])
+    schema = T.StructType(table.schema.fields + [T.StructField("minus_log10_p", T.DoubleType()),
+                                                 T.StructField("test", T.StringType())])
     res = table.sparkSession.createDataFrame([tuple(d[f.name] for f in schema.fields) for d in out], schema)
     return res.orderBy(F.desc_nulls_last("minus_log10_p"), "variable")

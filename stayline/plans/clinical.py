@@ -134,15 +134,12 @@ def score_report(panel: DataFrame, n_bins: int = 10) -> dict[str, DataFrame]:
     and AUROC / average precision of the 24 h horizon score."""
     out = {}
     y = panel.withColumn("_y", F.col(f"`{LABEL}`").cast("int"))
-    parts = []
     for name, src, *_ in K.SCORES:
-        s = f"{name} Future Max {K.HORIZON_HOURS}h"
         binned = Q.quantile_bins(y.select(Q_(src).alias("v"), "_y"), "v", n_bins)
         out[f"bins {name}"] = Q.outcome_by_bin(binned, "_y")
-        parts.append(E.assess(y.select("_y", Q_(s).alias("s")), "_y", "s").withColumn("score", F.lit(name)))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
+    future = {f"{name} Future Max {K.HORIZON_HOURS}h": name for name, *_ in K.SCORES}
+    total = E.assess_many(y, "_y", list(future))  # all six from one range sort
+    total = total.select("auroc", "average_precision", "n_scores", X.value_map("score_name", future).alias("score"))
     return {**out, "scores": total}
 
 
