@@ -228,6 +228,57 @@ def unpack_sequences(packed: DataFrame, keys, cols: Sequence[str], arr: str = "x
                     *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)])
 
 
+def length_classes(longest: int, ratio: float = 1.25) -> list[int]:
+    """Upper bounds of the length classes up to ``longest``: each about ``ratio``
+    times the one before."""
+    out = [1]
+    while out[-1] < longest:
+        out.append(min(longest, max(out[-1] + 1, int(out[-1] * ratio))))
+    return out
+
+
+def pack_by_length(df: DataFrame, keys, order: str, cols: Sequence[str], segment: int = 512, ratio: float = 1.25,
+                   batch: int = 256, seed: int = 0, out: str = "x") -> DataFrame:
+    """R6 by length: one row per stay and segment of at most ``segment`` steps.
+
+    A stay longer than that is cut: ``segment_no``, ``offset`` (steps before).  Rows of
+    similar length form a class (``length_class``, bounds of ``length_classes``) and
+    are padded with zero rows to the longest of their class only (``maxsteps``: true
+    length); ``batch_no`` groups ``batch`` rows of a class in seeded order, so that a
+    reader takes batches of one length.  Memory per row is bounded by the segment,
+    whatever the stay's length."""
+    keys = _as_list(keys)
+    at = Window.partitionBy(*keys).orderBy(order)
+    x = df.select(*keys, (F.row_number().over(at) - 1).cast("bigint").alias("_at"), F.array(
+        *[Q_(c).cast("double") for c in cols]).alias("_v"))
+    x = x.withColumn("segment_no", F.floor(F.col("_at") / segment).cast("bigint"))
+    g = x.groupBy(*keys, "segment_no").agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_rows"))
+    g = g.select(*keys, "segment_no", (F.col("segment_no") * segment).alias("offset"), F.size("_rows").alias("maxsteps"),
+                 F.transform("_rows", lambda r: r["_v"]).alias(out))
+    bounds = F.array(*[F.lit(b) for b in length_classes(segment, ratio)])
+    g = g.withColumn("length_class", F.size(F.filter(bounds, lambda b: b < F.col("maxsteps"))))
+    g = g.withColumn("_h", seeded_order([*keys, "segment_no"], seed))
+    g = cut_lineage(hash_rank(g, "length_class", "_h", [*keys, "segment_no"], "_r"))
+    top = g.groupBy("length_class").agg(F.max("maxsteps").alias("_pad"))  # one row a class
+    g = g.join(top, "length_class")
+    zero = F.array_repeat(F.lit(0.0), len(cols))
+    return g.select(*keys, "segment_no", "offset", "length_class", F.floor(F.col("_r") / batch).cast("bigint").alias("batch_no"),
+                    "maxsteps", F.concat(F.col(out), F.array_repeat(zero, F.col("_pad") - F.col("maxsteps"))).alias(out))
+
+
+def padded_share(packed: DataFrame, arr: str = "x") -> DataFrame:
+    """Steps, stored steps and the share of them that is padding, one row."""
+    x = packed.agg(F.sum("maxsteps").alias("steps"), F.sum(F.size(arr)).cast("bigint").alias("stored"))
+    return x.withColumn("padded_share", 1 - F.col("steps") / F.col("stored"))
+
+
+def unpack_segments(packed: DataFrame, keys, cols: Sequence[str], arr: str = "x", step: str = "step") -> DataFrame:
+    """R7 for ``pack_by_length``: one row per valid step of the whole stay."""
+    keys = _as_list(keys)
+    x = unpack_sequences(packed, [*keys, "offset"], cols, arr, step)
+    return x.withColumn(step, F.col(step) + F.col("offset")).drop("offset")
+
+
 # ---------------------------------------------------------------- S4 / S5
 def sample_ids(df: DataFrame, key, n: int, seed: int = 0, where=None, by: str | None = None) -> DataFrame:
     """N distinct ids without replacement, deterministic: the n smallest
