@@ -21,6 +21,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,7 +37,9 @@ def distinct_spans(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, keys: np.nd
     """(one occurrence of each distinct span, the distinct span of each
     occurrence).  Keys of up to 7 bytes are the bytes; longer spans of an equal
     key are compared byte by byte with the first one."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    inverse, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), np.int64)
+    first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)  # the last written is the first occurrence
     other = first[inverse]
     check = np.flatnonzero((hi - lo > 7) & (other != np.arange(len(lo))))
     size = np.cumsum(hi[check] - lo[check])

@@ -3,17 +3,18 @@
 Writing.  Rows are range-partitioned by key and sorted, so shard k holds the keys
 before those of shard k + 1, and every shard is one file:
 
-    payload   the ids of its documents, unsigned 32-bit little-endian, one document
-              after another, the end id after each;
-    index     one block: header (6 x uint64: magic, documents, null keys, distinct
-              keys, pilots, ids), keys of the documents (int64), ends of the
+    payload   the ids of its documents, unsigned little-endian of 16 bits (32 where
+              the vocabulary has more than 65,536 ids), one document after
+              another, the end id after each;
+    index     one block: header (7 x uint64: magic, documents, null keys, distinct
+              keys, pilots, ids, bytes an id), keys of the documents (int64), ends of the
               documents in ids (uint64), pilots (uint32), and per slot the
               fingerprint, the first document and the number of documents
               (uint32 each);
     footer    bytes of the index block and magic (2 x uint64), the end id.
 
 The files go through Spark's text sink: a row is one document's bytes, and the end
-id's four bytes are the "line separator".  So they come to be with the usual
+id's bytes are the "line separator".  So they come to be with the usual
 commit protocol, on any file system Spark knows, and a task never holds more than
 one block of documents and the keys of its shard.
 
@@ -50,6 +51,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +67,7 @@ from stayline.session import checkpoint_dir, cut_lineage
 END_ID = 2
 SHARD_BYTES = 32 << 20
 TEXT_BYTES = 2 << 20
-CACHED = 200_000
+CACHED = 400_000
 _MAGIC = 0x3130534449594C53  # "SLYIDS01"
 _U = np.uint64
 _DIRECT = 1 << 31
@@ -80,26 +82,48 @@ class Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(raw)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[bytes, int] = {}  # pieces seen, up to CACHED
+        self.feed, = self._library(["\n"])[0]
+        self.number: dict[bytes, int] = {}  # pieces, up to CACHED
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > CACHED:
-            self.reset()
-        fresh = list(dict.fromkeys(w for w in words if w not in self.number))
+    def _pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces one after another, ids of each).  Pieces of a space and
+        letters go to the library many in a text, a line feed between: it is a
+        piece of one token, which no such piece has."""
+        plain = np.fromiter((w[:1] == b" " and w[1:2].isalpha() for w in words), bool, len(words))
+        counts = np.zeros(len(words), np.int64)
+        own = [w for w, p in zip(words, plain) if p]
+        lines = [b"".join([w + b"\n" for w in own[i:i + 256]]).decode() for i in range(0, len(own), 256)]
+        ids = np.fromiter(chain.from_iterable(self._library(lines)), np.uint32)
+        cut = ids == self.feed
+        counts[plain] = np.diff(np.flatnonzero(cut), prepend=-1) - 1
+        other = self._library([w.decode() for w, p in zip(words, plain) if not p])
+        counts[~plain] = [len(x) for x in other]
+        out = np.zeros(int(counts.sum()), np.uint32)
+        at = np.repeat(plain, counts)
+        out[at] = ids[~cut]
+        out[~at] = np.fromiter(chain.from_iterable(other), np.uint32)
+        return out, counts
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where the ids of each word begin, how many they are, ids)."""
+        number = list(map(self.number.get, words))
+        fresh = [w for w, k in zip(words, number) if k is None]
+        ids, at = self.ids, self.at
         if fresh:
-            got = self._library([w.decode() for w in fresh])
-            self.number.update(zip(fresh, range(len(self.at) - 1, len(self.at) - 1 + len(fresh))))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got])])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32)])
-        return np.fromiter((self.number[w] for w in words), np.int64, len(words))
+            more, counts = self._pieces(fresh)
+            ids, at = np.concatenate([ids, more]), np.concatenate([at, at[-1] + np.cumsum(counts)])
+            new = iter(range(len(self.at) - 1, len(at) - 1))
+            number = [next(new) if k is None else k for k in number]
+            if len(self.number) + len(fresh) <= CACHED:  # the earliest words are the most frequent: they stay
+                self.number.update(zip(fresh, range(len(self.at) - 1, len(at) - 1)))
+                self.ids, self.at = ids, at
+        number = np.array(number, np.int64)
+        return at[number], at[number + 1] - at[number], ids
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text)."""
@@ -111,9 +135,9 @@ class Encoder:
             lo, hi, text_of = pretoken.pieces(plain)
             first, inverse = distinct_spans(data, lo, hi, blocks.word_keys(data, lo, hi))
             raw = data.tobytes()
-            number = self._numbers([raw[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist())])[inverse]
-            n = self.at[number + 1] - self.at[number]
-            ids = self.ids[blocks.ragged(self.at[number], n)]
+            begin, n, known = self._encoded([raw[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist())])
+            n = n[inverse]
+            ids = known[blocks.ragged(begin[inverse], n)]
             counts = np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64)
         if odd:
             parts, at = [], np.concatenate([[0], np.cumsum(counts)])
@@ -190,15 +214,16 @@ def slots_of(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     return np.where(p >= _DIRECT, p - _DIRECT, _slot(h, p, n))
 
 
-def index_block(keys: np.ndarray, nulls: int, counts: np.ndarray) -> bytes:
+def index_block(keys: np.ndarray, nulls: int, counts: np.ndarray, width: int) -> bytes:
     """The index of documents in shard order: ``nulls`` of them without a key,
-    then those of the sorted ``keys``; ``counts``: ids of each, end id included."""
+    then those of the sorted ``keys``; ``counts``: ids of each, end id included;
+    ``width``: bytes an id."""
     distinct, first, times = np.unique(keys, return_index=True, return_counts=True)
     pilots = perfect_hash(distinct)
     slot = slots_of(distinct, pilots, len(distinct)) if len(distinct) else np.zeros(0, np.int64)
     cells = np.zeros((len(distinct), 3), np.uint32)
     cells[slot] = np.stack([_fingerprint(_hash(distinct)), first + nulls, times], axis=1).astype(np.uint32)
-    head = np.array([_MAGIC, len(counts), nulls, len(distinct), len(pilots), counts.sum()], _U)
+    head = np.array([_MAGIC, len(counts), nulls, len(distinct), len(pilots), counts.sum(), width], _U)
     every = np.concatenate([np.zeros(nulls, np.int64), keys])
     body = b"".join(x.tobytes() for x in (head, every, np.cumsum(counts).astype(_U), pilots, cells))
     return body + np.array([len(body), _MAGIC], _U).tobytes()
@@ -207,27 +232,33 @@ def index_block(keys: np.ndarray, nulls: int, counts: np.ndarray) -> bytes:
 class Index:
     """A shard's index, read from the end of its file."""
 
-    FOOTER = 20  # two numbers and the end id
+    HEAD = 56
 
     def __init__(self, tail: bytes):
         """``tail``: the file from the index block on."""
-        head = np.frombuffer(tail, _U, 6)
+        head = np.frombuffer(tail, _U, 7)
         if int(head[0]) != _MAGIC:
             raise ValueError("no index block")
-        self.n, self.nulls, self.distinct, n_pilots, self.n_ids = map(int, head[1:])
-        at = 48
+        self.n, self.nulls, self.distinct, n_pilots, self.n_ids, self.width = map(int, head[1:])
+        at = self.HEAD
         self.keys = np.frombuffer(tail, np.int64, self.n, at)
         self.ends = np.frombuffer(tail, _U, self.n, at + 8 * self.n).astype(np.int64)
         self.pilots = np.frombuffer(tail, np.uint32, n_pilots, at + 16 * self.n)
         self.cells = np.frombuffer(tail, np.uint32, 3 * self.distinct, at + 16 * self.n + 4 * n_pilots).reshape(-1, 3)
 
     @staticmethod
-    def place(footer: bytes, length: int) -> int:
-        """Where the index block of a file of ``length`` bytes begins."""
-        size, magic = np.frombuffer(footer[:16], _U).tolist()
-        if magic != _MAGIC:
-            raise ValueError("no footer")
-        return length - Index.FOOTER - size
+    def place(end: bytes, length: int) -> int:
+        """Where the index block of a file of ``length`` bytes begins; ``end``: its
+        last 20 bytes.  The end id behind the footer has 2 or 4 bytes."""
+        for width in (2, 4):
+            size, magic = np.frombuffer(end[4 - width:20 - width], _U).tolist()
+            if magic == _MAGIC:
+                return length - width - 16 - size
+        raise ValueError("no footer")
+
+    def ids(self, data: bytes) -> np.ndarray:
+        """Ids from their bytes."""
+        return np.frombuffer(data, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first document, number of documents) of each key; none: number 0."""
@@ -244,13 +275,20 @@ class Index:
 
 
 # ---------------------------------------------------------------- Spark
+def _largest_id(raw: bytes, end_id: int) -> int:
+    from tokenizers import Tokenizer
+    return max([end_id, *Tokenizer.from_buffer(raw).get_vocab(with_added_tokens=True).values()])
+
+
 def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None, key: str = "doc_id", text: str = "text",
           end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> str:
     """Writes the ids of all documents; returns the folder of the shards."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
     shipped = broadcast_file(spark, tokenizer_file)
-    end = np.array([end_id], "<u4").tobytes()
+    with open(tokenizer_file, "rb") as f:
+        kind = np.dtype("<u2" if _largest_id(f.read(), end_id) < 1 << 16 else "<u4")
+    end = np.array([end_id], kind).tobytes()
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t") + 1)).first()[0] or 0
     rows = rows.select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("r"))
@@ -267,12 +305,13 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None, key:
             for i, j in blocks.row_blocks(batch.column(1), TEXT_BYTES):
                 ids, counts = own([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 sizes.append(counts + 1)
-                at = np.concatenate([[0], np.cumsum(counts * 4)])
+                at = np.concatenate([[0], np.cumsum(counts * kind.itemsize)])
                 value = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [
-                    None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                    None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
                 yield pa.RecordBatch.from_arrays([value.cast(pa.binary())], names=["value"])
         none = np.zeros(0, np.int64)
-        block = index_block(np.concatenate([none, *keys]), nulls, np.concatenate([none, *sizes]))
+        block = index_block(np.concatenate([none, *keys]), nulls, np.concatenate([none, *sizes]),
+                            kind.itemsize)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["value"])
         blocks.release()
 
@@ -296,7 +335,8 @@ def documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataF
                 data = memoryview(content.as_buffer())
                 if not len(data):
                     continue
-                index = Index(data[Index.place(bytes(data[-Index.FOOTER:]), len(data)):])
+                index = Index(data[Index.place(bytes(data[-20:]), len(data)):])
+                width = index.width
                 keys, times = np.unique(index.keys[index.nulls:], return_counts=True)
                 first, n = index.find(keys)
                 if not np.array_equal(n, times):
@@ -306,14 +346,14 @@ def documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataF
                 for a in range(0, len(doc), 4096):
                     part = doc[a:a + 4096]
                     begin, size = index.span(part)
-                    crc = [zlib.crc32(data[4 * b:4 * (b + s)]) for b, s in zip(begin.tolist(), size.tolist())]
+                    own = [index.ids(data[width * b:width * (b + s)]) for b, s in zip(begin.tolist(), size.tolist())]
+                    crc = [zlib.crc32(x) for x in own]
                     cols = [pa.array(np.full(len(part), shard)),
                             pa.array(id_of[a:a + 4096], mask=np.arange(a, a + len(part)) < index.nulls),
                             pa.array(begin), pa.array(size), pa.array(crc, pa.int64())]
                     names = ["shard", "doc_id", "offset", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        ids = [np.frombuffer(data[4 * b:4 * (b + s)], "<u4") for b, s in zip(begin, size)]
-                        cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                        cols.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                 del data, index, content
@@ -342,11 +382,11 @@ class Reader:
         self.shards = []
         for f in sorted(files, key=lambda f: int(f.base_name.split("-")[1])):
             with self.fs.open_input_file(f.path) as file:
-                at = Index.place(file.read_at(Index.FOOTER, f.size - Index.FOOTER), f.size)
+                at = Index.place(file.read_at(20, f.size - 20), f.size)
                 n, nulls = np.frombuffer(file.read_at(16, at + 8), _U).tolist()
                 if n > nulls:
-                    low, = np.frombuffer(file.read_at(8, at + 48 + 8 * nulls), np.int64).tolist()
-                    high, = np.frombuffer(file.read_at(8, at + 48 + 8 * (n - 1)), np.int64).tolist()
+                    low, = np.frombuffer(file.read_at(8, at + Index.HEAD + 8 * nulls), np.int64).tolist()
+                    high, = np.frombuffer(file.read_at(8, at + Index.HEAD + 8 * (n - 1)), np.int64).tolist()
                     self.shards.append((low, high, f.path, at))
         self.low = [s[0] for s in self.shards]
         self.high = [s[1] for s in self.shards]
@@ -371,5 +411,5 @@ class Reader:
             with self.fs.open_input_file(self.shards[k][2]) as file:
                 for d in range(first, first + n):
                     begin, size = (int(x[0]) for x in index.span(np.array([d])))
-                    out.append(np.frombuffer(file.read_at(4 * size, 4 * begin), "<u4"))
+                    out.append(index.ids(file.read_at(index.width * size, index.width * begin)))
         return out
