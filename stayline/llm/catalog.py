@@ -159,10 +159,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+#: For the queries on test tables alone: a key that is known keeps nothing secret.
+TEST_KEY = "corpus-2024"
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs, "text", key="corpus-2024").select("doc_id", "text", "n_replaced")
+    return pii.replace_pii(docs, "text", TEST_KEY).select("doc_id", "text", "n_replaced")
 
 
 @query

@@ -1,17 +1,19 @@
 """Operator 9: personal data by surrogate generation.  [native]
 
-Detected entities (e-mail addresses, phone numbers, IPv4 addresses, card
-numbers, social security numbers, IBANs, secrets, names after a title) are
-replaced by keyed surrogates of the same type and format: digits stay digits,
-letters keep case and script, punctuation stays, IPv4 octets stay octets, a card
-number that passes the Luhn check passes it again, a name keeps the gender of
-its title.
+Detected entities (e-mail addresses, phone numbers, IP addresses, card numbers,
+social security numbers, IBANs, secrets, names after a title) are replaced by keyed
+surrogates of the same type and format: digits stay digits, letters keep case and
+script, punctuation stays, IPv4 octets stay octets, a card number that passes the
+Luhn check and an IBAN that passes modulo 97 pass it again, a name keeps the gender
+of its title (a neutral title takes that of another title of the name in the row).
 
 1. Mentions are found with one pattern; texts without any are left as they are
    and never shuffled.
 2. A mention's canonical form (no case, for numbers no punctuation) names its
    entity, so all mentions of an entity get one surrogate (coreference), each in
-   its own format.
+   its own format.  Names go word by word: `Mr John Smith` and `Mr Smith` keep their
+   surname in common, and words of a name found with a title are replaced wherever
+   they stand in the row.
 3. Surrogates come from a keyed digest of (type, entity, attempt).  Collision
    check: of the entities of a type with one surrogate the smallest keeps it, and
    none may equal an entity that occurs; the others try again, round by round,
@@ -20,9 +22,9 @@ its title.
 4. The text is cut at its mentions and put together with the surrogates, so a
    surrogate never falls into another mention.
 
-Scale: a mention that a third of all texts hold is reduced to one row before the
-shuffle; the dictionary is joined by mention (skewed keys are split); only texts
-with a mention are shuffled.
+Scale: mentions are extracted once and written with their row; a mention that a
+third of all texts hold is reduced to one row before the shuffle; the dictionary is
+joined by mention (skewed keys are split); only texts with a mention are shuffled.
 
 Edge cases: a null or empty text stays; repeated rows get equal results; very
 long texts are scanned whole; the same entity in any row, of any format, gets
@@ -35,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.llm import blocks
 from stayline.session import cut_lineage
 
 ATTEMPTS = 40
@@ -42,25 +45,37 @@ ATTEMPTS = 40
 # Titles and the gender they carry (fixed values).
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sir", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "г-жа", "госпожа"]
-# Syllables of surrogate names by script and gender ending (fixed values).
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Docteur", "Doktor", "Профессор", "Доктор"]
+# Syllables of surrogate names by script (fixed values).
 LATIN = ["al", "ber", "car", "den", "el", "far", "gar", "hol", "im", "jor", "kel", "lan", "mor", "nor", "os", "per"]
 CYRILLIC = ["ан", "бор", "вал", "гор", "дар", "ев", "жен", "зор", "ил", "кар", "лев", "мир", "нат", "ол", "пет", "ром"]
 
-EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
+EMAIL = r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,24}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-CARD = r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9])"
+_GROUP = r"[0-9A-Fa-f]{1,4}"  # of IPv6; a short form needs a digit, so that no name like Add::face is one
+IPV6 = (rf"(?:{_GROUP}:){{7}}{_GROUP}(?![\p{{L}}\p{{N}}:])"
+        rf"|(?=[0-9A-Fa-f:]*[0-9]){_GROUP}(?::{_GROUP}){{0,5}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?(?![\p{{L}}\p{{N}}:])")
+CARD = r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9])|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
 PHONE = (r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])"
          r"|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])"
-         r"|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])")
+         r"|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+         r"|0[1-9](?:[ .\-][0-9]{2}){4}(?![0-9])"  # 01 23 45 67 89
+         r"|0[1-9][0-9]{1,3}[ /\-][0-9]{3,4}[ \-][0-9]{3,4}(?![0-9])"  # 020 7946 0958
+         r"|0[1-9][0-9]{1,3}[ /\-][0-9]{5,8}(?![0-9])"  # 030 1234567
+         r"|[6-9][0-9]{2}(?: [0-9]{2}){3}(?![0-9])"  # 612 34 56 78
+         r"|[2-9][0-9]{2}-[0-9]{4}(?![0-9\-])")  # 555-0199
 SECRET = r"(?:sk|pk|ghp|xox[abp])[_\-][A-Za-z0-9_\-]{16,}+|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|[0-9a-fA-F]{32,128}+(?![0-9A-Za-z])"
-NAME = r"(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?"
-TYPES = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("card", CARD), ("ssn", SSN),
+_TITLE = r"(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
+NAME = _TITLE + rf"(?: {_TITLE})* (?!{_TITLE} )\p{{Lu}}[\p{{L}}'\-]+(?: (?!{_TITLE} )\p{{Lu}}[\p{{L}}'\-]+)?"
+TYPES = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("ip6", IPV6), ("card", CARD), ("ssn", SSN),
          ("phone", PHONE), ("name", NAME)]
 ANY = r"(?<![\p{L}\p{N}_.])(?:" + "|".join(p for _, p in TYPES) + ")"
 #: Every mention has one of these, which rules most texts' words out at once.
-HINT = r"[0-9@]|AKIA|(?:sk|pk|ghp|xox[abp])[_\-]|" + "|".join(f"{t}\\.? \\p{{Lu}}" for t in MALE + FEMALE)
+HINT = r"[0-9@]|AKIA|(?:sk|pk|ghp|xox[abp])[_\-]|(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? \p{Lu}"
+#: Between a letter and something else: the words of a text and what is between them.
+EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 
 
 def type_of(mention: Column) -> Column:
@@ -70,17 +85,27 @@ def type_of(mention: Column) -> Column:
     return out
 
 
-def canonical(kind: Column, mention: Column) -> Column:
-    """The entity's form: of names the words after the title, of numbers the
-    letters and digits alone; all without case."""
-    bare = F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}]", ""))
-    name = F.lower(F.regexp_replace(mention, r"^\S+ ", ""))
-    return F.when(kind == "name", name).when(kind.isin("email", "ip", "secret"), F.lower(mention)).otherwise(bare)
+def title_of(mention: Column) -> Column:
+    return F.regexp_extract(mention, f"^(?:{_TITLE} )+", 0)
+
+
+def words_of(kind: Column, mention: Column) -> Column:
+    """The words of a name; any other mention whole."""
+    name = F.split(F.regexp_replace(mention, f"^(?:{_TITLE} )+", ""), " ")
+    return F.when(kind == "name", name).otherwise(F.array(mention))
+
+
+def canonical(kind: Column, word: Column) -> Column:
+    """The entity's form: of numbers the letters and digits alone; all without case."""
+    bare = F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]", ""))
+    return F.when(kind.isin("name", "email", "ip", "ip6", "secret"), F.lower(word)).otherwise(bare)
 
 
 def gender_of(kind: Column, mention: Column) -> Column:
-    title = F.regexp_extract(mention, r"^(\S+?)\.? ", 1)
-    return F.when(kind != "name", "").when(title.isin(*FEMALE), "f").otherwise("m")
+    """m, f or n by the titles; empty for other kinds."""
+    titles = F.split(F.regexp_replace(title_of(mention), r"\.", ""), " ")
+    return (F.when(kind != "name", "").when(F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE))), "f")
+            .when(F.arrays_overlap(titles, F.array(*map(F.lit, MALE))), "m").otherwise("n"))
 
 
 # ---------------------------------------------------------------- surrogates
@@ -147,15 +172,31 @@ def _card(entity: Column, digest: Column) -> Column:
     return F.concat(body, F.when(_luhn(entity) == 0, check).otherwise(other).cast("string"))
 
 
+def _iban(entity: Column, digest: Column) -> Column:
+    """Country and format stay; check digits are right if they were right."""
+    made = _formatted(entity, digest, lambda i, c: i < 2)
+
+    def rest(number: Column) -> Column:  # modulo 97, letters as 10 to 35
+        turned = F.concat(F.substring(number, F.lit(5), F.length(number)), F.substring(number, F.lit(1), F.lit(4)))
+        return F.aggregate(F.split(F.upper(turned), ""), F.lit(0), lambda a, c: F.pmod(
+            F.when(c.rlike("^[0-9]$"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+    country, body = F.substring(made, F.lit(1), F.lit(2)), F.substring(made, F.lit(5), F.length(made))
+    check = F.lit(98) - rest(F.concat(country, F.lit("00"), body))
+    wrong = F.pmod(check + 1 + _draw(digest, F.lit(40), 90), F.lit(97)) + 2
+    digits = F.lpad(F.when(rest(entity) == 1, check).otherwise(
+        F.when(wrong == check, wrong - 1).otherwise(wrong)).cast("string"), 2, "0")
+    return F.concat(country, digits, body)
+
+
 def _name(entity: Column, gender: Column, digest: Column) -> Column:
-    def word(w, i):
-        cyr = w.rlike("\\p{IsCyrillic}")
-        pick = lambda table, k: F.element_at(F.array(*map(F.lit, table)), _draw(digest, i * 5 + k, 16) + 1)
-        latin = F.concat(*[pick(LATIN, k) for k in range(3)], F.when(gender == "f", "a").otherwise("o"))
-        cyril = F.concat(*[pick(CYRILLIC, k) for k in range(3)], F.when(gender == "f", "ова").otherwise("ов"))
-        return F.when(cyr, cyril).otherwise(latin)
+    """A word of a name."""
+    def pick(table, k):
+        return F.element_at(F.array(*map(F.lit, table)), _draw(digest, F.lit(k), 16) + 1)
 
-    return F.array_join(F.transform(F.split(entity, " "), word), " ")
+    latin = F.concat(*[pick(LATIN, k) for k in range(3)], F.when(gender == "f", "a").when(gender == "m", "o").otherwise("e"))
+    cyril = F.concat(*[pick(CYRILLIC, k) for k in range(3)], F.when(gender == "f", "ова").when(gender == "m", "ов").otherwise("ко"))
+    return F.when(entity.rlike("\\p{IsCyrillic}"), cyril).otherwise(latin)
 
 
 def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
@@ -163,8 +204,8 @@ def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key
     email = _formatted(entity, d, lambda i, c: i >= F.length(F.substring_index(entity, ".", -1)) * -1 + F.length(entity))
     phone = _formatted(entity, d, lambda i, c: F.lit(False))
     made = (F.when(kind == "email", email).when(kind == "ip", _ip(entity, d)).when(kind == "card", _card(entity, d))
-            .when(kind == "name", _name(entity, gender, d)).when(kind == "secret", _hex_formatted(entity, d))
-            .when(kind == "iban", _formatted(entity, d, lambda i, c: i < 2)).otherwise(phone))
+            .when(kind == "name", _name(entity, gender, d)).when(kind.isin("secret", "ip6"), _hex_formatted(entity, d))
+            .when(kind == "iban", _iban(entity, d)).otherwise(phone))
     return F.when(attempt < ATTEMPTS, made).otherwise(F.concat(made, F.substring(d, 1, 12)))
 
 
@@ -207,47 +248,76 @@ def _cased(mention: Column, made: Column) -> Column:
         acc["s"], F.substring(bare, acc["i"] + 1, F.length(bare))))
 
 
-def _written(kind: Column, mention: Column, made: Column) -> Column:
-    title = F.regexp_extract(mention, r"^\S+ ", 0)
-    return F.when(kind == "name", F.concat(title, F.initcap(made))).otherwise(_cased(mention, made))
+def _written(kind: Column, word: Column, made: Column) -> Column:
+    """The surrogate in the format of the word that it replaces."""
+    name = F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(made)).otherwise(F.initcap(made))
+    return F.when(kind == "name", name).otherwise(_cased(word, made))
 
 
 # ---------------------------------------------------------------- operator
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-
-
-def replacements(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """mention, kind, replacement for every mention in the table."""
-    seen = docs.select(F.explode(mentions(F.col(text))).alias("mention")).distinct()
-    seen = seen.withColumn("kind", type_of(F.col("mention")))
-    seen = seen.withColumn("entity", canonical(F.col("kind"), F.col("mention")))
-    seen = cut_lineage(seen.withColumn("gender", gender_of(F.col("kind"), F.col("mention"))))
-    made = dictionary(seen.select("kind", "entity", "gender").distinct(), key)
-    out = seen.join(made, ["kind", "entity", "gender"])
-    return out.select("mention", "kind", _written(F.col("kind"), F.col("mention"), F.col("surrogate"))
-                      .alias("replacement"))
-
-
-def replace_pii(docs: DataFrame, text: str = "text", key: str = "surrogate-key") -> DataFrame:
-    """``docs`` with the mentions in ``text`` replaced, and ``n_replaced``."""
-    col = F.col(f"`{text}`")
-    has = F.coalesce(col.rlike(HINT), F.lit(False)) & F.coalesce(col.rlike(ANY), F.lit(False))
+    """All mentions of a text, in order."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def described(found: Column) -> Column:
+    """mention, kind, gender of a row's distinct mentions; a name under a neutral
+    title takes the gender that another mention of its last word has in the row."""
+    last = lambda e: F.element_at(words_of(e.kind, e.mention), -1)
+    each = F.transform(F.array_distinct(found), lambda m: F.struct(
+        m.alias("mention"), type_of(m).alias("kind"), gender_of(type_of(m), m).alias("gender")))
+
+    def resolved(e):
+        others = F.filter(each, lambda o: (o.kind == "name") & (o.gender != "n") & (last(o) == last(e)))
+        return F.struct(e.mention.alias("mention"), e.kind.alias("kind"), F.when(
+            e.gender == "n", F.coalesce(F.get(others, F.lit(0)).gender, e.gender)).otherwise(e.gender).alias("gender"))
+
+    return F.transform(each, resolved)
+
+
+def replacements(seen: DataFrame, key: str) -> DataFrame:
+    """mention, kind, gender (distinct rows) with ``replacement`` and ``words``
+    (word, written surrogate of each word of a name)."""
+    part = seen.select("mention", "kind", "gender", F.posexplode(words_of(F.col("kind"), F.col("mention"))).alias("pos", "word"))
+    part = cut_lineage(part.withColumn("entity", canonical(F.col("kind"), F.col("word"))))
+    made = dictionary(part.select("kind", "entity", "gender").distinct(), key)
+    part = part.join(made, ["kind", "entity", "gender"]).withColumn("new", _written(F.col("kind"), F.col("word"), F.col("surrogate")))
+    out = part.groupBy("mention", "kind", "gender").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "new"))).alias("w"))
+    title = F.when(F.col("kind") == "name", title_of(F.col("mention"))).otherwise("")
+    words = F.when(F.col("kind") == "name", F.transform("w", lambda x: F.struct(x.word.alias("word"), x.new.alias("new"))))
+    return out.select("mention", "kind", "gender", F.concat(title, F.array_join(F.col("w.new"), " ")).alias("replacement"),
+                      words.alias("words"))
+
+
+def replace_pii(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` with the mentions in ``text`` replaced, and ``n_replaced``.  ``key`` makes
+    the surrogates; whoever has it can test guesses, so it is kept secret."""
     keep = [c for c in docs.columns if c != "n_replaced"]
-    marked = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__has", has)
-    plain = marked.where(~F.col("__has")).drop("__has").withColumn("n_replaced", F.lit(0).cast("bigint"))
-    # only rows with a mention are written and shuffled; each gets an own number
-    some = cut_lineage(marked.where("__has").drop("__has").withColumn("__row", F.monotonically_increasing_id()))
-    table = cut_lineage(replacements(some, text, key))
-    named = some.select("__row", F.explode(F.array_distinct(mentions(col))).alias("mention")).join(
-        table.select("mention", "replacement"), "mention")
-    maps = named.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement")))
-                                      .alias("__map"))
-    both = some.join(maps, "__row")
-    found, parts = mentions(col), F.split(col, ANY, -1)
-    both = both.withColumn("__m", found).withColumn("__p", parts)
-    woven = F.array_join(F.transform(F.col("__m"), lambda m, i: F.concat(
-        F.get("__p", i), F.coalesce(F.col("__map")[m], m))), "")
-    both = both.withColumn(text, F.concat(woven, F.element_at("__p", -1))).withColumn(
-        "n_replaced", F.size("__m").cast("bigint"))
+    row, found, table, names, parts = (blocks.free_name(n, [*docs.columns, "mention", "kind", "gender", "e"])
+                                       for n in ("row", "found", "table", "names", "parts"))
+    col, m = F.col(f"`{text}`"), F.col(found)
+    marked = docs.select(*[F.col(f"`{c}`") for c in keep])
+    has = F.coalesce(col.rlike(HINT) & col.rlike(ANY), F.lit(False))
+    plain = marked.where(~has).withColumn("n_replaced", F.lit(0).cast("bigint"))
+    # rows with a mention are written with their mentions; each gets an own number
+    some = cut_lineage(marked.where(has).withColumn(found, mentions(col)).withColumn(row, F.monotonically_increasing_id()))
+    each = cut_lineage(some.select(row, F.explode(described(m)).alias("e")).select(row, "e.*"))
+    made = cut_lineage(replacements(each.select("mention", "kind", "gender").distinct(), key))
+    named = each.join(made, ["mention", "kind", "gender"])
+    maps = named.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias(table))
+    # a word that two people of a row share stands for the first of them
+    words = named.where("kind = 'name'").select(row, F.explode("words").alias("w")).groupBy(row, "w.word").agg(F.min("w.new").alias("new"))
+    words = words.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias(names))
+    both = some.join(maps, row).join(words, row, "left")
+    known = F.col(names)
+    # what stands between the mentions, in words; those of found names are replaced too
+    both = both.withColumn(parts, F.transform(F.split(col, ANY, -1), lambda p: F.when(
+        known.isNotNull(), F.split(p, EDGE, -1)).otherwise(F.array(p))))
+    between = F.transform(F.col(parts), lambda p: F.array_join(F.transform(p, lambda w: F.coalesce(known[w], w)), ""))
+    again = F.aggregate(F.col(parts), F.lit(0).cast("bigint"), lambda a, p: a + F.when(known.isNotNull(), F.size(
+        F.filter(p, lambda w: known[w].isNotNull()))).otherwise(0))
+    both = both.withColumn("n_replaced", F.size(m).cast("bigint") + again).withColumn(parts, between)
+    woven = F.array_join(F.transform(m, lambda x, i: F.concat(F.get(F.col(parts), i), F.coalesce(F.col(table)[x], x))), "")
+    both = both.withColumn(text, F.concat(woven, F.element_at(F.col(parts), -1)))
     return plain.unionByName(both.select(*[F.col(f"`{c}`") for c in keep], "n_replaced"))

@@ -292,19 +292,19 @@ def test_surrogates(spark):
     names = re.search(r"Mr\. (\w+), Mrs (\w+), г-жа (\w+)", two).groups()
     assert names[0].endswith("o") and names[1].endswith("a") and re.fullmatch(r"[А-Я][а-я]+ова", names[2])
     assert all(int(o) < 256 for o in re.search(r"(\d+)\.(\d+)\.(\d+)\.(\d+)", by[6][0].text).groups())
-    assert pii.replace_pii(d.limit(0)).count() == 0
+    assert pii.replace_pii(d.limit(0), "text", "k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     ips = [(f"{a}.{b}.1.1",) for a in range(10) for b in range(10)]  # a crowded format
     d = spark.createDataFrame(ips, "text string")
-    got = [r.text for r in pii.replace_pii(d).collect()]
+    got = [r.text for r in pii.replace_pii(d, "text", "k").collect()]
     assert len(set(got)) == 100 and not set(got) & {x for x, in ips}
 
 
 def test_planted_data_of_the_driver_table(spark):
     src = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    new = {r.doc_id: r.text for r in pii.replace_pii(src).collect()}
+    new = {r.doc_id: r.text for r in pii.replace_pii(src, "text", "k").collect()}
     form = r"\S+@\S+\.com|\+\d \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|[0-9a-fA-F]{40}"
     for r in src.collect():
         found = re.findall(form, r.text or "")
@@ -313,6 +313,102 @@ def test_planted_data_of_the_driver_table(spark):
             assert new[r.doc_id] == r.text
 
 
+LEFT_OUT_BEFORE = ["3782 822463 10005", "müller@example.de", "jörg.b@example.de", "030 1234567", "0171-2345678", "01 23 45 67 89",
+                   "2001:db8::1", "555-0199", "fe80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "378282246310005",
+                   "612 34 56 78", "020 7946 0958"]
+
+
+def test_formats_of_several_countries(spark):
+    rows = [(k, f"call or write {x} today", k) for k, x in enumerate(LEFT_OUT_BEFORE)]
+    clean = ["std::vector and Add::face of a::b", "in 1990-2000, pages 12-14, 3:45 pm, 10:30", "version 1.2.3 of 12 345 678 items",
+             "Doctor who knows", "the years 1914-1918 and 12/24", "Drive Professor mode", "ratio 5:4::10:8 x"]
+    rows += [(100 + k, t, 0) for k, t in enumerate(clean)]
+    d = spark.createDataFrame(rows, "row int, text string, id int")  # names of helper columns
+    got = {r.row: r for r in pii.replace_pii(d, "text", "k").collect()}
+    assert d.columns + ["n_replaced"] == pii.replace_pii(d, "text", "k").columns
+    shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", t))
+    for k, x in enumerate(LEFT_OUT_BEFORE):
+        new = got[k].text.removeprefix("call or write ").removesuffix(" today")
+        assert x not in got[k].text and got[k].id == k and got[k].n_replaced == 1, (x, got[k].text)
+        assert shape(new) == shape(x), (x, new)
+    for k, t in enumerate(clean):
+        if k not in (6,):
+            assert got[100 + k].text == t and got[100 + k].n_replaced == 0, (t, got[100 + k].text)
+
+
+def _valid_iban(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_ibans_keep_their_check(spark):
+    rows = [("DE89 3704 0044 0532 0130 00",), ("GB29NWBK60161331926819",), ("FR1420041010050500013M02606",), ("DE88 3704 0044 0532 0130 00",)]
+    d = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "k int, text string")
+    got = [r.text for r in sorted(pii.replace_pii(d, "text", "k").collect())]
+    for (old,), new in zip(rows, got):
+        assert new[:2] == old[:2] and new != old and re.sub(r"\w", "x", new) == re.sub(r"\w", "x", old)
+    assert list(map(_valid_iban, got)) == [True, True, True, False]
+
+
+def test_one_person_has_one_name(spark):
+    text = ("Mr John Smith met Dr. Smith and Mrs. Smith-Jones; Smith left with JOHN and John. Prof. Dr. Anna Weber: "
+            "Weber's idea, Webers Dr Weber Frau Weber")
+    rows = [(1, text), (2, "Smith alone is a word"), (3, "Mr SMITH"), (4, "Dr. Lee came; Lee left"), (5, "Herr Lee")]
+    got = {r.id: r for r in pii.replace_pii(spark.createDataFrame(rows, "id int, text string"), "text", "k").collect()}
+    one = got[1].text
+    assert not re.search(r"Smith\b(?!-)|\bJohn\b|Anna|Weber\b", one) and "Webers" in one
+    first, last = re.match(r"Mr (\w+) (\w+) met", one).groups()
+    assert f"Dr. {last} and" in one and f"; {last} left" in one and f"and {first}. Prof." in one and "JOHN" in one
+    assert first.endswith("o") and last.endswith("o")  # the neutral title takes the other's gender
+    anna, weber = re.search(r"Prof\. Dr\. (\w+) (\w+):", one).groups()
+    assert one.endswith(f": {weber}'s idea, Webers Dr {weber} Frau {weber}") and weber.endswith("a") and anna.endswith("a")
+    assert got[2].text == rows[1][1] and got[2].n_replaced == 0
+    assert got[3].text == f"Mr {last.upper()}"
+    lee = re.match(r"Dr\. (\w+) came; (\w+) left", got[4].text).groups()
+    assert lee[0] == lee[1] and lee[0].endswith("e") and got[4].n_replaced == 2
+    assert got[5].text.endswith("o")
+
+
+KINDS = {  # plain patterns, one after the other, on their own
+    "email": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,24}", "ip": r"\d{1,3}(?:\.\d{1,3}){3}", "card": r"\d{4}(?: \d{4}){3}",
+    "ssn": r"\d{3}-\d{2}-\d{4}", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}|0\d{2} \d{7}", "hex": r"[0-9a-f]{40}"}
+
+
+def test_replacement_equals_brute_force(spark):
+    """Against a plain scan: outside of mentions nothing changes, a mention keeps its
+    format, equal entities get equal surrogates and different ones different."""
+    rng = random.Random(8)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    make = {"email": lambda: f"{rng.choice(['a.b', 'Jörg', 'x_y', 'Q'])}{rng.randint(1, 30)}@{rng.choice(['mail', 'Post'])}.example.{rng.choice(['com', 'de'])}",
+            "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": lambda: " ".join(f"{rng.randint(1, 9)}{d(3)}" for _ in range(4)),
+            "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}", "phone": lambda: rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"03{rng.randint(0, 9)} {rng.randint(1, 9)}{d(6)}"]),
+            "hex": lambda: "".join(rng.choices("0123456789abcdef", k=39)) + "a"}
+    pool = [(k, f()) for k, f in make.items() for _ in range(25)]
+    rows = []
+    for k in range(200):
+        words = []
+        for _ in range(rng.randint(0, 12)):
+            words.append(rng.choice(pool)[1] if rng.random() < 0.4 else rng.choice(["so", "wörd", "7", "it's", "(end)", "Ünder"]))
+        rows.append((k, " ; ".join(words)))
+    got = {r.k: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "k int, text string"), "text", "key").collect()}
+    shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", t))
+    entity, seen = {}, {}
+    for k, old in rows:
+        a, b = old.split(" ; "), got[k].split(" ; ")
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            kind = next((n for n, p in KINDS.items() if re.fullmatch(p, x)), None)
+            if kind is None:
+                assert x == y
+                continue
+            assert shape(x) == shape(y) if kind != "ip" else re.fullmatch(KINDS["ip"], y), (x, y)
+            e = (kind, x.lower() if kind in ("email", "ip", "hex") else re.sub(r"\W", "", x))
+            assert entity.setdefault(e, y.lower()) == y.lower() and y.lower() != x.lower()
+            assert seen.setdefault((kind, y.lower()), e) == e
+    real = {x.lower() for _, x in pool}
+    assert not real & set(entity.values()) and len(entity) > 100
+
+
 # ---------------------------------------------------------------- whole queries
 @pytest.mark.parametrize("name", ["op1_near_dup", "op4_sharding", "op6_topk", "op7_decontam"])
 def test_oracle(spark, name):
