@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm import bpe_codec, decontam, lang_id, near_dup, pii
+from stayline.llm.catalog import TEST_KEY
 from stayline.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,7 +40,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; n_chars follows the new text."""
-    out = pii.replace_pii(docs.select(*COLUMNS), "text", key="corpus-2024")
+    # the surrogates' key is the session's; without one the test key of the queries serves
+    key = spark.conf.get("spark.stayline.surrogateKey", TEST_KEY)
+    out = pii.replace_pii(docs.select(*COLUMNS), "text", key)
     return out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("bigint"))
                           .otherwise(F.col("n_chars"))).select(*COLUMNS)
 
