@@ -84,10 +84,11 @@ b AS (SELECT doc_id, source, text, hex(encode(text)) AS hx FROM documents),
 x AS (SELECT doc_id, source, CAST(coalesce(len(hx) // 2, 0) + 1 AS BIGINT) AS size,
              CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295,
                list_transform(range(len(hx) // 2), lambda i: CAST('0x' || hx[2 * i + 1:2 * i + 2] AS BIGINT))),
-               lambda a, c: xor(a // 256, tab[xor(a % 256, c) + 1]))) END AS text_crc32,
-             md5('shard-shuffle:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM b, t),
+               lambda a, c: xor(a // 256, tab[xor(a % 256, c) + 1]))) END AS text_crc32 FROM b, t),
+y AS (SELECT *, md5('shard-shuffle:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':'
+                    || coalesce(CAST(text_crc32 AS VARCHAR), '')) AS h FROM x),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS r,
-             count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM x),
+             count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM y),
 g AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r - 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source NULLS FIRST, h,
                                    doc_id NULLS FIRST, size, text_crc32) - 1 AS g FROM k)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 16 // total AS INTEGER) AS shard,
