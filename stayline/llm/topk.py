@@ -1,6 +1,6 @@
 """Operator 6: exact top-k inner-product search by ball-tree branch and bound.
 
-Candidates are dealt into shards of bounded size by a hash of their id.  A shard
+Candidates are dealt into shards of bounded size by a hash of their row's number.  A shard
 builds a ball tree (split along the widest direction, nodes with centre and
 radius); for a query q and a node (c, r) no member scores above q.c + |q| r.  A
 block of queries walks the tree from the node with the highest bound down,
@@ -126,16 +126,20 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     rows = vectors.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).select(
         F.col(key).cast("bigint").alias("id"),
         F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("v"))
-    n = rows.count()
+    # rows are numbered and written: shard, group and query follow from the row, so an
+    # id that many rows share, or copies of one row, spread like any others
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    n, asked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     shards = -(-n // shard_rows)
-    groups = max(1, -(-n // (every * group_rows)))  # of queries that meet a shard at once
-    part = lambda salt, m: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(m)).cast("int")
+    groups = max(1, -(-asked // group_rows))  # of queries that meet a shard at once
+    part = lambda salt, m: F.pmod(F.xxhash64(F.col("row"), F.lit(salt)), F.lit(m)).cast("int")
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    cand = rows.withColumn("shard", part(1, shards)).withColumn("grp", every_group)
+    cand = rows.select("id", "v", part(1, shards).alias("shard"), every_group.alias("grp"))
     ask = rows.where(F.col("id") % every == 0).select(
-        F.col("id").alias("query_id"), F.col("v").alias("q"), part(2, groups).alias("grp"), part(3, shards).alias("home"))
+        F.col("id").alias("query_id"), F.col("row").alias("dup"), F.col("v").alias("q"), part(2, groups).alias("grp"),
+        part(3, shards).alias("home"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """One shard (left) against a group of queries, in blocks."""
@@ -157,8 +161,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
             {c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "dup")})
 
     schema = "query_id bigint, vec_id bigint, score bigint, dup bigint"
-    # a repeated id asks once for each of its rows
-    ask = ask.withColumn("dup", F.row_number().over(Window.partitionBy("query_id").orderBy("q")).cast("bigint"))
+    # a repeated id asks once for each of its rows (``dup``)
     first = ask.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))
     near = cand.groupBy("shard", "grp").cogroup(first.groupBy("shard", "grp")).applyInPandas(search, schema)
     near = cut_lineage(near)
