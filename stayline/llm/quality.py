@@ -8,7 +8,7 @@ hashed into 2**``BITS`` weights; a text's value of a feature is its share of the
 text's n-grams, so the score is a sparse dot product of whole texts.
 
 Learning uses a bounded sample: the ``sample`` labelled rows with the smallest
-keyed digest of their id, of at most ``SAMPLE_BYTES`` bytes.  Only their ids are broadcast to find the texts (a
+keyed digest of their id, of at most ``SAMPLE_BYTES`` bytes, one text of each id.  Only their ids are broadcast to find the texts (a
 proven size), the updates run in one task in digest order, and the weights have
 a fixed size.  Scoring runs where the text is read; no shuffle.
 
@@ -122,6 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             .where(F.col("_k").isNotNull() & F.col("_y").isNotNull()).orderBy("_h", "_k", "_y").limit(sample))
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(pick), "_k")
     rows = rows.where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= sample_bytes)
+    # one text of a picked id, chosen before the shuffle: an id that many rows share is learned from once
+    rows = rows.groupBy("_k", "_y", "_h").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
