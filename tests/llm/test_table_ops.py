@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from scripts.oracle_check import TABLES, compare
@@ -213,7 +214,54 @@ def test_shards(spark, docs):
     assert sharding.interleave(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [sharding.RUN, 7])
+def test_shards_with_a_hot_id(spark, monkeypatch, run):
+    """A third of the rows under one id, a third copies of one row, null ids."""
+    monkeypatch.setattr(sharding, "RUN", run)
+    rows = [(5 if k % 3 == 0 else (8 if k % 3 == 1 else k), "same" if k % 3 == 1 else f"text {k}", "s1" if k % 3 == 1 else f"s{k % 4}")
+            for k in range(900)] + [(None, None, None)] * 40
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = sharding.interleave(d).collect()
+    assert sorted((r.doc_id or -1, r.source or "", r.size) for r in got) == sorted(
+        (k or -1, s or "", len((t or "").encode()) + 1) for k, t, s in rows)
+    n = {}
+    for r in got:
+        n.setdefault(r.shard, []).append(r)
+    assert len(n) == 16 and {len(x) for x in n.values()} <= {58, 59}
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in n.values())
+    mix = [sum(r.source == "s1" for r in x) for x in n.values()]
+    assert max(mix) - min(mix) <= 2
+
+
 # ---------------------------------------------------------------- top-k
+def test_top_k_with_a_hot_id(spark):
+    """A third of the rows under one id, which asks; groups and shards stay bounded."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, size=(600, 5)).astype(float)
+    rows = [(100 if k % 3 == 0 else k * 50 if k % 3 == 1 else k, x[k].tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, k=4, every=50, scale=1, shard_rows=100, group_rows=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    ids = np.array([r[0] for r in rows])
+    for q in {i for i in ids.tolist() if i % 50 == 0}:
+        want = []
+        for a in np.flatnonzero(ids == q):
+            best = sorted((-int(x[a] @ x[c]), int(ids[c])) for c in range(600) if ids[c] != q)[:4]
+            want += [(k + 1, s, i) for k, (s, i) in enumerate(best)]
+        assert sorted(got[q]) == sorted(want)
+
+
+def test_quality_learns_once_from_a_hot_id(spark):
+    from stayline.llm import quality
+    rows = [(1, f"copy {k % 5} of a text") for k in range(300)] + [(k, f"good words {k}") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id bigint, quality int")
+    one = docs.where("doc_id > 1").unionByName(spark.createDataFrame(
+        [r for r in [docs.where("doc_id = 1").selectExpr("doc_id", "text").distinct().orderBy(F.xxhash64("text")).first()]], docs.schema))
+    assert np.array_equal(quality.train(docs, labels), quality.train(one, labels))
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 8)).round(1)
