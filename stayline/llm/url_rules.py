@@ -9,9 +9,13 @@ table size -, its confidence reaches both ``confidence`` and the middle between
 the bad share and 1 (a bound that any bad share leaves reachable), and no subset
 of its tokens is already kept with as high a confidence.  Tokens on fewer bad
 urls are dropped before the search; a token that is never on a good url is a rule
-by itself, cannot be improved by others, and is left out of the combinations.  Rules are
-found through an inverted index: each is filed under its rarest token, a url
-looks its own tokens up there and the whole antecedent is then verified.
+by itself, cannot be improved by others, and is left out of the combinations.  Tokens
+on exactly the same labelled urls (the host, its labels, its words) are one item for
+the search - their combinations have equal counts, and would multiply the itemsets by
+powers of two -, and any of them stands for it in a url: the result is that of a search
+of all.  Rules are found through an inverted index: each is filed under the tokens of
+its rarest item, a url looks its own tokens up there and the whole antecedent is then
+verified.
 
 The number of rules is measured: they are broadcast when at most ``SMALL`` rows,
 otherwise joined by token.
@@ -72,54 +76,80 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def mine(tokens: DataFrame, confidence: float, least: int) -> DataFrame:
-    """Pruned rules (antecedent, confidence, support, lift) from rows
-    (tokens array<string>, bad boolean).  A rule holds for at least ``least`` bad rows."""
+    """Pruned rules (antecedent, options, confidence, support, lift) from rows
+    (tokens array<string>, bad boolean).  A rule holds for at least ``least`` bad rows;
+    ``options``: per item of the antecedent, the tokens that stand for it."""
     tokens = cut_lineage(tokens.withColumn("_row", F.monotonically_increasing_id()))
     n, n_bad = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0))).first()
     share = n_bad / max(n, 1)
     confidence = max(confidence, (1 + share) / 2)
     single = tokens.select("_row", "bad", F.explode("tokens").alias("t"))
-    often = single.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("b"))
+    often = single.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("b"),
+                                    F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"))
     often = cut_lineage(often.where(F.col("b") >= least))
     alone = often.where("b = n").select(F.array("t").alias("antecedent"), F.lit(1.0).alias("confidence"),
                                         (F.col("b") / F.lit(max(n, 1))).alias("support"),
                                         F.lit(1 / max(share, 1e-300)).alias("lift"))
-    # written baskets of the tokens that can still combine
-    mixed = single.join(often.where("b < n").select("t"), "t").groupBy("_row", "bad").agg(F.collect_list("t").alias("items"))
-    baskets = cut_lineage(mixed.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD)))
-                                       .otherwise(F.col("items")).alias("items")))
+    # tokens on the same rows are one item, named by the smallest
+    mixed = often.where("b < n")
+    item = mixed.groupBy("n", "b", "x", "y").agg(F.min("t").alias("item"), F.sort_array(F.collect_list("t")).alias("same"))
+    item = cut_lineage(item.select("item", F.explode("same").alias("t"), "same"))
+    # written baskets of the items that can still combine
+    held = single.join(item.where("t = item").select("t"), "t").groupBy("_row", "bad").agg(F.collect_list("t").alias("items"))
+    baskets = cut_lineage(held.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD)))
+                                      .otherwise(F.col("items")).alias("items")))
     m = baskets.count()
     # FPGrowth counts up from ceil(minSupport * rows): half a row below, so that rounding loses none
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least - 0.5, 0.5) / max(m, 1)),
-                     minConfidence=min(1.0, confidence) - 1e-9).fit(baskets)
+                     minConfidence=min(1.0, confidence) - 1e-9,
+                     numPartitions=int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence",
                          (F.col("support") * (m / max(n, 1))).alias("support"),
                          (F.col("confidence") / F.lit(max(share, 1e-300))).alias("lift")).unionByName(alone)
     rules = cut_lineage(rules.withColumn("rule_id", F.md5(F.concat_ws("\n", "antecedent"))))
-    # a rule is redundant if a shorter one inside it is as sure: met through a shared token
-    own = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t"))
-    short = rules.select(F.col("antecedent").alias("inner"), F.col("confidence").alias("ic"),
-                         F.col("antecedent")[0].alias("t"))
-    worse = own.join(short, "t").where(
-        (F.size("inner") < F.size("antecedent")) & (F.col("ic") >= F.col("confidence"))
-        & (F.size(F.array_except("inner", "antecedent")) == 0)).select("rule_id").distinct()
-    return rules.join(worse, "rule_id", "left_anti")
+    rules = rules.join(_redundant(rules), "rule_id", "left_anti")
+    # the tokens that stand for each item of the antecedent
+    part = rules.select("rule_id", F.explode("antecedent").alias("item")).join(
+        item.where("t = item").select("item", "same"), "item", "left")
+    part = part.groupBy("rule_id").agg(F.collect_list(F.coalesce("same", F.array("item"))).alias("options"))
+    return cut_lineage(rules.join(part, "rule_id"))
+
+
+WIDE = 12  # items of an antecedent whose subsets are listed
+
+
+def _redundant(rules: DataFrame) -> DataFrame:
+    """rule_id of the rules that hold a shorter one as sure as themselves.  Subsets
+    are met by their digest; rules of more than ``WIDE`` items through shared tokens."""
+    size = F.size("antecedent")
+    mask = F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(antecedent)) - 2")))
+    subset = rules.where((size > 1) & (size <= WIDE)).select("rule_id", "confidence", "antecedent", mask.alias("mask"))
+    subset = subset.select("rule_id", "confidence", F.md5(F.concat_ws("\n", F.expr(
+        "filter(antecedent, (x, i) -> shiftright(mask, i) & 1 = 1)"))).alias("inner_id"))
+    inner = rules.select(F.col("rule_id").alias("inner_id"), F.col("confidence").alias("ic"))
+    worse = subset.join(inner, "inner_id").where("ic >= confidence").select("rule_id")
+    own = rules.where(size > WIDE).select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t"))
+    short = rules.select(F.col("antecedent").alias("inner"), F.col("confidence").alias("ic"), F.col("antecedent")[0].alias("t"))
+    wide = own.join(short, "t").where((F.size("inner") < size) & (F.col("ic") >= F.col("confidence"))
+                                      & (F.size(F.array_except("inner", "antecedent")) == 0)).select("rule_id")
+    return worse.unionByName(wide).distinct()
 
 
 def match(urls: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """Highest confidence of a mined rule that fits, per ``key``; ``urls`` has
-    ``tokens``.  Inverted index on each rule's rarest token."""
+    ``tokens``.  Inverted index on the tokens of each rule's rarest item."""
     n_rules = rules.count()
     asked = urls.select(*key, "tokens", F.explode("tokens").alias("t"))
-    vocabulary = rules.select(F.explode("antecedent").alias("t")).distinct()
     small = (lambda d: F.broadcast(d)) if n_rules <= SMALL else (lambda d: d)
-    seen = asked.select("t").join(small(vocabulary), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    filed = rules.withColumn("t", F.explode("antecedent")).join(seen, "t").groupBy("rule_id").agg(
-        F.min_by("t", F.struct("n", "t")).alias("t"), F.first("antecedent").alias("antecedent"),
-        F.first("confidence").alias("confidence"))
-    hits = asked.join(small(filed.select("t", "antecedent", "confidence")), "t")
-    hits = hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    item = rules.select("rule_id", F.posexplode("options").alias("i", "o")).select("rule_id", "i", F.explode("o").alias("t"))
+    seen = asked.select("t").join(small(item.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    often = item.join(seen, "t").groupBy("rule_id", "i").agg(F.sum("n").alias("n"))
+    # an item that no url has cannot be met, nor can its rule
+    rare = often.groupBy("rule_id").agg(F.min_by("i", F.struct("n", "i")).alias("i"), F.count(F.lit(1)).alias("k"))
+    filed = rules.select("rule_id", "options", "confidence").join(rare, "rule_id").where("k = size(options)")
+    filed = filed.select("options", "confidence", F.explode(F.col("options")[F.col("i")]).alias("t"))
+    hits = asked.join(small(filed), "t").where(F.forall("options", lambda o: F.arrays_overlap(o, F.col("tokens"))))
     return hits.groupBy(*key).agg(F.max("confidence").alias("mined"))
 
 
