@@ -195,6 +195,42 @@ def test_rules_where_most_urls_are_bad(spark):
     assert [got[k] for k in range(100)] == ["block"] * 60 + ["allow"] * 40
 
 
+def _brute_rules(rows, least, confidence):
+    """Confidence of every token set that holds for ``least`` bad rows, by enumeration."""
+    import itertools
+    share = sum(b for _, b in rows) / len(rows)
+    bound, n, bad = max(confidence, (1 + share) / 2), {}, {}
+    for tokens, b in rows:
+        for k in range(1, len(tokens) + 1):
+            for sub in itertools.combinations(sorted(tokens), k):
+                n[sub] = n.get(sub, 0) + 1
+                bad[sub] = bad.get(sub, 0) + b
+    return {s: bad[s] / n[s] for s in n if bad[s] >= least and bad[s] / n[s] >= bound}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mined_rules_equal_brute_force(spark, seed):
+    """Tokens that imply each other, combinations that only together are bad."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(400):
+        t = {f"a{rng.randint(0, 3)}", f"b{rng.randint(0, 3)}", f"c{rng.randint(0, 5)}"}
+        t |= {x + "'" for x in t if x[0] == "a"} | {x + '"' for x in t if x in ("a1", "b2")}  # aliases
+        odds = 0.9 if {"a1", "b2"} <= t else 0.7 if "c3" in t else 1.0 if {"a0", "c1"} <= t else 0.1
+        rows.append((sorted(t), rng.random() < odds))
+    want = _brute_rules(rows, 8, 0.6)
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rules = url_rules.mine(df, 0.6, 8)
+    kept = rules.collect()
+    assert want and all(want[tuple(sorted(r.antecedent))] == pytest.approx(r.confidence) for r in kept)
+    urls = [(k, sorted(rng.sample(sorted({x for t, _ in rows for x in t}), rng.randint(0, 7)))) for k in range(200)]
+    urls += [(1000 + k, t) for k, (t, _) in enumerate(rows)]
+    got = {r.k: r.mined for r in url_rules.match(spark.createDataFrame(urls, "k int, tokens array<string>"), rules, ["k"]).collect()}
+    for k, t in urls:
+        best = max((c for s, c in want.items() if set(s) <= set(t)), default=None)
+        assert (got.get(k) is None) == (best is None) and (best is None or got[k] == pytest.approx(best)), t
+
+
 # ---------------------------------------------------------------- sharding
 def test_shards(spark, docs):
     src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
