@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import col as Q_
 from stayline.functions.expr import true_or_false
 from stayline.operators.ranking import PID, POS, null_safe_join, range_numbered
+from stayline.session import cut_lineage
 
 
 def _as_list(x) -> list:
@@ -63,7 +64,7 @@ def events_in_stay(events: DataFrame, stays: DataFrame, on, t: str, start: str =
     over their cells.  ``index``: stays that went through ``stay_cells`` and were
     written, for use with several event tables."""
     on = _as_list(on)
-    cells = stay_cells(stays, start, end, finest) if index is None else index
+    cells = cut_lineage(stay_cells(stays, start, end, finest)) if index is None else index  # read twice
     levels = [r[0] for r in cells.select("_lv").distinct().collect()]  # at most 63 - finest numbers
     s = cells.select(*[F.col(c).alias(f"_st_{c}") for c in cells.columns])
     e = events.withColumn("_at", epoch_micros(t)).where(F.col("_at").isNotNull())
