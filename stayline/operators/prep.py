@@ -320,7 +320,8 @@ def baseline_logistic(train: DataFrame, score: DataFrame, features: Sequence[str
     va = VectorAssembler(inputCols=[f"_i_{c}" for c in feats], outputCol="_fv")
     sc = StandardScaler(inputCol="_fv", outputCol="_features", withMean=True, withStd=True)
     if kind == "gbt":
-        clf = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=max_iter)
+        # its own checkpoints would be deleted twice, by it and by the session's cleaner
+        clf = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=max_iter, checkpointInterval=-1)
     else:
         clf = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=max_iter)
     model = Pipeline(stages=[imp, va, sc, clf]).fit(train.withColumn("_y", F.col(label).cast("double")))
