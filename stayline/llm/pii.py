@@ -89,10 +89,9 @@ def title_of(mention: Column) -> Column:
     return F.regexp_extract(mention, f"^(?:{_TITLE} )+", 0)
 
 
-def words_of(kind: Column, mention: Column) -> Column:
-    """The words of a name; any other mention whole."""
-    name = F.split(F.regexp_replace(mention, f"^(?:{_TITLE} )+", ""), " ")
-    return F.when(kind == "name", name).otherwise(F.array(mention))
+def words_of(mention: Column) -> Column:
+    """The words of a name without its titles."""
+    return F.split(F.regexp_replace(mention, f"^(?:{_TITLE} )+", ""), " ")
 
 
 def canonical(kind: Column, word: Column) -> Column:
@@ -101,10 +100,10 @@ def canonical(kind: Column, word: Column) -> Column:
     return F.when(kind.isin("name", "email", "ip", "ip6", "secret"), F.lower(word)).otherwise(bare)
 
 
-def gender_of(kind: Column, mention: Column) -> Column:
-    """m, f or n by the titles; empty for other kinds."""
+def gender_of(mention: Column) -> Column:
+    """m, f or n by the titles of a name."""
     titles = F.split(F.regexp_replace(title_of(mention), r"\.", ""), " ")
-    return (F.when(kind != "name", "").when(F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE))), "f")
+    return (F.when(F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE))), "f")
             .when(F.arrays_overlap(titles, F.array(*map(F.lit, MALE))), "m").otherwise("n"))
 
 
@@ -120,33 +119,15 @@ def _draw(digest: Column, i: Column, below: int) -> Column:
     return F.pmod(F.conv(piece, 16, 10).cast("int"), F.lit(below))
 
 
-def _char(c: Column, i: Column, digest: Column, first_digit_kept: Column) -> Column:
-    hexa = F.lit("abcdef")
-    letters = F.lit("abcdefghijklmnopqrstuvwxyz")
-    cyr = F.lit("абвгдежзиклмнопрстуфхцчшэюя")
-    digit = F.when(first_digit_kept, c).when(
-        (c != "0") & (i == 0), (_draw(digest, i, 9) + 1).cast("string")).otherwise(_draw(digest, i, 10).cast("string"))
+def _char(c: Column, i: Column, digest: Column, hexa: Column) -> Column:
+    """A character of the same sort; of a hexadecimal form a to f stay among them."""
+    letters, cyr = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("абвгдежзиклмнопрстуфхцчшэюя")
+    lead = (c != "0") & (i == 0)
+    digit = F.when(lead, _draw(digest, i, 9) + 1).otherwise(_draw(digest, i, 10)).cast("string")
     return (F.when(c.rlike("^[0-9]$"), digit)
             .when(c.rlike("^[\\p{IsCyrillic}]$"), F.substring(cyr, _draw(digest, i, 27) + 1, F.lit(1)))
-            .when(c.rlike("^\\p{L}$"), F.substring(letters, _draw(digest, i, 26) + 1, F.lit(1)))
-            .otherwise(c)), F.when(c.rlike("^[a-f]$"), F.substring(hexa, _draw(digest, i, 6) + 1, F.lit(1)))
-
-
-def _formatted(entity: Column, digest: Column, keep) -> Column:
-    """Character by character; ``keep(i, c)`` tells which characters stay."""
-    chars = F.split(entity, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(keep(i, c), c).otherwise(
-        _char(c, i, digest, F.lit(False))[0])), "")
-
-
-def _hex_formatted(entity: Column, digest: Column) -> Column:
-    chars = F.split(entity, "")
-
-    def one(c, i):
-        plain, hexa = _char(c, i, digest, F.lit(False))
-        return F.coalesce(hexa, plain)
-
-    return F.array_join(F.transform(chars, one), "")
+            .when(hexa & c.rlike("^[a-f]$"), F.substring(letters, _draw(digest, i, 6) + 1, F.lit(1)))
+            .when(c.rlike("^\\p{L}$"), F.substring(letters, _draw(digest, i, 26) + 1, F.lit(1))).otherwise(c))
 
 
 def _ip(entity: Column, digest: Column) -> Column:
@@ -158,55 +139,64 @@ def _ip(entity: Column, digest: Column) -> Column:
 
 def _luhn(number: Column) -> Column:
     """Luhn sum modulo 10 of a string of digits."""
-    chars = F.reverse(F.split(number, ""))
-    value = F.transform(chars, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(
-        F.when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
+    twice = lambda c: c.try_cast("int") * 2
+    value = F.transform(F.reverse(F.split(number, "")), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(
+        twice(c) - F.when(twice(c) > 9, 9).otherwise(0)))
     return F.aggregate(value, F.lit(0), lambda a, v: a + v) % 10
 
 
-def _card(entity: Column, digest: Column) -> Column:
-    made = _formatted(entity, digest, lambda i, c: i == 0)
-    body = F.substring(made, F.lit(1), F.length(made) - 1)
-    check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    other = F.pmod(check + 1 + _draw(digest, F.lit(40), 9), F.lit(10))
-    return F.concat(body, F.when(_luhn(entity) == 0, check).otherwise(other).cast("string"))
-
-
-def _iban(entity: Column, digest: Column) -> Column:
-    """Country and format stay; check digits are right if they were right."""
-    made = _formatted(entity, digest, lambda i, c: i < 2)
-
-    def rest(number: Column) -> Column:  # modulo 97, letters as 10 to 35
-        turned = F.concat(F.substring(number, F.lit(5), F.length(number)), F.substring(number, F.lit(1), F.lit(4)))
-        return F.aggregate(F.split(F.upper(turned), ""), F.lit(0), lambda a, c: F.pmod(
-            F.when(c.rlike("^[0-9]$"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
-
-    country, body = F.substring(made, F.lit(1), F.lit(2)), F.substring(made, F.lit(5), F.length(made))
-    check = F.lit(98) - rest(F.concat(country, F.lit("00"), body))
-    wrong = F.pmod(check + 1 + _draw(digest, F.lit(40), 90), F.lit(97)) + 2
-    digits = F.lpad(F.when(rest(entity) == 1, check).otherwise(
-        F.when(wrong == check, wrong - 1).otherwise(wrong)).cast("string"), 2, "0")
-    return F.concat(country, digits, body)
+def _mod97(number: Column) -> Column:
+    """Remainder of an IBAN, its first four characters moved to the end, letters as 10 to 35."""
+    turned = F.concat(F.substring(number, F.lit(5), F.length(number)), F.substring(number, F.lit(1), F.lit(4)))
+    return F.aggregate(F.split(F.upper(turned), ""), F.lit(0), lambda a, c: F.pmod(
+        F.when(c.rlike("^[0-9]$"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
 
 
 def _name(entity: Column, gender: Column, digest: Column) -> Column:
     """A word of a name."""
-    def pick(table, k):
-        return F.element_at(F.array(*map(F.lit, table)), _draw(digest, F.lit(k), 16) + 1)
-
-    latin = F.concat(*[pick(LATIN, k) for k in range(3)], F.when(gender == "f", "a").when(gender == "m", "o").otherwise("e"))
-    cyril = F.concat(*[pick(CYRILLIC, k) for k in range(3)], F.when(gender == "f", "ова").when(gender == "m", "ов").otherwise("ко"))
-    return F.when(entity.rlike("\\p{IsCyrillic}"), cyril).otherwise(latin)
-
-
-def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
-    d = _digest(key, kind, entity, gender, attempt.cast("string"))
-    email = _formatted(entity, d, lambda i, c: i >= F.length(F.substring_index(entity, ".", -1)) * -1 + F.length(entity))
-    phone = _formatted(entity, d, lambda i, c: F.lit(False))
-    made = (F.when(kind == "email", email).when(kind == "ip", _ip(entity, d)).when(kind == "card", _card(entity, d))
-            .when(kind == "name", _name(entity, gender, d)).when(kind.isin("secret", "ip6"), _hex_formatted(entity, d))
-            .when(kind == "iban", _iban(entity, d)).otherwise(phone))
-    return F.when(attempt < ATTEMPTS, made).otherwise(F.concat(made, F.substring(d, 1, 12)))
+    cyrillic = entity.rlike("\\p{IsCyrillic}")
+
+    def pick(k):
+        at = _draw(digest, F.lit(k), 16) + 1
+        return F.when(cyrillic, F.element_at(F.array(*map(F.lit, CYRILLIC)), at)).otherwise(
+            F.element_at(F.array(*map(F.lit, LATIN)), at))
+
+    end = F.when(cyrillic, F.when(gender == "f", "ова").when(gender == "m", "ов").otherwise("ко")).otherwise(
+        F.when(gender == "f", "a").when(gender == "m", "o").otherwise("e"))
+    return F.concat(pick(0), pick(1), pick(2), end)
+
+
+def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``surrogate`` to kind, entity, gender, attempt.  Step by step, so that
+    no expression is written into another more than once."""
+    kind, entity, d, made = (F.col(c) for c in ("kind", "entity", "d", "made"))
+    x = rows.withColumn("d", _digest(key, kind, entity, F.col("gender"), F.col("attempt").cast("string")))
+    x = x.withColumn("hexa", kind.isin("secret", "ip6")).withColumn("kept", F.when(  # first and last character that change
+        kind == "card", F.array(F.lit(1), F.length(entity))).when(kind == "iban", F.array(F.lit(2), F.length(entity))).when(
+        kind == "email", F.array(F.lit(0), F.length(entity) - F.length(F.substring_index(entity, ".", -1)))).otherwise(
+        F.array(F.lit(0), F.length(entity))))
+    formatted = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(
+        (i < F.col("kept")[0]) | (i >= F.col("kept")[1]), c).otherwise(_char(c, i, d, F.col("hexa")))), "")
+    x = x.withColumn("made", F.when(kind == "ip", _ip(entity, d)).when(
+        kind == "name", _name(entity, F.col("gender"), d)).otherwise(formatted))
+    # check digits: right where they were right, wrong where they were wrong
+    body = F.when(kind == "card", F.substring(made, F.lit(1), F.length(made) - 1)).when(
+        kind == "iban", F.substring(made, F.lit(5), F.length(made)))
+    x = x.withColumn("body", body)
+    x = x.withColumn("sum", F.when(kind == "card", F.pmod(F.lit(10) - _luhn(F.concat("body", F.lit("0"))), F.lit(10))).when(
+        kind == "iban", F.lit(98) - _mod97(F.concat(F.substring(made, F.lit(1), F.lit(2)), F.lit("00"), "body"))))
+    x = x.withColumn("valid", F.when(kind == "card", _luhn(entity) == 0).when(kind == "iban", _mod97(entity) == 1))
+    off = F.when(kind == "card", F.pmod(F.col("sum") + 1 + _draw(d, F.lit(40), 9), F.lit(10))).otherwise(
+        F.pmod(F.col("sum") + _draw(d, F.lit(40), 90), F.lit(96)) + 2)
+    x = x.withColumn("check", F.when(F.col("valid"), F.col("sum")).otherwise(off))
+    # an IBAN's wrong digits may not be the right ones by chance
+    x = x.withColumn("check", F.when((kind == "iban") & ~F.col("valid") & (F.col("check") == F.col("sum")),
+                                     F.pmod(F.col("check"), F.lit(97)) + 1).otherwise(F.col("check")))
+    x = x.withColumn("made", F.when(kind == "card", F.concat("body", F.col("check").cast("string"))).when(
+        kind == "iban", F.concat(F.substring(made, F.lit(1), F.lit(2)), F.lpad(F.col("check").cast("string"), 2, "0"), "body"))
+        .otherwise(made))
+    return x.withColumn("surrogate", F.when(F.col("attempt") < ATTEMPTS, made).otherwise(F.concat(
+        made, F.substring(d, 1, 12)))).select(*rows.columns, "surrogate")
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
@@ -216,8 +206,7 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
     now = cut_lineage(entities.select("kind", "entity", "gender", F.lit(0).alias("attempt"),
                                       F.lit(False).alias("settled")))
     while True:
-        made = now.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("gender"),
-                                                     F.col("attempt"), key))
+        made = with_surrogate(now, key)
         first = Window.partitionBy("kind", "surrogate").orderBy(F.col("settled").desc(), "entity", "gender")
         made = made.withColumn("n", F.row_number().over(first))
         made = made.join(own.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
@@ -261,25 +250,23 @@ def mentions(text: Column) -> Column:
         F.array().cast("array<string>"))
 
 
-def described(found: Column) -> Column:
-    """mention, kind, gender of a row's distinct mentions; a name under a neutral
-    title takes the gender that another mention of its last word has in the row."""
-    last = lambda e: F.element_at(words_of(e.kind, e.mention), -1)
-    each = F.transform(F.array_distinct(found), lambda m: F.struct(
-        m.alias("mention"), type_of(m).alias("kind"), gender_of(type_of(m), m).alias("gender")))
-
-    def resolved(e):
-        others = F.filter(each, lambda o: (o.kind == "name") & (o.gender != "n") & (last(o) == last(e)))
-        return F.struct(e.mention.alias("mention"), e.kind.alias("kind"), F.when(
-            e.gender == "n", F.coalesce(F.get(others, F.lit(0)).gender, e.gender)).otherwise(e.gender).alias("gender"))
-
-    return F.transform(each, resolved)
+def described(each: DataFrame, row: str) -> DataFrame:
+    """Rows (row, mention) with kind and gender; a name under a neutral title takes
+    the gender that another mention of its last word has in the row."""
+    x = each.withColumn("kind", type_of(F.col("mention")))
+    x = x.withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("mention"))).otherwise(""))
+    x = cut_lineage(x.withColumn("last", F.when(F.col("kind") == "name", F.element_at(words_of(F.col("mention")), -1))))
+    known = x.where("gender IN ('m', 'f')").groupBy(row, "last").agg(F.min("gender").alias("other"))
+    neutral = x.where("gender = 'n'").join(known, [row, "last"], "left").withColumn("gender", F.coalesce("other", "gender"))
+    out = [row, "mention", "kind", "gender"]
+    return x.where("gender <> 'n'").select(*out).unionByName(neutral.select(*out))
 
 
 def replacements(seen: DataFrame, key: str) -> DataFrame:
     """mention, kind, gender (distinct rows) with ``replacement`` and ``words``
     (word, written surrogate of each word of a name)."""
-    part = seen.select("mention", "kind", "gender", F.posexplode(words_of(F.col("kind"), F.col("mention"))).alias("pos", "word"))
+    part = seen.select("mention", "kind", "gender", F.posexplode(
+        F.when(F.col("kind") == "name", words_of(F.col("mention"))).otherwise(F.array("mention"))).alias("pos", "word"))
     part = cut_lineage(part.withColumn("entity", canonical(F.col("kind"), F.col("word"))))
     made = dictionary(part.select("kind", "entity", "gender").distinct(), key)
     part = part.join(made, ["kind", "entity", "gender"]).withColumn("new", _written(F.col("kind"), F.col("word"), F.col("surrogate")))
@@ -294,7 +281,7 @@ def replace_pii(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``docs`` with the mentions in ``text`` replaced, and ``n_replaced``.  ``key`` makes
     the surrogates; whoever has it can test guesses, so it is kept secret."""
     keep = [c for c in docs.columns if c != "n_replaced"]
-    row, found, table, names, parts = (blocks.free_name(n, [*docs.columns, "mention", "kind", "gender", "e"])
+    row, found, table, names, parts = (blocks.free_name(n, [*docs.columns, "mention", "kind", "gender", "last", "other"])
                                        for n in ("row", "found", "table", "names", "parts"))
     col, m = F.col(f"`{text}`"), F.col(found)
     marked = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -302,7 +289,7 @@ def replace_pii(docs: DataFrame, text: str, key: str) -> DataFrame:
     plain = marked.where(~has).withColumn("n_replaced", F.lit(0).cast("bigint"))
     # rows with a mention are written with their mentions; each gets an own number
     some = cut_lineage(marked.where(has).withColumn(found, mentions(col)).withColumn(row, F.monotonically_increasing_id()))
-    each = cut_lineage(some.select(row, F.explode(described(m)).alias("e")).select(row, "e.*"))
+    each = cut_lineage(described(some.select(row, F.explode(F.array_distinct(m)).alias("mention")), row))
     made = cut_lineage(replacements(each.select("mention", "kind", "gender").distinct(), key))
     named = each.join(made, ["mention", "kind", "gender"])
     maps = named.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias(table))
