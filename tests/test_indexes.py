@@ -47,6 +47,37 @@ def test_events_in_stay_equal_brute_force(spark):
     assert J.events_in_stay(e.limit(0), s, "ward", "t").count() == 0
 
 
+def test_figures_of_a_stay_equal_those_of_its_pairs(spark):
+    """Count (of NULL values too), least and largest event per stay: 40,000 events meet
+    2,000 stays 13 million times, some stays equal, some without events or ends."""
+    rng = random.Random(4)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    events = [(None if k % 50 == 0 else k * 7919 % 100_003, rng.choice(["a", "a", "b", None]), rng.randint(0, 30_000)) for k in range(40_000)]
+    stays = [(k, rng.choice(["a", "a", "b", "c", None]), lo, lo + rng.choice([0, 1, 9, 600, 20_000]))
+             for k, lo in enumerate(rng.randint(-100, 31_000) for _ in range(1990))]
+    stays += [(1, "a", 10, 500)] * 2 + [(2, "a", None, 5), (3, "a", 5, None), (4, "a", 9, 3), (5, "a", 40_000, 50_000)]
+    t = lambda x: None if x is None else at(x)
+    e = spark.createDataFrame([(v, w, t(x)) for v, w, x in events], "event int, ward string, t timestamp_ntz")
+    s = spark.createDataFrame([(k, w, t(a), t(b)) for k, w, a, b in stays], "stay int, ward string, intime timestamp_ntz, outtime timestamp_ntz")
+    got = J.events_in_stay(e, s, "ward", "t", summary={"n": ("count", "event"), "lo": ("min", "event"), "hi": ("max", "event"),
+                                                       "sum": ("sum", "event")})
+    assert got.columns == ["stay", "ward", "intime", "outtime", "n", "lo", "hi", "sum"]
+    per, want = {w: sorted((x, -1 if v is None else v) for v, ww, x in events if ww == w) for w in "abc"}, []
+    for k, w, a, b in stays:
+        if w is None or a is None or b is None:
+            continue
+        x = np.array(per[w]).reshape(-1, 2)
+        v = x[np.searchsorted(x[:, 0], a, "left"):np.searchsorted(x[:, 0], b, "right"), 1] if a <= b else x[:0, 1]
+        if len(v):
+            p = v[v >= 0]
+            want.append((k, w, at(a), at(b), len(v), *((int(p.min()), int(p.max()), int(p.sum())) if len(p) else (None,) * 3)))
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r) for r in got.collect()) == order(want)
+    none = {"n": ("count", "event")}
+    assert J.events_in_stay(e, s.limit(0), "ward", "t", summary=none).count() == 0
+    assert J.events_in_stay(e.limit(0), s, "ward", "t", summary=none).count() == 0
+
+
 def test_a_hot_ward_does_not_meet_all_its_events(spark):
     """500,000 events, a third of them in one ward that also holds 1,000 stays."""
     n = 500_000
