@@ -62,7 +62,7 @@ def _duck(e: str) -> str:
 
 def hospital(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables of ``plans/clinical.py`` and its label map."""
-    st = stay_table(spark, d).select("user_id", "session_no", "intime", "outtime")
+    st = P.cut(stay_table(spark, d).select("user_id", "session_no", "intime", "outtime"))  # every table reads it
     ids = [_spark(ADMISSION[c]).alias(c) for c in ("subject_id", "hadm_id")]
     transfers = [st.select(*ids, *[_spark(e).alias(c) for c, e in t.items()]) for t in TRANSFER]
     part = table(spark, d, "part").select("p_partkey", "p_size", "p_type")

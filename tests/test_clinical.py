@@ -175,3 +175,18 @@ def test_losses_and_quartiles(spark):
     q = ev["quartiles"].first()
     assert ev["steps"].count() == 3 and (q["actual"], q["median"]) == (1.0, 0.4)
     assert q["down"] == pytest.approx(0.1) and q["up"] == pytest.approx(0.1)
+
+
+def test_hospital_tables_read_written_stays(spark):
+    """The stays are built once for all tables: no table's plan numbers sessions again."""
+    from stayline.plans import q_clinical
+    t, _ = q_clinical.hospital(spark, "/root/testdata/sf0.001")
+    for name in ("transfers", "patients", "admissions", "diagnoses_icd", "inputevents", "chartevents"):
+        assert "Window" not in t[name]._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_limits_and_rows_read_the_same_written_measurements(spark, extracted):
+    """The interval join stands before a written table, not once for the limits and once for the rows."""
+    t, lm, cohort, _ = extracted
+    ce = P.clean_measurements(t, cohort, lm)
+    assert "_st__cell" not in ce._jdf.queryExecution().optimizedPlan().toString()

@@ -3,6 +3,7 @@
 import bisect
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -78,6 +79,21 @@ def test_figures_of_a_stay_equal_those_of_its_pairs(spark):
     assert J.events_in_stay(e.limit(0), s, "ward", "t", summary=none).count() == 0
 
 
+def test_neighbouring_levels_share_their_cells(spark):
+    """Events are looked up on three levels, not eleven, for stays of 72 minutes to 50 days."""
+    shared = J.shared_levels(list(range(32, 43)))
+    assert sorted(set(shared.values())) == [32, 36, 40] and all(0 <= k - v < 4 for k, v in shared.items())
+    assert J.shared_levels([37]) == {37: 37} and J.shared_levels([]) == {}
+    lo = F.lit(T0).cast("timestamp_ntz")
+    at = lambda micros: lo + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros / 1e6)
+    s = spark.range(32, 43).select(F.col("id").alias("stay"), F.lit("a").alias("ward"), lo.alias("intime"),
+                                   at(F.expr("shiftleft(1L, CAST(id AS INT)) - 1")).alias("outtime"))
+    e = spark.range(33, 44).select(F.col("id").alias("event"), F.lit("a").alias("ward"), at(F.expr("shiftleft(1L, CAST(id - 1 AS INT)) - 2")).alias("t"))
+    got = J.events_in_stay(e, s, "ward", "t")
+    assert len(re.findall(r"shiftright\(_at", got._jdf.queryExecution().analyzed().toString())) == 3
+    assert sorted((r.event, r.stay) for r in got.collect()) == [(v, k) for v in range(33, 44) for k in range(v - 1, 43)]
+
+
 def test_a_hot_ward_does_not_meet_all_its_events(spark):
     """500,000 events, a third of them in one ward that also holds 1,000 stays."""
     n = 500_000

@@ -101,3 +101,19 @@ def test_first_per_key(spark):
                                "k int, t timestamp_ntz, s int")
     got = sorted((r["k"], r["s"]) for r in stays.first_per_key(df, "k", ["t"], ["s"]).collect())
     assert got == [(1, 1), (2, 9)]
+
+
+def test_sessionize_shuffles_rows_once_after_writing_them(spark):
+    """A key cut into pieces is numbered right, and only such keys are joined: by broadcast."""
+    ev = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).when(F.col("id") % 64 > 0, (F.col("id") % 40).cast("string")).alias("k"),
+                                  F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(CAST(id DIV 100 * 3 AS INT), 0, 0, CAST(id AS INT))").alias("t"), "id")
+    for running in (False, True):
+        out = stays.sessionize(ev, "k", "t", "t", 24, partitions=6, tiebreak=["id"], running_end=running)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        assert all(r.session_no == r.id // 100 + 1 for r in out.where("k = 'hot'").collect())
+        for k in (None, "4", "36"):
+            mine = sorted(r.id for r in ev.where(F.col("k").eqNullSafe(F.lit(k))).collect())
+            days = sorted({i // 100 for i in mine})
+            got = {r.id: r.session_no for r in out.where(F.col("k").eqNullSafe(F.lit(k))).collect()}
+            assert got == {i: days.index(i // 100) + 1 for i in mine}
