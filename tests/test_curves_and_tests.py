@@ -176,3 +176,12 @@ def test_boosted_trees_learn_what_a_line_cannot(spark):
         assert out.where("proba < 0 OR proba > 1 OR proba IS NULL").isEmpty()
         auc[kind] = E.auroc(out, "y", "proba").first()[0]
     assert auc["gbt"] > 0.9 > 0.7 > auc["logistic"]
+
+
+def test_baseline_reads_written_scores(spark):
+    """The model's stages and the scoring read one written table, not the panel anew."""
+    import __spark_entry__ as E
+    out = E.queries()["baseline_logistic"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    from stayline.plans.q_eval import scored
+    assert out.where("proba > 0 AND proba < 1").count() == scored(spark, "/root/testdata/sf0.001").count() > 0
