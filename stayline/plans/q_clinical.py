@@ -162,7 +162,7 @@ register("clinical_cohort", rounded_sql("WITH " + HOSPITAL_SQL + """
 def _with_size(spark, d):
     t, _ = hospital(spark, d)
     co, dx = P.build_cohort(t)
-    return t, P.cut(P.add_body_size(t, co)), dx
+    return t, P.cut(P.add_body_size(t, P.cut(co))), dx
 
 
 def _body_size(spark, d):
