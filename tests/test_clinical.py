@@ -199,3 +199,10 @@ def test_body_size_reads_a_written_cohort(spark, monkeypatch):
     monkeypatch.setattr(P, "add_body_size", lambda t, co: got.append(co) or add(t, co))
     assert q_clinical._body_size(spark, "/root/testdata/sf0.001").count() == got[0].count()
     assert "Join" not in got[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prepared_stays_are_packed_once(spark):
+    """The longest stay of a split is counted, not taken from stays packed a second time."""
+    from stayline.plans import q_clinical
+    plan = q_clinical._prepared(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2  # labels and mask
