@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stayline.functions import constants as K
 from stayline.operators import codes as C, joins as J
 from stayline.plans import clinical as P
-from stayline.plans.base import LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish, labelled_panel, panel, rounded_sql, stay_table, table
+from stayline.plans.base import LABELLED_SQL, PANEL_SQL, STAYS_SQL, finish, labelled_panel, panel, rounded_sql, stay_bounds, table
 from stayline.plans.q_eval import EV_SQL, SCORED_SQL, _md5, event_scores, scored
 from stayline.plans.q_joins import _rules_values
 from stayline.plans.q_panel import _score_case
@@ -62,7 +62,7 @@ def _duck(e: str) -> str:
 
 def hospital(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables of ``plans/clinical.py`` and its label map."""
-    st = P.cut(stay_table(spark, d).select("user_id", "session_no", "intime", "outtime"))  # every table reads it
+    st = P.cut(stay_bounds(spark, d))  # every table reads it
     ids = [_spark(ADMISSION[c]).alias(c) for c in ("subject_id", "hadm_id")]
     transfers = [st.select(*ids, *[_spark(e).alias(c) for c, e in t.items()]) for t in TRANSFER]
     part = table(spark, d, "part").select("p_partkey", "p_size", "p_type")
@@ -73,7 +73,9 @@ def hospital(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFra
     part = part.select("p_partkey", "p_type", code.alias("icd_code"), ver.alias("icd_version"))
     which = st.select(*ids, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq_num"), "user_id", "session_no")
     which = which.withColumn("p_partkey", F.expr("1 + (user_id * 31 + session_no * 7 + seq_num * 53) % 200"))
-    dx = which.join(part, "p_partkey").select("subject_id", "hadm_id", F.col("seq_num").cast("string").alias("seq_num"),
+    named = J.counted_lookup(which.select("p_partkey").distinct())
+    coded = J.counted_lookup(part.join(named, "p_partkey", "left_semi").drop("p_type"))  # parts that a diagnosis names
+    dx = which.join(coded, "p_partkey").select("subject_id", "hadm_id", F.col("seq_num").cast("string").alias("seq_num"),
                                               "icd_code", "icd_version")
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     ev = J.events_in_stay(ev, st, "user_id", "ts").select(*ids, "event_id", "ts", "event_type", "value")

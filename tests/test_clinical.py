@@ -206,3 +206,43 @@ def test_prepared_stays_are_packed_once(spark):
     from stayline.plans import q_clinical
     plan = q_clinical._prepared(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 2  # labels and mask
+
+
+def test_stays_come_from_one_record_per_user_and_day(spark, monkeypatch):
+    """Sessions are numbered over days, not over all events, and have the same ends."""
+    from stayline.plans import base
+    d, got, one = "/root/testdata/sf0.001", [], base.stays.sessionize
+    monkeypatch.setattr(base.stays, "sessionize", lambda df, *a, **k: got.append(df.count()) or one(df, *a, **k))
+    from stayline.plans import q_clinical
+    q_clinical.hospital(spark, d)
+    ev = base.table(spark, d, "events")
+    assert got == [ev.select("user_id", F.to_date("ts")).distinct().count()]
+    cols = ["user_id", "session_no", "intime", "outtime"]
+    assert sorted(map(tuple, base.stay_bounds(spark, d).collect())) == sorted(
+        map(tuple, base.stay_table(spark, d).select(*cols).collect()))
+
+
+def test_items_go_to_the_chart_events(spark, extracted, monkeypatch):
+    """Two item numbers are two tasks: the chart events are not shuffled by item."""
+    t, _, cohort, _ = extracted
+    seen, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    cols = ["subject_id", "hadm_id", "discharge_location", *[c for c in cohort.columns if c in ("Admission type", "Admission location", "Ethnicity")]]
+    out = P.add_body_size(t, cohort.select(*cols))
+    assert "hashpartitioning(itemid" not in seen[0]
+    one = out.where("subject_id = 's0'").first()
+    assert abs(one["Height (m)"] - 1.778) < 1e-9 and one["Weight (kg)"] == 80.0
+
+
+def test_groups_of_an_admission_are_written_as_bits(spark, extracted):
+    """Flags and prior history read the same written row per admission: the diagnoses are
+    grouped once.  An admission without a group is kept, one without a diagnosis is not."""
+    t, _, cohort, dx = extracted
+    assert "Join" not in dx._jdf.queryExecution().optimizedPlan().toString()
+    assert dx.count() == t["diagnoses_icd"].select("hadm_id").distinct().count()
+    more = dict(t, diagnoses_icd=t["diagnoses_icd"].where("hadm_id NOT IN ('h1', 'h2')").union(
+        spark.createDataFrame([("s2", "h2", "1", "ZZZ", "10")], t["diagnoses_icd"].schema)))
+    co, _ = P.build_cohort(more)
+    rows = {r["hadm_id"]: r for r in co.collect()}
+    assert "h1" not in rows and len(rows) == 7
+    assert not any(v for c, v in rows["h2"].asDict().items() if c.startswith("(Elixhauser)"))

@@ -192,3 +192,24 @@ def test_quantile_transform_is_native_and_equals_numpy(spark, m):
     for c in knots:
         np.testing.assert_allclose([got[i][c] for i in range(len(v))], _reference_transform(v, knots[c]), atol=1e-12)
     assert prep.quantile_transform(df, {}).columns == df.columns
+
+
+def test_counted_lookup_is_broadcast_up_to_its_limit(spark):
+    """A small side is written, counted and broadcast; a larger one is joined by key, with the same rows."""
+    left = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    small, large = (left.join(J.counted_lookup(right, n), "k") for n in (40, 39))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (small, large)]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() == 800
+
+
+def test_epoch_micros_of_odd_times(spark):
+    """Before 1970, at the ends of the calendar, in a skipped hour of the session's zone; no decimals."""
+    epoch, us = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=1)
+    times = [dt.datetime(1, 1, 1), dt.datetime(1582, 10, 10, 1, 2, 3, 4), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), epoch,
+             dt.datetime(2024, 3, 10, 2, 30, 0, 100000), dt.datetime(9999, 12, 31, 23, 59, 59, 999999), None]
+    x = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select("t", J.epoch_micros("t").alias("m"))
+    assert all(r["m"] == (None if r["t"] is None else (r["t"] - epoch) // us) for r in x.collect())
+    assert "Decimal" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract" not in x._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -1,5 +1,7 @@
 """Stay construction edge rows (FIXTURES.md section 4)."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from stayline.functions import constants as K
@@ -117,3 +119,19 @@ def test_sessionize_shuffles_rows_once_after_writing_them(spark):
             days = sorted({i // 100 for i in mine})
             got = {r.id: r.session_no for r in out.where(F.col("k").eqNullSafe(F.lit(k))).collect()}
             assert got == {i: days.index(i // 100) + 1 for i in mine}
+
+
+def test_daily_records_give_the_sessions_of_the_points(spark):
+    """Gaps of exactly 24 h, of a microsecond more, over midnight, and points without a time."""
+    t0 = dt.datetime(2024, 1, 1, 23, 59, 59)
+    day, us = dt.timedelta(hours=24), dt.timedelta(microseconds=1)
+    rows = [("a", t0), ("a", t0 + dt.timedelta(seconds=2)), ("a", t0 + dt.timedelta(seconds=2) + day),
+            ("a", t0 + dt.timedelta(seconds=2) + 2 * day + us), ("a", None), ("b", None), (None, t0),
+            *[("h", t0 + i * dt.timedelta(hours=5) + (i // 40) * dt.timedelta(hours=30)) for i in range(400)]]
+    p = spark.createDataFrame(rows, "k string, t timestamp_ntz")
+    x = stays.daily_records(p, "k", "t")
+    assert x.count() < 250
+    ends = lambda df, a, b: sorted(str(tuple(r)) for r in df.groupBy("k", "session_no").agg(F.min(a), F.max(b)).collect())
+    points = ends(stays.sessionize(p, "k", "t", "t", 24, partitions=7), "t", "t")
+    assert len([r for r in points if r.startswith("('a'")]) == 2 and len([r for r in points if r.startswith("('h'")]) == 10
+    assert ends(stays.sessionize(x, "k", "first_at", "last_at", 24, partitions=7), "first_at", "last_at") == points
